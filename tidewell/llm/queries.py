@@ -29,9 +29,16 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_token_records": op5_token_records,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE: dict[str, str] = {}
