@@ -116,13 +116,13 @@ def covered(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarr
     return hit
 
 
-def grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> list[Condition]:
+def grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, names: list[str]) -> list[Condition]:
     """Adds the condition with the largest gain (bad rows kept, times bits won) until only bad rows are covered."""
     rule: list[Condition] = []
     hit = rows.copy()
     while bad[hit].any() and not bad[hit].all() and len(rule) < 4:
         p0, best = bad[hit].mean(), (0.0, None)
-        for name in FEATURES:
+        for name in names:
             v = x[name]
             values = np.unique(v[hit])
             cuts = np.unique(np.searchsorted(values, np.quantile(v[hit], np.linspace(0, 1, CUTS), method="lower")))
@@ -151,17 +151,18 @@ def prune(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray, rows
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3) -> list[list[Condition]]:
     """The ordered rules; a document that any rule covers is bad."""
-    rules, left = [], np.ones(len(bad), bool)
+    rules, left, names = [], np.ones(len(bad), bool), list(FEATURES)
     part = np.random.default_rng(seed).permutation(len(bad)) % 3
-    while bad[left].sum() >= 2 * LEAST and len(rules) < 12:
+    while bad[left].sum() >= 2 * LEAST and len(rules) < 12 and names:
         growing, pruning = left & (part > 0), left & (part == 0)
-        rule = prune(grow(x, bad, growing), x, bad, pruning)
+        rule = prune(grow(x, bad, growing, names), x, bad, pruning)
         if not rule:
             break
         hit = covered(rule, x, len(bad)) & left
         held = hit & (part == 0)
         if hit.sum() < LEAST or bad[hit].mean() < PRECISION or (held.any() and bad[held].mean() < PRECISION - 0.05):
-            break
+            names.remove(rule[0].feature)  # not sure enough: grow from another feature
+            continue
         rules.append(rule)
         left &= ~hit
     return rules
