@@ -53,8 +53,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules, keep=["doc_id"])
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_records": op5_token_records,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
