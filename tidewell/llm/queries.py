@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.dedup(table(spark, sf_dir, "documents"), digests=True).drop("spans")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -60,6 +66,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_packing": op3_packing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_records": op5_token_records,
