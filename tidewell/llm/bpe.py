@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import SLAB_CHARS, bounds, ragged
-from .wordcache import KEPT_WORDS, WordTable
+from .common import SLAB_CHARS, bounds, portions, ragged
+from .wordcache import KEPT_STEMS, KEPT_WORDS, WordTable, packed
 
 #: The pre-tokeniser of byte-level vocabularies with use_regex: fixed values.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -185,18 +185,22 @@ class BPE:
             at = m.end()
         return out + pre_tokens(chunk[at:])
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.pre_tokens) > KEPT_WORDS:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        if len(self.pre_tokens) > KEPT_STEMS:
             self.pre_tokens.clear()
         known = self.pre_tokens
         pieces = [self._pieces(c) for c in chunks]
         fresh = list({x for own in pieces for x in own if x.__class__ is str and x not in known})
-        known.update(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        return [known[own[0]] if len(own) == 1 and own[0].__class__ is str else [i for x in own for i in (known[x] if x.__class__ is str else (x,))] for own in pieces]
+        known.update(zip(fresh, packed(self.encode_words([w.encode() for w in fresh])), strict=True))
+        return [b"".join(known[x] if x.__class__ is str else packed([[x]])[0] for x in own) for own in pieces]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(a, b, ids of texts a to b, their boundaries), in order, for ranges of about `SLAB_CHARS`."""
-        texts = pc.fill_null(texts, "")
+        for first, own in portions(pc.fill_null(texts, "")):
+            for a, b, ids, at in self._encode(own):
+                yield first + a, first + b, ids, at
+
+    def _encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         sizes = bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         parts = pc.split_pattern(texts, " ")
         at = bounds(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
@@ -206,8 +210,7 @@ class BPE:
         whole = np.logical_or.reduceat(unsafe[codes], at[:-1]) if len(texts) else np.zeros(0, bool)
         firsts = at[:-1]
         heads = [names[c] for c in codes[firsts].tolist()]
-        numbers = self.words.numbers(list(dict.fromkeys([" " + w for w in names] + heads)))
-        del numbers
+        self.words.numbers(list(dict.fromkeys([" " + w for w in names] + heads)))
         mid = np.fromiter((self.words.index[" " + w] for w in names), np.int64, len(names))
         head = np.fromiter((self.words.index[w] for w in heads), np.int64, len(heads))
         a = 0
@@ -220,7 +223,7 @@ class BPE:
             if whole[a:b].any():
                 odd = np.flatnonzero(whole[a:b])
                 own = dict(zip(odd.tolist(), self._encode_chunks([texts[a + int(i)].as_py() for i in odd]), strict=True))
-                rows = [np.array(own[i], np.uint32) if i in own else ids[edges[i] : edges[i + 1]] for i in range(b - a)]
+                rows = [np.frombuffer(own[i], np.uint32) if i in own else ids[edges[i] : edges[i + 1]] for i in range(b - a)]
                 ids, edges = np.concatenate(rows), bounds([len(r) for r in rows])
             yield a, b, ids, edges
             a = b

@@ -1,4 +1,4 @@
-"""Shared helpers: whole-text batches for Arrow workers and tables in the shared folder."""
+"""Shared helpers: whole-text portions of batches for Arrow workers and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text handled at once inside one Arrow batch; bounds the arrays a worker holds.
-SLAB_CHARS = 3_000_000
+SLAB_CHARS = 2_000_000
+
+#: Bytes of text whose distinct words are looked up together.
+PORTION_BYTES = 10_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,17 +47,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slabs(texts: list, limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of whole texts with about `limit` characters each; one longer text stands alone."""
-    a = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > a and size + n > limit:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)
+def portions(texts: pa.Array, limit: int = PORTION_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first, texts) for runs of whole texts with about `limit` bytes each; one longer text stands alone."""
+    sizes, a = bounds(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + limit, "right")) - 1)
+        yield a, texts[a:b]
+        a = b
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

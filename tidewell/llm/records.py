@@ -12,7 +12,7 @@ writes under a name of its own attempt and reports it; only reported files enter
 row per file, so a lost executor or a second attempt leaves nothing that is read.
 
 Cases: a null or empty text is a record with only the end id; null keys come first; repeated keys are
-records of their own, ordered by text; an empty table gives no records; extra columns are ignored; a long
+records of their own, ordered by a hash of the text; an empty table gives no records; extra columns are ignored; a long
 text is one record. A wrong checksum raises ValueError.
 """
 
@@ -92,8 +92,8 @@ def write(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, text: str
             out.write(np.array([offsets, firsts], "<u8").T.tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [len(offsets)], "ids": [total], "bytes": [at]})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
+    return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST)
 
 
 def read(spark: SparkSession, at: str, manifest: list, with_ids: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -18,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .common import SLAB_CHARS, bounds, ragged
+from .common import SLAB_CHARS, bounds, portions, ragged
 
 #: Words that a worker keeps between batches; later words are encoded again in each batch.
-KEPT_WORDS = 500_000
+KEPT_WORDS, KEPT_STEMS = 200_000, 300_000
 
 #: Precomposed Latin letters, then ASCII marks without an apostrophe: two pre-tokens of a lower-casing vocabulary.
 STEM_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -44,8 +45,12 @@ def lowers_letters(spec: dict) -> bool:
     return splits_at_space(spec) and steps == ["NFC", "Replace", "Lowercase"] and r"|[\p{L}]+|" in split.get("pattern", {}).get("Regex", "")
 
 
+def packed(ids: list[list[int]]) -> list[bytes]:
+    return [array("I", x).tobytes() for x in ids]
+
+
 class WordTable:
-    """word -> its ids, all ids one after another in one array that grows in place."""
+    """word -> its ids, all ids one after another in one array that grows in place. `encode`: words to ids as bytes."""
 
     def __init__(self, encode, kept: int = KEPT_WORDS):
         self.encode, self.kept, self.index = encode, kept, {}
@@ -57,14 +62,14 @@ class WordTable:
         fresh = [w for w in words if w not in self.index]
         if fresh:
             got, n = self.encode(fresh), len(self.index)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
             first = int(self.at[n])
             need = first + int(lengths.sum())
             if need > len(self.ids):
                 self.ids = np.concatenate([self.ids[:first], np.empty(need + need // 2 - first, np.uint32)])
             if n + len(got) + 1 > len(self.at):
                 self.at = np.concatenate([self.at[: n + 1], np.zeros((n + len(got)) // 2 + len(got) + 1, np.int64)])
-            self.ids[first:need] = np.fromiter(chain.from_iterable(got), np.uint32, need - first)
+            self.ids[first:need] = np.frombuffer(b"".join(got), np.uint32)
             self.at[n + 1 : n + len(got) + 1] = first + np.cumsum(lengths)
             self.index.update(zip(fresh, range(n, n + len(got)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -96,20 +101,24 @@ class TextEncoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         if not self.by_stem:
-            return self.whole(words)
-        if len(self.stems) > KEPT_WORDS:
+            return packed(self.whole(words))
+        if len(self.stems) > KEPT_STEMS:
             self.stems.clear()
         cut = [(m[1].lower(), m[2]) if (m := STEM_AND_MARKS.fullmatch(w)) else (w, "") for w in words]
         fresh = list({x for pair in cut for x in pair} - self.stems.keys())
-        self.stems.update(zip(fresh, self.whole(fresh), strict=True))
+        self.stems.update(zip(fresh, packed(self.whole(fresh)), strict=True))
         stems = self.stems
         return [stems[a] + stems[b] if b else stems[a] for a, b in cut]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(a, b, ids of texts a to b, their boundaries), in order, for ranges of about `SLAB_CHARS`."""
-        texts = pc.fill_null(texts, "")
+        for first, own in portions(pc.fill_null(texts, "")):
+            for a, b, ids, at in self._encode(own):
+                yield first + a, first + b, ids, at
+
+    def _encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         sizes = bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         if self.by_word:
             parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
