@@ -59,6 +59,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id"]).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quotes
+
+    return quotes.link(table(spark, sf_dir, "conversations")).drop("own")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_records": op5_token_records,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_quotation_linking": op8_quotation_linking,
     "op9_quality": op9_quality,
 }
 
