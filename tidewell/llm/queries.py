@@ -79,6 +79,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import licences
+
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return licences.scan(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_quotation_linking": op8_quotation_linking,
     "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
