@@ -135,21 +135,20 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return train([(r.t, r.y) for r in got])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of every row (all but the text by default) with lang_pred, score and rejected."""
-    names = [c for c in docs.columns if c != text] if keep is None else keep
-    clash = {"lang_pred", "score", "rejected"} & set(names)
-    fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names if n not in clash]
-    names = [n for n in names if n not in clash]
-    schema = ", ".join([*fields, "lang_pred string, score double, rejected boolean"])
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, made: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """`keep` columns of every row (all but the text by default) and the three `made` ones, which replace columns of their names."""
+    names = [c for c in ([c for c in docs.columns if c != text] if keep is None else keep) if c not in made]
+    schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names), f"{made[0]} string, {made[1]} double, {made[2]} boolean"])
+    at = names.index(text) if text in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            got = [model.predict(t.as_py()) for t in rb.column(len(names))]
-            made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*rb.columns[: len(names)], *made], [*names, "lang_pred", "score", "rejected"])
+            got = [model.predict(t.as_py()) for t in rb.column(at)]
+            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*rb.columns[: len(names)], *new], [*names, *made])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    own = [] if at < len(names) else [F.col(text).cast("string").alias("__text")]
+    return docs.select(*[F.col(f"`{n}`") for n in names], *own).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:

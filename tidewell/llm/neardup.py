@@ -114,9 +114,9 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
                 else:
                     rows.append((None, None, 0, None, None))
             names, kinds = ["k1", "k2", "n", "bands", "extra"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), rb.column(2)], ["doc_id", *names, "th"])
 
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<int>, extra binary")
+    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th")).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<int>, extra binary, th long")
     return out.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -244,7 +244,7 @@ def _linked(units: DataFrame, threshold: float) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id connected with it by links and copies), n_links
     (other documents whose similarity reaches the threshold, copies included), n_texts (different texts among
-    them), n_copies (documents with its set of grams), and stays (true for one document of each class)."""
+    them), n_copies (documents with its set of grams), stays (true for one document of each class) and text_hash."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     signed = scratch.table("signed", _signed(docs, text, key))
@@ -267,7 +267,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     joined = components(linked.where("root <> uid").select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch, "joined")
     texts = classes.join(sums.withColumnRenamed("uid", "rep"), "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     texts = texts.select("k1", "k2", "n_copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
-    rows = signed.select("uid", "doc_id", "k1", "k2").join(texts, ["k1", "k2"], "left")
+    rows = signed.select("uid", "doc_id", "th", "k1", "k2").join(texts, ["k1", "k2"], "left")
     rows = scratch.table("rows", rows.withColumn("component", F.coalesce("component", "uid")))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("first"))
     return rows.join(first, "component").select(
@@ -277,4 +277,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.col("first.uid") == F.col("uid")).alias("stays"),
+        F.col("th").alias("text_hash"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` without all but one of each class."""
+    linked = join(docs, threshold, text, key)
+    scratch = Scratch(docs.sparkSession, "kept")
+    stays = scratch.table("stays", linked.where("stays").select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash")))
+    named = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__th") == F.col("__hash"))
+    out = named.join(stays, same, "left_semi")
+    again = linked.where("n_copies > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("m")).where("m > 1")
+    if again.limit(1).count():  # the same row twice: both have the key and text of the one that stays
+        out = out.dropDuplicates([key, "__th"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -79,13 +79,15 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     """`keep` columns of every row (all by default) and `COUNTS` of its whole text."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
     schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names), *(f"{c} long" for c in COUNTS)])
+    at = names.index(text) if text in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            got = np.array([counts(t.as_py()) for t in rb.column(len(names))], np.int64).reshape(-1, len(COUNTS))
+            got = np.array([counts(t.as_py()) for t in rb.column(at)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*rb.columns[: len(names)], *(pa.array(got[:, i]) for i in range(len(COUNTS)))], [*names, *COUNTS])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    own = [] if at < len(names) else [F.col(text).cast("string").alias("__text")]
+    return docs.select(*[F.col(f"`{n}`") for n in names], *own).mapInArrow(run, schema)
 
 
 def feature(name: str) -> Column:
@@ -193,6 +195,13 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns, the counts, base_failed and kept."""
+    """`keep` columns (but those named like new ones), the counts, base_failed and kept."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("base_failed", "kept")]
     return statistics(docs, text, names).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(docs: DataFrame, rules: list[list[Condition]], text: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("own"), F.col(text).alias("text"))
+    kept = judge(packed, rules).where("kept")
+    return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"own.`{c}`") for c in docs.columns])

@@ -76,7 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    return neardup.join(table(spark, sf_dir, "documents"))
+    return neardup.join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

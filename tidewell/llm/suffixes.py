@@ -274,19 +274,68 @@ def repeated_windows(places: DataFrame, scratch: Scratch, length: int, gram: int
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id", digests: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (or its SHA-256, `digests`) and the removed spans."""
+    return _cut(_spanned(docs, length, gram, text, key, hot, []).drop("carried"), digests)
+
+
+def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id", hot: int = HOT, size: str | None = None) -> DataFrame:
+    """The rows of `docs` with their texts cut, and `size` set to the new number of characters. A character that
+    a span covers in part stays whole."""
+    carried = [c for c in docs.columns if c not in (text, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = [_kept_text(rb.column(0)[i].as_py(), _joined(rb.column(1)[i])) for i in range(rb.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), rb.column(2)], ["text", "carried"])
+
+    spanned = _spanned(docs, length, gram, text, key, hot, carried).select("text", "spans", "carried")
+    cut = spanned.mapInArrow(run, f"text string, carried {spanned.schema['carried'].dataType.simpleString()}")
+    new = {text: F.col("text"), size: F.length("text").cast(docs.schema[size].dataType) if size else None}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"carried.`{c}`") for c in docs.columns])
+
+
+def _spanned(docs: DataFrame, length: int, gram: int, text: str, key: str, hot: int, carried: list[str]) -> DataFrame:
+    """(doc_id, text, spans of repeated windows, the carried columns) of every row."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    own = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("int")
+    every = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"), own.alias("carried"))
+    rows = every.select("doc_id", "th", "text")
     anchors = scratch.table("anchors", _anchors(rows, length, gram))
     twice = anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    own = anchors.join(twice, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "m", "at", "h")).alias("places"))
+    listed = anchors.join(twice, "h").groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_set(F.struct("a", "m", "at", "h")).alias("places"))
     same = lambda x: (F.col("doc_id").eqNullSafe(F.col(f"{x}_id"))) & (F.col("th") == F.col(f"{x}_th"))
-    listed = rows.join(own.withColumnsRenamed({"doc_id": "own_id", "th": "own_th"}), same("own"))
-    places = scratch.table("places", _chunks(listed, length))
+    places = scratch.table("places", _chunks(rows.join(listed, same("own")), length))
+    scratch.drop("anchors")
     ranges = repeated_windows(places, scratch, length, gram, hot)
     spans = places.select("c1", "c2", "doc_id", "th", "a").join(ranges, ["c1", "c2"])
     spans = spans.select("doc_id", "th", F.explode(F.transform("ranges", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + length - 1).alias("e")))).alias("r"))
     spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("r").alias("spans"))
-    return _cut(rows.join(spans, same("cut"), "left").select("doc_id", "text", "spans"), digests)
+    return every.join(spans, same("cut"), "left").select("doc_id", "text", "spans", "carried")
+
+
+def _joined(found: pa.ListScalar) -> list[list[int]]:
+    """Overlapping and touching spans as one."""
+    out: list[list[int]] = []
+    if found.is_valid:
+        for s, e in sorted(zip(found.values.field("s").to_pylist(), found.values.field("e").to_pylist(), strict=True)):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+    return out
+
+
+def _kept_text(text: str | None, spans: list[list[int]]) -> str | None:
+    if not spans:
+        return text
+    data, out, at = text.encode(), [], 0
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:  # within a character
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(data[at:s])
+        at = e
+    return b"".join([*out, data[at:]]).decode()
 
 
 def _cut(rows: DataFrame, digests: bool) -> DataFrame:
@@ -294,14 +343,7 @@ def _cut(rows: DataFrame, digests: bool) -> DataFrame:
         for rb in batches:
             out = []
             for i in range(rb.num_rows):
-                data, found = (rb.column(1)[i].as_py() or "").encode(), rb.column(2)[i]
-                joined: list[list[int]] = []
-                if found.is_valid:
-                    for s, e in sorted(zip(found.values.field("s").to_pylist(), found.values.field("e").to_pylist(), strict=True)):
-                        if joined and s <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], e)
-                        else:
-                            joined.append([s, e])
+                data, joined = (rb.column(1)[i].as_py() or "").encode(), _joined(rb.column(2)[i])
                 edge = [0, *(x for span in joined for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
                 last = hashlib.sha256(kept).hexdigest() if digests else kept
