@@ -1,0 +1,245 @@
+"""Operators on hand-made rows, against values worked out by hand or a plain restatement."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell import lexicons as L
+from tidewell.functions import text as X
+from tidewell.operators import classify, dedup, filters, importance, labelling, publish, review, trends
+from tidewell.schema import conform
+
+AS_OF = "2024-12-20 00:00:00"
+
+
+def items(spark, rows):
+    """Rows are dicts; ord is their place."""
+    names = sorted({k for r in rows for k in r})
+    kinds = {"stars": "bigint", "downloads": "bigint", "score": "bigint", "points": "bigint", "likes": "bigint", "comments": "bigint", "category_rank": "int"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names) + ", ord bigint"
+    df = spark.createDataFrame([(*[r.get(n) for n in names], i) for i, r in enumerate(rows)], schema)
+    return conform(df).withColumn("published_ts", X.parsed_date(F.col("published")))
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(column(*[F.lit(v) for v in values.values()]).alias("x")).first().x
+
+
+def test_addresses(spark):
+    urls = {
+        "HTTPS://Example.COM:8080/Path/?utm_source=x&b=2&a=1&b=3&UTM_medium=q#frag": "https://example.com:8080/Path?b=2&b=3&a=1",
+        "http://user@Host.org/": "http://user@host.org", "https://x.org/a//?ref=1": "https://x.org/a", "not a url/": "not a url", "": "", "https://x.org?gclid=1": "https://x.org",
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.x for r in df.select("u", X.normal_url(F.col("u")).alias("x")).collect()} == urls
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([("OpenAI's New Model — TechCrunch",), ("百度 发布：新模型!",), ("Über-Größe - wired mag",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(X.normal_title(F.col("t")), X.cache_title(F.col("t")), X.keywords(F.col("t"))).collect()]
+    assert got[0] == ("openai s new model", "openai s new model", ["openai", "model"])
+    assert got[1][0] == "百度 发布 新模型" and got[2][0] == "über größe wired mag" and got[2][1] == "über größe"
+    assert got[3][:2] == ("", "")
+
+
+def test_dates(spark):
+    dates = ["2024-12-12", "Thu, 12 Dec 2024 10:00:00 GMT", "2024-12-12T10:00:00Z", "Thu, 12 Dec 2024 10:00:00 +0200", "soon", "", None]
+    df = spark.createDataFrame([(d,) for d in dates], "d string")
+    got = [None if r.x is None else r.x.isoformat() for r in df.select(X.parsed_date(F.col("d")).alias("x")).collect()]
+    assert got == ["2024-12-12T00:00:00", "2024-12-12T10:00:00", "2024-12-12T10:00:00", "2024-12-12T08:00:00", None, None, None]
+
+
+def test_scores_and_negation(spark):
+    t = F.lit("aaaa not x not yy release")
+    assert spark.range(1).select(X.weighted_score(t, {"aa": 2.0, "zz": 9.0})).first()[0] == pytest.approx(2 * (1 + math.log(2)) + 0.5)
+    far = "not " + "x" * 50 + " release"
+    assert one(spark, lambda a: X.negation(a, {"not": 2}, ("release",)), a="not a release") == 2
+    assert one(spark, lambda a: X.negation(a, {"not": 2}, ("release",)), a=far) == 1
+    assert one(spark, lambda a: X.negation(a, {"not": 2}, ("release",)), a="not not release not fake") == 5
+    assert one(spark, lambda a: X.negation(a, {"not": 2}, ("release",)), a="nothing else: not") == 2
+    assert one(spark, lambda a: X.negation(a, {"not": 2}, ()), a="") == 0
+
+
+def test_recency_authority_levels(spark):
+    got = [one(spark, lambda p, t: importance.recency(p.cast("timestamp"), F.lit(AS_OF).cast("timestamp"), t), p=p, t=t) for p, t in [("2024-12-13", "research"), ("2024-12-13", "product"), ("2025-01-01", "news"), ("2024-12-20", "x")]]
+    assert got == [0.606, 0.402, 1.0, 1.0] and got[0] > got[1]
+    assert spark.range(1).select(importance.recency(F.lit(None).cast("timestamp"), F.lit(AS_OF).cast("timestamp"), F.lit("news"))).first()[0] == 0.5
+    assert [one(spark, importance.authority, s=s) for s in ("openai blog", "some reddit", "nowhere")] == [1.0, 0.65, 0.40]
+    assert [one(spark, importance.level, v=v) for v in (0.95, 0.80, 0.65, 0.50, 0.30)] == ["critical", "high", "medium", "low", "minimal"]
+
+
+def test_engagement(spark):
+    low, high, w = L.ENGAGEMENT["stars"]
+    expected = 0.4 + 0.6 * math.log(5000 / low + 1) / math.log(high / low + 1)
+    assert one(spark, lambda s: importance.engagement({"stars": s}), s=5000) == pytest.approx(round(min(expected * w, 1), 3))
+    assert one(spark, lambda s: importance.engagement({"stars": s}), s=0) == 0.5
+
+
+def test_important_item(spark):
+    rows = [{"title": "OpenAI announces GPT-5 with breakthrough reasoning", "summary": "Official release of a new model with state-of-the-art benchmark results", "source": "OpenAI", "url": "https://openai.com/blog/gpt-5", "published": "2024-12-20", "stars": 5000}]
+    df = items(spark, rows).withColumns({"content_type": F.lit("product"), "confidence": F.lit(0.95), "ai_relevance": F.lit(0.98)})
+    r = importance.score(df, AS_OF).first()
+    assert r.importance > 0.80 and r.importance_breakdown.recency == 1.0
+
+
+def test_learned_authority(spark):
+    rows = [("a", i, 0.9 if i >= 10 else 0.1) for i in range(60)] + [("b", i, 0.5) for i in range(3)]
+    f = spark.createDataFrame(rows, "source string, seq bigint, score double")
+    got = {r.source: (r.n, r.average) for r in importance.learned_authority(f).collect()}
+    assert got["a"][0] == 50 and got["a"][1] == pytest.approx(0.9) and got["b"][0] == 3
+    assert importance.flagged(importance.learned_authority(f)).first().learned == 1
+    assert spark.range(1).select(importance.blended(F.lit(0.4), F.lit(50), F.lit(0.9))).first()[0] == pytest.approx(0.4 * 0.6 + 0.9 * 0.4)
+
+
+CASES = [
+    ("OpenAI officially launches GPT-5, available now for all users", "The new model is now available", "TechCrunch", "product"),
+    ("We propose a novel method", "Our method achieves state-of-the-art results; paper at NeurIPS", "arxiv", "research"),
+    ("Startup raises $100 million in Series B funding round", "valuation of a billion dollars, investment", "Reuters", "market"),
+    ("Sam Altman says AI will change work in an interview", "He said in an interview", "Wired", "leader"),
+    ("A repository of tools", "code on github.com", "GitHub", "developer"),
+    ("李彦宏：文心一言用户规模已突破1亿", "", "test", "leader"),
+    ("百度正式发布文心一言新版本", "", "test", "product"),
+    ("某公司完成亿元融资", "", "test", "market"),
+]
+
+
+def test_content_types(spark):
+    df = classify.labelled(items(spark, [{"title": t, "summary": s, "source": o, "url": "https://x.org"} for t, s, o, _ in CASES]))
+    got = {r.ord: r for r in df.collect()}
+    assert [got[i].content_type for i in range(len(CASES))] == [c[3] for c in CASES]
+    assert all(0.1 <= r.confidence <= 0.99 and 0 <= r.ai_relevance <= 1 and r.tech_categories for r in got.values())
+    assert got[4].confidence == 0.95 and got[1].ai_relevance >= 0.9
+
+
+def test_unknown_and_empty_items(spark):
+    df = classify.labelled(items(spark, [{"title": None, "summary": None, "source": None}, {"title": "zzz", "summary": "", "source": "github"}]))
+    got = {r.ord: r for r in df.collect()}
+    assert got[0].content_type == "product" and got[0].confidence == 0.2 and got[1].content_type == "developer" and got[0].region == "Global" and got[0].needs_review
+
+
+def test_semantic_dedup_is_greedy(spark):
+    import difflib
+    import random
+
+    pick = random.Random(3)
+    words = ["model", "launch", "tensor", "vision", "agent", "paper", "robot", "cloud", "chip", "data"]
+    rows = [{"title": " ".join(pick.choices(words, k=pick.randrange(1, 6))), "url": f"u{i}", "category": pick.choice("ab")} for i in range(80)] + [{"title": "", "url": "e1", "category": "a"}, {"title": "", "url": "e2", "category": "a"}]
+    kept = []
+    for i, r in enumerate(rows):
+        w = {x for x in r["title"].split() if len(x) >= 3 and x not in L.STOPWORDS}
+
+        def same(k, r=r, w=w):
+            o = rows[k]
+            v = {x for x in o["title"].split() if len(x) >= 3 and x not in L.STOPWORDS}
+            j = len(w & v) / len(w | v) if w | v else 0
+            return o["category"] == r["category"] and ((j >= 0.35 and len(w & v) >= 3) or j >= 0.5 or difflib.SequenceMatcher(None, r["title"], o["title"]).ratio() >= 0.5)
+
+        if not any(same(k) for k in kept):
+            kept.append(i)
+    df = items(spark, rows)
+    out = dedup.semantic(df)
+    assert sorted(r.ord for r in out.collect()) == kept
+    assert sorted(r.ord for r in dedup.semantic(out).collect()) == kept
+
+
+def test_dedup_by_joins_equals_the_scan(spark, tmp_path):
+    rows = [{"title": t, "url": f"u{i}", "category": "a"} for i, t in enumerate(["alpha beta gamma delta", "beta gamma delta omega", "gamma delta omega sigma", "quite another thing here", "alpha beta gamma delta"])]
+    df = items(spark, rows)
+
+    def scratch(name, x):
+        x.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    assert sorted(r.ord for r in dedup.semantic_by_joins(df, scratch).collect()) == [0, 2, 3]
+
+
+def test_history_and_quota(spark):
+    rows = [{"title": f"A title number {i}", "url": f"https://x.org/{i}?utm_source=q", "category": "news" if i % 2 else "product"} for i in range(10)] + [{"title": "A title number 0 - Source", "url": "https://news.google.com/rss/articles/zz", "category": "news"}]
+    df = items(spark, rows)
+    old = filters.history_of(df.where("ord < 4"), F.lit("2024-12-19").cast("timestamp"))
+    fresh = filters.new_only(df, old)
+    assert sorted(r.ord for r in fresh.collect()) == [4, 5, 6, 7, 8, 9]
+    assert filters.new_only(df, filters.history_of(df, F.current_timestamp())).count() == 0
+    assert {r.category: r.n for r in filters.quota(df, {"news": 2}, 3).groupBy("category").agg(F.count("*").alias("n")).collect()} == {"news": 2, "product": 3}
+    kept = filters.bounded_history(old, AS_OF, most=8)
+    assert kept.count() == 12 and filters.bounded_history(old, "2025-03-01 00:00:00").count() == 0
+
+
+def test_publication(spark):
+    rows = [{"title": f"Title {i}", "summary": "<b>x</b> & y" if i else "z" * 200, "source": "s", "url": "https://x.org/?a=1&b='", "published": f"2024-12-{10 + i}"} for i in range(9)]
+    df = items(spark, rows).withColumns({"importance": F.col("ord") / 10, "content_type": F.when(F.col("ord") == 8, "podcast").otherwise("product"), "ai_relevance": F.when(F.col("ord") == 7, 0.1)})
+    got = publish.sections(df).orderBy("section_rank", "rank").collect()
+    assert [(r.section, r.ord) for r in got] == [("product", i) for i in (6, 5, 4, 3, 2, 1)] + [("market", 8)]
+    assert [r.ord for r in publish.table_rows(df, 2, "parity").collect()] == [0, 1]
+    page = publish.page(df)
+    assert "<html" in page and "x &amp; y" in page and page.count("<tr>") == 8
+    who = lambda **v: one(spark, publish.person, **v)
+    assert who(a="Ann", t="", s="", o="") == "Ann" and who(a="", t="why jensen huang left", s="", o="") == "Jensen Huang"
+    assert who(a="", t="Jane Smith says no", s="", o="x") == "Jane Smith" and who(a="", t="t", s="", o="News about Bob") == "Bob" and who(a="", t="", s="", o="") == "Industry Voice"
+
+
+def test_review_cycle(spark):
+    df = items(spark, [{"title": f"t{i}", "summary": "alpha alpha beta"} for i in range(6)]).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x")), "region": F.lit("USA")})
+    d = spark.createDataFrame([(0, "confirm", None), (1, "category", "product"), (2, "spam", None), (3, "skip", None), (4, "tech", "NLP, Vision"), (5, "region", "China")], "ord bigint, action string, value string")
+    out = {r.ord: r for r in review.apply(df, d).collect()}
+    assert [out[i].needs_review for i in range(6)] == [False, False, True, True, True, True]
+    assert (out[1].content_type, out[1].confidence, out[1].original_category, out[1].original_confidence) == ("product", 1.0, "market", 0.5)
+    assert out[2].is_spam and not out[3].manually_reviewed and out[4].tech_categories == ["NLP", "Vision"] and out[5].region == "China"
+    log = review.audit(df, d)
+    assert review.statistics(log).first().asDict() == {"total": 5, "confirmed": 1, "spam": 1, "corrected": 1}
+    assert [tuple(r) for r in review.transitions(log).collect()] == [("market", "product", 1)]
+    assert {(r.content_type, r.word) for r in review.mined_words(review.apply(df, d)).collect()} == {("market", "alpha"), ("market", "beta"), ("product", "alpha"), ("product", "beta")}
+    assert review.learning_summary(log, review.apply(df, d)).first().reviewed == 5
+
+
+def test_replies(spark):
+    replies = ['thinking... ```json\n{"content_type": "Paper", "confidence": 0.9, "tech_fields": ["NLP"]}\n``` done', "no object", '{"type": "developer (tools)"}', '{"confidence": 1}', None]
+    got = [r.x for r in spark.createDataFrame([(r,) for r in replies], "r string").select(labelling.parsed_reply(F.col("r")).alias("x")).collect()]
+    assert (got[0].content_type, got[0].confidence, got[0].ai_relevance, got[0].tech_categories) == ("research", 0.9, 0.7, ["NLP"])
+    assert got[1] is None and got[2].content_type == "developer" and got[3] is None and got[4] is None
+    read = labelling.read_batch('1. {"id": 2, "content_type": "papers"}\n[3] {id: 1, content_type: "tools"}\n{"id": 2, "content_type": "market"}', 3)
+    assert [r and r["content_type"] for r in read] == ["developer", "research", None]
+    assert labelling.read_batch('```json\n[{"content_type": "product", "confidence": 0.5}, {"id": 9}]\n```', 2)[0]["confidence"] == 0.5
+    text = spark.createDataFrame([("so it is\nresearch",), ("a paper from a conference with a launch",), ("zzz",)], "r string").select(labelling.type_from_text(F.col("r")).alias("x")).collect()
+    assert tuple(text[0].x) == ("research", 0.85) and text[1].x.content_type == "research" and text[2].x is None
+
+
+def test_breaker():
+    now = [0.0]
+    b = labelling.Breaker(clock=lambda: now[0])
+    assert b.action("timeout") == "quick" and b.action("parse_error") == "retry"
+    b.failed("parse_error"), b.failed("parse_error")
+    assert b.action("parse_error") == "full_rule" and b.allows()
+    assert [b.action("connection_error") for _ in range(3)] == ["retry", "retry", "full_rule"] and not b.allows()
+    now[0] = 61.0
+    assert b.allows() and not b.errors
+    b.failed("x")
+    b.succeeded()
+    assert not b.errors
+
+
+def test_model_labels_fall_back_to_rules(spark):
+    df = items(spark, [{"title": f"title {i}", "summary": "s", "source": "x", "url": "u"} for i in range(12)]).coalesce(1)
+    rules = df.select("ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+
+    def down(prompt):
+        raise ConnectionError
+
+    got = {r.ord: r for r in labelling.labelled(df, rules, down, "m").collect()}
+    assert got[0].classified_by == "rule:fallback:connection_error" and got[11].classified_by == "rule:circuit_breaker" and got[0].content_type == "market"
+    cache = df.where("ord = 0").select(labelling.cache_key("m").alias("key"), F.lit("leader").alias("content_type"), F.lit(0.7).alias("confidence"), F.lit(0.9).alias("ai_relevance"))
+    good = {r.ord: r for r in labelling.labelled(df, rules, lambda p: '{"content_type": "product"}', "m", cache).collect()}
+    assert good[0].content_type == "leader" and good[0].from_cache and good[1].content_type == "product" and len(good) == 12
+
+
+def test_trends(spark):
+    df = items(spark, [{"title": f"t{i}", "source": "b" if i else "a", "published": f"2024-12-{10 + i}"} for i in range(9)]).withColumns({"tech_categories": F.array(F.when(F.col("ord") < 2, "A").otherwise("B")), "content_type": F.lit("product"), "region": F.lit(None).cast("string")})
+    assert [(r.key, r.n) for r in trends.hotspots(df).collect()] == [("B", 7), ("A", 2)]
+    assert [r.day for r in trends.daily(df, F.col("published_ts")).collect()] == [f"2024-12-{d}" for d in range(12, 19)]
+    assert trends.shares(df, "content_type", "market").first().pct == 100.0
+    text = trends.report(df)
+    assert "Items: 9" in text and "B: 7" in text and "Global: 9" in text
+    f = spark.createDataFrame([("c", i, f"s{i}", "e" * 200) for i in range(5)], "category string, ord bigint, source string, error string")
+    shown = trends.failures(f).collect()
+    assert len(shown) == 3 and shown[0].failed == 5 and len(shown[0].error) == 100

@@ -1,11 +1,574 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query over the test tables and, where SQL can express it, the same in DuckDB SQL.
+
+The tables' prose is invented, so the queries match a test vocabulary of its frequent syllables; the operators'
+own vocabularies are the defaults everywhere else.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell import lexicons as L
+from tidewell.functions import text as X
+from tidewell.operators import classify, dedup, filters, importance, labelling, publish, review, trends
+from tidewell.plans import pipeline
+from tidewell.plans import sqltext as Q
+from tidewell.plans.tables import AS_OF, DECISIONS, ITEMS, decisions, history, items, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: A vocabulary of the test tables' syllables.
+TYPES = {
+    "research": {"theration": 4, "tion": 2, "entwh": 3}, "developer": {"eaux": 3, "ment": 2, "une": 1}, "product": {"ing": 2, "and": 1, "erth": 3},
+    "market": {"ung": 3, "keit": 2, "der": 1}, "leader": {"ción": 3, "para": 2, "los": 1},
+}
+TECH = {"NLP": ["thation", "eri"], "Vision": ["eaux", "vi"], "Learning": ["rl", "keit"], "MLOps": ["ción"]}
+REGIONS = {"China": ["ung", "der"], "USA": ["the", "and"], "Europe": ["eau", "les"], "Global": ["ción"]}
+PRIORS = {"src1": {"research": 0.9, "developer": 0.02, "product": 0.03, "market": 0.03, "leader": 0.02}, "src5": {"research": 0.1, "developer": 0.5, "product": 0.2, "market": 0.1, "leader": 0.1}, "_default": L.PRIORS["_default"]}
+VOCABULARY = classify.Vocabulary(
+    types=TYPES, phrases={"research": ["the\\s+(er|in)", "of\\s+the"], "market": ["der\\s+die"]}, priors=PRIORS, strong_research=("theration", "entwh"), companies=("erble", "chich"), products=("onre", "eleau"), tech=TECH, regions=REGIONS,
+    core={"tion": 5, "eau": 4, "ung": 3}, field_products={"erth": 3, "ment": 2}, weak={"the": 1, "der": 1}, off_topic=("ststst", "idiot"), negations={"not": 2, "onon": 1.5, "ende": 1}, actions=("ere", "ation"), trusted=("there", "src1"),
+)
+TERMS = ("ththe", "eaueau", "keitung", "ciónci")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def with_items(sql: str, *more: str) -> str:
+    return "WITH " + ", ".join([ITEMS, *more]) + " " + sql
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.labelled(items(spark, sf_dir), VOCABULARY)
+
+
+# Distributions and trends
+
+
+@query("SELECT coalesce(source, 'Unknown') AS key, count(*) AS n FROM documents GROUP BY 1")
+def source_distribution(spark, sf_dir):
+    return trends.distribution(table(spark, sf_dir, "documents"), "source", "Unknown")
+
+
+@query("SELECT coalesce(lang, 'Global') AS key, count(*) AS n FROM documents GROUP BY 1")
+def lang_distribution(spark, sf_dir):
+    return trends.distribution(table(spark, sf_dir, "documents"), "lang", "Global")
+
+
+@query(with_items("SELECT category AS key, count(*) AS n FROM items GROUP BY 1"))
+def category_distribution(spark, sf_dir):
+    return trends.distribution(items(spark, sf_dir), "category", "unknown")
+
+
+@query(with_items("SELECT 'category' AS dimension, category AS key, count(*) AS n FROM items GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM items GROUP BY 2"))
+def overview_counts(spark, sf_dir):
+    return trends.distributions(items(spark, sf_dir), {"category": "unknown", "source": "unknown"})
+
+
+@query("SELECT lang AS key, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2) AS pct FROM documents GROUP BY 1")
+def content_share_pct(spark, sf_dir):
+    return trends.shares(table(spark, sf_dir, "documents"), "lang", "market")
+
+
+@query("SELECT day, n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7)")
+def daily_trend_last7(spark, sf_dir):
+    return trends.daily(table(spark, sf_dir, "events"), F.col("ts"))
+
+
+def _tech_sql(text: str = "lower(title || ' ' || summary)") -> str:
+    cases = ", ".join(f"CASE WHEN {Q.contains_any('f', t)} THEN {Q.quoted(n)} END" for n, t in TECH.items())
+    return f"tech AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS found FROM (SELECT *, {text} AS f FROM items)), fields AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE ['General AI'] END AS tech_categories FROM tech)"
+
+
+@query(with_items("SELECT key, count(*) AS n, min(ord) AS first FROM (SELECT ord, unnest(tech_categories) AS key FROM fields) GROUP BY 1 ORDER BY n DESC, first, key LIMIT 10", _tech_sql()))
+def tech_hotspots_top10(spark, sf_dir):
+    tagged = classify.without_text(classify.with_text(items(spark, sf_dir)).withColumn("tech_categories", classify.tech_fields(VOCABULARY)))
+    return trends.hotspots(tagged)
+
+
+@query(with_items("SELECT ord, array_to_string(tech_categories, ',') AS fields FROM fields", _tech_sql()))
+def tech_categories(spark, sf_dir):
+    return classify.with_text(items(spark, sf_dir)).select("ord", F.array_join(classify.tech_fields(VOCABULARY), ",").alias("fields"))
+
+
+# Filters
+
+
+@query(with_items("SELECT ord FROM items WHERE length(title) > 10 AND url <> ''"))
+def valid_items(spark, sf_dir):
+    return filters.valid(items(spark, sf_dir)).select("ord")
+
+
+@query(with_items("SELECT ord FROM items WHERE published_ts >= TIMESTAMP '2024-01-24 00:00:00'"))
+def recent_items(spark, sf_dir):
+    return filters.recent(items(spark, sf_dir), AS_OF).select("ord")
+
+
+@query(with_items(f"SELECT ord FROM items WHERE {Q.contains_any('lower(title || chr(32) || summary)', TERMS)}"))
+def topic_filter(spark, sf_dir):
+    return filters.about(items(spark, sf_dir), TERMS).select("ord")
+
+
+@query(with_items(f"SELECT ord FROM items WHERE {Q.contains_any('lower(title)', ('there', 'und', 'eau'))}"))
+def discussion_filter(spark, sf_dir):
+    return filters.discussions(items(spark, sf_dir), ("there", "und", "eau")).select("ord")
+
+
+@query(with_items("SELECT ord FROM fields WHERE category = 'product' AND list_contains(tech_categories, 'Vision')", _tech_sql()))
+def facet_filter(spark, sf_dir):
+    tagged = classify.with_text(items(spark, sf_dir)).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")})
+    return filters.faceted(tagged, "product", "Vision").select("ord")
+
+
+# Normal forms
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://', 1) AS s, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS a,
+        regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+    k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains("""
+    + Q.strings(L.TRACKING_KEYS)
+    + """, lower(split_part(x, '=', 1)))) AS kept FROM p)
+    SELECT page_id, lower(s) || '://' || lower(a) || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM k"""
+)
+def url_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.normal_url(F.col("url")).alias("url"))
+
+
+@query(with_items(f"SELECT ord, {Q.normal_title('title')} AS title FROM items"))
+def title_normalized(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", X.normal_title(F.col("title")).alias("title"))
+
+
+@query(with_items(f"SELECT ord, {Q.cache_title('title')} AS key FROM items"))
+def title_cache_key(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", X.cache_title(F.col("title")).alias("key"))
+
+
+@query(with_items(f"SELECT ord, array_to_string(list_sort({Q.keywords('title', dict.fromkeys(L.STOPWORDS))}), ' ') AS words FROM items"))
+def title_keywords(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", F.array_join(F.array_sort(X.keywords(F.col("title"))), " ").alias("words"))
+
+
+@query(with_items("SELECT ord, md5(title || '|' || summary || '|' || source) AS hash, md5(title || '|' || summary || '|' || source) || ':local/model' AS key FROM items"))
+def content_hash(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", X.content_hash(F.col("title"), F.col("summary"), F.col("source")).alias("hash"), labelling.cache_key("local/model").alias("key"))
+
+
+@query("SELECT page_id, CASE WHEN length(t) > 300 THEN left(t, 300) || '...' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS text FROM pages")
+def html_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.escaped(F.col("html")).alias("text"))
+
+
+@query(with_items("SELECT ord, CASE WHEN length(summary) > 150 THEN left(summary, 150) || '...' ELSE summary END AS short FROM items"))
+def rule_summary(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", X.cut(F.col("summary"), 150).alias("short"))
+
+
+# Deduplication, history, quotas
+
+
+@query(with_items("SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY category, md5(lower(url || '|' || left(title, 50))) ORDER BY ord) AS r FROM items) WHERE r = 1"))
+def fingerprint_dedup(spark, sf_dir):
+    return dedup.by_fingerprint(items(spark, sf_dir)).select("ord")
+
+
+@query(with_items("SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY url ORDER BY category_rank, ord) AS r FROM items) WHERE r = 1"))
+def cross_category_dedup(spark, sf_dir):
+    return dedup.across_categories(items(spark, sf_dir)).select("ord")
+
+
+_KEYED = f"keyed AS (SELECT *, {Q.cache_title('title')} AS nt FROM items), old AS (SELECT * FROM keyed WHERE published < '2024-01-16'), flagged AS (SELECT *, (url IN (SELECT url FROM old) OR title IN (SELECT title FROM old WHERE title <> '') OR nt IN (SELECT nt FROM old WHERE nt <> '')) AS seen FROM keyed)"
+
+
+@query(with_items("SELECT ord FROM flagged WHERE NOT seen", _KEYED))
+def history_anti_join(spark, sf_dir):
+    return filters.new_only(items(spark, sf_dir), history(spark, sf_dir)).select("ord")
+
+
+@query(with_items("SELECT category, CAST(count(*) FILTER (WHERE NOT seen) AS BIGINT) AS n_new, CAST(count(*) FILTER (WHERE seen) AS BIGINT) AS n_cached FROM flagged GROUP BY 1", _KEYED))
+def history_new_vs_cached(spark, sf_dir):
+    return filters.new_and_cached(items(spark, sf_dir), history(spark, sf_dir))
+
+
+@query(with_items("SELECT ord, category FROM (SELECT ord, category, row_number() OVER (PARTITION BY category ORDER BY ord) AS r FROM items) WHERE r <= CASE category WHEN 'research' THEN 15 WHEN 'developer' THEN 20 WHEN 'product' THEN 15 WHEN 'leader' THEN 15 WHEN 'community' THEN 10 ELSE 25 END"))
+def category_quota(spark, sf_dir):
+    return filters.quota(items(spark, sf_dir), {"research": 15, "developer": 20, "product": 15, "leader": 15, "community": 10}).select("ord", "category")
+
+
+def _kw(where: str) -> str:
+    words = Q.keywords("title", dict.fromkeys(L.STOPWORDS))
+    return f"kw AS (SELECT category, ord, {words} AS w FROM items), ex AS (SELECT category, ord, len(w) AS n, unnest(w) AS x FROM kw), pairs AS (SELECT a.category, a.ord AS earlier, b.ord AS later, a.n AS n1, b.n AS n2, count(*) AS common FROM ex a JOIN ex b ON a.x = b.x AND a.category = b.category AND a.ord < b.ord GROUP BY ALL) {where}"
+
+
+@query(with_items("SELECT category, earlier, later, common, round(common / (n1 + n2 - common), 6) AS jaccard FROM pairs WHERE common / (n1 + n2 - common) >= 0.35", _kw("")))
+def jaccard_pairs(spark, sf_dir):
+    return dedup.jaccard_pairs(items(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def semantic_dedup(spark, sf_dir):
+    return dedup.semantic(items(spark, sf_dir)).select("ord", "category")
+
+
+@query()
+def seq_ratio_pairs(spark, sf_dir):
+    pairs = dedup.jaccard_pairs(items(spark, sf_dir), 0.5)
+    t = dedup.titles(items(spark, sf_dir)).select("ord", "t")
+    named = pairs.join(t.withColumnsRenamed({"ord": "earlier", "t": "first"}), "earlier").join(t.withColumnsRenamed({"ord": "later", "t": "second"}), "later")
+    return named.select("earlier", "later", F.round(dedup.ratio("second", "first"), 6).alias("ratio"))
+
+
+# Scoring and labels
+
+_TEXT = "texts AS (SELECT *, lower(title) AS tl, lower(summary || ' ') AS sl, lower(title) || ' ' || lower(summary || ' ') AS fl, lower(source) AS so, lower(url) AS ul FROM items)"
+
+
+@query(with_items("SELECT ord, " + ", ".join(f"round({Q.weighted_score('fl', TYPES[c])}, 4) AS {c}" for c in L.CONTENT_TYPES) + " FROM texts", _TEXT))
+def weighted_keyword_score(spark, sf_dir):
+    t = classify.with_text(items(spark, sf_dir))
+    return t.select("ord", *[F.round(X.weighted_score(F.col("_full"), TYPES[c]), 4).alias(c) for c in L.CONTENT_TYPES])
+
+
+@query(with_items(f"SELECT ord, {Q.phrase_count('fl', VOCABULARY.phrases['research'])} AS research, {Q.phrase_count('fl', VOCABULARY.phrases['market'])} AS market FROM texts", _TEXT))
+def phrase_score(spark, sf_dir):
+    t = classify.with_text(items(spark, sf_dir))
+    return t.select("ord", *[X.phrase_count(F.col("_full"), VOCABULARY.phrases[c]).alias(c) for c in ("research", "market")])
+
+
+@query(with_items("SELECT ord, " + ", ".join(f"CASE WHEN contains(so, 'src1') THEN {PRIORS['src1'][c]} WHEN contains(so, 'src5') THEN {PRIORS['src5'][c]} ELSE {PRIORS['_default'][c]} END::DOUBLE AS {c}" for c in L.CONTENT_TYPES) + " FROM texts", _TEXT))
+def source_prior(spark, sf_dir):
+    t = classify.with_text(items(spark, sf_dir))
+    return t.select("ord", *[classify.prior(c, VOCABULARY).alias(c) for c in L.CONTENT_TYPES])
+
+
+@query(with_items("SELECT ord, round(least(1.0, 0.2 * len(list_filter(['there', 'src1'], lambda t: contains(so, t) OR contains(fl, t)))), 4)::DOUBLE AS trust FROM texts", _TEXT))
+def source_trust(spark, sf_dir):
+    return classify.with_text(items(spark, sf_dir)).select("ord", F.round(classify.trust(VOCABULARY.trusted), 4).alias("trust"))
+
+
+_REGION = ", ".join(f"{Q.count_hits('body', terms)} AS r_{name}" for name, terms in REGIONS.items())
+
+
+@query(with_items("SELECT ord, CASE WHEN greatest(r_China, r_USA, r_Europe, r_Global) = 0 THEN 'Global' WHEN r_China = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'China' WHEN r_USA = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'USA' WHEN r_Europe = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'Europe' ELSE 'Global' END AS region FROM hits", _TEXT, f"hits AS (SELECT ord, {_REGION} FROM (SELECT ord, fl || ' ' || so AS body FROM texts))"))
+def region_argmax(spark, sf_dir):
+    return classify.with_text(items(spark, sf_dir)).select("ord", classify.region(VOCABULARY).alias("region"))
+
+
+_REL = f"""rel AS (SELECT *, {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.core, 'tl', 0.5)} + {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.field_products, 'tl', 0.3)} + {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.weak)} AS plus,
+    coalesce(list_sum(list_transform(list_filter({Q.strings(VOCABULARY.off_topic)}, lambda t: contains(fl, t)), lambda t: CASE WHEN contains(tl, t) THEN 5.0 ELSE 2.0 END)), 0.0)::DOUBLE AS minus FROM texts),
+    relevance AS (SELECT *, round(CASE WHEN minus > 0 THEN greatest(0.0, least(1.0, plus / 20) - least(0.5, minus / 20)) ELSE least(1.0, plus / 20) END, 3) AS ai_relevance FROM rel)"""
+
+
+@query(with_items("SELECT ord, ai_relevance::DOUBLE AS ai_relevance FROM relevance", _TEXT, _REL))
+def ai_relevance(spark, sf_dir):
+    return classify.with_text(items(spark, sf_dir)).select("ord", classify.relevance(VOCABULARY).alias("ai_relevance"))
+
+
+def _negation_sql() -> str:
+    near = " OR ".join(f"contains(substring(fl, greatest(p - 40, 0) + 1, p + 40 - greatest(p - 40, 0)), {Q.quoted(a)})" for a in VOCABULARY.actions)
+    one = []
+    for term, w in VOCABULARY.negations.items():
+        lens = f"list_transform(string_split(fl, '{term}'), lambda x: length(x))"
+        one.append(f"SELECT ord, fl, CAST({w} AS DOUBLE) AS w, unnest(list_transform(range(1, len({lens})), lambda i: CAST(list_sum(({lens})[1:i]) AS BIGINT) + (i - 1) * {len(term)})) AS p FROM texts WHERE contains(fl, '{term}')")
+    return f"places AS ({' UNION ALL '.join(one)}), worth AS (SELECT ord, least(5.0, sum(CASE WHEN {near} THEN w ELSE w * 0.5 END)) AS negation FROM places GROUP BY ord)"
+
+
+_NEGATION = _negation_sql()
+
+
+@query(with_items("SELECT t.ord, round(coalesce(w.negation, 0.0), 4)::DOUBLE AS negation FROM texts t LEFT JOIN worth w ON t.ord = w.ord", _TEXT, _NEGATION))
+def negative_context(spark, sf_dir):
+    return classify.with_text(items(spark, sf_dir)).select("ord", F.round(X.negation(F.col("_full"), VOCABULARY.negations, VOCABULARY.actions), 4).alias("negation"))
+
+
+def _type_sql() -> str:
+    pri = {c: f"CASE WHEN contains(so, 'src1') THEN {PRIORS['src1'][c]} WHEN contains(so, 'src5') THEN {PRIORS['src5'][c]} ELSE {PRIORS['_default'][c]} END::DOUBLE" for c in L.CONTENT_TYPES}
+    raw = ", ".join(f"((1.5 * {Q.weighted_score('tl', TYPES[c])} + {Q.weighted_score('sl', TYPES[c])}) + 3.0 * {Q.phrase_count('fl', VOCABULARY.phrases[c]) if c in VOCABULARY.phrases else '0'}) * (1 + 0.5 * ({pri[c]})) AS s_{c}" for c in L.CONTENT_TYPES)
+    flags = f"""({Q.contains_any('fl', VOCABULARY.companies)} OR {Q.contains_any('so', VOCABULARY.companies)} OR {Q.contains_any('fl', VOCABULARY.products)}) AS known, {Q.contains_any('fl', VOCABULARY.strong_research)} AS strict,
+        {Q.contains_any('fl', L.ROLES)} AS person, {Q.contains_any('fl', L.GENERIC_TITLES)} AS generic, {Q.contains_any('fl', L.EVENTS)} AS event, {Q.contains_any('fl', L.LEADER_VERBS)} AS verb0, {Q.contains_any('fl', L.STRONG_STATEMENT)} AS strong0,
+        regexp_matches(tl, '^.{{2,10}}[：:].{{5,}}') AS colon, least(1.0, 0.2 * len(list_filter({Q.strings(VOCABULARY.trusted)}, lambda t: contains(so, t) OR contains(fl, t))))::DOUBLE AS trust"""
+    prior_best = f"CASE WHEN contains(so, 'src1') THEN 'research' WHEN contains(so, 'src5') THEN 'developer' ELSE '{max(L.CONTENT_TYPES, key=lambda c: PRIORS['_default'][c])}' END"
+    top = "greatest(r5, d5, p5, m5, l5)"
+    return f"""f1 AS (SELECT t.*, coalesce(w.negation, 0.0) AS neg, {raw}, {flags}, {pri['research']} AS pr, {prior_best} AS prior_best FROM texts t LEFT JOIN worth w ON t.ord = w.ord),
+    f2 AS (SELECT *, (verb0 OR (colon AND person)) AS verb, (strong0 OR (colon AND person)) AS strong, s_research * CASE WHEN pr < 0.2 THEN 0.7 ELSE 1.0 END * CASE WHEN NOT strict THEN CASE WHEN known THEN 0.3 * 0.5 ELSE 0.3 END ELSE 1.0 END AS r1,
+        CASE WHEN s_product > 0 THEN s_product * CASE WHEN known THEN 2.5 ELSE 1.5 END ELSE s_product END AS p1 FROM f1),
+    f3 AS (SELECT *, CASE WHEN event AND NOT strong THEN 2 WHEN verb AND (person OR (generic AND strong)) THEN 3 WHEN s_leader > 0 THEN CASE WHEN verb OR person OR (generic AND strong) THEN 4 ELSE 5 END ELSE 6 END AS br FROM f2),
+    f4 AS (SELECT *, CASE br WHEN 2 THEN s_leader * 0.2 WHEN 3 THEN greatest(s_leader * 3.0, 15.0) WHEN 4 THEN s_leader * 0.4 WHEN 5 THEN s_leader * 0.1 ELSE s_leader END AS l5,
+        CASE br WHEN 2 THEN s_market * 1.5 WHEN 3 THEN s_market * 0.7 ELSE s_market END AS m4, CASE br WHEN 3 THEN p1 * 0.8 ELSE p1 END AS p4, greatest(0.2, 1.0 - 0.15 * neg) AS nf FROM f3),
+    f5 AS (SELECT *, p4 * CASE WHEN neg > 0 THEN nf ELSE 1.0 END * (1 + 0.3 * trust) AS p5, m4 * CASE WHEN neg > 0 THEN nf + 0.2 ELSE 1.0 END AS m5, r1 * (1 + 0.2 * trust) AS r5, s_developer AS d5 FROM f4),
+    f6 AS (SELECT *, {top} AS one, list_sort([r5, d5, p5, m5, l5])[4] AS two, CASE WHEN {top} <= 0 THEN CASE WHEN known THEN 'product' ELSE prior_best END WHEN r5 = {top} THEN 'research' WHEN d5 = {top} THEN 'developer' WHEN p5 = {top} THEN 'product' WHEN m5 = {top} THEN 'market' ELSE 'leader' END AS best FROM f5),
+    f7 AS (SELECT *, CASE WHEN one > 0 THEN 0.6 * one / (one + two) + 0.4 * (one - two) / one END AS c1 FROM f6),
+    f8 AS (SELECT *, CASE WHEN one > 15 THEN least(0.95, c1 * 1.1) ELSE c1 END AS c2 FROM f7),
+    typed AS (SELECT *, CASE WHEN contains(so, 'github') OR contains(fl, 'github.com') THEN 'developer' WHEN contains(so, 'arxiv') OR contains(fl, 'arxiv.org') THEN 'research' ELSE best END AS content_type,
+        CASE WHEN contains(so, 'github') OR contains(fl, 'github.com') OR contains(so, 'arxiv') OR contains(fl, 'arxiv.org') THEN 0.95 WHEN one <= 0 THEN CASE WHEN known THEN 0.3 ELSE 0.2 END
+            ELSE round(least(0.99, greatest(0.1, CASE WHEN two > 0 AND one / two < 1.5 THEN c2 * 0.8 ELSE c2 END)), 3) END AS confidence FROM f8)"""
+
+
+_TYPED = _type_sql()
+
+
+@query(with_items("SELECT ord, content_type FROM typed", _TEXT, _NEGATION, _TYPED))
+def classify_content_type(spark, sf_dir):
+    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type")
+
+
+@query(with_items("SELECT ord, round(confidence, 2)::DOUBLE AS confidence FROM typed", _TEXT, _NEGATION, _TYPED))
+def classification_confidence(spark, sf_dir):
+    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", F.round("confidence", 2).alias("confidence"))
+
+
+@query()
+def secondary_labels(spark, sf_dir):
+    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type", "secondary_labels")
+
+
+_DAYS = "floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(published_ts)) / 86400)"
+_RECENCY = f"CASE WHEN {_DAYS} <= 0 THEN 1.0 ELSE round(0.92 * exp(-CASE category WHEN 'product' THEN 0.15 WHEN 'news' THEN 0.14 WHEN 'market' THEN 0.10 WHEN 'research' THEN 0.08 WHEN 'tutorial' THEN 0.06 WHEN 'leader' THEN 0.10 ELSE 0.12 END * {_DAYS}) + 0.08, 3) END"
+
+
+@query(with_items(f"SELECT ord, ({_RECENCY})::DOUBLE AS recency FROM items"))
+def recency_decay(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", importance.recency(F.col("published_ts"), F.lit(AS_OF).cast("timestamp"), F.col("category")).alias("recency"))
+
+
+_AUTHORITY = {"src1": 0.9, "src2": 0.3, "src12": 0.95, "src5": 0.7}
+_AUTH_SQL = f"greatest(coalesce(list_max(list_transform(list_filter({Q.weighted(_AUTHORITY)}, lambda t: contains(lower(source), t.term)), lambda t: t.weight)), 0.4), 0.4)"
+
+
+@query(with_items(f"SELECT ord, ({_AUTH_SQL})::DOUBLE AS authority FROM items"))
+def source_authority(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", importance.authority(F.lower("source"), _AUTHORITY).alias("authority"))
+
+
+_LAYERS = (({"thation": 0.18, "eaux": 0.15}, 1.0), ({"ing": 0.1, "ung": 0.08, "eaux": 0.1}, 0.9), ({"erth": 0.08, "ment": 0.06}, 0.8), ({"the": 0.03, "der": 0.04}, 0.6))
+_DOUBT = {"onon": -0.08, "oui": -0.04}
+
+
+def _relevance_sql() -> str:
+    seen: set[str] = set()
+    total, hits = ["0.25"], []
+    for terms, f in _LAYERS:
+        own = {t: w for t, w in terms.items() if t not in seen}
+        seen |= own.keys()
+        total.append(f"{Q.weight_sum('x', own)} * {f}")
+        hits.append(Q.count_hits("tl", own))
+    factors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_FACTORS.items())
+    return f"round(least(1.0, greatest(0.1, ({' + '.join(total)} + {Q.weight_sum('x', _DOUBT)} + least(0.10, ({' + '.join(hits)}) * 0.02)) * CASE category {factors} ELSE 0.9 END)), 3)::DOUBLE"
+
+
+@query(with_items(f"SELECT ord, round({_relevance_sql()}, 2) AS relevance FROM (SELECT *, lower(title) AS tl, lower(title) || ' ' || lower(summary) AS x FROM items)"))
+def relevance_layers(spark, sf_dir):
+    text = F.concat_ws(" ", F.lower("title"), F.lower("summary"))
+    return items(spark, sf_dir).select("ord", F.round(importance.relevance(F.lower("title"), text, F.col("category"), _LAYERS, _DOUBT), 2).alias("relevance"))
+
+
+def _signal(v: str, low: float, high: float, w: float) -> str:
+    return f"least(1.0, {w} * CASE WHEN {v} < {low} THEN ln({v} + 1) / ln({low + 1.0}) * 0.4 ELSE 0.4 + 0.6 * ln({v} / {float(low)} + 1) / ln({high / low + 1.0}) END)"
+
+
+_ENGAGED = f"CASE WHEN stars > 0 AND comments > 0 THEN round(least(1.0, ({_signal('stars', 100, 50000, 1.0)} + {_signal('comments', 20, 500, 0.6)}) / 1.6 + 0.03), 3) WHEN stars > 0 THEN round(least(1.0, {_signal('stars', 100, 50000, 1.0)}), 3) WHEN comments > 0 THEN round(least(1.0, {_signal('comments', 20, 500, 0.6)} / 0.6), 3) ELSE 0.5 END"
+
+
+@query(with_items(f"SELECT ord, ({_ENGAGED})::DOUBLE AS engagement FROM items"))
+def engagement_score(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", importance.engagement(importance.item_signals()).alias("engagement"))
+
+
+@query("SELECT event_id, CASE WHEN v >= 0.85 THEN 'critical' WHEN v >= 0.70 THEN 'high' WHEN v >= 0.55 THEN 'medium' WHEN v >= 0.40 THEN 'low' ELSE 'minimal' END AS level FROM (SELECT event_id, (event_id % 101) / 100.0 AS v FROM events)")
+def importance_level(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", importance.level(F.pmod("event_id", F.lit(101)) / 100.0).alias("level"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, count(*) OVER w AS n, round(avg(value) OVER w, 8) AS average FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def source_rolling50(spark, sf_dir):
+    f = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return importance.rolling(f).withColumn("average", F.round("average", 8))
+
+
+@query()
+def importance_ranking(spark, sf_dir):
+    return pipeline.labelled(items(spark, sf_dir), AS_OF, VOCABULARY).select("ord", "content_type", "importance", "importance_level")
+
+
+@query()
+def batch_averages(spark, sf_dir):
+    return trends.averages(pipeline.labelled(items(spark, sf_dir), AS_OF, VOCABULARY))
+
+
+@query(with_items("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE content_type = '{c}') AS n_{c}" for c in L.CONTENT_TYPES) + " FROM typed", _TEXT, _NEGATION, _TYPED))
+def class_counts(spark, sf_dir):
+    return trends.type_counts(classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY), L.CONTENT_TYPES)
+
+
+# Publication
+
+_RANKED = "ranked AS (SELECT *, stars / 300000.0 AS importance, CASE WHEN category IN ('leader', 'product', 'market', 'research', 'developer', 'community') THEN category ELSE 'market' END AS section FROM items)"
+
+
+def _simple(spark, sf_dir):
+    return items(spark, sf_dir).withColumns({"importance": F.col("stars") / 300000.0, "content_type": F.col("category"), "ai_relevance": F.lit(0.7)})
+
+
+@query(with_items("SELECT ord, title FROM ranked ORDER BY importance DESC, published_ts DESC, ord LIMIT 200", _RANKED))
+def web_ranking(spark, sf_dir):
+    return publish.table_rows(_simple(spark, sf_dir)).select("ord", "title")
+
+
+@query(with_items("SELECT section, CAST(r AS INT) AS rank, ord FROM (SELECT section, ord, row_number() OVER (PARTITION BY section ORDER BY importance DESC, published_ts DESC, ord) AS r FROM ranked) WHERE r <= 6", _RANKED))
+def section_top6(spark, sf_dir):
+    return publish.sections(_simple(spark, sf_dir)).select("section", "rank", "ord")
+
+
+@query(with_items("SELECT ord FROM items ORDER BY source DESC, published DESC, ord LIMIT 3"))
+def report_top3(spark, sf_dir):
+    return trends.top_items(items(spark, sf_dir)).select("ord")
+
+
+@query(with_items("SELECT ord FROM items ORDER BY company IS NOT NULL DESC, published DESC, ord LIMIT 15"))
+def product_sort(spark, sf_dir):
+    return filters.product_order(items(spark, sf_dir)).limit(15).select("ord")
+
+
+@query("SELECT count(*) FILTER (WHERE lang = 'en') AS n_product, count(*) FILTER (WHERE lang = 'de' OR lang IS NULL) AS n_market, count(*) FILTER (WHERE lang = 'fr') AS n_community, count(*) FILTER (WHERE lang = 'es') AS n_research FROM documents")
+def kpi_cards(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "product").when(F.col("lang") == "de", "market").when(F.col("lang") == "fr", "community").when(F.col("lang") == "es", "research")
+    return publish.indicators(table(spark, sf_dir, "documents").select(kind.alias("content_type")))
+
+
+_NAME = "([A-Z][a-z]+ [A-Z][a-z]+)"
+
+
+@query(f"SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '^{_NAME}(?:\\s*:|\\s+says|\\s+said)', 1), ''), nullif(regexp_extract(text, '(?:CEO|Chief|President|Founder)\\s+{_NAME}', 1), ''), nullif(regexp_extract(text, '{_NAME}\\s+(?:CEO|Chief|President|Founder)', 1), ''), nullif(role, ''), 'Industry Voice') AS person FROM conversations")
+def leader_name(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", publish.person(F.lit(""), F.col("text"), F.lit(""), F.col("role"), ()).alias("person"))
+
+
+# Review and feedback
+
+_REVIEWED = "reviewed AS (SELECT i.*, d.action, d.value, coalesce(d.action = 'spam', false) AS is_spam, CASE WHEN d.action = 'category' THEN d.value ELSE category END AS kind FROM items i LEFT JOIN decisions d ON i.ord = d.ord)"
+
+
+def _for_review(spark, sf_dir):
+    confidence = F.pmod("ord", F.lit(10)) / 10.0
+    return items(spark, sf_dir).withColumns({"content_type": F.col("category"), "confidence": confidence, "needs_review": confidence < 0.2, "tech_categories": F.array(F.lit("General AI"))})
+
+
+@query(with_items("SELECT ord FROM items WHERE ord % 10 < 6"))
+def review_queue(spark, sf_dir):
+    return review.queue(_for_review(spark, sf_dir)).select("ord")
+
+
+@query(with_items("SELECT ord, kind AS content_type, CASE WHEN action = 'category' THEN 1.0 ELSE (ord % 10) / 10.0 END::DOUBLE AS confidence, CASE WHEN coalesce(action, '') IN ('confirm', 'category') THEN false ELSE (ord % 10) / 10.0 < 0.2 END AS needs_review, is_spam FROM reviewed", DECISIONS, _REVIEWED))
+def apply_reviews(spark, sf_dir):
+    return review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir)).select("ord", "content_type", "confidence", "needs_review", "is_spam")
+
+
+@query(with_items("SELECT ord FROM reviewed WHERE NOT is_spam", DECISIONS, _REVIEWED))
+def spam_removed(spark, sf_dir):
+    return review.without_spam(review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir))).select("ord")
+
+
+def _log(spark, sf_dir):
+    return review.audit(_for_review(spark, sf_dir), decisions(spark, sf_dir))
+
+
+@query(with_items("SELECT count(action) AS total, count(*) FILTER (WHERE action = 'confirm') AS confirmed, count(*) FILTER (WHERE action = 'spam') AS spam, count(*) FILTER (WHERE action = 'category') AS corrected FROM reviewed", DECISIONS, _REVIEWED))
+def review_stats(spark, sf_dir):
+    return review.statistics(_log(spark, sf_dir))
+
+
+@query(with_items("SELECT CASE action WHEN 'confirm' THEN 'Confirmed' WHEN 'spam' THEN 'Marked spam' ELSE 'Category' END AS action, count(*) AS n FROM reviewed WHERE action IS NOT NULL GROUP BY 1", DECISIONS, _REVIEWED))
+def review_actions(spark, sf_dir):
+    return review.action_summary(_log(spark, sf_dir))
+
+
+@query(with_items("SELECT was, becomes, n FROM (SELECT category AS was, value AS becomes, count(*) AS n FROM reviewed WHERE action = 'category' GROUP BY 1, 2) ORDER BY n DESC, was, becomes LIMIT 3", DECISIONS, _REVIEWED))
+def transition_top3(spark, sf_dir):
+    return review.transitions(_log(spark, sf_dir)).orderBy(F.desc("n"), "was", "becomes").limit(3)
+
+
+@query(with_items("SELECT 'transition' AS rule, category AS was, value AS becomes, CAST(count(*) AS BIGINT) AS n FROM reviewed WHERE action = 'category' GROUP BY 2, 3 HAVING count(*) >= 3 UNION ALL SELECT 'left', category, NULL, count(*) FROM reviewed WHERE action = 'category' GROUP BY 2 HAVING count(*) >= 5", DECISIONS, _REVIEWED))
+def weight_adjustments(spark, sf_dir):
+    return review.weight_adjustments(_log(spark, sf_dir))
+
+
+@query(with_items("SELECT kind AS content_type, count(*) FILTER (WHERE (ord % 10) / 10.0 < 0.6 AND action <> 'category') AS unsure_confirmed, count(*) FILTER (WHERE (ord % 10) / 10.0 > 0.7 AND action = 'category') AS sure_corrected FROM reviewed WHERE action IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE (ord % 10) / 10.0 < 0.6 AND action <> 'category') >= 3 OR count(*) FILTER (WHERE (ord % 10) / 10.0 > 0.7 AND action = 'category') >= 2", DECISIONS, _REVIEWED))
+def error_patterns(spark, sf_dir):
+    return review.error_patterns(review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir)))
+
+
+_MINED = f"words AS (SELECT kind AS content_type, unnest(list_filter(regexp_extract_all(lower(title || ' ' || summary), '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: NOT list_contains({Q.strings(L.COMMON_WORDS)}, w))) AS word FROM reviewed WHERE action IS NOT NULL), mined AS (SELECT content_type, word, n, row_number() OVER (PARTITION BY content_type ORDER BY n DESC, word) AS r FROM (SELECT content_type, word, count(*) AS n FROM words GROUP BY 1, 2))"
+
+
+@query(with_items("SELECT content_type, word, n, CAST(r AS INT) AS rank FROM mined WHERE r <= 10", DECISIONS, _REVIEWED, _MINED))
+def keyword_mining_top10(spark, sf_dir):
+    return review.mined_words(review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir)))
+
+
+@query(with_items("SELECT content_type, word, n, CAST(row_number() OVER (PARTITION BY content_type ORDER BY n DESC, word) AS INT) AS rank FROM mined WHERE r <= 10 AND word NOT IN ('der', 'les', 'est', 'was', 'are') QUALIFY row_number() OVER (PARTITION BY content_type ORDER BY n DESC, word) <= 5", DECISIONS, _REVIEWED, _MINED))
+def new_keyword_suggestions(spark, sf_dir):
+    reviewed = review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir))
+    known = reviewed.select("content_type").distinct().select("content_type", F.explode(F.array(*map(F.lit, ("der", "les", "est", "was", "are")))).alias("word"))
+    return review.suggestions(reviewed, known)
+
+
+# Labels by a model
+
+
+@query(with_items("SELECT i.ord, c.content_type, c.key IS NOT NULL AS from_cache FROM (SELECT *, md5(title || '|' || summary || '|' || source) AS key FROM items) i LEFT JOIN (SELECT DISTINCT md5(title || '|' || summary || '|' || source) AS key, 'product' AS content_type FROM items WHERE published < '2024-01-16') c ON i.key = c.key"))
+def llm_cache_lookup(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    cache = rows.where("published < '2024-01-16'").select(labelling.cache_key("local/model").alias("key"), F.lit("product").alias("content_type"))
+    return labelling.with_cache(rows, cache, "local/model").select("ord", "content_type", "from_cache")
+
+
+def _client(prompt: str) -> str:
+    """A deterministic stand-in for a model."""
+    n = len(prompt)
+    if n % 7 == 0:
+        raise TimeoutError
+    return "no object" if n % 5 == 0 else f'```json\n{{"content_type": "{labelling.TYPES[n % 6]}", "confidence": 0.9}}\n```'
+
+
+@query()
+def llm_fallback_path(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return labelling.labelled(rows, rows, _client, "local/model").select("ord", "content_type", "classified_by")
+
+
+@query(with_items("SELECT ord, CASE category WHEN 'news' THEN 'market' ELSE category END AS content_type, 0.8::DOUBLE AS confidence FROM items"))
+def llm_parse_single(spark, sf_dir):
+    reply = F.concat(F.lit('Here it is: ```json\n{"content_type": "'), F.initcap("category"), F.lit(' (main)", "reasoning": "x"}\n```'))
+    return items(spark, sf_dir).select("ord", labelling.parsed_reply(reply).alias("x")).select("ord", "x.content_type", "x.confidence")
+
+
+@query(with_items("SELECT CAST(floor(ord / 5) AS BIGINT) AS batch, count(*) AS n FROM items GROUP BY 1"))
+def llm_batch_prompts(spark, sf_dir):
+    return labelling.batch_prompts(items(spark, sf_dir)).select("batch", F.size("ords").cast("long").alias("n"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
