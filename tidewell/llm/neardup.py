@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounds
+from .common import Scratch, bounds, trimmed
 from .components import components
 
 GRAM, THRESHOLD = 5, 0.8
@@ -48,7 +48,7 @@ WEIGHT = _rng.integers(0, 1 << 63, ROWS, np.uint64) | np.uint64(1)
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 200_000:
+        if len(self) < 60_000:
             self[word] = value
         return value
 
@@ -102,6 +102,7 @@ def least_matches(threshold: float, steps: int = EXTRA, tolerance: float = TOLER
 
 
 def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = []
@@ -127,6 +128,7 @@ def _with_grams(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> Data
     names = [c for c in joined.columns if c != "__text"]
     schema = ", ".join([*(f"{c} {joined.schema[c].dataType.simpleString()}" for c in names), "grams binary"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             k1, k2, keep, found = rb.column(names.index("k1")).to_pylist(), rb.column(names.index("k2")).to_pylist(), [], []
@@ -220,6 +222,7 @@ def _linked(units: DataFrame, threshold: float) -> DataFrame:
                 break
         return list(zip(uid.tolist(), texts.tolist(), links.astype(np.int64).tolist(), root.tolist(), strict=True))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["uid", "texts", "links", "root"])
@@ -241,21 +244,22 @@ def _linked(units: DataFrame, threshold: float) -> DataFrame:
     return units.mapInArrow(run, "uid long, texts long, links long, root long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id connected with it by links and copies), n_links
     (other documents whose similarity reaches the threshold, copies included), n_texts (different texts among
     them), n_copies (documents with its set of grams), stays (true for one document of each class) and text_hash."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
     signed = scratch.table("signed", _signed(docs, text, key))
     classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count("*").alias("n_copies"))
     classes = scratch.table("classes", classes)
     reps = signed.join(classes.select(F.col("rep").alias("uid"), "n_copies"), "uid")
     bucket = reps.select("uid", F.posexplode("bands").alias("band", "value")).select("uid", (F.col("band").cast("long") * F.lit(1 << 32) + F.col("value")).alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.min("uid").alias("b"), F.count("*").alias("m")).where("m > 1").select("bucket", "b")
+    shared = scratch.table("shared", shared)  # plain rows on both sides of the join, so that a hot bucket can be split
     stars = bucket.join(shared, "bucket").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     clusters = components(scratch.table("stars", stars), scratch, "clusters").select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
     members = scratch.table("members", reps.join(clusters, "uid"))
+    scratch.drop("shared", "stars")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     full = _with_grams(docs, placed, text, key)
@@ -263,14 +267,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     units = full.withColumn("other", other).select("uid", "n", "n_copies", "bands", "extra", "grams", "cluster", "block", F.least("block", "other").alias("side_i"), F.greatest("block", "other").alias("side_j"))
     units = units.repartition("cluster", "side_i", "side_j").sortWithinPartitions("cluster", "side_i", "side_j", "uid")
     linked = scratch.table("linked", _linked(units, threshold))
+    scratch.drop("members")
     sums = linked.groupBy("uid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     joined = components(linked.where("root <> uid").select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch, "joined")
     texts = classes.join(sums.withColumnRenamed("uid", "rep"), "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     texts = texts.select("k1", "k2", "n_copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     rows = signed.select("uid", "doc_id", "th", "k1", "k2").join(texts, ["k1", "k2"], "left")
     rows = scratch.table("rows", rows.withColumn("component", F.coalesce("component", "uid")))
+    scratch.drop("signed", "classes", "linked")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("first"))
-    return rows.join(first, "component").select(
+    return rows.join(scratch.table("first", first), "component").select(
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
         F.when(F.col("n_copies").isNull(), 0).otherwise(F.col("links") + F.col("n_copies") - 1).cast("long").alias("n_links"),
@@ -283,13 +289,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` without all but one of each class."""
-    linked = join(docs, threshold, text, key)
-    scratch = Scratch(docs.sparkSession, "kept")
+    own, scratch = Scratch(docs.sparkSession, "neardup"), Scratch(docs.sparkSession, "kept")
+    linked = join(docs, threshold, text, key, own)
     stays = scratch.table("stays", linked.where("stays").select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash")))
     named = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
     same = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__th") == F.col("__hash"))
     out = named.join(stays, same, "left_semi")
     again = linked.where("n_copies > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("m")).where("m > 1")
-    if again.limit(1).count():  # the same row twice: both have the key and text of the one that stays
+    repeated = again.limit(1).count()
+    own.drop()
+    if repeated:  # the same row twice: both have the key and text of the one that stays
         out = out.dropDuplicates([key, "__th"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
