@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounds, ragged
+from .common import Scratch, bounds, ragged, trimmed
 
 LENGTH, GRAM, BATCH, HOT, STRETCH = 200, 48, 600_000, 600_000, 1 << 22
 SYMBOLS = 7  # of nine bits each in the first sort key
@@ -154,6 +154,7 @@ def digest(data: bytes) -> tuple[int, int]:
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             got = [runs(np.frombuffer((t.as_py() or "").encode(), np.uint8), length, gram) for t in rb.column(2)]
@@ -168,6 +169,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _chunks(found: DataFrame, length: int) -> DataFrame:
     """(h, c1, c2, chunk, at, doc_id, th, a) of the listed runs of each document."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "c1", "c2", "chunk", "at", "doc_id", "th", "a"]
         for rb in batches:
@@ -194,6 +196,7 @@ def _split(parts: DataFrame, length: int) -> DataFrame:
 
     A part's windows have their anchor low to high bytes after their start, the window at 0 at high."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = []
@@ -220,6 +223,7 @@ def _split(parts: DataFrame, length: int) -> DataFrame:
 def _expanded(chunks: DataFrame, length: int) -> DataFrame:
     """(c1, c2, ranges of repeated windows) of chunks (h, c1, c2, chunk, weight) that are dealt and sorted by h."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             marks = repeated([r[3] for r in rows], np.array([r[4] for r in rows], float), length) if rows else []
@@ -282,6 +286,7 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: s
     a span covers in part stays whole."""
     carried = [c for c in docs.columns if c not in (text, size)]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = [_kept_text(rb.column(0)[i].as_py(), _joined(rb.column(1)[i])) for i in range(rb.num_rows)]
@@ -300,15 +305,18 @@ def _spanned(docs: DataFrame, length: int, gram: int, text: str, key: str, hot:
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"), own.alias("carried"))
     rows = every.select("doc_id", "th", "text")
     anchors = scratch.table("anchors", _anchors(rows, length, gram))
-    twice = anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    twice = scratch.table("twice", anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # plain rows: a hot anchor's side of the join can be split
     listed = anchors.join(twice, "h").groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_set(F.struct("a", "m", "at", "h")).alias("places"))
     same = lambda x: (F.col("doc_id").eqNullSafe(F.col(f"{x}_id"))) & (F.col("th") == F.col(f"{x}_th"))
     places = scratch.table("places", _chunks(rows.join(listed, same("own")), length))
-    scratch.drop("anchors")
+    scratch.drop("anchors", "twice")
     ranges = repeated_windows(places, scratch, length, gram, hot)
     spans = places.select("c1", "c2", "doc_id", "th", "a").join(ranges, ["c1", "c2"])
     spans = spans.select("doc_id", "th", F.explode(F.transform("ranges", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + length - 1).alias("e")))).alias("r"))
     spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("r").alias("spans"))
+    kept = Scratch(docs.sparkSession, "spans")
+    spans = kept.table("spans", spans)
+    scratch.drop()
     return every.join(spans, same("cut"), "left").select("doc_id", "text", "spans", "carried")
 
 
@@ -339,6 +347,7 @@ def _kept_text(text: str | None, spans: list[list[int]]) -> str | None:
 
 
 def _cut(rows: DataFrame, digests: bool) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = []
