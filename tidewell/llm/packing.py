@@ -1,7 +1,7 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Each document becomes its token ids and an end id. Full windows are cut off first; what is left is cut
-into near-equal parts of at most `PART`, and batches of about `BATCH_WINDOWS` windows of such parts are
+into near-equal parts of at most `PART` and a small one, and batches of about `BATCH_WINDOWS` windows of such parts are
 partitioned by differencing: partial partitions start as one part beside empty windows, the two with the
 largest imbalance are merged with opposing order (largest load on smallest), until one is left. Where a
 window exceeds the capacity, the batch is partitioned again with one window more.
@@ -27,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .wordcache import encoder
 
-PART, BATCH_WINDOWS = 512, 128
+PART, SMALL, BATCH_WINDOWS = 512, 64, 128
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +74,14 @@ def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def cut(n: int, capacity: int, part: int = PART) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then near-equal parts of the rest."""
+    """(start, length) of a document's pieces: full windows, near-equal parts of the rest, and a small last part of
+    1 to `SMALL` ids off a rest that isn't small itself. Small parts of all sizes let the last merges even out."""
     full, rest = divmod(n, capacity)
     pieces = [(i * capacity, capacity) for i in range(full)]
     if rest:
-        m = -(-rest // min(part, capacity))
-        edges = [full * capacity + rest * i // m for i in range(m + 1)]
+        last = 1 + rest % SMALL if rest > 4 * SMALL else 0
+        m = -(-(rest - last) // min(part, capacity))
+        edges = [full * capacity + (rest - last) * i // m for i in range(m + 1)] + [n] * (last > 0)
         pieces += [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
     return pieces
 
@@ -103,7 +106,7 @@ class _Packer:
                 self.waiting.append((row, kept))
                 self.tokens += length
         if self.tokens > BATCH_WINDOWS * self.capacity:
-            self.flush(out, BATCH_WINDOWS * (self.capacity - self.capacity // 256))
+            self.flush(out, BATCH_WINDOWS * (self.capacity - self.capacity // 512))
 
     def flush(self, out: list, most: int | None = None) -> None:
         """Packs the waiting parts, or the first of them with at most `most` ids: a little less than the windows hold."""
@@ -127,6 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
