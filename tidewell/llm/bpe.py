@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import SLAB_CHARS, bounds, portions, ragged
+from .common import SLAB_CHARS, bounds, portions, ragged, trimmed
 from .wordcache import KEPT_STEMS, KEPT_WORDS, WordTable, packed
 
 #: The pre-tokeniser of byte-level vocabularies with use_regex: fixed values.
@@ -251,6 +251,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, digests: bool = False, text:
     """One row per document: its ids and the text they decode to, or (`digests`) the SHA-256 of either."""
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for rb in batches:

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 BUCKETS, GRAMS, WIDTH, SAMPLE, LOST, CEILING = 1 << 16, (2, 3, 4), 16, 4000, 0.002, 0.5
 LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -141,6 +143,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names), f"{made[0]} string, {made[1]} double, {made[2]} boolean"])
     at = names.index(text) if text in names else len(names)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             got = [model.predict(t.as_py()) for t in rb.column(at)]

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SAMPLE, PRECISION, LEAST, CUTS = 6000, 0.97, 8, 40
 WORD, UPPER = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SYMBOLS = "#*$%&|<>"
@@ -81,6 +83,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names), *(f"{c} long" for c in COUNTS)])
     at = names.index(text) if text in names else len(names)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             got = np.array([counts(t.as_py()) for t in rb.column(at)], np.int64).reshape(-1, len(COUNTS))

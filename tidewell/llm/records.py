@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed
 from .wordcache import encoder
 
 MAGIC, SLICE = b"TWREC1\0\0", 4096
@@ -69,6 +69,7 @@ def unrecord(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
 def write(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes `docs` in ascending `key` order under the folder `to`, which all executors see; the manifest."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
         where.create_dir(root, recursive=True)
@@ -104,6 +105,7 @@ def read(spark: SparkSession, at: str, manifest: list, with_ids: bool = False) -
         before += row["ids"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(at if "://" in at else f"file://{at}")
         for rb in batches:
