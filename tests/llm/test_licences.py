@@ -56,3 +56,32 @@ def test_inheritance_and_awkward_rows(spark):
         5: ("MIT", "inherited", ""), 6: ("MIT", "inherited", ""), 7: (None, None, None), 8: ("MIT", "header", None), 9: ("GPL-3.0", "inherited", "/a/b"), 10: ("GPL-3.0", "inherited", "/a/b"), 11: ("GPL-3.0", "inherited", "/a/b"), 12: ("MIT", "header", None),
     }
     assert licences.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_no_unit_that_reaches_the_threshold_is_skipped(spark):
+    lines = {"All rights reserved.": "Proprietary", "GPL-2.0-only": "GPL-2.0", "BSD-2-Clause": "BSD-2-Clause", "Released into the wild.": None, "plain water": None, "": None}
+    rows = [(i, None, f"stone and weir\n{x}\nmill") for i, x in enumerate(lines)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
+def test_sample_without_prefilter(spark):
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id % 20 == 9 or re.search("^All rights reserved", r.text or "", re.M)]
+    weights, other = licences.template_weights()
+    idf = {r["term"]: r["idf"] for r in weights}
+    vectors = {}
+    for r in weights:
+        vectors.setdefault((r["template"], r["licence"]), {})[r["term"]] = r["part"]
+    got = {r.doc_id: r for r in queries.op10_license_scan(spark, SF).collect()}
+    for r in docs:
+        text, best = r.text or "", (0, 0, None)
+        for u in {*text.split("\n"), *re.split(licences.SENTENCE, text), *re.split(r"\n\s*\n", text)}:
+            bag = re.findall(licences.TERM, u.lower())
+            w = {t: bag.count(t) * idf.get(t, other) for t in set(bag)}
+            norm = sqrt(sum(x * x for x in w.values()))
+            for (i, licence), v in vectors.items():
+                score = round(sum(w.get(t, 0) * x for t, x in v.items()) / norm, 6) if norm else 0
+                if score >= licences.THRESHOLD:
+                    best = max(best, (score, -i, licence))
+        assert got[r.doc_id].licence == best[2] and abs((got[r.doc_id].score or 0) - best[0]) < 1e-4
+    assert all(got[i].licence == "Proprietary" for i in (29, 163, 584, 684, 831, 888, 975))

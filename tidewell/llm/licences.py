@@ -1,12 +1,14 @@
 """License scans by sparse TF-IDF cosine, with nearest-ancestor inheritance; DataFrame functions only.
 
-Units are the lines, the sentences and the paragraphs of a whole text that hold a cue word, and the whole text of a
-file named like a licence. A unit's terms are weighted by their count and the inverse document frequency over the
-template phrases (`TEMPLATES`, a fixed list, so its table may be broadcast); a document's licence is the template with
-the largest cosine over its units, if that reaches `THRESHOLD`. A document without one takes that of the licence file
-in its nearest ancestor directory: directories, not documents, are joined with the licence files' directories.
-
-Only texts with a cue are split, only units' terms are exploded, and sums combine before they are shuffled; no
+Units are the lines, the sentences and the paragraphs of a whole text that can reach the threshold, and the whole text
+of a file named like a licence. A cosine is at most the length of the template's part that the unit shares, so units
+that share too little with every template cannot reach it and are left out (by `cue` first); nothing else is. A unit's
+terms are weighted by their count and the inverse document frequency over the template phrases (`TEMPLATES`, a fixed
+list, so its table may be broadcast); a document's licence is the template with the largest cosine over its units, if
+that reaches `THRESHOLD`. A document without one takes that of the licence file in its nearest ancestor directory:
+directories, not documents, are joined with the licence files' directories.
+
+Only texts that match `cue` are split, only units' terms are exploded, and sums combine before they are shuffled; no
 directory or licence is gathered in one task.
 
 Cases: a null or empty text has no licence of its own; ties go to the first template in order; two licence files in
@@ -54,7 +56,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "Copyright. All rights reserved."),
 ]
 
+#: CUE is read by the DuckDB SQL and its restatement only; the scan's own prefilter is `cue`.
 CUE, TERM, THRESHOLD = r"(?i)licen[cs]|spdx|copyright|creative commons|public domain|redistribution|permission is hereby|free software", r"[a-z0-9]+", 0.6
+SLACK = 1e-4  # for the rounding of scores
 SENTENCE, FILE_NAME = r"(?<=[.!?])\s+", r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 
@@ -75,10 +79,36 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def units(text: Column, whole: Column) -> Column:
+def _squares() -> list[dict[str, float]]:
+    """Of each template, the squares of its terms' parts, the shortest term first."""
+    bags: dict[int, list[dict]] = {}
+    for r in template_weights()[0]:
+        bags.setdefault(r["template"], []).append(r)
+    return [{r["term"]: r["part"] ** 2 for r in sorted(bag, key=lambda r: (len(r["term"]), r["idf"], r["term"]))} for bag in bags.values()]
+
+
+def cue(threshold: float) -> str:
+    """A pattern that a lower-case unit must match to reach the threshold: of each template, all terms but the shortest (prose has many of those), which stay below it together."""
+    least, kept = max(threshold, 0) ** 2 - SLACK, set()
+    for squares in _squares():
+        without = 0.0
+        for term, x in squares.items():
+            without += x
+            if without >= least:
+                kept.add(term)
+    return f"(?<![a-z0-9])(?:{'|'.join(sorted(kept))})(?![a-z0-9])"
+
+
+def units(text: Column, whole: Column, threshold: float = THRESHOLD) -> Column:
     """The distinct stretches of a text that are scored."""
-    parts = F.concat(F.split(text, "\n"), F.split(text, SENTENCE), F.split(text, r"\n\s*\n"))
-    return F.array_distinct(F.concat(F.when(text.rlike(CUE), F.filter(parts, lambda u: u.rlike(CUE))).otherwise(F.array().cast("array<string>")), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
+    can, least = cue(threshold), max(threshold, 0) ** 2 - SLACK
+    templates = F.array(*[F.create_map(*[F.lit(x) for pair in squares.items() for x in pair]) for squares in _squares()])
+    known = F.array(*map(F.lit, sorted({t for squares in _squares() for t in squares})))
+    parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, SENTENCE), F.split(text, r"\n\s*\n")))
+    some = F.transform(F.filter(parts, lambda u: F.lower(u).rlike(can)), lambda u: F.struct(u.alias("u"), F.array_intersect(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)), known).alias("terms")))
+    shared = lambda terms, t: F.aggregate(terms, F.lit(0.0), lambda x, term: x + F.coalesce(F.try_element_at(t, term), F.lit(0.0)))
+    scored = F.filter(some, lambda s: F.exists(templates, lambda t: shared(s["terms"], t) >= least))["u"]
+    return F.array_distinct(F.concat(F.when(F.lower(text).rlike(can), scored).otherwise(F.array().cast("array<string>")), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
 
 
 def best_matches(rows: DataFrame, threshold: float) -> DataFrame:
@@ -103,7 +133,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "d
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("whole", F.coalesce(name.rlike(FILE_NAME), F.lit(False)))
-    rows = rows.select("key", "path", "whole", units(F.col("text"), F.col("whole")).alias("units")).withColumn("units", F.filter("units", lambda u: F.trim(u) != ""))
+    rows = rows.select("key", "path", "whole", units(F.col("text"), F.col("whole"), threshold).alias("units")).withColumn("units", F.filter("units", lambda u: F.trim(u) != ""))
     rows = rows.withColumn("id", F.when(F.size("units") > 0, F.xxhash64("units")))  # equal units are scored once
     rows = scratch.table("units", rows)
     distinct = rows.where("id is not null").groupBy("id").agg(F.first("units").alias("units"))
