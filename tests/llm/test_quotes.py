@@ -89,3 +89,12 @@ def test_whole_table(spark):
     df = queries.op8_quotation_linking(spark, SF)
     assert df.count() == len(rows) and got(quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))) == brute(rows)
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_parts_of_messages(spark):
+    rows = [
+        (1, 0, "user", "Good morning,\nnothing new\nhere"), (1, 1, "user", "Good morning,\nthe mill is shut\nsince last May\nas they say"),
+        (1, 2, "user", "> Good morning,\n> the mill is shut\n> since last May\nreally?"), (1, 3, "user", "> somebody wrote:\n> the mill is shut\n> since last May\nso it is"), (1, 4, "user", "> somebody wrote:\n> never said so\nwho?"), (1, 5, "user", "> since last May\n> since last May\ntwice"),
+    ]
+    by = {r.turn: r.reply_to for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert by == {0: None, 1: None, 2: 1, 3: 1, 4: None, 5: 1}

@@ -2,18 +2,20 @@
 
 A line's quote level is the number of `>` before its text. Runs of lines with one level are passages. Own
 (unquoted) text gives keys: the hash of the whole and of each line, normalised (lower case, white space
-collapsed); quoted passages give the hash of the whole run and of its first line. A quote is linked to the first
-message of the same conversation with its key, if that is an earlier turn. Of a message's links the one with the
-lowest level wins, then whole runs before first lines, then the latest turn: that message is what it replies to.
+collapsed); quoted passages give the hash of the whole run and of each line. A whole run is linked to the first
+message of the same conversation with its key, if that is an earlier turn; else the passage is linked to the earlier
+message with the most of its different lines, then with the line that comes first in it, then the first such. Of a
+message's links the one with the lowest level wins, then whole runs, then the most lines, then the latest turn: that
+message is what it replies to.
 
 Threads are found by pointer jumping over the links (a logarithm of the longest chain in rounds, none if nothing is
 quoted): `thread` is the first turn of the chain and `depth` the number of replies before. Sorted by conv_id, thread,
 turn, every message comes after the one that it replies to. `message` is the own text in the chat format, so a
 conversation is its messages in that order.
 
-Hot keys: originals are reduced to one row per conversation and key before the join, with map-side minimums, so
-links are at most one row per quote key; a large side of a join can be split by adaptive execution. Nothing is
-collected per conversation.
+Hot keys: for whole runs, originals are reduced to one row per conversation and key before the join. Lines of
+passages without such a link meet every earlier message with the line, as their number must
+be counted; a large side of a join can be split by adaptive execution. Nothing is collected per conversation.
 
 Cases: a null or empty text is an empty message; null conv_id or turn are kept and never linked; repeated rows stay
 and get equal answers (with differing quotes on one turn, the earliest original counts); a message that only
@@ -40,15 +42,14 @@ def parsed(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """array<struct<level, text, first>> of the quoted runs: starts where the level changes, text by slices."""
+    """array<struct<level, text, lines>> of the quoted runs: starts where the level changes, text by slices."""
     n = F.size(lines)
     level = lambda i: F.element_at(lines, i)["level"]
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array((n + 1).cast("int")))
     runs = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r: F.slice(lines, r["s"], r["e"] - r["s"]))
     runs = F.filter(runs, lambda r: r[0]["level"] > 0)
-    first = lambda r: F.try_element_at(F.filter(r["text"], lambda t: F.trim(t) != ""), F.lit(1))
-    return F.transform(runs, lambda r: F.struct(r[0]["level"].alias("level"), F.array_join(r["text"], "\n").alias("text"), first(r).alias("first")))
+    return F.transform(runs, lambda r: F.struct(r[0]["level"].alias("level"), F.array_join(r["text"], "\n").alias("text"), r["text"].alias("lines")))
 
 
 def keys(texts: Column) -> Column:
@@ -63,15 +64,20 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     quoting = F.col("text").rlike(f"(?m){QUOTED}")
     rows = rows.withColumn("lines", F.when(quoting, parsed(F.col("text"))))
     own = F.when(quoting, F.array_join(F.filter("lines", lambda x: x["level"] == 0)["text"], "\n")).otherwise(F.col("text"))
-    rows = rows.select("conv_id", "turn", "role", own.alias("own"), F.when(quoting, passages(F.col("lines"))).otherwise(F.expr("array()").cast("array<struct<level:int,text:string,first:string>>")).alias("quotes"))
+    rows = rows.select("conv_id", "turn", "role", own.alias("own"), F.when(quoting, passages(F.col("lines"))).otherwise(F.expr("array()").cast("array<struct<level:int,text:string,lines:array<string>>>")).alias("quotes"))
     placed = rows.where("conv_id is not null and turn is not null")
     quote = placed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q"))
-    quote = quote.select("conv_id", "turn", F.col("q.level").alias("level"), F.posexplode(F.transform(F.array("q.text", "q.first"), lambda t: F.when(F.length(normalised(t)) >= LEAST_CHARS, F.md5(normalised(t))))).alias("rank", "key")).where("key is not null")
+    quote = quote.select("conv_id", "turn", F.col("q.level").alias("level"), F.try_element_at(keys(F.array("q.text")), F.lit(1)).alias("key"), F.array_distinct(keys(F.col("q.lines"))).alias("lines")).where("key is not null")
     quote = scratch.table("quotes", quote.distinct())
-    origin = placed.join(quote.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.array_distinct(keys(F.concat(F.array("own"), F.split("own", "\n", -1))))).alias("key"))
-    origin = origin.groupBy("conv_id", "key").agg(F.min("turn").alias("at"))
-    linked = quote.join(origin, ["conv_id", "key"]).where("at < turn")
-    best = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "rank", (-F.col("at")).alias("late"))).alias("x"))
+    said = placed.join(quote.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(keys(F.concat(F.array("own"), F.split("own", "\n", -1))))).alias("key"))
+    origin = said.groupBy("conv_id", "key").agg(F.min("at").alias("at"))
+    whole = scratch.table("whole", quote.join(origin, ["conv_id", "key"]).where("at < turn").select("conv_id", "turn", "level", "key", "at"))
+    parts = quote.join(whole, ["conv_id", "turn", "level", "key"], "left_anti").select("conv_id", "turn", "level", F.col("key").alias("passage"), F.posexplode("lines").alias("pos", "key"))
+    own_lines = placed.join(quote.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(keys(F.split("own", "\n", -1)))).alias("key")).distinct()
+    met = parts.join(own_lines, ["conv_id", "key"]).where("at < turn").groupBy("conv_id", "turn", "level", "passage", "at").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    most = met.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", (-F.col("pos")).alias("early"), (-F.col("at")).alias("first"))).alias("x"))
+    linked = whole.select("conv_id", "turn", "level", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("fewer"), (-F.col("at")).alias("late")).unionByName(most.select("conv_id", "turn", "level", F.lit(1).alias("rank"), (-F.col("x.n")).alias("fewer"), F.col("x.first").alias("late")))
+    best = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "rank", "fewer", "late")).alias("x"))
     links = scratch.table("links", best.select("conv_id", "turn", (-F.col("x.late")).alias("reply_to")))
     chains = _threads(links, scratch)
     out = rows.join(links.join(chains, ["conv_id", "turn"]), ["conv_id", "turn"], "left")
