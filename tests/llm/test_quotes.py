@@ -98,3 +98,9 @@ def test_parts_of_messages(spark):
     ]
     by = {r.turn: r.reply_to for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert by == {0: None, 1: None, 2: 1, 3: 1, 4: None, 5: 1}
+
+
+def test_short_messages(spark):
+    rows = [(1, 0, "user", "Why?"), (1, 1, "user", "今天天气很好。"), (1, 2, "user", "> Why?\nWho knows."), (1, 3, "user", "> 今天天气很好。\nno"), (1, 4, "user", "> \n>\nnothing quoted")]
+    by = {r.turn: r.reply_to for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert by == {0: None, 1: None, 2: 0, 3: 1, 4: None}

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: LEAST_CHARS is read by the DuckDB SQL only.
 QUOTED, LEAST_CHARS = r"^((?:[ \t]*>)+)[ \t]?", 8
 
 
@@ -53,8 +54,8 @@ def passages(lines: Column) -> Column:
 
 
 def keys(texts: Column) -> Column:
-    """Hashes of the normalised texts that are long enough to tell messages apart."""
-    return F.transform(F.filter(F.transform(texts, normalised), lambda t: F.length(t) >= LEAST_CHARS), F.md5)
+    """Hashes of the normalised texts that are not empty."""
+    return F.transform(F.filter(F.transform(texts, normalised), lambda t: t != ""), F.md5)
 
 
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
