@@ -54,3 +54,11 @@ def test_boxes_are_pruned_when_they_can_be():
     assert sorted(best, reverse=True) == expected and counted[0] < 0.2 * 20_000 / knn.LEAF
     tree = knn.Tree.unpack(tree.pack())
     assert (tree.rows[tree.ids.argsort()] == rows).all()
+
+
+def test_repeated_ids_in_other_blocks_and_shards(spark):
+    pick = random.Random(5)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(3)]) for i in range(150)]
+    rows = rows * 2 + [r for r in rows if r[0] % 100 == 0] * 20
+    docs = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    assert got(knn.search(docs, F.col("vec_id") % 100 == 0, 10, shard_rows=40, block_rows=3)) == brute(rows, 10)

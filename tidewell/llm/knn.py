@@ -11,7 +11,7 @@ Queries meet shards as blocks against blocks, dealt by shard, so no task holds m
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, as rows or as queries;
 vectors of different lengths do not meet; ties go to the smaller id; repeated ids are rows of their own, a query
-never finds a row with its own id, and equal query ids share one list; fewer candidates than k give what there is; an empty
+never finds a row with its own id, and equal query ids share one list, that of their smallest vector; fewer candidates than k give what there is; an empty
 table gives no rows; extra columns are ignored. Products beyond 2^63 - 1 count as that bound.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import io
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,7 +169,7 @@ def _searched(pairs: DataFrame, k: int, packed: bool) -> DataFrame:
                 for i, query in enumerate(ids.tolist()):
                     start = [(s, x) for s, x, real in before[i].tolist() if real] if before is not None else []
                     got = tree.search(query, rows[i], bounds[:, i], k, start, safe, counted)
-                    after.append(got if packed else [x for x in got if x not in set(start)])
+                    after.append(got if packed else list((Counter(got) - Counter(start)).elements()))  # a repeated row counts in each shard
                 if packed:
                     full = np.array([[(*x, 1) for x in got] + [(0, 0, 0)] * (k - len(got)) for got in after], np.int64)
                     yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int32()), "size": pa.array([r["size"]], pa.int32()), "found": [full.tobytes()]})
@@ -197,11 +197,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     spark = vectors.sparkSession
     scratch, cores = Scratch(spark, "knn"), spark.sparkContext.defaultParallelism
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    usable = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    queries = rows.where(F.col("q") & usable).groupBy("id").agg(F.min("v").alias("v"))  # before they are dealt to blocks
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     shards = max(-(-n // shard_rows), min(cores, -(-n // 2048)), 1)
     blocks = max(-(-asked // block_rows), 1)
     trees = scratch.table("trees", _trees(rows.select("id", "v").repartition(shards), scale))
-    block = scratch.table("blocks", _blocks(rows.where("q").select("id", "v").repartition(blocks), scale))
+    block = scratch.table("blocks", _blocks(queries.repartition(blocks), scale))
     # One small row per shard; each vector length has its own list of shards.
     own = trees.groupBy("size").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
     placed = block.join(own, "size").withColumn("home", F.element_at("shards", (F.col("block") % F.size("shards") + 1).cast("int")))
