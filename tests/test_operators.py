@@ -243,3 +243,17 @@ def test_trends(spark):
     f = spark.createDataFrame([("c", i, f"s{i}", "e" * 200) for i in range(5)], "category string, ord bigint, source string, error string")
     shown = trends.failures(f).collect()
     assert len(shown) == 3 and shown[0].failed == 5 and len(shown[0].error) == 100
+
+
+def test_ratio_pairs_without_common_keywords(spark):
+    import difflib
+
+    from tidewell.operators import dedup
+
+    names = ["abcdefgh", "abcdefxy", "模型发布了新版", "模型发布新版", "", "", None, "zq", "training runs", "trained run", "a much longer title about something else entirely", "abcdefgh"]
+    df = spark.createDataFrame([(i, "news" if i < 11 else "other", x) for i, x in enumerate(names)], "ord long, category string, title string")
+    t = {r.ord: (r.category, r.t) for r in dedup.titles(df).collect()}
+    want = {(i, j): r for i in t for j in t if i < j and t[i][0] == t[j][0] and (r := difflib.SequenceMatcher(None, t[j][1], t[i][1]).ratio()) >= 0.5}
+    for size in (3, 2000):
+        assert {(r.earlier, r.later): r.ratio for r in dedup.ratio_pairs(df, block_rows=size).collect()} == want
+    assert {(0, 1), (2, 3), (4, 5), (8, 9)} <= want.keys()

@@ -230,10 +230,7 @@ def semantic_dedup(spark, sf_dir):
 
 @query()
 def seq_ratio_pairs(spark, sf_dir):
-    pairs = dedup.jaccard_pairs(items(spark, sf_dir), 0.5)
-    t = dedup.titles(items(spark, sf_dir)).select("ord", "t")
-    named = pairs.join(t.withColumnsRenamed({"ord": "earlier", "t": "first"}), "earlier").join(t.withColumnsRenamed({"ord": "later", "t": "second"}), "later")
-    return named.select("earlier", "later", F.round(dedup.ratio("second", "first"), 6).alias("ratio"))
+    return dedup.ratio_pairs(items(spark, sf_dir)).select("earlier", "later", F.round("ratio", 6).alias("ratio"))
 
 
 # Scoring and labels
