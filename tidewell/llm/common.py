@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Characters of text handled at once inside one Arrow batch; bounds the arrays a worker holds.
 SLAB_CHARS = 2_000_000
 
+#: Spark's switch for removing the shuffle files of a finished execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of text whose distinct words are looked up together.
 PORTION_BYTES = 10_000_000
 
@@ -39,8 +42,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """`df`, written and read again. Its shuffle files go when it is written: nothing reads them any more."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -75,6 +83,11 @@ def bounds(lengths) -> np.ndarray:
     return out
 
 
+def ended(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, boundaries) of texts with `end_id` after each."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
 def release() -> None:
     """Gives memory that Arrow and the C library hold for later back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import ended, trimmed
 from .wordcache import encoder
 
 PART, SMALL, BATCH_WINDOWS = 512, 64, 128
@@ -73,78 +73,89 @@ def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += 1
 
 
-def cut(n: int, capacity: int, part: int = PART) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, near-equal parts of the rest, and a small last part of
-    1 to `SMALL` ids off a rest that isn't small itself. Small parts of all sizes let the last merges even out."""
-    full, rest = divmod(n, capacity)
-    pieces = [(i * capacity, capacity) for i in range(full)]
-    if rest:
-        last = 1 + rest % SMALL if rest > 4 * SMALL else 0
-        m = -(-(rest - last) // min(part, capacity))
-        edges = [full * capacity + (rest - last) * i // m for i in range(m + 1)] + [n] * (last > 0)
-        pieces += [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return pieces
+def cut(sizes: np.ndarray, capacity: int, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of all pieces of documents with `sizes` ids: full windows, near-equal parts of the rest, and
+    a small last part of 1 to `SMALL` ids off a rest that isn't small itself. Small parts of all sizes let the last merges even out."""
+    full, rest = np.divmod(sizes, capacity)
+    last = np.where(rest > 4 * SMALL, 1 + rest % SMALL, 0)
+    body = rest - last
+    m = -(-body // min(part, capacity))
+    count = full + m + (last > 0)
+    doc = np.repeat(np.arange(len(sizes)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count + full, count)  # the place after the full windows
+
+    def edge(k: np.ndarray) -> np.ndarray:
+        return full[doc] * capacity + np.where(k < 0, k * capacity, np.where(k > m[doc], rest[doc], body[doc] * k // np.maximum(m[doc], 1)))
+
+    start = edge(k)
+    return doc, start, edge(k + 1) - start
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 class _Packer:
-    def __init__(self, capacity: int, with_ids: bool):
-        self.capacity, self.with_ids, self.waiting, self.tokens = capacity, with_ids, [], 0
+    """Packs pieces (doc_id, start, length, ids_crc32, doc_tokens and ids, if wanted) as they come; those of a batch wait."""
+
+    def __init__(self, capacity: int, end_id: int, with_ids: bool):
+        self.capacity, self.end_id, self.with_ids, self.waiting = capacity, end_id, with_ids, None
         self.next = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
-    def add(self, doc_id, ids: np.ndarray, out: list) -> None:
-        for start, length in cut(len(ids), self.capacity):
-            got = ids[start : start + length]
-            row = [doc_id, start, length, zlib.crc32(got.astype("<u4").tobytes()), len(ids)]
-            kept = [got.tolist()] if self.with_ids else []
-            if length == self.capacity:
-                out.append([*row, self.next, 0, length, *kept])
-                self.next += 1
-            else:
-                self.waiting.append((row, kept))
-                self.tokens += length
-        if self.tokens > BATCH_WINDOWS * self.capacity:
-            self.flush(out, BATCH_WINDOWS * (self.capacity - self.capacity // 512))
-
-    def flush(self, out: list, most: int | None = None) -> None:
-        """Packs the waiting parts, or the first of them with at most `most` ids: a little less than the windows hold."""
-        sizes = np.array([row[2] for row, _ in self.waiting], np.int64)
-        n = len(sizes) if most is None else int(np.searchsorted(np.cumsum(sizes), most, "right"))
-        if not n:
-            return
-        window = balanced(sizes[:n], self.capacity)
-        total = np.bincount(window, sizes[:n]).astype(np.int64)
+    def pieces(self, keys: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        ids, at = ended(ids, at, self.end_id)
+        sizes = np.diff(at)
+        doc, start, length = cut(sizes, self.capacity)
+        low = at[doc] + start
+        data = memoryview(ids.astype("<u4")).cast("B")
+        crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip((4 * low).tolist(), (4 * (low + length)).tolist(), strict=True)), np.int64, len(doc))
+        columns = [keys.take(pa.array(doc)), *map(pa.array, (start, length, crc, sizes[doc]))]
+        if self.with_ids:  # pieces stand one after another in the documents' ids
+            columns.append(pa.LargeListArray.from_arrays(pa.array(np.append(low, at[-1])), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+
+    def placed(self, pieces: pa.RecordBatch, sequence: np.ndarray, offset: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        columns = [*pieces.columns[:5], pa.array(sequence), pa.array(offset), pa.array(total), *pieces.columns[5:]]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * self.with_ids)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = self.pieces(keys, ids, at)
+        whole = found["length"].to_numpy() == self.capacity
+        if whole.any():
+            alone = found.filter(pa.array(whole))
+            n = alone.num_rows
+            yield self.placed(alone, self.next + np.arange(n), np.zeros(n, np.int64), np.full(n, self.capacity))
+            self.next += n
+        rests = found.filter(pa.array(~whole))
+        self.waiting = pa.concat_batches([self.waiting, rests]) if self.waiting else rests
+        while (tokens := np.cumsum(self.waiting["length"].to_numpy())).size and tokens[-1] > BATCH_WINDOWS * self.capacity:
+            # a little less than the windows hold
+            yield self.flush(int(np.searchsorted(tokens, BATCH_WINDOWS * (self.capacity - self.capacity // 512), "right")))
+
+    def flush(self, n: int) -> pa.RecordBatch:
+        """Packs the first `n` waiting pieces."""
+        pieces, self.waiting = self.waiting[:n], self.waiting[n:]
+        sizes = pieces["length"].to_numpy()
+        window = balanced(sizes, self.capacity)
+        total = np.bincount(window, sizes).astype(np.int64)
         number = self.next + np.cumsum(total > 0) - 1  # windows without parts get no number
-        filled = np.zeros(len(total), np.int64)
-        for (row, kept), w in zip(self.waiting[:n], window.tolist(), strict=True):
-            out.append([*row, int(number[w]), int(filled[w]), int(total[w]), *kept])
-            filled[w] += row[2]
+        order = np.argsort(window, kind="stable")
+        ends = np.cumsum(sizes[order])
+        offset = np.empty(n, np.int64)
+        offset[order] = ends - sizes[order] - (np.cumsum(total) - total)[window[order]]
         self.next += int((total > 0).sum())
-        self.waiting, self.tokens = self.waiting[n:], self.tokens - int(sizes[:n].sum())
+        return self.placed(pieces, number[window], offset, total[window])
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: its place in its document and in its sequence (and its ids, `with_ids`)."""
-    schema = SCHEMA + (", ids array<long>" if with_ids else "")
-    names = [x.split()[0] for x in schema.split(", ")]
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: list) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
-
-        packer, end = _Packer(capacity, with_ids), np.array([end_id], np.uint32)
+        packer = _Packer(capacity, end_id, with_ids)
         for rb in batches:
-            keys = rb.column(0).to_pylist()
             for a, b, ids, at in encoder(vocabulary).encode(rb.column(1)):
-                out: list = []
-                for i in range(b - a):
-                    packer.add(keys[a + i], np.concatenate([ids[at[i] : at[i + 1]], end]), out)
-                yield batch(out)
-        packer.flush(last := [])
-        yield batch(last)
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+                yield from packer.add(rb.column(0)[a:b], ids, at)
+        if packer.waiting:
+            yield packer.flush(packer.waiting.num_rows)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))

@@ -1,15 +1,17 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct word encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, with each distinct word looked up once per portion.
 
 A text is cut only at spaces and newlines. That is exact for a vocabulary whose normaliser and
 pre-tokeniser let no token touch white space (checked by `splits_at_space`): the ids of the whole
-text are then those of its words, one after another.
+text are then those of its words, one after another. For a vocabulary that lower-cases and splits
+marks from letters (`lowers_letters`) a word is its letters in lower case and the marks after them.
+
+Cases: a null or empty text has no ids; repeated texts are encoded alike; no texts give no ranges; a
+very long text is a range of its own. Nothing depends on what a worker has seen before.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,11 +23,11 @@ from tokenizers import Tokenizer
 
 from .common import SLAB_CHARS, bounds, portions, ragged
 
-#: Words that a worker keeps between batches; later words are encoded again in each batch.
-KEPT_WORDS, KEPT_STEMS = 200_000, 300_000
+#: Words (or their letters) whose ids a worker keeps between portions; later ones are encoded again in each.
+KEPT_WORDS = 400_000
 
 #: Precomposed Latin letters, then ASCII marks without an apostrophe: two pre-tokens of a lower-casing vocabulary.
-STEM_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -45,34 +47,30 @@ def lowers_letters(spec: dict) -> bool:
     return splits_at_space(spec) and steps == ["NFC", "Replace", "Lowercase"] and r"|[\p{L}]+|" in split.get("pattern", {}).get("Regex", "")
 
 
-def packed(ids: list[list[int]]) -> list[bytes]:
-    return [array("I", x).tobytes() for x in ids]
-
-
 class WordTable:
-    """word -> its ids, all ids one after another in one array that grows in place. `encode`: words to ids as bytes."""
+    """The ids of words, all one after another; `encode` gives them for words that are not kept yet."""
 
     def __init__(self, encode, kept: int = KEPT_WORDS):
-        self.encode, self.kept, self.index = encode, kept, {}
-        self.ids, self.at = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """A number for each of the distinct `words`; unknown ones are encoded together first."""
-        self.forget()
-        fresh = [w for w in words if w not in self.index]
-        if fresh:
-            got, n = self.encode(fresh), len(self.index)
-            lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
-            first = int(self.at[n])
-            need = first + int(lengths.sum())
-            if need > len(self.ids):
-                self.ids = np.concatenate([self.ids[:first], np.empty(need + need // 2 - first, np.uint32)])
-            if n + len(got) + 1 > len(self.at):
-                self.at = np.concatenate([self.at[: n + 1], np.zeros((n + len(got)) // 2 + len(got) + 1, np.int64)])
-            self.ids[first:need] = np.frombuffer(b"".join(got), np.uint32)
-            self.at[n + 1 : n + len(got) + 1] = first + np.cumsum(lengths)
-            self.index.update(zip(fresh, range(n, n + len(got)), strict=True))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.encode, self.kept = encode, kept
+        self.words, self.ids, self.at = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """A number for each of the distinct `words`, good until the next call; unknown ones are encoded together."""
+        if len(self.words) > self.kept:  # the first seen stay, which are the frequent ones
+            self.words, self.at = pa.concat_arrays([self.words[: self.kept]]), self.at[: self.kept + 1].copy()
+            self.ids = self.ids[: self.at[-1]].copy()
+        found = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(pc.is_null(found))
+        if len(fresh):
+            got, n = self.encode(fresh.to_pylist()), len(self.words)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+            self.words, self.ids = pa.concat_arrays([self.words, fresh]), np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+            out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            out[out < 0] = np.arange(n, n + len(got))
+            return out
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbered words in order, and how many each has."""
@@ -80,11 +78,6 @@ class WordTable:
         lengths = self.at[numbers + 1] - starts
         return self.ids[ragged(starts, lengths)], lengths
 
-    def forget(self) -> None:
-        """Drop the words beyond the kept ones; the first seen stay, which are the frequent ones."""
-        while len(self.index) > self.kept:
-            self.index.popitem()
-
 
 class TextEncoder:
     """Whole texts to ids. Null texts count as empty."""
@@ -96,21 +89,23 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.stems = WordTable(self._encode_words, kept), {}
+        self.words = WordTable(self.whole, kept)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, boundaries) of distinct words."""
         if not self.by_stem:
-            return packed(self.whole(words))
-        if len(self.stems) > KEPT_STEMS:
-            self.stems.clear()
-        cut = [(m[1].lower(), m[2]) if (m := STEM_AND_MARKS.fullmatch(w)) else (w, "") for w in words]
-        fresh = list({x for pair in cut for x in pair} - self.stems.keys())
-        self.stems.update(zip(fresh, packed(self.whole(fresh)), strict=True))
-        stems = self.stems
-        return [stems[a] + stems[b] if b else stems[a] for a, b in cut]
+            ids, lengths = self.words.gather(self.words.numbers(words))
+            return ids, bounds(lengths)
+        plain = pc.match_substring_regex(words, rf"^[{LETTERS}]+[{MARKS}]*\z")
+        letters = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")), words)
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, rf"^[{LETTERS}]+", ""), "")
+        coded = pa.concat_arrays([letters, marks]).dictionary_encode()
+        both = self.words.numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, lengths = self.words.gather(both.reshape(2, -1).T.ravel())  # letters, marks, letters, marks
+        return ids, bounds(lengths)[::2]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(a, b, ids of texts a to b, their boundaries), in order, for ranges of about `SLAB_CHARS`."""
@@ -123,15 +118,16 @@ class TextEncoder:
         if self.by_word:
             parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             coded = parts.flatten().dictionary_encode()
-            numbers = self.words.numbers(coded.dictionary.to_pylist())
+            own, ends = self._of_words(coded.dictionary)
             codes = coded.indices.to_numpy(zero_copy_only=False)
             at = bounds(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
         a = 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + SLAB_CHARS, "right")) - 1)
             if self.by_word:
-                ids, lengths = self.words.gather(numbers[codes[at[a] : at[b]]])
-                yield a, b, ids, bounds(lengths)[at[a : b + 1] - at[a]]
+                words = codes[at[a] : at[b]]
+                lengths = ends[words + 1] - ends[words]
+                yield a, b, own[ragged(ends[words], lengths)], bounds(lengths)[at[a : b + 1] - at[a]]
             else:
                 got = self.whole(texts[a:b].to_pylist())
                 ends = bounds([len(x) for x in got])
