@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, trimmed
+from .common import Scratch, bounds, ended, trimmed
 from .wordcache import encoder
 
 MAGIC, SLICE = b"TWREC1\0\0", 4096
@@ -57,8 +57,9 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
-def record(key, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack("<qBI", key or 0, key is None, len(ids)) + ids.astype(f"<u{width}").tobytes()
+def record(key, ids: np.ndarray) -> bytes:
+    """A payload; `ids` are in the file's width."""
+    return struct.pack("<qBI", key or 0, key is None, len(ids)) + ids.tobytes()
 
 
 def unrecord(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
@@ -74,35 +75,40 @@ def write(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, text: str
         where, root = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
         where.create_dir(root, recursive=True)
         part, name = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        end, offsets, firsts, at, total = np.array([end_id], np.uint32), [], [], 0, 0
+        offsets, firsts, at, total = [], [], 0, 0
         enc = encoder(vocabulary)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
         with where.open_output_stream(f"{root}/{name}.rec") as out:
             for rb in batches:
                 keys = rb.column(0).to_pylist()
                 for a, b, ids, edge in enc.encode(rb.column(1)):
-                    for i in range(b - a):
-                        own = np.concatenate([ids[edge[i] : edge[i + 1]], end])
-                        data = frame(record(keys[a + i], own, width))
-                        offsets.append(at)
-                        firsts.append(total)
-                        out.write(data)
-                        at, total = at + len(data), total + len(own)
+                    ids, edge = ended(ids, edge, end_id)
+                    ids, edge = ids.astype(f"<u{width}"), edge.tolist()
+                    frames = [frame(record(k, ids[x:y])) for k, x, y in zip(keys[a:b], edge, edge[1:], strict=False)]
+                    out.write(b"".join(frames))
+                    offsets.append(at + bounds(list(map(len, frames))))
+                    firsts.append(total + np.array(edge, np.int64))
+                    at, total = int(offsets[-1][-1]), total + edge[-1]
         with where.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(MAGIC + struct.pack("<QQQQ", width, len(offsets), at, total))
-            out.write(np.array([offsets, firsts], "<u8").T.tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [len(offsets)], "ids": [total], "bytes": [at]})
+            index = np.array([np.concatenate([x[:-1] for x in y]) if y else [] for y in (offsets, firsts)], "<u8").T
+            out.write(MAGIC + struct.pack("<QQQQ", width, len(index), at, total))
+            out.write(index.tobytes())
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [len(index)], "ids": [total], "bytes": [at]})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
     return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST)
 
 
-def read(spark: SparkSession, at: str, manifest: list, with_ids: bool = False) -> DataFrame:
-    """One row per record of the manifest's files: key, ids before it in all files, how many it has, their crc32 (and the ids)."""
-    before, slices = 0, []
-    for row in sorted(manifest, key=lambda r: r["part"]):
-        slices += [(row["file"], a, min(a + SLICE, row["records"]), before) for a in range(0, row["records"], SLICE)]
-        before += row["ids"]
+def read(spark: SparkSession, at: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
+    """One row per record of the manifest's files: key, ids before it in all files, how many it has, their crc32 (and the ids).
+
+    The manifest has a row per file, so its running sum in one task grows with the files, not with the records; the
+    slices of `SLICE` records that tasks read are made from it by Spark."""
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("file", "records", before.alias("before")).where("records > 0")
+    parts = files.agg(F.sum(F.ceil(F.col("records") / SLICE))).first()[0] or 1  # one number
+    splits = files.withColumn("a", F.explode(F.expr(f"sequence(0L, records - 1, {SLICE}L)")))
+    splits = splits.select("file", "a", F.least(F.col("a") + SLICE, "records").alias("b"), "before")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     @trimmed
@@ -129,13 +135,11 @@ def read(spark: SparkSession, at: str, manifest: list, with_ids: bool = False) -
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if x == "ids" else pa.int64()) for x, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
-    splits = spark.createDataFrame(slices, "file string, a long, b long, before long")
-    return splits.repartition(max(1, min(len(slices), 20_000)), F.xxhash64("file", "a")).mapInArrow(run, schema)
+    return splits.repartition(min(int(parts), 20_000), F.xxhash64("file", "a")).mapInArrow(run, schema)
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Writes the documents to a folder of the shared one, then reads every record back."""
-    spark = docs.sparkSession
-    root = f"{Scratch(spark, 'records').root}/files"
-    manifest = write(docs, root, vocabulary, end_id).collect()  # one row per file
-    return read(spark, root, manifest, with_ids)
+    scratch = Scratch(docs.sparkSession, "records")
+    root = f"{scratch.root}/files"
+    return read(docs.sparkSession, root, scratch.table("manifest", write(docs, root, vocabulary, end_id)), with_ids)
