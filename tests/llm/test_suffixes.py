@@ -60,6 +60,15 @@ def test_awkward_rows(spark, awkward, hot):
         assert len(cut) == r.n_removed and bytes(b for x, b in enumerate(data) if x not in cut) == bytes(r.kept) or i == 3
 
 
+def test_repeated_rows_are_cut_once(spark):
+    """Many rows with one key and text are one text to search, and all of them lose what repeats."""
+    pick = random.Random(8)
+    passage = "".join(pick.choices("abcdefgh", k=120))
+    rows = [(None, passage)] * 30 + [(5, passage)] * 30 + [(1, "own " + passage[:80]), (2, "x" + passage[40:])]
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(7)
+    assert got(suffixes.dedup(docs, length=40, gram=12, digests=True)) == brute(rows, 40)
+
+
 def test_empty_table(spark):
     assert suffixes.dedup(spark.createDataFrame([], "text string, doc_id long")).count() == 0
 

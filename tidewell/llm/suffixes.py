@@ -3,8 +3,9 @@
 1. Anchors. In every window of `length` bytes the `GRAM`-byte string with the smallest hash (leftmost of equal
    ones) is its anchor. That depends on the window's bytes alone, so equal windows have equal anchors, and each
    window belongs to one anchor. Windows that share an anchor's position are a run; a run's text is a chunk.
-2. Only chunks whose anchor occurs more than once can hold a repeated window. Equal chunks become one with a
-   weight, so thousands of copies of a passage are one row before anything is gathered.
+2. Only chunks whose anchor occurs more than once can hold a repeated window. Equal chunks (by the hashes of anchor
+   and chunk, 128 bits together) become one with a weight, so thousands of copies of a passage are one row before any
+   text is gathered; the text of one place of each is cut out then.
 3. Chunks are dealt by anchor. A worker concatenates chunks of about `BATCH` bytes, builds their suffix array and
    Burrows-Wheeler transform, and finds longest common prefixes by breadth-first backward extension: intervals of
    all strings of l bytes give those of l + 1 bytes, each new right boundary has the common prefix l, and an
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounds, ragged, trimmed
 
 LENGTH, GRAM, BATCH, HOT, STRETCH = 200, 48, 600_000, 600_000, 1 << 22
-SYMBOLS = 7  # of nine bits each in the first sort key
+SYMBOLS = 4  # of nine bits each in the first sort key
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -73,8 +74,18 @@ def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
 
 
-def suffix_array(symbols: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their next `depth` symbols; 0 ends a string and differs for each `owner`."""
+def ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """Positions in the order of (key, position). A key of `bits` bits is sorted with its position in one number where both fit."""
+    width = len(key).bit_length()
+    if bits + width > 63:
+        return np.argsort(key, kind="stable")
+    both = key << width | np.arange(len(key))
+    both.sort()
+    return both & ((1 << width) - 1)
+
+
+def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their next `depth` symbols; 0 ends a string, and every string's end differs."""
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(SYMBOLS, symbols.dtype)]).astype(np.int64)
     key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
@@ -82,18 +93,17 @@ def suffix_array(symbols: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarr
         own = np.where(ended, 0, padded[i : i + n])
         key = key << 9 | own
         ended |= own == 0
-    order = np.lexsort((np.where(ended, owner, 0), key))
+    order = ordered(key, 9 * SYMBOLS)  # of equal ends the earlier string's comes first
     changed = (np.diff(key[order]) != 0) | ended[order[1:]] | ended[order[:-1]]
-    reach = SYMBOLS
+    reach, width = SYMBOLS, (n + 1).bit_length()
     while True:
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(changed)])
         if reach >= depth or rank[order[-1]] == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        key = rank << width
+        key[: n - reach] |= rank[reach:] + 1
+        order = ordered(key, 2 * width)
         changed, reach = np.diff(key[order]) != 0, 2 * reach
 
 
@@ -108,7 +118,7 @@ def repeated(strings: list[bytes], weights: np.ndarray, length: int) -> list[np.
     symbols[inner] = np.frombuffer(b"".join(strings), np.uint8)
     symbols[inner] += 1
     owner = np.repeat(np.arange(m), sizes + 1)
-    sa = suffix_array(symbols, owner, length)
+    sa = suffix_array(symbols, length)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
     bwt, front = symbols[sa - 1], symbols[sa]  # sa - 1 of 0 is the last end
@@ -154,33 +164,39 @@ def digest(data: bytes) -> tuple[int, int]:
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, th, a, m, at, h, c) of every run: first window, windows, the anchor's place and hash, a hash of its chunk."""
+
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            got = [runs(np.frombuffer((t.as_py() or "").encode(), np.uint8), length, gram) for t in rb.column(2)]
-            counts = np.array([len(g[0]) for g in got], np.int64)
-            row = pa.array(np.repeat(np.arange(len(got)), counts))
+            got, c = [], []
+            for text in rb.column(2):
+                data = (text.as_py() or "").encode()
+                own = runs(np.frombuffer(data, np.uint8), length, gram)
+                c += [xxhash.xxh3_64_digest(data[x : x + y + length - 1]) for x, y in zip(own[0].tolist(), own[1].tolist(), strict=True)]
+                got.append(own)
+            row = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
             first, windows, at, h = (np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(row), rb.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h)], ["doc_id", "th", "a", "m", "at", "h"])
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(row), rb.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (first, windows, at)), pa.array(h), pa.array(np.frombuffer(b"".join(c), ">i8").astype(np.int64))], ["doc_id", "th", "a", "m", "at", "h", "c"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, a int, m int, at int, h long")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, a int, m int, at int, h long, c long")
 
 
 def _chunks(found: DataFrame, length: int) -> DataFrame:
-    """(h, c1, c2, chunk, at, doc_id, th, a) of the listed runs of each document."""
+    """(h, c1, c2, chunk, weight, at) of the listed runs of each document. Repeated documents follow one another; one is cut."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c1", "c2", "chunk", "at", "doc_id", "th", "a"]
+        names, done = ["h", "c1", "c2", "chunk", "weight", "at"], None
         for rb in batches:
             held, size = [], 0
             for i in range(rb.num_rows):
-                data, places = (rb.column(2)[i].as_py() or "").encode(), rb.column(3)[i].values
-                a, m = places.field("a").to_pylist(), places.field("m").to_pylist()
-                parts = [data[x : x + y + length - 1] for x, y in zip(a, m, strict=True)]
-                c = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), ">i8").astype(np.int64).reshape(-1, 2)
-                row = pa.array(np.full(len(parts), i))
-                held.append(pa.RecordBatch.from_arrays([places.field("h"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(parts, pa.binary()), places.field("at"), rb.column(0).take(row), rb.column(1).take(row), places.field("a")], names))
+                own = (rb.column(0)[i].as_py(), rb.column(1)[i].as_py())
+                if own == done:
+                    continue
+                done, data, listed = own, (rb.column(2)[i].as_py() or "").encode(), rb.column(3)[i].values
+                parts = [data[x : x + y + length - 1] for x, y in zip(listed.field("a").to_pylist(), listed.field("m").to_pylist(), strict=True)]
+                held.append(pa.RecordBatch.from_arrays([listed.field("h"), listed.field("h"), listed.field("c"), pa.array(parts, pa.binary()), listed.field("weight"), listed.field("at")], names))
                 size += sum(map(len, parts))
                 if size > 4_000_000:
                     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
@@ -188,7 +204,7 @@ def _chunks(found: DataFrame, length: int) -> DataFrame:
             if held:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return found.select("doc_id", "th", "text", "places").mapInArrow(run, "h long, c1 long, c2 long, chunk binary, at int, doc_id long, th long, a int")
+    return found.select("doc_id", "th", "text", "listed").mapInArrow(run, "h long, c1 long, c2 long, chunk binary, weight long, at int")
 
 
 def _split(parts: DataFrame, length: int) -> DataFrame:
@@ -235,6 +251,8 @@ def _expanded(chunks: DataFrame, length: int) -> DataFrame:
         rows, size = [], 0
         for rb in batches:
             for r in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
+                if rows and r[:3] == rows[-1][:3]:  # of a repeated document
+                    continue
                 if size > BATCH and r[0] != rows[-1][0]:  # an anchor's chunks stay together
                     yield out(rows)
                     rows, size = [], 0
@@ -245,9 +263,8 @@ def _expanded(chunks: DataFrame, length: int) -> DataFrame:
     return chunks.select("h", "c1", "c2", "chunk", "weight").mapInArrow(run, "c1 long, c2 long, ranges array<struct<s:int,e:int>>")
 
 
-def repeated_windows(places: DataFrame, scratch: Scratch, length: int, gram: int, hot: int = HOT) -> DataFrame:
-    """(c1, c2, ranges) of the distinct chunks of `places` (h, c1, c2, chunk, at)."""
-    chunks = places.groupBy("h", "c1", "c2").agg(F.first("chunk").alias("chunk"), F.count("*").alias("weight"), F.first("at").alias("at"))
+def repeated_windows(chunks: DataFrame, scratch: Scratch, length: int, gram: int, hot: int = HOT) -> DataFrame:
+    """(c1, c2, ranges) of the distinct `chunks` (h, c1, c2, chunk, weight, at)."""
     chunks = chunks.withColumns({"high": F.col("at"), "low": F.col("at") - (F.length("chunk") - length), "from_low": F.lit(0), "from_high": F.lit(length - gram)})
     chunks, level, parents = scratch.table("chunks", chunks), 0, []
     while True:
@@ -306,12 +323,15 @@ def _spanned(docs: DataFrame, length: int, gram: int, text: str, key: str, hot:
     rows = every.select("doc_id", "th", "text")
     anchors = scratch.table("anchors", _anchors(rows, length, gram))
     twice = scratch.table("twice", anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # plain rows: a hot anchor's side of the join can be split
-    listed = anchors.join(twice, "h").groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_set(F.struct("a", "m", "at", "h")).alias("places"))
-    same = lambda x: (F.col("doc_id").eqNullSafe(F.col(f"{x}_id"))) & (F.col("th") == F.col(f"{x}_th"))
-    places = scratch.table("places", _chunks(rows.join(listed, same("own")), length))
+    places = scratch.table("places", anchors.join(twice, "h"))
     scratch.drop("anchors", "twice")
-    ranges = repeated_windows(places, scratch, length, gram, hot)
-    spans = places.select("c1", "c2", "doc_id", "th", "a").join(ranges, ["c1", "c2"])
+    # One place stands for all with the same chunk: its values are firsts of one row, and only its text is cut out.
+    one = places.groupBy("h", "c").agg(F.count("*").alias("weight"), *[F.first(x).alias(x) for x in ("doc_id", "th", "a", "m", "at")])
+    listed = one.groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_list(F.struct("a", "m", "at", "h", "c", "weight")).alias("listed"))
+    same = lambda x: (F.col("doc_id").eqNullSafe(F.col(f"{x}_id"))) & (F.col("th") == F.col(f"{x}_th"))
+    chunks = _chunks(rows.join(listed.hint("merge"), same("own")), length)  # a merge join gives repeated documents in a row
+    ranges = repeated_windows(chunks, scratch, length, gram, hot)
+    spans = places.select(F.col("h").alias("c1"), F.col("c").alias("c2"), "doc_id", "th", "a").join(ranges, ["c1", "c2"])
     spans = spans.select("doc_id", "th", F.explode(F.transform("ranges", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + length - 1).alias("e")))).alias("r"))
     spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("r").alias("spans"))
     kept = Scratch(docs.sparkSession, "spans")
