@@ -140,18 +140,37 @@ def test_semantic_dedup_is_greedy(spark):
     df = items(spark, rows)
     out = dedup.semantic(df)
     assert sorted(r.ord for r in out.collect()) == kept
+    assert sorted(r.ord for r in dedup.semantic(df, block_rows=7).collect()) == kept
     assert sorted(r.ord for r in dedup.semantic(out).collect()) == kept
 
 
-def test_dedup_by_joins_equals_the_scan(spark, tmp_path):
-    rows = [{"title": t, "url": f"u{i}", "category": "a"} for i, t in enumerate(["alpha beta gamma delta", "beta gamma delta omega", "gamma delta omega sigma", "quite another thing here", "alpha beta gamma delta"])]
-    df = items(spark, rows)
+def test_items_are_told_apart_without_ord(spark):
+    """Two sources that both count from 0: the exact copy goes, everything else stays."""
+    a = [{"title": f"alpha number {i} of the first feed", "url": f"a{i}", "category": "news", "source": "one"} for i in range(4)]
+    b = [{"title": "quite another story", "url": "b0", "category": "news", "source": "two"}, dict(a[1]), {"title": "", "url": "b2", "category": "news", "source": "two"}, dict(a[0], source="two")]
+    df = items(spark, a).unionByName(items(spark, b))
+    got = sorted((r.url, r.title) for r in dedup.by_fingerprint(df).collect())
+    assert got == sorted({(x["url"], x["title"]) for x in a + b})
+    ranked = df.withColumn("category_rank", F.when(F.col("source") == "two", 1).otherwise(0))
+    assert sorted(r.url for r in dedup.across_categories(ranked).collect()) == ["a0", "a1", "a2", "a3", "b0", "b2"]
+    assert sorted(r.url for r in dedup.semantic(df).collect()) == ["a0", "b0", "b2"]
+
+
+def test_ratios_equal_difflib():
+    import difflib
+    import random
+
+    import numpy as np
 
-    def scratch(name, x):
-        x.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
-        return spark.read.parquet(f"{tmp_path}/{name}")
+    from tidewell.functions.ratios import Block
 
-    assert sorted(r.ord for r in dedup.semantic_by_joins(df, scratch).collect()) == [0, 2, 3]
+    pick = random.Random(4)
+    for letters in ("ab ", "abcdefgh ", "etaoinshr dluc模型发布"):
+        titles = ["".join(pick.choices(letters, k=pick.randrange(pick.choice([4, 30, 90, 230])))) for _ in range(120)]
+        block = Block(titles)
+        for t in [*titles[:25], "", "\0a"]:
+            exact = [difflib.SequenceMatcher(None, t, x).ratio() for x in titles]
+            assert block.ratios(t, np.arange(120), 0.5).tolist() == [r if r >= 0.5 else 0.0 for r in exact]
 
 
 def test_history_and_quota(spark):
