@@ -185,6 +185,45 @@ def test_history_and_quota(spark):
     assert kept.count() == 12 and filters.bounded_history(old, "2025-03-01 00:00:00").count() == 0
 
 
+def test_history_ends_within_a_second(spark):
+    rows = [("url", f"v{i:04d}", "2024-12-19 10:00:00") for i in range(60)] + [("url", f"w{i}", "2024-12-19 11:00:00") for i in range(5)] + [("title", "t", "2024-12-19 10:00:00")]
+    old = spark.createDataFrame(rows, "kind string, value string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    kept = filters.bounded_history(old, AS_OF, most=50)
+    assert sorted(r.value for r in kept.collect()) == ["t"] + [f"v{i:04d}" for i in range(35)] + [f"w{i}" for i in range(5)]
+
+
+def test_addresses_as_urllib_has_them(spark):
+    from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
+
+    def plain(url):
+        try:
+            p = urlparse(url)
+            own = {k: v for k, v in parse_qs(p.query, keep_blank_values=True).items() if k.lower() not in L.TRACKING_KEYS}
+            return urlunparse((p.scheme.lower(), p.netloc.lower(), p.path.rstrip("/"), p.params, urlencode(own, doseq=True), ""))
+        except ValueError:
+            return url.rstrip("/")
+
+    urls = ["HTTP://X.org/A//", "http://x.org?q=a%20b&k", "example.com/x/#f", "https://x.org/a;p=1/b/;c?x=~*é&x=%zz&y=a+b", "http://x.org/p/?utm_source=1&REF=2", "http://u@X.org:80/?b=2&a=1&b=3&=5", "http://[::1]/a/", "http://[x/a/", "", "mailto:a@b.c", "//x.org/a/", "?a&b", "http://x.org/%7Ea/?c=%26%3D"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(X.normal_url(F.col("u"))).collect()]
+    assert got == [plain(u) for u in urls]
+
+
+def test_rolling_scores_over_blocks(spark):
+    import random
+
+    pick = random.Random(9)
+    rows = [(pick.choice(["Hot", "hot", "HOT", "b"]), i, pick.random()) for i in range(700)]
+    f = spark.createDataFrame(rows, "source string, seq bigint, score double")
+    got = {(r.source, r.seq): (r.n, round(r.average, 9)) for r in importance.rolling(f, block_rows=60).collect()}
+    seen, want = {}, {}
+    for s, i, x in rows:
+        own = seen.setdefault(s.lower(), [])
+        own.append(x)
+        want[s.lower(), i] = (len(own[-50:]), round(sum(own[-50:]) / len(own[-50:]), 9))
+    assert got == want
+    assert {r.source: r.n for r in importance.learned_authority(f).collect()} == {"hot": 50, "b": 50}
+
+
 def test_publication(spark):
     rows = [{"title": f"Title {i}", "summary": "<b>x</b> & y" if i else "z" * 200, "source": "s", "url": "https://x.org/?a=1&b='", "published": f"2024-12-{10 + i}"} for i in range(9)]
     df = items(spark, rows).withColumns({"importance": F.col("ord") / 10, "content_type": F.when(F.col("ord") == 8, "podcast").otherwise("product"), "ai_relevance": F.when(F.col("ord") == 7, 0.1)})
@@ -212,6 +251,19 @@ def test_review_cycle(spark):
     assert review.learning_summary(log, review.apply(df, d)).first().reviewed == 5
 
 
+def test_several_decisions_on_one_item(spark):
+    df = items(spark, [{"title": f"t{i}"} for i in range(3)]).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x")), "region": F.lit("USA")})
+    d = spark.createDataFrame([(0, "category", "product", 1), (0, "category", "leader", 2), (0, "region", "China", 3), (1, "region", "Europe", 2), (1, "region", "China", 1), (1, "spam", None, 5), (1, "skip", None, 6)], "ord bigint, action string, value string, seq bigint")
+    out = {r.ord: r for r in review.apply(df, d).collect()}
+    assert len(out) == 3 and (out[0].content_type, out[0].original_category, out[0].region, out[0].needs_review) == ("leader", "product", "China", False)
+    assert out[1].region == "Europe" and out[1].is_spam and out[1].content_type == "market" and not out[2].manually_reviewed
+    assert sorted(r.action for r in review.audit(df, d).where("ord = 0").collect()) == ["Category: market -> product", "Category: product -> leader", "Region: China"]
+    rows = [("a", 0.5, None, None)] * 2 + [("b", 0.4, None, None), ("a", 1.0, "z", 0.9), ("b", 1.0, "z", 0.8), ("c", 1.0, "z", 0.2)]
+    reviewed = spark.createDataFrame(rows, "content_type string, confidence double, original_category string, original_confidence double").withColumn("manually_reviewed", F.lit(True))
+    assert {(r.pattern, r.n) for r in review.error_patterns(reviewed).collect()} == {("threshold_adjustment", 3), ("false_positive", 2)}
+    assert review.error_patterns(reviewed, 4, 3).count() == 0
+
+
 def test_replies(spark):
     replies = ['thinking... ```json\n{"content_type": "Paper", "confidence": 0.9, "tech_fields": ["NLP"]}\n``` done', "no object", '{"type": "developer (tools)"}', '{"confidence": 1}', None]
     got = [r.x for r in spark.createDataFrame([(r,) for r in replies], "r string").select(labelling.parsed_reply(F.col("r")).alias("x")).collect()]

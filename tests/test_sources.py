@@ -43,15 +43,17 @@ def test_json_answers(spark, tmp_path):
 
 
 def test_fetch_retries(spark):
-    urls = spark.createDataFrame([(u,) for u in ("http://a/ok", "http://a/busy", "http://b/gone", "http://b/slow")], "url string")
+    urls = spark.createDataFrame([(u,) for u in ("http://a/ok", "http://a/busy", "http://b/gone", "http://b/slow", "http://c/refused")], "url string")
 
     def fetch(url):
         if url.endswith("slow"):
             raise TimeoutError
+        if url.endswith("refused"):
+            raise ConnectionRefusedError("no")
         return {"ok": (200, "body"), "busy": (429, ""), "gone": (404, "x")}[url.rsplit("/", 1)[1]]
 
-    got = {r.url.rsplit("/", 1)[1]: (r.status, r.body) for r in readers.fetched(urls, fetch, sleep=lambda s: None).collect()}
-    assert got == {"ok": (200, "body"), "busy": (429, None), "gone": (404, None), "slow": (None, None)}
+    got = {r.url.rsplit("/", 1)[1]: (r.status, r.body, r.error) for r in readers.fetched(urls, fetch, sleep=lambda s: None).collect()}
+    assert got == {"ok": (200, "body", None), "busy": (429, None, "HTTP 429"), "gone": (404, None, "HTTP 404"), "slow": (None, None, "timeout"), "refused": (None, None, "ConnectionRefusedError: no")}
 
 
 def test_snapshots_and_state(spark, tmp_path):
@@ -67,6 +69,11 @@ def test_snapshots_and_state(spark, tmp_path):
     for n in (1, 2):
         sinks.replace_state(sinks.read_state(spark, state, "k string").union(spark.createDataFrame([(str(n),)], "k string")), state)
     assert sinks.read_state(spark, state, "k string").count() == 2 and sinks.read_state(spark, state, "z string", ("z",)).columns == ["z"]
+    half = tmp_path / "state" / "v=9"  # a crash while writing: no success mark
+    put(half / "part-0.parquet", "half a file")
+    assert sinks.read_state(spark, state, "k string").count() == 2
+    put(half / "_SUCCESS", "")
+    assert sinks.read_state(spark, state, "k string").count() == 0  # damaged: as if there was none
     sinks.export(spark.createDataFrame([("t",)], "title string"), f"{tmp_path}/out", "r1", spark.createDataFrame([(1,)], "n int"))
     assert spark.read.json(f"{tmp_path}/out/run_ts=r1/metadata").first().total_items == 1
     sinks.text_report(spark, "a\nb", f"{tmp_path}/report")

@@ -88,16 +88,26 @@ def escaped(html: Column) -> Column:
 
 
 def normal_url(url: Column, tracking: Iterable[str] = TRACKING_KEYS) -> Column:
-    """Scheme and authority in lower case, no slash at the path's end, no tracking keys, values of one key together,
-    no fragment. Not a valid address: only slashes at its end go."""
-    part = lambda name: F.try_parse_url(url, F.lit(name))
-    pairs = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda x: (x != "") & ~F.array_contains(strings(tracking), F.lower(F.split_part(x, F.lit("="), F.lit(1)))))
-    names = F.array_distinct(F.transform(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(1))))
-    grouped = F.flatten(F.transform(names, lambda k: F.filter(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(1)) == k)))
-    query = F.when(F.size(grouped) > 0, F.concat(F.lit("?"), F.array_join(grouped, "&"))).otherwise("")
-    path = F.regexp_replace(F.coalesce(part("PATH"), F.lit("")), "/+$", "")
-    whole = F.concat(F.lower(part("PROTOCOL")), F.lit("://"), F.lower(part("AUTHORITY")), path, query)
-    return F.coalesce(whole, F.regexp_replace(url, "/+$", ""))
+    """Scheme and authority in lower case, no slash at the path's end, no fragment, no tracking keys; the query is decoded
+    and encoded again, with the values of one key together and an equals sign after every key. An address with an
+    unmatched bracket only loses its last slashes."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    part = lambda n: F.regexp_extract(clean, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", n)
+    scheme, authority, path = F.lower(part(1)), F.lower(part(2)), part(3)
+    # '+' is a blank; a '%' that is no escape stays.
+    decoded = lambda x: F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pair = lambda x: F.struct(decoded(F.regexp_extract(x, "^[^=]*", 0)).alias("key"), decoded(F.regexp_replace(x, "^[^=]*=?", "")).alias("value"))
+    pairs = F.filter(F.transform(F.filter(F.split(part(4), "&"), lambda x: x != ""), pair), lambda p: ~F.array_contains(strings(tracking), F.lower(p["key"])))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    grouped = F.flatten(F.transform(names, lambda k: F.filter(pairs, lambda p: p["key"] == k)))
+    query = F.array_join(F.transform(grouped, lambda p: F.concat(encoded(p["key"]), F.lit("="), encoded(p["value"]))), "&")
+    # Parameters after a ';' in the last segment stay; slashes before them go.
+    params = F.regexp_extract(path, r"^(?:.*/)?[^/;]*(;[^/]*)$", 1)
+    plain = F.regexp_replace(F.left(path, F.length(path) - F.length(params)), "/+$", "")
+    before = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""))
+    whole = F.concat(before, plain, F.when(params != ";", params).otherwise(""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]")), F.regexp_replace(url, "/+$", "")).otherwise(whole)
 
 
 def normal_title(title: Column) -> Column:

@@ -67,15 +67,20 @@ def new_and_cached(items: DataFrame, history: DataFrame) -> DataFrame:
     return flag_new(items, history).groupBy("category").agg(F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_cached"))
 
 
-def bounded_history(history: DataFrame, as_of: str, most: int = 5000, share: float = 0.2, days: int = 7) -> DataFrame:
-    """History within retention; a kind that has reached `most` values keeps its newest. Bounded by counts of values per
-    second, so no kind is sorted in one task."""
-    fresh = history.where(F.col("seen_at") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days)))
+def bounded_history(history: DataFrame, as_of: str | Column, most: int = 5000, share: float = 0.2, days: int = 7) -> DataFrame:
+    """History within retention; a kind that has reached `most` values keeps its newest, a share less than `most`. Counts of
+    values per second find the second in which the room ends; only that second is ranked, by value."""
+    now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    fresh, room = history.where(F.col("seen_at") >= now - F.make_interval(days=F.lit(days))), int(most * (1 - share))
     per = fresh.groupBy("kind", "seen_at").agg(F.count("*").alias("n"))
     w = Window.partitionBy("kind").orderBy(F.desc("seen_at"))
-    room = per.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("kind"))})
-    kept = room.where((F.col("all") < most) | (F.col("upto") <= int(most * (1 - share)))).select("kind", "seen_at")
-    return fresh.join(kept, ["kind", "seen_at"], "left_semi")
+    upto = per.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy("kind"))})
+    left = F.when(F.col("all") < most, F.col("n")).otherwise(F.least("n", room - (F.col("upto") - F.col("n"))))
+    kept = upto.select("kind", "seen_at", "n", left.alias("left")).where("left > 0")
+    whole = fresh.join(kept.where("left = n"), ["kind", "seen_at"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("kind", "seen_at").orderBy("value"))
+    ended = fresh.join(kept.where("left < n").select("kind", "seen_at", "left"), ["kind", "seen_at"]).withColumn("_r", rank)
+    return whole.unionByName(ended.where(F.col("_r") <= room).where(F.col("_r") <= F.col("left")).drop("_r", "left"))
 
 
 def quota(items: DataFrame, quotas: dict[str, int], default: int = 25) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.sources.shared import Scratch
 
 #: Weights of the dimensions.
 WEIGHTS = {"source_authority": 0.25, "recency": 0.25, "confidence": 0.20, "relevance": 0.20, "engagement": 0.10}
@@ -88,7 +89,7 @@ def score(items: DataFrame, as_of: str, learned: DataFrame | None = None) -> Dat
     now, low = F.lit(as_of).cast("timestamp"), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     out = items.withColumns({"_text": F.concat_ws(" ", low("title"), low("summary")), "_auth": authority(F.concat_ws(" ", low("source"), low("url")))})
     if learned is not None:
-        out = out.join(learned.select("source", F.col("n").alias("_n"), F.col("average").alias("_avg")), "source", "left").withColumn("_auth", blended(F.col("_auth"), F.col("_n"), F.col("_avg")))
+        out = out.join(learned.select(F.lower("source").alias("_source"), F.col("n").alias("_n"), F.col("average").alias("_avg")), F.lower("source") == F.col("_source"), "left").withColumn("_auth", blended(F.col("_auth"), F.col("_n"), F.col("_avg")))
     ai = F.coalesce("ai_relevance", F.lit(0.7))
     out = out.withColumns({"_rec": recency(F.col("published_ts"), now, F.col("content_type")), "_rel": relevance(low("title"), F.col("_text"), F.col("content_type")), "_eng": engagement(item_signals()), "_ai": ai})
     out = out.withColumn("_conf", capped(F.coalesce("confidence", F.lit(0.5)), F.col("_rec"), F.col("_auth")))
@@ -98,17 +99,32 @@ def score(items: DataFrame, as_of: str, learned: DataFrame | None = None) -> Dat
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def rolling(feedback: DataFrame, last: int = 50) -> DataFrame:
-    """Count and average of each source's last scores, at every score (source, seq, score)."""
-    w = Window.partitionBy("source").orderBy("seq").rowsBetween(1 - last, 0)
-    return feedback.select("source", "seq", F.count("*").over(w).alias("n"), F.avg("score").over(w).alias("average"))
+def rolling(feedback: DataFrame, last: int = 50, block_rows: int = 100_000) -> DataFrame:
+    """Count and average of each source's last scores, at every score (source, seq, score); sources are told apart in lower case.
+
+    A range sort and the sizes of its parts give each score its number within its source. Blocks of numbers are then windows
+    of their own, each with the `last` - 1 scores before it, so one source of any size is spread over many tasks."""
+    scratch = Scratch(feedback.sparkSession, "rolling")
+    named = feedback.select(F.lower("source").alias("source"), "seq", "score")
+    parts = scratch.table("parts", named.repartitionByRange("source", "seq", F.xxhash64("score")).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = sizes.select("source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._part") == F.col("b._part"))
+    own = F.row_number().over(Window.partitionBy("a.source", "a._part").orderBy("a.seq", F.xxhash64("a.score")))
+    numbered = parts.alias("a").join(starts.alias("b"), same).select("a.source", "seq", "score", (F.col("_start") + own - 1).alias("_at"))
+    block = F.floor(F.col("_at") / block_rows)
+    seen = numbered.withColumn("_block", F.explode(F.when(F.col("_at") % block_rows > block_rows - last, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy("source", "_block").orderBy("_at").rowsBetween(1 - last, 0)
+    out = seen.select("source", "seq", "_at", "_block", F.count("*").over(w).alias("n"), F.avg("score").over(w).alias("average"))
+    return out.where(F.floor(F.col("_at") / block_rows) == F.col("_block")).select("source", "seq", "n", "average")
 
 
 def learned_authority(feedback: DataFrame, last: int = 50) -> DataFrame:
     """(source, n, average) now: the state after each source's last score. Top rows by a bounded rank, which adaptive
     execution filters before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("seq")))
-    return feedback.withColumn("_r", rank).where(F.col("_r") <= last).groupBy("source").agg(F.count("*").alias("n"), F.avg("score").alias("average"))
+    return feedback.withColumn("source", F.lower("source")).withColumn("_r", rank).where(F.col("_r") <= last).groupBy("source").agg(F.count("*").alias("n"), F.avg("score").alias("average"))
 
 
 def flagged(learned: DataFrame, least: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.lexicons import COMMON_WORDS
@@ -14,25 +14,37 @@ def queue(items: DataFrame, least: float = 0.6, limit: int | None = None) -> Dat
     return out if limit is None else out.orderBy("ord").limit(limit)
 
 
+def ordered(decisions: DataFrame) -> DataFrame:
+    """Decisions (ord, action, value, seq): `seq` orders the decisions on one item; without it they go by action and value."""
+    seq = F.col("seq") if "seq" in decisions.columns else F.lit(0).cast("long")
+    return decisions.select("ord", "action", "value", F.struct(seq.alias("seq"), "action", "value").alias("seq"))
+
+
 def apply(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions (ord, action, value) on items: confirm, category, tech, region, spam, skip. Confirming and a new
-    category settle the review; a new category keeps the old one beside it."""
-    d = decisions.select("ord", F.col("action").alias("_a"), F.col("value").alias("_v"))
-    out = items.join(d, "ord", "left")
-    is_ = lambda *a: F.coalesce(F.col("_a").isin(*a), F.lit(False))
-    settled = is_("confirm", "category")
+    """Decisions (ord, action, value, and seq where one item has several) on items: confirm, category, tech, region, spam,
+    skip. All decisions on an item count, in their order: of one kind the last gives the value. Confirming and a new
+    category settle the review; a new category keeps the one before it beside it."""
+    d, is_ = ordered(decisions), lambda *a: F.col("action").isin(*a)
+    last = lambda a: F.max_by(F.when(is_(a), F.col("value")), F.when(is_(a), F.col("seq")))
+    before = F.lag("value").over(Window.partitionBy("ord", "action").orderBy("seq"))
+    folded = d.withColumn("_before", F.when(is_("category"), before)).groupBy("ord").agg(
+        F.max(is_("category")).alias("_moved"), last("category").alias("_type"), F.max_by(F.when(is_("category"), F.struct("_before")), F.when(is_("category"), F.col("seq")))["_before"].alias("_was"),
+        F.max(is_("tech")).alias("_retech"), last("tech").alias("_tech"), F.max(is_("region")).alias("_placed"), last("region").alias("_region"),
+        F.max(is_("confirm", "category")).alias("_settled"), F.max(is_("confirm", "category", "tech", "region", "spam")).alias("_reviewed"), F.max(is_("spam")).alias("_spam"),
+    )
+    out, yes = items.join(folded, "ord", "left"), lambda c: F.coalesce(c, F.lit(False))
     values = {
-        "original_category": F.when(is_("category"), F.col("content_type")),
-        "original_confidence": F.when(is_("category"), F.col("confidence")),
-        "content_type": F.when(is_("category"), F.col("_v")).otherwise(F.col("content_type")),
-        "confidence": F.when(is_("category"), 1.0).otherwise(F.col("confidence")),
-        "tech_categories": F.when(is_("tech"), F.transform(F.split("_v", ","), lambda t: F.trim(t))).otherwise(F.col("tech_categories")),
-        "region": F.when(is_("region"), F.col("_v")).otherwise(F.col("region")),
-        "needs_review": F.when(settled, False).otherwise(F.coalesce("needs_review", F.lit(False))),
-        "manually_reviewed": is_("confirm", "category", "tech", "region", "spam"),
-        "is_spam": is_("spam"),
+        "original_category": F.when(F.col("_moved"), F.coalesce("_was", "content_type")),
+        "original_confidence": F.when(F.col("_moved"), F.when(F.col("_was").isNotNull(), 1.0).otherwise(F.col("confidence"))),
+        "content_type": F.when(F.col("_moved"), F.col("_type")).otherwise(F.col("content_type")),
+        "confidence": F.when(F.col("_moved"), 1.0).otherwise(F.col("confidence")),
+        "tech_categories": F.when(F.col("_retech"), F.transform(F.split("_tech", ","), lambda t: F.trim(t))).otherwise(F.col("tech_categories")),
+        "region": F.when(F.col("_placed"), F.col("_region")).otherwise(F.col("region")),
+        "needs_review": F.when(F.col("_settled"), False).otherwise(F.coalesce("needs_review", F.lit(False))),
+        "manually_reviewed": yes(F.col("_reviewed")),
+        "is_spam": yes(F.col("_spam")),
     }
-    return out.withColumns(values).drop("_a", "_v")
+    return out.withColumns(values).drop(*[c for c in folded.columns if c != "ord"])
 
 
 def without_spam(items: DataFrame) -> DataFrame:
@@ -41,10 +53,11 @@ def without_spam(items: DataFrame) -> DataFrame:
 
 def audit(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """(ord, title, action) log rows, as the review history has them."""
-    d = decisions.where("action <> 'skip'").select("ord", "action", "value")
+    d = ordered(decisions).where("action <> 'skip'")
+    d = d.withColumn("_before", F.lag("value").over(Window.partitionBy("ord", "action").orderBy("seq")))  # what the last change left
     text = (
         F.when(F.col("action") == "confirm", F.lit("Confirmed"))
-        .when(F.col("action") == "category", F.concat(F.lit("Category: "), F.coalesce("content_type", F.lit("unknown")), F.lit(" -> "), F.col("value")))
+        .when(F.col("action") == "category", F.concat(F.lit("Category: "), F.coalesce("_before", "content_type", F.lit("unknown")), F.lit(" -> "), F.col("value")))
         .when(F.col("action") == "spam", F.lit("Marked spam"))
         .otherwise(F.concat(F.initcap("action"), F.lit(": "), F.col("value")))
     )
@@ -88,12 +101,13 @@ def suggestions(reviewed: DataFrame, known: DataFrame, n: int = 5) -> DataFrame:
     return ranked_first(fresh, ["content_type"], [F.desc("n"), F.col("word")], n)
 
 
-def error_patterns(reviewed: DataFrame) -> DataFrame:
-    """Where confidence misleads: unsure rows that reviews confirm, sure rows that they correct."""
-    was = F.coalesce("original_confidence", "confidence", F.lit(1.0))
+def error_patterns(reviewed: DataFrame, confirmed: int = 3, corrected: int = 2) -> DataFrame:
+    """Where confidence misleads, over all reviewed rows: (pattern, n) of unsure ones that kept their category and sure ones that lost it."""
     moved = F.col("original_category").isNotNull()
-    per = reviewed.where("manually_reviewed").groupBy("content_type").agg(F.count_if((was < 0.6) & ~moved).alias("unsure_confirmed"), F.count_if((was > 0.7) & moved).alias("sure_corrected"))
-    return per.where("unsure_confirmed >= 3 or sure_corrected >= 2")
+    unsure, sure = (F.coalesce("confidence", F.lit(1.0)) < 0.6) & ~moved, (F.coalesce("original_confidence", F.lit(1.0)) > 0.7) & moved
+    counts = reviewed.where("manually_reviewed").agg(F.count_if(unsure).alias("unsure"), F.count_if(sure).alias("sure"))
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(c).alias("n"), F.lit(least).alias("least")) for p, c, least in (("threshold_adjustment", "unsure", confirmed), ("false_positive", "sure", corrected))])
+    return counts.select(F.inline(rows)).where("n >= least").select("pattern", "n")
 
 
 def learning_summary(log: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -136,12 +136,15 @@ def facet_filter(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://', 1) AS s, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS a,
-        regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
-    k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains("""
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS a,
+        regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS q FROM pages),
+    k AS (SELECT *, list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: {'key': url_decode(replace(regexp_extract(x, '^[^=]*'), '+', ' ')), 'value': url_decode(replace(regexp_replace(x, '^[^=]*=?', ''), '+', ' '))}), lambda p: NOT list_contains("""
     + Q.strings(L.TRACKING_KEYS)
-    + """, lower(split_part(x, '=', 1)))) AS kept FROM p)
-    SELECT page_id, lower(s) || '://' || lower(a) || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM k"""
+    + """, lower(p.key))) AS kept FROM p),
+    e AS (SELECT page_id, unnest(kept) AS p, generate_subscripts(kept, 1) AS i FROM k),
+    g AS (SELECT page_id, p, i, min(i) OVER (PARTITION BY page_id, p.key) AS first FROM e),
+    j AS (SELECT page_id, string_agg(replace(url_encode(p.key), '%20', '+') || '=' || replace(url_encode(p.value), '%20', '+'), '&' ORDER BY first, i) AS query FROM g GROUP BY 1)
+    SELECT k.page_id, CASE WHEN s <> '' THEN lower(s) || ':' ELSE '' END || CASE WHEN a <> '' THEN '//' || lower(a) ELSE '' END || regexp_replace(path, '/+$', '') || coalesce('?' || query, '') AS url FROM k LEFT JOIN j ON k.page_id = j.page_id"""
 )
 def url_normalized(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.normal_url(F.col("url")).alias("url"))
@@ -508,7 +511,7 @@ def weight_adjustments(spark, sf_dir):
     return review.weight_adjustments(_log(spark, sf_dir))
 
 
-@query(with_items("SELECT kind AS content_type, count(*) FILTER (WHERE (ord % 10) / 10.0 < 0.6 AND action <> 'category') AS unsure_confirmed, count(*) FILTER (WHERE (ord % 10) / 10.0 > 0.7 AND action = 'category') AS sure_corrected FROM reviewed WHERE action IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE (ord % 10) / 10.0 < 0.6 AND action <> 'category') >= 3 OR count(*) FILTER (WHERE (ord % 10) / 10.0 > 0.7 AND action = 'category') >= 2", DECISIONS, _REVIEWED))
+@query(with_items("SELECT * FROM (SELECT 'threshold_adjustment' AS pattern, count(*) AS n FROM reviewed WHERE action IS NOT NULL AND action <> 'category' AND (ord % 10) / 10.0 < 0.6 HAVING count(*) >= 3 UNION ALL SELECT 'false_positive', count(*) FROM reviewed WHERE action = 'category' AND (ord % 10) / 10.0 > 0.7 HAVING count(*) >= 2)", DECISIONS, _REVIEWED))
 def error_patterns(spark, sf_dir):
     return review.error_patterns(review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir)))
 

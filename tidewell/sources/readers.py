@@ -49,8 +49,8 @@ def stories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str]], retries: int = 2, delay: float = 1.0, sleep: Callable[[float], None] | None = None, per_host: int = 3) -> DataFrame:
-    """(url, status, body) of each address. Hosts are dealt to partitions, so each is asked in turn; 429 waits longer each
-    time, time-outs a little longer, other answers end the attempts."""
+    """(url, status, body, error) of each address. Hosts are dealt to partitions, so each is asked in turn; 429 waits longer
+    each time, time-outs a little longer, other answers and errors end the attempts. A failure is a row, never the end of the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -59,21 +59,26 @@ def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str]], retries: i
         for pdf in batches:
             rows = []
             for url in pdf.url:
-                status, body = None, None
+                status, body, error = None, None, None
                 for attempt in range(retries + 1):
                     try:
                         status, body = fetch(url)
+                        error = None if status == 200 else f"HTTP {status}"
                     except TimeoutError:
+                        error = "timeout"
                         wait(delay * (attempt + 1))
                         continue
+                    except Exception as e:  # noqa: BLE001  a client may raise anything
+                        error = f"{type(e).__name__}: {e}"[:100]
+                        break
                     if status != 429:
                         break
                     wait(delay * 2**attempt)
-                rows.append((url, status, body if status == 200 else None))
-            yield pd.DataFrame(rows, columns=["url", "status", "body"]).astype({"status": "Int64"})
+                rows.append((url, status, body if status == 200 else None, error))
+            yield pd.DataFrame(rows, columns=["url", "status", "body", "error"]).astype({"status": "Int64"})
 
     lane = F.pmod(F.xxhash64("url"), F.lit(per_host))
-    return urls.select("url").repartition(F.try_parse_url("url", F.lit("HOST")), lane).mapInPandas(run, "url string, status int, body string")
+    return urls.select("url").repartition(F.try_parse_url("url", F.lit("HOST")), lane).mapInPandas(run, "url string, status int, body string, error string")
 
 
 def exported(spark: SparkSession, path: str, pattern: str = "*.json", mode: str = "intended") -> DataFrame:

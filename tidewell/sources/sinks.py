@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,23 +27,36 @@ def text_report(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a state, ascending: those whose writing has ended."""
+    fs, root = _fs(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+    return [n for n in numbers if fs.exists(_fs(spark, f"{path}/v={n}/_SUCCESS")[1])]
+
+
 def replace_state(df: DataFrame, path: str) -> None:
-    """Writes beside the old state, then swaps, so readers never see half of it."""
+    """Writes a new version beside the old ones. Readers take the newest whole one, so neither they nor a crash ever see half
+    of a state; the version before it stays for those that still read it, older ones go."""
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    fresh = _fs(spark, f"{path}.new")[1]
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    known = _versions(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/v={known[-1] + 1 if known else 0}")
+    for old in known[:-1]:
+        fs, gone = _fs(spark, f"{path}/v={old}")
+        fs.delete(gone, True)
 
 
 def read_state(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """The state, or an empty table if there is none or it lacks a required column."""
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        df = spark.read.parquet(path)
-        if set(required) <= set(df.columns):
-            return df
+    """The newest whole version of a state, or an empty table if there is none, it can't be read or lacks a required column."""
+    known = _versions(spark, path)
+    if known:
+        try:
+            df = spark.read.parquet(f"{path}/v={known[-1]}")
+        except Exception as e:  # noqa: BLE001  a damaged state is an empty one, as a lost cache is
+            logging.getLogger(__name__).warning("state %s can't be read: %s", path, e)
+        else:
+            if set(required) <= set(df.columns):
+                return df
     return spark.createDataFrame([], schema)
 
 
