@@ -1,19 +1,21 @@
 """License scans by sparse TF-IDF cosine, with nearest-ancestor inheritance; DataFrame functions only.
 
-Units are the lines, the sentences and the paragraphs of a whole text that can reach the threshold, and the whole text
-of a file named like a licence. A cosine is at most the length of the template's part that the unit shares, so units
-that share too little with every template cannot reach it and are left out (by `cue` first); nothing else is. A unit's
-terms are weighted by their count and the inverse document frequency over the template phrases (`TEMPLATES`, a fixed
-list, so its table may be broadcast); a document's licence is the template with the largest cosine over its units, if
-that reaches `THRESHOLD`. A document without one takes that of the licence file in its nearest ancestor directory:
-directories, not documents, are joined with the licence files' directories.
-
-Only texts that match `cue` are split, only units' terms are exploded, and sums combine before they are shuffled; no
-directory or licence is gathered in one task.
-
-Cases: a null or empty text has no licence of its own; ties go to the first template in order; two licence files in
-one directory: the larger score, then the smaller path; null paths inherit nothing; repeated rows get equal answers;
-an empty table gives no rows; extra columns are ignored; long texts count whole.
+Units are the lines, the sentences and the paragraphs of a whole text, and the whole text of a file named like a
+licence. A unit's terms (words, and numbers with their points, without `STOP` words) are weighted by 1 + ln of their
+count and the inverse document frequency over the templates: whole licence texts, their paragraphs, customary notices
+and every SPDX line, a fixed list, so its table may be broadcast. A document's licence is the template with the
+largest cosine over its units, if that reaches `THRESHOLD` with at least `LEAST_TERMS` common terms. A document without
+one takes that of the licence file in its nearest ancestor directory: directories, not documents, are joined with the
+licence files' directories.
+
+A cosine is at most the length of the template's part that the unit shares. So a unit that shares too little with
+every template can't reach the threshold and is left out; and a text without any word of `cue`, which every unit that
+can reach it has, isn't split. Nothing else is left out. Sums combine before they are shuffled, and documents meet what
+their directories inherit by a broadcast of a checked size, or else by salted keys, so no directory is one task.
+
+Cases: a null or empty text has no licence of its own; `RESERVED` yields to every other licence; ties go to the first template in order; of two licence files
+in one directory the larger score counts, then the smaller path, then the first template; null paths inherit nothing;
+repeated rows get equal answers; an empty table gives no rows; extra columns are ignored; long texts count whole.
 """
 
 from __future__ import annotations
@@ -27,50 +29,110 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Phrases by which licences are stated, as public licence texts and their customary notices word them.
-TEMPLATES: list[tuple[str, str]] = [
+# Public licence texts, the customary notices of licences, and SPDX identifiers.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_ZERO = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+_UNLICENSE_REST = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_END = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+
+TEXTS: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "MIT License"),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_MIT_NOTICE} {_AS_IS}"),
+    ("MIT", _MIT_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_END}"),
+    ("Apache-2.0", _APACHE_END),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_END}"),
+    ("BSD-2-Clause", f"{_BSD_1} {_BSD_2}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_1} {_BSD_2}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_1} {_BSD_2} {_BSD_3}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3}"),
+    ("BSD-3-Clause", _BSD_3),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_END}"),
+    ("0BSD", _ZERO),
+    ("0BSD", f"{_ZERO} {_ISC_END}"),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE} {_UNLICENSE_REST}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
-
-#: CUE is read by the DuckDB SQL and its restatement only; the scan's own prefilter is `cue`.
-CUE, TERM, THRESHOLD = r"(?i)licen[cs]|spdx|copyright|creative commons|public domain|redistribution|permission is hereby|free software", r"[a-z0-9]+", 0.6
+GNU: list[tuple[str, str, str, str]] = [
+    ("GPL-2.0", "General", "2", "June 1991"),
+    ("GPL-3.0", "General", "3", "29 June 2007"),
+    ("LGPL-2.1", "Lesser General", "2.1", "February 1999"),
+    ("LGPL-3.0", "Lesser General", "3", "29 June 2007"),
+    ("AGPL-3.0", "Affero General", "3", "19 November 2007"),
+]
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC 0BSD Unlicense MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
+STOP = "a all an and any are as at be by can for from if in into is it its of on only or that the this to under was will with you your which such may not no".split()
+
+
+def _templates() -> list[tuple[str, str]]:
+    """The texts, then notices of GNU licences and SPDX lines by rule."""
+    out = list(TEXTS)
+    for name, kind, version, date in GNU:
+        title = f"GNU {kind} Public License"
+        terms = f"you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation"
+        out += [(name, f"This work is licensed under the {title}, version {version}."), (name, f"{title} Version {version}, {date}")]
+        for what in ("This program", "This library"):
+            out += [(name, f"{what} is free software: {terms}, either version {version} of the License, or (at your option) any later version."), (name, f"{what} is free software; {terms}; version {version}.")]
+    for name in SPDX:
+        out += [(name, f"SPDX-License-Identifier: {name}{tail}") for tail in (("-only", "-or-later", "") if "GPL" in name else ("",))]
+    return out
+
+
+TEMPLATES = _templates()
+TERM, THRESHOLD, LEAST_TERMS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*", 0.6, 2
 SLACK = 1e-4  # for the rounding of scores
-SENTENCE, FILE_NAME = r"(?<=[.!?])\s+", r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+BLANK = "[ \\t\\r\\f\\n]"
+LINE, SENTENCE, PARAGRAPH, FILE_NAME = r"\n", rf"(?<=[.!?]){BLANK}+", rf"\n{BLANK}*\n", r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+RESERVED = "Proprietary"  # reserved rights stand in granting notices too: they count where no other licence reaches the threshold
+SMALL = 200_000  # rows of two directories and a licence that may be broadcast
+SALTS = 64
+
+
+def terms_of(text: str) -> list[str]:
+    return [t for t in re.findall(TERM, text.lower()) if t not in STOP]
 
 
 def template_weights() -> tuple[list[dict], float]:
     """(template, licence, term, its part of the unit vector and its idf) rows, and the idf of other terms."""
-    bags = [re.findall(TERM, text.lower()) for _, text in TEMPLATES]
-    n = len(bags)
-    idf = {t: log((n + 1) / (sum(t in b for b in bags) + 1)) + 1 for t in sorted({t for b in bags for t in b})}
+    bags = [terms_of(text) for _, text in TEMPLATES]
+    n, sets = len(bags), [set(b) for b in bags]
+    idf = {t: log((n + 1) / (sum(t in b for b in sets) + 1)) + 1 for t in sorted(set().union(*sets))}
     rows = []
     for i, ((licence, _), bag) in enumerate(zip(TEMPLATES, bags, strict=True)):
-        norm = sqrt(sum((bag.count(t) * idf[t]) ** 2 for t in sorted(set(bag))))
-        rows += [{"template": i, "licence": licence, "term": t, "part": bag.count(t) * idf[t] / norm, "idf": idf[t]} for t in sorted(set(bag))]
+        w = {t: (1 + log(bag.count(t))) * idf[t] for t in sorted(set(bag))}
+        norm = sqrt(sum(x * x for x in w.values()))
+        rows += [{"template": i, "licence": licence, "term": t, "part": x / norm, "idf": idf[t]} for t, x in w.items()]
     return rows, log(n + 1) + 1
 
 
@@ -87,66 +149,93 @@ def _squares() -> list[dict[str, float]]:
     return [{r["term"]: r["part"] ** 2 for r in sorted(bag, key=lambda r: (len(r["term"]), r["idf"], r["term"]))} for bag in bags.values()]
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of the words as a tree of their first letters, so that most text fails at its first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h) + (any_of(rest) if rest != [""] else "") for h, rest in heads.items() if h]
+    inner = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{inner})?" if "" in heads else inner
+
+
 def cue(threshold: float) -> str:
-    """A pattern that a lower-case unit must match to reach the threshold: of each template, all terms but the shortest (prose has many of those), which stay below it together."""
+    """A pattern that a lower-case unit must match to reach the threshold: of each template, all terms but the shortest (prose
+    has many of those): those that stay below it together, and one at least, as a unit shares `LEAST_TERMS` terms or more."""
     least, kept = max(threshold, 0) ** 2 - SLACK, set()
     for squares in _squares():
         without = 0.0
-        for term, x in squares.items():
+        for i, (term, x) in enumerate(squares.items()):
             without += x
-            if without >= least:
+            if without >= least and i >= LEAST_TERMS - 1:
                 kept.add(term)
-    return f"(?<![a-z0-9])(?:{'|'.join(sorted(kept))})(?![a-z0-9])"
+    words, numbers = ([t for t in kept if t[0].isdigit() == digits] for digits in (False, True))
+    sides = [f"(?<![{c}]){any_of(own)}(?![{c}])" for own, c in ((words, "a-z"), (numbers, "0-9")) if own]
+    return "|".join(sides) if threshold > 0 else ""
 
 
 def units(text: Column, whole: Column, threshold: float = THRESHOLD) -> Column:
-    """The distinct stretches of a text that are scored."""
+    """The distinct stretches of a text that can reach the threshold."""
     can, least = cue(threshold), max(threshold, 0) ** 2 - SLACK
-    templates = F.array(*[F.create_map(*[F.lit(x) for pair in squares.items() for x in pair]) for squares in _squares()])
-    known = F.array(*map(F.lit, sorted({t for squares in _squares() for t in squares})))
-    parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, SENTENCE), F.split(text, r"\n\s*\n")))
-    some = F.transform(F.filter(parts, lambda u: F.lower(u).rlike(can)), lambda u: F.struct(u.alias("u"), F.array_intersect(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)), known).alias("terms")))
-    shared = lambda terms, t: F.aggregate(terms, F.lit(0.0), lambda x, term: x + F.coalesce(F.try_element_at(t, term), F.lit(0.0)))
-    scored = F.filter(some, lambda s: F.exists(templates, lambda t: shared(s["terms"], t) >= least))["u"]
-    return F.array_distinct(F.concat(F.when(F.lower(text).rlike(can), scored).otherwise(F.array().cast("array<string>")), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
+    by_term: dict[str, dict[str, float]] = {}
+    for i, squares in enumerate(_squares()):
+        for term, x in squares.items():
+            by_term.setdefault(term, {})[str(i)] = x
+    table = F.from_json(F.lit(json.dumps(by_term)), "map<string,map<string,double>>")
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.split(text, LINE), F.split(text, SENTENCE), F.split(text, PARAGRAPH), F.when(whole, F.array(text)).otherwise(none))
+    some = F.filter(F.array_distinct(parts), lambda u: F.lower(u).rlike(can))
+    known = lambda u: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0))), lambda t: F.map_contains_key(table, t))
+    shared = F.transform(some, lambda u: F.struct(u.alias("u"), F.flatten(F.transform(known(u), lambda t: F.map_entries(F.element_at(table, t)))).alias("e")))
+    total = lambda e, i: F.aggregate(F.filter(e, lambda x: x["key"] == i), F.lit(0.0), lambda a, x: a + x["value"])
+    reach = F.filter(shared, lambda s: F.exists(F.array_distinct(F.transform(s["e"], lambda x: x["key"])), lambda i: total(s["e"], i) >= least))["u"]
+    return F.when(F.lower(text).rlike(can), reach).otherwise(none)
 
 
 def best_matches(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, licence, score) of every (id, units) row with a unit that reaches the threshold."""
+    """(id, licence, score, template) of every (id, units) row with a unit that reaches the threshold."""
     spark = rows.sparkSession
     weights, other = template_weights()
     table = F.broadcast(_table(spark, weights, "template:int,licence:string,term:string,part:double,idf:double"))  # a fixed list
     known = F.broadcast(_table(spark, [dict(t) for t in sorted({(("term", r["term"]), ("idf", r["idf"])) for r in weights})], "term:string,idf:double"))
     terms = rows.select("id", F.posexplode("units").alias("unit", "u")).select("id", "unit", F.explode(F.regexp_extract_all(F.lower("u"), F.lit(TERM), F.lit(0))).alias("term"))
-    counted = terms.groupBy("id", "unit", "term").agg(F.count("*").alias("k"))
-    weighed = counted.join(known, "term", "left").withColumn("w", F.col("k") * F.coalesce("idf", F.lit(other)))
+    counted = terms.where(~F.col("term").isin(*STOP)).groupBy("id", "unit", "term").agg(F.count("*").alias("k"))
+    weighed = counted.join(known, "term", "left").withColumn("w", (1 + F.ln("k")) * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.round(F.col("w") * F.col("w"), 9))).alias("norm"))
-    dots = weighed.join(table.select("template", "licence", "term", "part"), "term").groupBy("id", "unit", "template", "licence").agg(F.sum(F.round(F.col("w") * F.col("part"), 9)).alias("dot"))
-    scored = dots.join(norms, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("template")).alias("order"), "licence")).alias("x"))
-    return best.select("id", F.col("x.licence").alias("licence"), F.col("x.score").alias("score"))
+    dots = weighed.join(table.select("template", "licence", "term", "part"), "term").groupBy("id", "unit", "template", "licence").agg(F.sum(F.round(F.col("w") * F.col("part"), 9)).alias("dot"), F.count("*").alias("common"))
+    scored = dots.where(F.col("common") >= LEAST_TERMS).join(norms, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    best = scored.groupBy("id").agg(F.max(F.struct((F.col("licence") != RESERVED).alias("granted"), "score", (-F.col("template")).alias("order"), "licence")).alias("x"))
+    return best.select("id", F.col("x.licence").alias("licence"), F.col("x.score").alias("score"), F.col("x.order").alias("order"))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """One row per file: key, path, licence, score, origin (`header`, `file`, `inherited` or null) and from_dir, the directory inherited from."""
     scratch = Scratch(files.sparkSession, "licences")
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("whole", F.coalesce(name.rlike(FILE_NAME), F.lit(False)))
-    rows = rows.select("key", "path", "whole", units(F.col("text"), F.col("whole"), threshold).alias("units")).withColumn("units", F.filter("units", lambda u: F.trim(u) != ""))
-    rows = rows.withColumn("id", F.when(F.size("units") > 0, F.xxhash64("units")))  # equal units are scored once
-    rows = scratch.table("units", rows)
+    rows = rows.select("key", "path", "whole", units(F.col("text"), F.col("whole"), threshold).alias("units"))
+    rows = scratch.table("units", rows.withColumn("id", F.when(F.size("units") > 0, F.xxhash64("units"))))  # equal units are scored once
     distinct = rows.where("id is not null").groupBy("id").agg(F.first("units").alias("units"))
     best = scratch.table("best", best_matches(distinct, threshold))
-    own = rows.select("key", "path", "whole", "id", _directory().alias("dir")).join(best, "id", "left")
-    found = own.where("whole and licence is not null and dir is not null").groupBy("dir").agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.xxhash64("path").alias("tie"))).alias("x")).select("dir", "x.licence", "x.score")
+    placed = rows.select("key", "path", "whole", "id", _directory().alias("dir"))
+    lone = placed.where("id is null").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("licence", "string"), ("score", "double"), ("order", "int"))])
+    own = placed.where("id is not null").join(best, "id", "left").select(*lone.columns).union(lone)
+    # The negated order and path rank: a larger score, then the smaller path, then the first template.
+    found = own.where("whole and licence is not null and dir is not null").groupBy("dir", "path").agg(F.max(F.struct("score", "order", "licence")).alias("x"))
+    found = found.groupBy("dir").agg(F.min(F.struct((-F.col("x.score")).alias("less"), "path", F.col("x.licence").alias("licence"))).alias("x")).select("dir", F.col("x.licence").alias("licence"), (-F.col("x.less")).alias("score"))
     lacking = own.where("licence is null and dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     above = lacking.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))).alias("a")).select("dir", "a.level", "a.up")
     near = above.join(found.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("level", "up", "licence", "score")).alias("x"))
-    near = near.select("dir", F.col("x.up").alias("from_dir"), F.col("x.licence").alias("above"), F.col("x.score").alias("above_score"))
+    near = scratch.table("near", near.select("dir", F.col("x.up").alias("from_dir"), F.col("x.licence").alias("above"), F.col("x.score").alias("above_score")))
+    if near.count() <= small:
+        joined = own.join(F.broadcast(near), "dir", "left")
+    else:
+        salt = F.array(*[F.lit(i) for i in range(SALTS)])
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int")).join(near.withColumn("salt", F.explode(salt)), ["dir", "salt"], "left")
     origin = F.when(F.col("licence").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("above").isNotNull(), "inherited")
-    return own.join(near, "dir", "left").select(
+    return joined.select(
         F.col("key").alias(key), "path", F.coalesce("licence", "above").alias("licence"), F.coalesce("score", "above_score").alias("score"),
         origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("from_dir")).alias("from_dir"),
     )

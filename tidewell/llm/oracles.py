@@ -57,21 +57,34 @@ QUOTATION = f"""
 
 
 def license_scan() -> str:
-    weights, other = licences.template_weights()
-    values = ", ".join(f"({r['template']}, '{r['licence']}', '{r['term']}', CAST({r['part']!r} AS DOUBLE), CAST({r['idf']!r} AS DOUBLE))" for r in weights)
+    """Weights, units and inheritance anew from the template texts, over all units of all texts."""
+    templates = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+    stop, term, blank = ", ".join(f"'{w}'" for w in licences.STOP), licences.TERM, licences.BLANK
     return f"""
-    WITH w(template, licence, term, part, idf) AS (VALUES {values}), idf AS (SELECT DISTINCT term, idf FROM w
-    ), d AS (SELECT doc_id, '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS text FROM documents
+    WITH t(template, licence, text) AS (VALUES {templates}
+    ), tt AS (SELECT template, licence, term, 1 + ln(count(*)) AS k FROM (SELECT template, licence, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM t) WHERE term NOT IN ({stop}) GROUP BY ALL
+    ), idf AS (SELECT term, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)) + 1 AS idf FROM tt GROUP BY 1
+    ), tw AS (SELECT tt.*, k * idf AS x FROM tt JOIN idf USING (term)
+    ), w AS (SELECT template, licence, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS part FROM tw
+    ), d AS (
+        SELECT doc_id, '/' || source || CASE WHEN doc_id % 14 = 0 THEN '' ELSE '/' || CAST(doc_id % 10 AS VARCHAR) END || CASE WHEN doc_id % 7 = 0 THEN '/LICENSE' ELSE '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path,
+            doc_id % 7 = 0 AND source IS NOT NULL AS whole, coalesce(text, '') AS text FROM documents
     ), parts AS (
-        SELECT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))), regexp_split_to_array(text, '\\n\\s*\\n'))) AS u
-        FROM d WHERE regexp_matches(text, '{licences.CUE}')
-    ), units AS (SELECT DISTINCT doc_id, u FROM parts WHERE regexp_matches(u, '{licences.CUE}')
-    ), terms AS (SELECT doc_id, u, term, count(*) AS k FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '{licences.TERM}')) AS term FROM units) GROUP BY ALL
-    ), weighed AS (SELECT t.doc_id, t.u, t.term, t.k * coalesce(i.idf, {other!r}) AS x FROM terms t LEFT JOIN idf i ON t.term = i.term
+        SELECT doc_id, unnest(list_concat(list_concat(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?]){blank}+', '\\1' || chr(1), 'g'), chr(1))), regexp_split_to_array(text, '\n{blank}*\n')), CASE WHEN whole THEN [text] ELSE [] END)) AS u FROM d
+    ), units AS (SELECT DISTINCT doc_id, u FROM parts
+    ), terms AS (SELECT doc_id, u, term, 1 + ln(count(*)) AS k FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '{term}')) AS term FROM units) WHERE term NOT IN ({stop}) GROUP BY ALL
+    ), weighed AS (SELECT t.doc_id, t.u, t.term, t.k * coalesce(i.idf, (SELECT ln(count(*) + 1) + 1 FROM t)) AS x FROM terms t LEFT JOIN idf i ON t.term = i.term
     ), norms AS (SELECT doc_id, u, sqrt(sum(round(x * x, 9))) AS norm FROM weighed GROUP BY doc_id, u
     ), scored AS (
         SELECT a.doc_id, w.template, w.licence, round(sum(round(a.x * w.part, 9)) / any_value(n.norm), 6) AS score
-        FROM weighed a JOIN w ON a.term = w.term JOIN norms n ON a.doc_id = n.doc_id AND a.u = n.u GROUP BY a.doc_id, a.u, w.template, w.licence
-    ), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r FROM scored WHERE score >= {licences.THRESHOLD})
-    SELECT d.doc_id, d.path, b.licence, b.score, CASE WHEN b.licence IS NOT NULL THEN 'header' END AS origin, CAST(NULL AS VARCHAR) AS from_dir
-    FROM d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.r = 1"""
+        FROM weighed a JOIN w ON a.term = w.term JOIN norms n ON a.doc_id = n.doc_id AND a.u = n.u GROUP BY a.doc_id, a.u, w.template, w.licence HAVING count(*) >= {licences.LEAST_TERMS}
+    ), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY licence = '{licences.RESERVED}', score DESC, template) AS r FROM scored WHERE score >= {licences.THRESHOLD}
+    ), own AS (SELECT d.doc_id, d.path, d.whole, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.template FROM d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.r = 1
+    ), found AS (SELECT dir AS up, licence AS above, score AS above_score FROM own WHERE whole AND licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, template) = 1
+    ), near AS (
+        SELECT o.doc_id, f.up, f.above, f.above_score FROM own o JOIN found f ON o.dir = f.up OR starts_with(o.dir, f.up || '/')
+        WHERE o.licence IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(f.up) DESC) = 1
+    )
+    SELECT o.doc_id, o.path, coalesce(o.licence, n.above) AS licence, coalesce(o.score, n.above_score) AS score,
+        CASE WHEN o.licence IS NOT NULL THEN CASE WHEN o.whole THEN 'file' ELSE 'header' END WHEN n.above IS NOT NULL THEN 'inherited' END AS origin, n.up AS from_dir
+    FROM own o LEFT JOIN near n ON o.doc_id = n.doc_id"""
