@@ -122,21 +122,27 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _with_grams(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """`wanted` (doc_id, k1, k2, ...) with the grams of that document's text that has the key (k1, k2)."""
-    texts = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
-    joined = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("__key"))).drop("__key")
+    """`wanted` (uid, doc_id, th, k1, k2, ...) with the grams of the document with that key and text. The join is by key and
+    hash of the text, so a key that many rows share (null, too) is spread; it is a merge join, which gives repeated rows
+    one after another, and only the first of them is read."""
+    texts = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text).cast("string")).alias("__th"), F.col(text).cast("string").alias("__text"))
+    joined = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("th") == F.col("__th"))).drop("__key", "__th")
     names = [c for c in joined.columns if c != "__text"]
     schema = ", ".join([*(f"{c} {joined.schema[c].dataType.simpleString()}" for c in names), "grams binary"])
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for rb in batches:
-            k1, k2, keep, found = rb.column(names.index("k1")).to_pylist(), rb.column(names.index("k2")).to_pylist(), [], []
+            uid, k1, k2, keep, found = *(rb.column(names.index(c)).to_pylist() for c in ("uid", "k1", "k2")), [], []
             for i, t in enumerate(rb.column(len(names))):
+                if uid[i] == done:
+                    continue
                 own = grams(t.as_py()).tobytes()
                 if np.frombuffer(xxhash.xxh3_128_digest(own), ">i8").tolist() == [k1[i], k2[i]]:
                     keep.append(i)
                     found.append(own)
+                    done = uid[i]
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in rb.columns[: len(names)]), pa.array(found, pa.binary())], [*names, "grams"])
 
