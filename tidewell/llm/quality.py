@@ -2,15 +2,17 @@
 
 `statistics` reads every whole text once and gives counts; `FEATURES` are ratios of them, as Spark columns.
 `learn` covers the rows labelled bad one rule at a time: a rule grows on two thirds of the rows by the
-threshold with the largest information gain, is pruned from its end on the other third, and is kept if it is
-right at `PRECISION` there at least, so that clean documents stay. `verdict` turns the ordered rules into one
+threshold with the largest information gain, is pruned to the best of its parts (any conditions may go) on the other
+third, and is kept if it is right at `PRECISION` there at least, so that clean documents stay. A rule has at most
+`CONDITIONS` conditions and a list at most `RULES` rules. `verdict` turns the ordered rules into one
 `CASE WHEN` over the features, inside whole-stage code generation.
 
 At most `SAMPLE` labelled rows teach (picked by a hash of the key). No shuffle but for the join of that
 bounded sample.
 
 Cases: a null or empty text has zero counts and fails the base rule; features of empty texts are 0; labels
-that are null, or keys without a document, do not teach; a key labelled twice counts as bad if either says so;
+that are null, or keys without a document, do not teach; a key labelled twice counts as bad if either says so; of a key
+with several texts the one with the smallest hash teaches;
 without labels no learned rule applies; repeated rows get equal verdicts; extra columns do not matter; an
 empty table gives no rows; a very long text counts whole.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import trimmed
 
-SAMPLE, PRECISION, LEAST, CUTS = 6000, 0.97, 8, 40
+SAMPLE, PRECISION, LEAST, CUTS, RULES, CONDITIONS = 6000, 0.97, 8, 40, 12, 4
 WORD, UPPER = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
@@ -125,7 +127,7 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, names: lis
     """Adds the condition with the largest gain (bad rows kept, times bits won) until only bad rows are covered."""
     rule: list[Condition] = []
     hit = rows.copy()
-    while bad[hit].any() and not bad[hit].all() and len(rule) < 4:
+    while bad[hit].any() and not bad[hit].all() and len(rule) < CONDITIONS:
         p0, best = bad[hit].mean(), (0.0, None)
         for name in names:
             v = x[name]
@@ -151,14 +153,15 @@ def prune(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray, rows
         p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
         return ((p - 2 * n) / (p + n) if p + n else -2.0, p)
 
-    return max((rule[:k] for k in range(1, len(rule) + 1)), key=worth, default=[])
+    parts = ([c for i, c in enumerate(rule) if keep >> i & 1] for keep in range(1, 1 << len(rule)))
+    return max(sorted(parts, key=len), key=worth, default=[])  # of equals the shortest
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3) -> list[list[Condition]]:
     """The ordered rules; a document that any rule covers is bad."""
     rules, left, names = [], np.ones(len(bad), bool), list(FEATURES)
     part = np.random.default_rng(seed).permutation(len(bad)) % 3
-    while bad[left].sum() >= 2 * LEAST and len(rules) < 12 and names:
+    while bad[left].sum() >= 2 * LEAST and len(rules) < RULES and names:
         growing, pruning = left & (part > 0), left & (part == 0)
         rule = prune(grow(x, bad, growing, names), x, bad, pruning)
         if not rule:
@@ -177,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     picked = own.orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(sample)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")  # at most `sample` keys
-    got = statistics(texts, "t", ["k", "y"]).dropDuplicates(["k"]).select("k", "y", *[feature(f).alias(f) for f in FEATURES]).limit(sample).collect()
+    # Of a repeated key the text with the smallest hash teaches, however the table is partitioned.
+    measured = statistics(texts.withColumn("h", F.xxhash64("t")), "t", ["k", "y", "h"]).select("k", "h", F.struct("y", *[feature(f).alias(f) for f in FEATURES]).alias("x"))
+    got = measured.groupBy("k").agg(F.min(F.struct("h", "x")).alias("m")).select("k", "m.x.*").collect()
     got.sort(key=lambda r: r.k)
     return learn({f: np.array([r[f] for r in got], float) for f in FEATURES}, np.array([r.y == 0 for r in got], bool)) if got else []
 
