@@ -5,11 +5,14 @@ case, with everything but letters as blanks. Their embeddings are averaged and a
 per language; both are trained together by stochastic gradient descent in numpy. Since averaging and the layer
 are linear, a trained model is one table of a score per bucket and language.
 
-Training uses at most `SAMPLE` labelled rows (a fixed choice by a hash of the key, so it is the same however
-the table is partitioned); a fifth of them calibrate: a temperature is fitted to them, and the rejection
-threshold is the highest score at which no more than `LOST` of the correctly labelled ones are rejected, so
-that what is rejected is what the model is less sure of than of nearly every labelled text, and never a text
-that it gives more than `CEILING`.
+Training uses the `SAMPLE` labelled rows with the smallest hashes of their keys, and the first `RARE` of every label, so
+that a rare language is learned too; the choice is the same however the table is partitioned. A fifth of them calibrate:
+
+* a temperature is fitted to them, with targets smoothed by their number, so it has an inner optimum even where all are
+  right;
+* a text is rejected if its best language is less sure than that of all but `LOST` of the rightly labelled ones, or if it
+  looks less familiar than they do: the mean log share that its n-grams have in the training texts, given the benefit of
+  two standard errors, so that a short text isn't rejected for chance alone. Both thresholds are quantiles, nothing else.
 
 Cases: a null, empty or letterless text is `und` with score 0 and is rejected; labels that are null do not
 teach; ties between languages go to the first in order; repeated rows and extra columns do not matter; with
@@ -24,12 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import trimmed
 
-BUCKETS, GRAMS, WIDTH, SAMPLE, LOST, CEILING = 1 << 16, (2, 3, 4), 16, 4000, 0.002, 0.5
+BUCKETS, GRAMS, WIDTH, SAMPLE, RARE, LOST = 1 << 16, (2, 3, 4), 16, 4000, 50, 0.002
 LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -49,24 +52,28 @@ def features(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # a row per bucket, a column per language
+    table: np.ndarray  # a row per bucket: a score per language, and the log of the bucket's share of the training texts
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    spread: float = 0.0  # of the log shares of single n-grams
+    familiar: float = -np.inf
 
-    def logits(self, text: str) -> np.ndarray:
-        """Mean of the rows of all n-grams; sums over runs bound memory for very long texts."""
+    def means(self, text: str) -> tuple[np.ndarray, float]:
+        """(logits, familiarity): means of the rows of all n-grams; sums over runs bound memory for very long texts."""
         buckets = features(text)
-        total = sum((self.table[buckets[i : i + 500_000]].sum(0, dtype=np.float64) for i in range(0, len(buckets), 500_000)), np.zeros(len(self.languages)))
-        return total / max(1, len(buckets)) + self.bias
+        total = sum((self.table[buckets[i : i + 500_000]].sum(0, dtype=np.float64) for i in range(0, len(buckets), 500_000)), np.zeros(len(self.languages) + 1))
+        n = max(1, len(buckets))
+        return total[:-1] / n + self.bias, float(total[-1] / n + 2 * self.spread / np.sqrt(n))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected)."""
         if not self.languages or not text or not LETTER.search(text):
             return "und", 0.0, True
-        p = softmax(self.logits(text) / self.temperature)
+        logits, familiar = self.means(text)
+        p = softmax(logits / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
+        return self.languages[best], float(p[best]), bool(p[best] < self.threshold or familiar < self.familiar)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -79,7 +86,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 2.0, seed:
     rows = [(t, y) for t, y in rows if t and y and LETTER.search(t)]
     languages = sorted({y for _, y in rows})
     if not rows:
-        return Model([], np.zeros((1, 0)), np.zeros(0))
+        return Model([], np.zeros((1, 1)), np.zeros(0))
     rng, code = np.random.default_rng(seed), {y: i for i, y in enumerate(languages)}
     bags = []
     for text, y in rows:
@@ -105,35 +112,45 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 2.0, seed:
             bias -= 0.1 * lr * error
             # Each n-gram moves by its share of the text, scaled up so that sparse rows learn at the layer's pace.
             embed[buckets] -= lr * 50 * np.outer(shares, back)
-    model = Model(languages, (embed @ layer).astype(np.float32), bias)
+    seen = np.full(BUCKETS, 1e-9)  # a bucket's share of the training texts
+    for i in own:
+        seen[bags[i][0]] += bags[i][1] / len(own)
+    share = np.log(seen)
+    model = Model(languages, np.column_stack([embed @ layer, share]).astype(np.float32), bias)
+    model.spread = float(np.sqrt(max(0.0, (seen * share**2).sum() / seen.sum() - ((seen * share).sum() / seen.sum()) ** 2)))
     calibrate(model, [rows[i] for i in (held if len(held) else own)], code)
     return model
 
 
 def calibrate(model: Model, rows: list[tuple[str, str]], code: dict[str, int], lost: float = LOST) -> None:
-    logits, y = np.array([model.logits(t) for t, _ in rows]), np.array([code[x] for _, x in rows])
-    fits = [(-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in np.geomspace(0.05, 20, 60)]
-    model.temperature = float(min(fits)[1])
+    means, y = [model.means(t) for t, _ in rows], np.array([code[x] for _, x in rows])
+    logits, familiar = np.array([m[0] for m in means]), np.array([m[1] for m in means])
+    target = np.full(logits.shape, 1 / (len(y) + 2) / max(1, logits.shape[1] - 1))
+    target[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
+    loss = lambda t: float(-(target * np.log(softmax(logits / t) + 1e-300)).sum(1).mean())
+    model.temperature = float(min(np.geomspace(1e-4, 1e3, 400), key=loss))
     p = softmax(logits / model.temperature)
-    right = np.sort(p.max(1)[p.argmax(1) == y])
-    #: Between hardly better than a guess and an even chance.
-    floor = min(1.2 / max(2, len(model.languages)), CEILING)
-    model.threshold = float(np.clip(right[int(lost * len(right))] if len(right) else 0.0, floor, CEILING))
+    right = p.argmax(1) == y
+    if right.any():
+        at = int(lost * right.sum())
+        model.threshold, model.familiar = float(np.sort(p.max(1)[right])[at]), float(np.sort(familiar[right])[at])
 
 
 def crc32_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled rows. Keys are picked first, so only the picked texts reach the driver."""
-    labelled = docs.where(F.col(label).isNotNull())
-    picked = labelled.select(F.col(key).alias("k"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h", "k").limit(sample)
-    cut = picked.agg(F.max("h")).first()[0]
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE, rare: int = RARE) -> Model:
+    """A model of at most `sample` labelled rows and the first `rare` of each label. Hashes are picked first, so only the
+    picked texts reach the driver."""
+    named = docs.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    cut = named.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return train([])
-    rows = labelled.where(F.xxhash64(F.col(key).cast("string")) <= F.lit(cut)).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    got = rows.orderBy("h", "t").limit(sample).collect()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", F.xxhash64("t")))
+    few = named.withColumn("r", rank).where(F.col("r") <= rare).where(F.col("h") > cut).select("t", "y", "h")
+    got = named.where(F.col("h") <= cut).orderBy("h", "t", "y").limit(sample).unionByName(few).collect()
+    got.sort(key=lambda r: (r.h, r.t or "", r.y))
     return train([(r.t, r.y) for r in got])
 
 
