@@ -4,61 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from tidewell.sources.shared import Scratch, shared_dir  # noqa: F401
 
 #: Characters of text handled at once inside one Arrow batch; bounds the arrays a worker holds.
 SLAB_CHARS = 2_000_000
 
-#: Spark's switch for removing the shuffle files of a finished execution.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 #: Bytes of text whose distinct words are looked up together.
 PORTION_BYTES = 10_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables under the shared folder that cut lineage: every executor can read them again after a loss."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """`df`, written and read again. Its shuffle files go when it is written: nothing reads them any more."""
-        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read again; without names, all."""
-        jvm = self.spark._jvm
-        for where in [f"{self.root}/{n}" for n in names] or [self.root]:
-            path = jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def portions(texts: pa.Array, limit: int = PORTION_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first, texts) for runs of whole texts with about `limit` bytes each; one longer text stands alone."""
     sizes, a = bounds(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
