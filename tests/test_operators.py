@@ -304,6 +304,24 @@ def test_model_labels_fall_back_to_rules(spark):
     assert good[0].content_type == "leader" and good[0].from_cache and good[1].content_type == "product" and len(good) == 12
 
 
+def test_batches_summaries_and_entered_fields(spark):
+    df = items(spark, [{"title": f"title {i}", "summary": "s" * 200, "source": "x", "url": "u"} for i in range(12)]).coalesce(1)
+    rules = df.select("ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    got = {r.ord: r for r in labelling.labelled_in_batches(df, rules, lambda p: '[{"id": 1, "content_type": "tools"}, {"id": 2}]', "m").collect()}
+    assert len(got) == 12 and (got[0].content_type, got[0].classified_by, got[1].content_type) == ("developer", "llm:m:batch", "market")
+    assert got[2].classified_by == "rule:fallback:parse_error" and got[5].content_type == "developer"
+    told = labelling.labelled(df, rules, lambda p: "so this must be\nresearch", "m").first()
+    assert (told.content_type, told.confidence, told.classified_by) == ("research", 0.85, "llm:m")
+
+    def down(prompt):
+        raise ConnectionError
+
+    assert [labelling.summarised(df, c).first().short for c in (None, down, lambda p: " short ")] == ["s" * 150 + "...", "s" * 150 + "...", "short"]
+    entered = [r[0] for r in spark.createDataFrame([(x,) for x in ("1, 4", "2", "NLP, Own", "99", "", "1,b")], "e string").select(review.tech_fields(F.col("e"))).collect()]
+    assert entered == [["NLP", "Generative AI"], ["Computer Vision"], ["NLP", "Own"], None, None, ["1", "b"]]
+    assert spark.range(1).select(publish.tags(F.array(*map(F.lit, "abc")))).first()[0] == ["a", "b"]
+
+
 def test_trends(spark):
     df = items(spark, [{"title": f"t{i}", "source": "b" if i else "a", "published": f"2024-12-{10 + i}"} for i in range(9)]).withColumns({"tech_categories": F.array(F.when(F.col("ord") < 2, "A").otherwise("B")), "content_type": F.lit("product"), "region": F.lit(None).cast("string")})
     assert [(r.key, r.n) for r in trends.hotspots(df).collect()] == [("B", 7), ("A", 2)]

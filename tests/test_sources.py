@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import schema
-from tidewell.sources import readers, registry, sinks
+from tidewell.sources import composed, readers, registry, sinks
 from tidewell.streaming import increment
 
 
@@ -81,6 +81,43 @@ def test_snapshots_and_state(spark, tmp_path):
     assert sinks.purge(spark, state, f"{tmp_path}/none") == 1
 
 
+def test_composed_sources(spark):
+    def rows(*own):
+        return schema.conform(spark.createDataFrame([(i, *x) for i, x in enumerate(own)], "ord long, title string, url string, published string").withColumn("published_ts", F.col("published").cast("timestamp")))
+
+    def name(i):
+        return f"{['zebra quark', 'violet harbour', 'mustard engine', 'quiet lantern', 'broken compass', 'frozen orchard'][i % 6]} {i}"
+
+    stories = rows(("LLM of the year", "s0", "2024-12-19"), ("nothing", "s1", "2024-12-19"), ("ai agents rise", "s2", "2024-12-01"), ("gpt harvest", "s3", "2024-12-18"))
+    seen = spark.createDataFrame([("url", "s3")], "kind string, value string").withColumn("seen_at", F.current_timestamp())
+    top = composed.top_stories(stories, seen, "2024-12-20 00:00:00")
+    assert [r.url for r in top.collect()] == ["s0"]
+    feeds = rows(("LLM of the year", "s0", "2024-12-19"), ("plain orchard music", "f1", "2024-12-20"), (None, "f2", None))
+    assert [r.url for r in composed.community(top, feeds).collect()] == ["f1", "s0", "f2"]
+    found = rows(("a first quiet word", "q0", "2024-12-19")).withColumn("leader", F.lit("Yann LeCun"))
+    quotes = composed.leader_quotes(found, rows(("blog of mountains", "b0", "2024-12-19")), "2024-12-20 00:00:00").collect()
+    assert (quotes[0].author, quotes[0].author_title, quotes[1].url) == ("Yann LeCun", "Meta Chief AI Scientist", "b0") and 2 < len(quotes) <= 7 and quotes[2].published == "2024-12-20"
+    assert composed.leader_quotes(found, rows(*[(name(i), f"b{i}", "2024-12-19") for i in range(6)]), "2024-12-20 00:00:00").where("url like 'https%'").count() == 0
+    feed = rows(*[(f"a long enough title {i}", f"https://x.org/{i}", "2024-12-19") for i in range(9)]).withColumn("feed", F.lit("f"))
+    old = spark.createDataFrame([("url", f"https://x.org/{i}") for i in (0, 2)], "kind string, value string")
+    assert [r.ord for r in composed.feed_items(feed, old, "2024-12-20 00:00:00", 3).orderBy("ord").collect()] == [1, 3, 4]
+    launch = rows(("officially launches today", "p0", "2024-12-18"), ("officially launches now", "p1", "2024-12-19")).withColumn("feed_url", F.when(F.col("ord") == 0, "https://openai.com/feed").otherwise("x"))
+    assert [(r.url, r.company) for r in composed.product_releases(launch).collect()] == [("p0", "OpenAI"), ("p1", None)]
+    assert {k: composed.backup(spark, k, "2024-12-20").count() for k in ("leader", "research", "repositories", "models", "blog")} == {"leader": 5, "research": 1, "repositories": 1, "models": 1, "blog": 1}
+    assert registry.developer_split(20, 3) == (5, 5, 3) and registry.developer_split(6, 9) == (2, 2, 2)
+
+
+def test_learning_sinks(spark, tmp_path):
+    f = spark.createDataFrame([("A", i, 0.5) for i in range(12)], "source string, seq bigint, score double")
+    assert not sinks.save_learned(f.limit(9), f"{tmp_path}/l", 0) and sinks.save_learned(f, f"{tmp_path}/l", 9) and not sinks.save_learned(f, f"{tmp_path}/l", 10)
+    assert sinks.read_state(spark, f"{tmp_path}/l", "source string").first().source == "a"
+    one = spark.createDataFrame([(1,)], "n int")
+    sinks.learning_report(one, one, one, f"{tmp_path}/r", "x")
+    assert spark.read.json(f"{tmp_path}/r/run_ts=x/patterns").count() == 1
+    sinks.page(spark, "<html>", f"{tmp_path}/p")
+    assert spark.read.text(f"{tmp_path}/p/latest").first()[0] == "<html>"
+
+
 def test_stream(spark, tmp_path):
     def land(name, rows):
         put(tmp_path / "in" / name, "\n".join(json.dumps({"ord": i, "title": f"A title number {t}", "url": f"https://x.org/{t}", "category": "news", "published_ts": f"2024-12-1{t}T00:00:00Z"}) for i, t in rows))

@@ -49,6 +49,13 @@ def history_of(items: DataFrame, seen_at: Column) -> DataFrame:
     return items.select(F.explode(pairs).alias("h"), seen_at.alias("seen_at")).select("h.*", "seen_at").where(F.coalesce("value", F.lit("")) != "")
 
 
+def backfilled(history: DataFrame) -> DataFrame:
+    """History with cache titles: one without any, as old ones are, gets them from its titles."""
+    lacks = F.broadcast(history.agg((F.count_if(F.col("kind") == "norm_title") == 0).alias("_lacks")))  # one row
+    made = history.where("kind = 'title'").crossJoin(lacks).where("_lacks").select(F.lit("norm_title").alias("kind"), X.cache_title(F.col("value")).alias("value"), "seen_at")
+    return history.unionByName(made.where("value <> ''").groupBy("kind", "value").agg(F.max("seen_at").alias("seen_at")))
+
+
 def flag_new(items: DataFrame, history: DataFrame) -> DataFrame:
     """`is_new` by three equi-joins with the history's distinct values; no join has an OR."""
     keyed = items.withColumns({"_k_url": F.when(stable_url(F.col("url")), X.normal_url(F.col("url"))), "_k_title": F.nullif(F.col("title"), F.lit("")), "_k_norm_title": F.nullif(X.cache_title(F.col("title")), F.lit(""))})

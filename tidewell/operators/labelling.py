@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.sources.shared import Scratch
 
 TYPES = ("research", "product", "market", "developer", "leader", "community")
 REPLY = "struct<content_type:string,type:string,confidence:double,ai_relevance:double,tech_fields:array<string>,fields:array<string>,is_verified:boolean,reasoning:string,reason:string,id:int>"
@@ -146,37 +147,76 @@ class Breaker:
         return "retry" if reason == "rate_limit" else "full_rule"
 
 
-def asked(items: DataFrame, client: Callable[[str], str], breaker: Callable[[], Breaker] = Breaker) -> DataFrame:
-    """(ord, reply, reason): each partition asks through its own breaker; a null reply has the reason why."""
+def _reply(own: Breaker, client: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    """(reply, None) or (None, the reason why there is none), after a second attempt where the breaker allows it."""
+    reason = "circuit_breaker"
+    for _ in range(2):
+        if not own.allows():
+            break
+        try:
+            reply = client(prompt)
+            own.succeeded()
+            return reply, None
+        except TimeoutError:
+            reason = "timeout"
+            own.failed(reason)
+        except ConnectionError:
+            reason = "connection_error"
+        except Exception:  # noqa: BLE001  a client may raise anything
+            reason = "model_error"
+            own.failed(reason)
+        if own.action(reason) != "retry":
+            break
+    return None, reason
+
+
+def asked(prompts: DataFrame, client: Callable[[str], str], breaker: Callable[[], Breaker] = Breaker) -> DataFrame:
+    """`prompts` (prompt and keys) with `reply` and `reason`: each partition asks through its own breaker."""
+    keys = [c for c in prompts.columns if c != "prompt"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = breaker()
         for pdf in batches:
-            replies, reasons = [], []
-            for p in pdf.prompt:
-                reply, reason = None, "circuit_breaker"
-                for _ in range(2):
-                    if not own.allows():
-                        break
-                    try:
-                        reply, reason = client(p), None
-                        own.succeeded()
-                        break
-                    except TimeoutError:
-                        reason = "timeout"
-                        own.failed(reason)
-                    except ConnectionError:
-                        reason = "connection_error"
-                    except Exception:  # noqa: BLE001  a client may raise anything
-                        reason = "model_error"
-                        own.failed(reason)
-                    if own.action(reason) != "retry":
-                        break
-                replies.append(reply)
-                reasons.append(reason)
-            yield pd.DataFrame({"ord": pdf.ord, "reply": replies, "reason": reasons})
-
-    return items.select("ord", prompt().alias("prompt")).mapInPandas(run, "ord long, reply string, reason string")
+            got = [_reply(own, client, p) for p in pdf.prompt]
+            yield pdf[keys].assign(reply=pd.Series([g[0] for g in got], pdf.index, object), reason=pd.Series([g[1] for g in got], pdf.index, object))
+
+    schema = ", ".join(f"`{c}` {prompts.schema[c].dataType.simpleString()}" for c in keys)
+    return prompts.mapInPandas(run, f"{schema}, reply string, reason string")
+
+
+BATCH_LABELS = "ord long, content_type string, confidence double, ai_relevance double, tech_categories array<string>"
+
+
+def parsed_batches(replies: DataFrame) -> DataFrame:
+    """(ord, labels) of every item of (ords, reply) rows that a reply labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(o, *x.values()) for ords, reply in zip(pdf.ords, pdf.reply, strict=True) for o, x in zip(ords, read_batch(reply, len(ords)), strict=True) if x]
+            yield pd.DataFrame(rows, columns=["ord", "content_type", "confidence", "ai_relevance", "tech_categories"])
+
+    return replies.select("ords", "reply").where("reply is not null").mapInPandas(run, BATCH_LABELS)
+
+
+def labelled_in_batches(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, size: int = 5) -> DataFrame:
+    """As `labelled`, asking for `size` items at once: what a reply does not label gets its rules' labels. `ord` tells items apart."""
+    replies = Scratch(items.sparkSession, "replies").table("asked", asked(batch_prompts(items, size), client))  # asked once, read twice
+    read = parsed_batches(replies).select("ord", F.col("content_type").alias("_mt"), F.col("confidence").alias("_mc"), F.col("ai_relevance").alias("_mr"))
+    reasons = replies.select(F.explode("ords").alias("ord"), "reason")
+    fallback = rules.select("ord", F.col("content_type").alias("_t"), F.col("confidence").alias("_c"), F.col("ai_relevance").alias("_r"))
+    by = F.when(F.col("_mt").isNotNull(), F.lit(f"llm:{model}:batch")).when(F.col("reason") == "circuit_breaker", "rule:circuit_breaker").otherwise(F.concat(F.lit("rule:fallback:"), F.coalesce("reason", F.lit("parse_error"))))
+    out = reasons.join(read, "ord", "left").join(fallback, "ord")
+    return out.select("ord", F.coalesce("_mt", "_t").alias("content_type"), F.coalesce("_mc", "_c").alias("confidence"), F.coalesce("_mr", "_r").alias("ai_relevance"), F.lit(False).alias("from_cache"), by.alias("classified_by"))
+
+
+def summarised(items: DataFrame, client: Callable[[str], str] | None = None, n: int = 150) -> DataFrame:
+    """(ord, short): a client's summary of title and text, or the rule's where there is no client or it fails."""
+    rule = X.cut(F.coalesce("summary", "description", F.lit("")), n)
+    if client is None:
+        return items.select("ord", rule.alias("short"))
+    prompt = F.format_string("Summarise the following in 100 characters at most:\nTitle: %s\nText: %s", F.coalesce("title", F.lit("")), F.coalesce("summary", "description", F.lit("")))
+    replies = asked(items.select("ord", rule.alias("rule"), prompt.alias("prompt")), client)
+    return replies.select("ord", F.coalesce(F.trim("reply"), "rule").alias("short"))
 
 
 def labelled(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, cache: DataFrame | None = None) -> DataFrame:
@@ -186,7 +226,10 @@ def labelled(items: DataFrame, rules: DataFrame, client: Callable[[str], str], m
         key = with_cache(key, cache.select("key", "content_type", "confidence", "ai_relevance"), model)
         hits = key.where("from_cache").select("ord", "content_type", "confidence", "ai_relevance", F.lit(True).alias("from_cache"), F.lit(f"llm:{model}").alias("classified_by"))
         key = key.where("not from_cache")
-    read = asked(key.select("ord", "title", "summary", "source", "url"), client).withColumn("x", parsed_reply(F.col("reply")))
+    read = asked(key.select("ord", prompt().alias("prompt")), client).withColumn("x", parsed_reply(F.col("reply")))
+    told = type_from_text(F.col("reply"))  # a reply without an object may still name a category
+    own = F.when(F.col("x").isNotNull(), F.struct("x.content_type", "x.confidence", "x.ai_relevance")).when(told.isNotNull(), F.struct(told["content_type"].alias("content_type"), told["confidence"].alias("confidence"), F.lit(0.7).alias("ai_relevance")))
+    read = read.withColumn("x", own)
     fallback = rules.select("ord", F.col("content_type").alias("_t"), F.col("confidence").alias("_c"), F.col("ai_relevance").alias("_r"))
     good = F.col("x").isNotNull()
     by = F.when(good, F.lit(f"llm:{model}")).when(F.col("reason") == "circuit_breaker", "rule:circuit_breaker").otherwise(F.concat(F.lit("rule:fallback:"), F.coalesce("reason", F.lit("parse_error"))))

@@ -45,6 +45,11 @@ def card(summary: Column) -> Column:
     return F.when(F.length(summary) > 150, F.concat(F.left(safe, F.lit(150)), F.lit("..."))).otherwise(safe)
 
 
+def tags(fields: Column, n: int = 2) -> Column:
+    """The technical fields that a card shows."""
+    return F.slice(F.coalesce(fields, F.array().cast("array<string>")), 1, n)
+
+
 def person(author: Column, title: Column, summary: Column, source: Column, known: tuple = PERSONS) -> Column:
     """Whose statement an item is: the author, a known name, a name by its place, or the source."""
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.lexicons import COMMON_WORDS
+from tidewell.lexicons import COMMON_WORDS, REVIEW_TECH
 from tidewell.operators.dedup import ranked_first
 
 
@@ -14,6 +14,15 @@ def queue(items: DataFrame, least: float = 0.6, limit: int | None = None) -> Dat
     return out if limit is None else out.orderBy("ord").limit(limit)
 
 
+def tech_fields(entered: Column, known: tuple = REVIEW_TECH) -> Column:
+    """Fields from what a reviewer entered: numbers of the list of known ones, or names. Null if nothing is left."""
+    parts = F.transform(F.split(F.trim(entered), ","), lambda t: F.trim(t))
+    numbers = F.filter(F.transform(parts, lambda t: t.try_cast("int")), lambda i: i.between(1, len(known)))
+    named = F.transform(numbers, lambda i: F.element_at(F.array(*map(F.lit, known)), i))
+    numeric = F.forall(parts, lambda t: t.rlike(r"^[+-]?[0-9]+$"))
+    return F.when(F.trim(entered) == "", None).when(numeric, F.when(F.size(named) > 0, named)).otherwise(parts)
+
+
 def ordered(decisions: DataFrame) -> DataFrame:
     """Decisions (ord, action, value, seq): `seq` orders the decisions on one item; without it they go by action and value."""
     seq = F.col("seq") if "seq" in decisions.columns else F.lit(0).cast("long")
@@ -38,7 +47,7 @@ def apply(items: DataFrame, decisions: DataFrame) -> DataFrame:
         "original_confidence": F.when(F.col("_moved"), F.when(F.col("_was").isNotNull(), 1.0).otherwise(F.col("confidence"))),
         "content_type": F.when(F.col("_moved"), F.col("_type")).otherwise(F.col("content_type")),
         "confidence": F.when(F.col("_moved"), 1.0).otherwise(F.col("confidence")),
-        "tech_categories": F.when(F.col("_retech"), F.transform(F.split("_tech", ","), lambda t: F.trim(t))).otherwise(F.col("tech_categories")),
+        "tech_categories": F.coalesce(F.when(F.col("_retech"), tech_fields(F.col("_tech"))), F.col("tech_categories")),
         "region": F.when(F.col("_placed"), F.col("_region")).otherwise(F.col("region")),
         "needs_review": F.when(F.col("_settled"), False).otherwise(F.coalesce("needs_review", F.lit(False))),
         "manually_reviewed": yes(F.col("_reviewed")),

@@ -74,6 +74,34 @@ def chart_label(content_type: Column) -> Column:
     return F.initcap(content_type)
 
 
+def month_day(day: Column) -> Column:
+    """`MM-dd` of a `yyyy-MM-dd` text."""
+    return F.substring(day, 6, 5)
+
+
+def chart_frames(items: DataFrame, at: Column, bars: int = 10, panel: int = 6) -> DataFrame:
+    """(chart, rank, label, n) of every chart: fields as bars and in the dashboard, categories, regions and days."""
+    from pyspark.sql import Window
+
+    def ranked(chart: str, per: DataFrame, label: Column, order: list[Column], n: int | None) -> DataFrame:
+        rows = per.orderBy(*order) if n is None else per.orderBy(*order).limit(n)
+        return rows.select(F.lit(chart).alias("chart"), F.row_number().over(Window.orderBy(*order)).alias("rank"), label.alias("label"), "n")  # a few rows
+
+    most = [F.desc("n"), F.col("key")]
+    fields = hotspots(items, bars).select("key", "n", "first")
+    frames = [
+        ranked("fields", fields, F.col("key"), [F.desc("n"), F.col("first"), F.col("key")], bars),
+        ranked("dashboard_fields", fields, F.col("key"), [F.desc("n"), F.col("first"), F.col("key")], panel),
+        ranked("content", distribution(items, "content_type", "market"), chart_label(F.col("key")), most, None),
+        ranked("regions", distribution(items, "region", "Global"), F.col("key"), most, None),
+        ranked("days", daily(items, at), month_day(F.col("day")), [F.col("day")], None),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def report(items: DataFrame) -> str:
     """The text report; only top rows and distributions reach the driver."""
     total = items.count()

@@ -6,6 +6,7 @@ own vocabularies are the defaults everywhere else.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tidewell import lexicons as L
 from tidewell.functions import text as X
 from tidewell.operators import classify, dedup, filters, importance, labelling, publish, review, trends
 from tidewell.plans import pipeline
+from tidewell.sources import composed
 from tidewell.plans import sqltext as Q
 from tidewell.plans.tables import AS_OF, DECISIONS, ITEMS, decisions, history, items, table
 
@@ -561,9 +563,81 @@ def llm_parse_single(spark, sf_dir):
     return items(spark, sf_dir).select("ord", labelling.parsed_reply(reply).alias("x")).select("ord", "x.content_type", "x.confidence")
 
 
-@query(with_items("SELECT CAST(floor(ord / 5) AS BIGINT) AS batch, count(*) AS n FROM items GROUP BY 1"))
+@query(with_items("SELECT CAST(floor(ord / 5) AS BIGINT) AS batch, count(*) AS n, md5('Classify each item; answer with a JSON array of objects with id.' || chr(10) || string_agg(CAST(i AS VARCHAR) || '. ' || line, chr(10) ORDER BY ord)) AS prompt FROM (SELECT ord, row_number() OVER (PARTITION BY floor(ord / 5) ORDER BY ord) AS i, ' ' || left(title, 80) || ' | ' || left(summary, 120) || ' | ' || left(coalesce(source, ''), 20) AS line FROM items) GROUP BY 1"))
 def llm_batch_prompts(spark, sf_dir):
-    return labelling.batch_prompts(items(spark, sf_dir)).select("batch", F.size("ords").cast("long").alias("n"))
+    return labelling.batch_prompts(items(spark, sf_dir)).select("batch", F.size("ords").cast("long").alias("n"), F.md5("prompt").alias("prompt"))
+
+
+@query(with_items("SELECT ord, CASE category WHEN 'news' THEN 'market' ELSE category END AS content_type, (ord % 10) / 10.0::DOUBLE AS confidence, 0.7::DOUBLE AS ai_relevance FROM items WHERE ord % 7 <> 3"))
+def llm_parse_batch(spark, sf_dir):
+    rows = items(spark, sf_dir).groupBy(F.floor(F.col("ord") / 5).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("ord", "category"))).alias("x"))
+    answers = F.filter(F.transform("x", lambda r, i: F.when(r["ord"] % 7 != 3, F.format_string('{"id": %d, "content_type": "%s", "confidence": %.1f}', i + 1, r["category"], (r["ord"] % 10) / 10.0))), lambda a: a.isNotNull())
+    replies = rows.select(F.transform("x", lambda r: r["ord"]).alias("ords"), F.concat(F.lit("```json\n["), F.array_join(answers, ","), F.lit("]\n```")).alias("reply"))
+    return labelling.parsed_batches(replies).select("ord", "content_type", "confidence", "ai_relevance")
+
+
+def _batch_client(prompt: str) -> str:
+    """A deterministic stand-in for a model that answers batches."""
+    lines = prompt.split("\n")[1:]
+    if len(prompt) % 7 == 0:
+        raise TimeoutError
+    return json.dumps([{"id": i + 1, "content_type": labelling.TYPES[len(x) % 6]} for i, x in enumerate(lines) if len(x) % 11])
+
+
+@query()
+def llm_batch_labels(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return labelling.labelled_in_batches(rows, rows, _batch_client, "local/model").select("ord", "content_type", "classified_by")
+
+
+# Composed sources
+
+
+@query(with_items("SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS r FROM items) WHERE r <= 40 AND coalesce(url, '') <> '' AND url NOT IN (SELECT url FROM items WHERE published < '2024-01-16' AND url IS NOT NULL)) WHERE r2 <= 20"))
+def url_prefilter(spark, sf_dir):
+    return composed.unseen(items(spark, sf_dir), history(spark, sf_dir), 20, "source").select("ord")
+
+
+@query(with_items(f"SELECT ord, company FROM (SELECT *, row_number() OVER (ORDER BY company IS NOT NULL DESC, published DESC, ord) AS r FROM items WHERE {Q.contains_any('lower(title || chr(32) || summary)', L.LAUNCH_TERMS)}) WHERE r <= 10"))
+def product_releases(spark, sf_dir):
+    return composed.product_releases(items(spark, sf_dir).withColumn("feed_url", F.lit("https://nowhere.example.com"))).select("ord", "company")
+
+
+@query()
+def community_union(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    feeds = rows.where("category = 'community'")
+    return composed.community(rows.where("category = 'news'").orderBy("ord").limit(50), feeds).select("ord", "title")
+
+
+@query()
+def leader_quotes(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    found = rows.where("category = 'leader' and source = 'src1'").withColumn("leader", F.lit("Sam Altman"))
+    return composed.leader_quotes(found, rows.where("category = 'leader' and source <> 'src1'"), AS_OF).select("ord", "title", "author", "author_title")
+
+
+@query(with_items("SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'title' AS kind, title AS value FROM items WHERE published < '2024-01-16' AND title <> '' UNION SELECT 'norm_title', nt FROM (SELECT " + Q.cache_title("title") + " AS nt FROM items WHERE published < '2024-01-16' AND title <> '') WHERE nt <> '') GROUP BY 1"))
+def history_backfill(spark, sf_dir):
+    old = history(spark, sf_dir).where("kind = 'title'").groupBy("kind", "value").agg(F.max("seen_at").alias("seen_at"))
+    return filters.backfilled(old).groupBy("kind").agg(F.countDistinct("value").alias("n"))
+
+
+_FRAME = "SELECT '{0}' AS chart, CAST(row_number() OVER (ORDER BY {1}) AS INT) AS rank, {2} AS label, n FROM ({3}) QUALIFY rank <= {4}"
+_FIELDS = "SELECT key, count(*) AS n, min(ord) AS first FROM (SELECT ord, unnest(tech_categories) AS key FROM fields) GROUP BY 1"
+_CHARTS = " UNION ALL ".join([
+    _FRAME.format("fields", "n DESC, first, key", "key", _FIELDS, 10),
+    _FRAME.format("dashboard_fields", "n DESC, first, key", "key", _FIELDS, 6),
+    _FRAME.format("content", "n DESC, key", "upper(left(key, 1)) || substring(key, 2)", "SELECT category AS key, count(*) AS n FROM items GROUP BY 1", 1000),
+    _FRAME.format("regions", "n DESC, key", "key", "SELECT 'Global' AS key, count(*) AS n FROM items", 1000),
+    _FRAME.format("days", "day", "substring(day, 6, 5)", "SELECT * FROM (SELECT published AS day, count(*) AS n FROM items GROUP BY 1 ORDER BY 1 DESC LIMIT 7)", 1000),
+])
+
+
+@query(with_items(_CHARTS, _tech_sql()))
+def chart_frames(spark, sf_dir):
+    tagged = classify.without_text(classify.with_text(items(spark, sf_dir)).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")}))
+    return trends.chart_frames(tagged, F.col("published_ts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,12 @@ def per_feed(quota: int, n_feeds: int) -> tuple[int, int]:
     return used, max(2, quota // max(1, n_feeds))
 
 
+def developer_split(quota: int, n_feeds: int) -> tuple[int, int, int]:
+    """(repositories, models, items of each developer feed) for a developer quota."""
+    one = min(5, quota // 3)
+    return one, one, max(2, (quota - 2 * one) // max(1, n_feeds))
+
+
 def with_backup(rows: DataFrame, backup: DataFrame, least: int = 5) -> DataFrame:
     """`rows`, and the backup rows too if there are fewer than `least`."""
     few = F.broadcast(rows.limit(least).agg((F.count("*") < least).alias("_few")))

@@ -60,6 +60,30 @@ def read_state(spark: SparkSession, path: str, schema: str, required: tuple[str,
     return spark.createDataFrame([], schema)
 
 
+def save_learned(feedback: DataFrame, path: str, before: int, every: int = 10) -> bool:
+    """Keeps what reviews taught (importance.learned_authority of `feedback`) whenever the number of scores passes a multiple of
+    `every`; `before` scores were known at the last call. True if it was kept."""
+    from tidewell.operators.importance import learned_authority
+
+    due = feedback.count() // every > before // every
+    if due:
+        replace_state(learned_authority(feedback), path)
+    return due
+
+
+def learning_report(summary: DataFrame, suggestions: DataFrame, patterns: DataFrame, path: str, run_ts: str) -> None:
+    """One run's learning report: summary, suggestions and patterns, as JSON under a partition of the run."""
+    base = f"{path}/run_ts={run_ts}"
+    for name, df in (("summary", summary), ("suggestions", suggestions), ("patterns", patterns)):
+        df.write.mode("overwrite").json(f"{base}/{name}")
+
+
+def page(spark: SparkSession, html: str, path: str) -> None:
+    """The HTML page under its run and as the latest one: two copies."""
+    for where in (f"{path}/index", f"{path}/latest"):
+        text_report(spark, html, where)
+
+
 def purge(spark: SparkSession, *paths: str) -> int:
     """Deletes state folders; how many there were."""
     gone = 0
