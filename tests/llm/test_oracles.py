@@ -40,3 +40,27 @@ def test_quotation_sql_on_quotes(spark):
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
     df = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).drop("own")
     same(df, con, oracles.QUOTATION)
+
+
+def test_quotation_sql_on_generated_conversations(spark):
+    """Conversations that quote whole messages, parts, single and short lines, nested and edited."""
+    import random
+
+    pick, rows = random.Random(12), []
+    for conv in range(60):
+        said = []
+        for turn in range(pick.randrange(1, 9)):
+            quoted = []
+            for _ in range(pick.randrange(3) if said else 0):
+                lines = pick.choice(said).split("\n")
+                a = pick.randrange(len(lines))
+                part = lines[a : a + pick.randrange(1, 5)] if pick.random() < 0.6 else lines
+                quoted += ["> " * pick.randrange(1, 3) + (x.upper() if pick.random() < 0.3 else x) for x in part] + [""] * pick.randrange(2)
+            own = [" ".join(pick.choices(["yes", "no", "why?", "the mill", "is  shut", "since May", "a weir"], k=pick.randrange(1, 4))) for _ in range(pick.randrange(1, 4))]
+            said.append("\n".join([*quoted, *own]))
+            rows.append((conv, turn, pick.choice(["user", "assistant"]), said[-1]))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    df = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).drop("own")
+    assert df.where("reply_to is not null").count() > 60 and df.where("depth > 1").count() > 20
+    same(df, con, oracles.QUOTATION)

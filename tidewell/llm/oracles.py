@@ -32,19 +32,23 @@ QUOTATION = f"""
         SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY i) AS run
         FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY i) = level THEN 0 ELSE 1 END AS starts FROM levels)
     ), passages AS (
-        SELECT id, conv_id, turn, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS t, arg_min(body, i) FILTER (WHERE trim(body) <> '') AS first
+        SELECT id, conv_id, turn, run, any_value(level) AS level, {_NORMAL.format('string_agg(body, chr(10) ORDER BY i)')} AS k, list({_NORMAL.format('body')} ORDER BY i) AS lines
         FROM runs WHERE level > 0 GROUP BY id, conv_id, turn, run
+    ), quotes AS (SELECT DISTINCT conv_id, turn, level, k, list_filter(lines, lambda x: x <> '') AS lines FROM passages WHERE k <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
     ), own AS (
         SELECT id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS own FROM levels GROUP BY id
+    ), said AS (
+        SELECT DISTINCT * FROM (SELECT m.conv_id, m.turn AS seen, {_NORMAL.format('line')} AS k FROM m JOIN own ON m.id = own.id, unnest(string_split(own.own, chr(10))) AS u(line)) WHERE k <> '' AND conv_id IS NOT NULL AND seen IS NOT NULL
     ), origins AS (
-        SELECT conv_id, k, min(turn) AS seen
-        FROM (SELECT m.conv_id, m.turn, unnest(list_concat([own.own], string_split(own.own, chr(10)))) AS line, {_NORMAL.format('line')} AS k FROM m JOIN own ON m.id = own.id)
-        WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND length(k) >= {quotes.LEAST_CHARS} GROUP BY conv_id, k
-    ), asked AS (
-        SELECT conv_id, turn, level, 0 AS rank, {_NORMAL.format('t')} AS k FROM passages UNION ALL SELECT conv_id, turn, level, 1, {_NORMAL.format('first')} FROM passages
+        SELECT conv_id, k, min(seen) AS seen FROM (SELECT * FROM said UNION ALL SELECT m.conv_id, m.turn, {_NORMAL.format('own.own')} FROM m JOIN own ON m.id = own.id WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL) WHERE k <> '' GROUP BY conv_id, k
+    ), whole AS (SELECT q.conv_id, q.turn, q.level, q.k, o.seen FROM quotes q JOIN origins o ON q.conv_id = o.conv_id AND q.k = o.k AND o.seen < q.turn
+    ), parts AS (
+        SELECT conv_id, turn, level, passage, k, min(pos) AS pos
+        FROM (SELECT conv_id, turn, level, k AS passage, unnest(lines) AS k, generate_subscripts(lines, 1) AS pos FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.conv_id = q.conv_id AND w.turn = q.turn AND w.level = q.level AND w.k = q.k)) GROUP BY ALL
+    ), met AS (SELECT p.conv_id, p.turn, p.level, p.passage, s.seen, count(*) AS n, min(p.pos) AS pos FROM parts p JOIN said s ON p.conv_id = s.conv_id AND p.k = s.k AND s.seen < p.turn GROUP BY ALL
     ), found AS (
-        SELECT a.conv_id, a.turn, o.seen, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY a.level, a.rank, o.seen DESC) AS r
-        FROM asked a JOIN origins o ON a.conv_id = o.conv_id AND a.k = o.k AND o.seen < a.turn
+        SELECT conv_id, turn, seen, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, rank, n DESC, seen DESC) AS r
+        FROM (SELECT conv_id, turn, level, 0 AS rank, 0 AS n, seen FROM whole UNION ALL SELECT conv_id, turn, level, 1, n, seen FROM met QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level, passage ORDER BY n DESC, pos, seen) = 1)
     ), links AS (SELECT conv_id, turn, seen AS reply_to FROM found WHERE r = 1
     ), chain AS (
         SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links

@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: LEAST_CHARS is read by the DuckDB SQL only.
-QUOTED, LEAST_CHARS = r"^((?:[ \t]*>)+)[ \t]?", 8
+QUOTED = r"^((?:[ \t]*>)+)[ \t]?"
 
 
 def normalised(text: Column) -> Column:
