@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounds, ragged, trimmed
+from .common import Scratch, bounds, portions, ragged, trimmed
 
-LENGTH, GRAM, BATCH, HOT, STRETCH = 200, 48, 600_000, 600_000, 1 << 22
+LENGTH, GRAM, BATCH, HOT, STRETCH = 200, 48, 300_000, 600_000, 1 << 20
 SYMBOLS = 4  # of nine bits each in the first sort key
 
 
@@ -163,19 +163,26 @@ def digest(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist())
 
 
+def _portions(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4_000_000) -> Iterator[tuple[int, pa.Array, pa.RecordBatch]]:
+    """(first row, texts, their batch) for runs of whole texts of about `limit` bytes."""
+    for rb in batches:
+        for first, texts in portions(rb.column(text), limit):
+            yield first, texts, rb
+
+
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, th, a, m, at, h, c) of every run: first window, windows, the anchor's place and hash, a hash of its chunk."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for a, texts, rb in _portions(batches, 2):
             got, c = [], []
-            for text in rb.column(2):
+            for text in texts:
                 data = (text.as_py() or "").encode()
                 own = runs(np.frombuffer(data, np.uint8), length, gram)
                 c += [xxhash.xxh3_64_digest(data[x : x + y + length - 1]) for x, y in zip(own[0].tolist(), own[1].tolist(), strict=True)]
                 got.append(own)
-            row = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            row = pa.array(a + np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
             first, windows, at, h = (np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(4))
             yield pa.RecordBatch.from_arrays([rb.column(0).take(row), rb.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (first, windows, at)), pa.array(h), pa.array(np.frombuffer(b"".join(c), ">i8").astype(np.int64))], ["doc_id", "th", "a", "m", "at", "h", "c"])
 
@@ -305,9 +312,9 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: s
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            out = [_kept_text(rb.column(0)[i].as_py(), _joined(rb.column(1)[i])) for i in range(rb.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), rb.column(2)], ["text", "carried"])
+        for a, texts, rb in _portions(batches, 0):
+            out = [_kept_text(t.as_py(), _joined(rb.column(1)[a + i])) for i, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), rb.column(2)[a : a + len(out)]], ["text", "carried"])
 
     spanned = _spanned(docs, length, gram, text, key, hot, carried).select("text", "spans", "carried")
     cut = spanned.mapInArrow(run, f"text string, carried {spanned.schema['carried'].dataType.simpleString()}")
@@ -369,17 +376,17 @@ def _kept_text(text: str | None, spans: list[list[int]]) -> str | None:
 def _cut(rows: DataFrame, digests: bool) -> DataFrame:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for a, texts, rb in _portions(batches, 1):
             out = []
-            for i in range(rb.num_rows):
-                data, joined = (rb.column(1)[i].as_py() or "").encode(), _joined(rb.column(2)[i])
+            for i, t in enumerate(texts):
+                data, joined = (t.as_py() or "").encode(), _joined(rb.column(2)[a + i])
                 edge = [0, *(x for span in joined for x in span), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+                kept = b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))
                 last = hashlib.sha256(kept).hexdigest() if digests else kept
                 out.append((len(data), len(data) - len(kept), len(joined), last, [{"start": s, "end": e} for s, e in joined]))
             kinds = [pa.int64()] * 3 + [pa.string() if digests else pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept", "spans"]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([rb.column(0)[a : a + len(out)], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True))], ["doc_id", *names])
 
     kept = "kept_sha256 string" if digests else "kept binary"
     return rows.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}, spans array<struct<start:long,end:long>>")
