@@ -10,9 +10,10 @@ that a rare language is learned too; the choice is the same however the table is
 
 * a temperature is fitted to them, with targets smoothed by their number, so it has an inner optimum even where all are
   right;
-* a text is rejected if its best language is less sure than that of all but `LOST` of the rightly labelled ones, or if it
+* a text is rejected if its best language is less sure than that of nearly all rightly labelled ones, or if it
   looks less familiar than they do: the mean log share that its n-grams have in the training texts, given the benefit of
-  two standard errors, so that a short text isn't rejected for chance alone. Both thresholds are quantiles, nothing else.
+  two standard errors, so that a short text isn't rejected for chance alone. Both thresholds are quantiles, for half of
+  `LOST` each, and nothing else.
 
 Cases: a null, empty or letterless text is `und` with score 0 and is rejected; labels that are null do not
 teach; ties between languages go to the first in order; repeated rows and extra columns do not matter; with
@@ -132,7 +133,7 @@ def calibrate(model: Model, rows: list[tuple[str, str]], code: dict[str, int], l
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == y
     if right.any():
-        at = int(lost * right.sum())
+        at = int(lost / 2 * right.sum())
         model.threshold, model.familiar = float(np.sort(p.max(1)[right])[at]), float(np.sort(familiar[right])[at])
 
 
