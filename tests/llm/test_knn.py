@@ -62,3 +62,24 @@ def test_repeated_ids_in_other_blocks_and_shards(spark):
     rows = rows * 2 + [r for r in rows if r[0] % 100 == 0] * 20
     docs = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
     assert got(knn.search(docs, F.col("vec_id") % 100 == 0, 10, shard_rows=40, block_rows=3)) == brute(rows, 10)
+
+
+def test_shards_that_cannot_help_are_not_reached(spark):
+    """Rows in far corners: their shards' root boxes keep the blocks away from all but a few."""
+    pick = random.Random(8)
+    rows = [(i, [s * (5 + pick.random()) for s in ((1, 1), (1, -1), (-1, 1), (-1, -1))[i % 4]]) for i in range(800)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    whole = knn._reached
+
+    def counted(met, k):
+        out = whole(met, k)
+        seen.append((out.count(), met.selectExpr("sum(size(boxes))").first()[0]))
+        return out
+
+    knn._reached = counted
+    try:
+        assert got(knn.search(docs, F.col("vec_id") % 100 == 0, 10, shard_rows=50, block_rows=2)) == brute(rows, 10)
+    finally:
+        knn._reached = whole
+    assert seen[0][0] < 0.8 * seen[0][1]

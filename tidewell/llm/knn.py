@@ -1,13 +1,16 @@
 """Exact top-k search by inner product: KD-trees per shard, best-first traversal, a propagated kth score.
 
-Vectors are quantised to floor(scale * x) and searched in integers. Rows are dealt evenly to shards of bounded
-size; each shard's tree (median splits on the widest dimension, tight bounding boxes, the smallest id of each
-node) is one row of a table. Query rows are dealt to blocks. A block first searches one shard; the kth score and
-id found there go with it to every other shard, where a box is opened only if its bound, the largest inner
-product of any point in it, can still beat the kth result (on equal scores: if it holds a smaller id). The
-last step keeps the best k of what each shard found for a query, at most k rows a shard.
-
-Queries meet shards as blocks against blocks, dealt by shard, so no task holds more than one tree and one block.
+Vectors are quantised to floor(scale * x) and searched in integers. Rows are dealt to shards of bounded size by coarse
+cells (which side of the medians of the first components they are on; a full cell goes on in the next shard); each
+shard's tree (median splits on the widest dimension, tight bounding boxes, the smallest id of each node) is one row of a
+table. Query rows are dealt to blocks. A block first searches the shard whose root box promises most, and the
+kth score and id found there bound all that follows: first the root boxes of all shards, a small table of its own, tell which shards can hold anything better;
+only those meet the block, and in them a box is opened only if its bound, the largest inner product of any point in it,
+can still beat the kth result (on equal scores: if it holds a smaller id). The last step keeps the best k of what each
+shard found for a query, at most k rows a shard.
+
+Queries meet shards as blocks against blocks, dealt by shard and a salt of the block, so no task holds more than one tree
+and one block, and a shard that many blocks reach is spread.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, as rows or as queries;
 vectors of different lengths do not meet; ties go to the smaller id; repeated ids are rows of their own, a query
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LEAF, SHARD_ROWS, BLOCK_ROWS, SCALE = 128, 32_768, 2_048, 1024
+LEAF, SHARD_ROWS, BLOCK_ROWS, SCALE, BOXES = 128, 32_768, 2_048, 1024, 256
 LARGEST = (1 << 63) - 1
 
 
@@ -50,6 +53,12 @@ def products(rows: np.ndarray, q: np.ndarray, safe: bool) -> np.ndarray:
     return np.array([max(-LARGEST, min(LARGEST, sum(int(x) * y for x, y in zip(r, wide, strict=True)))) for r in rows.tolist()], np.int64)
 
 
+def box_bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each box and query, the largest inner product that a point of the box can have, rounded up."""
+    up = high @ np.maximum(queries, 0).T + low @ np.minimum(queries, 0).T
+    return up if exact(np.maximum(np.abs(high), np.abs(low)), queries) else up + np.abs(up) * 1e-9 + 1
+
+
 class Tree:
     """Rows in leaf order; node i has children kids[i], rows first[i] to last[i], a box and its smallest id."""
 
@@ -86,9 +95,7 @@ class Tree:
         return self
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """For each node and query, the largest inner product that a point of the box can have, rounded up."""
-        up = self.high @ np.maximum(queries, 0).T + self.low @ np.minimum(queries, 0).T
-        return up if exact(np.maximum(np.abs(self.high), np.abs(self.low)), queries) else up + np.abs(up) * 1e-9 + 1
+        return box_bounds(self.low, self.high, queries)
 
     def search(self, query: int, q: np.ndarray, bounds: np.ndarray, k: int, found: list[tuple[int, int]], safe: bool, counted: list[int]) -> list[tuple[int, int]]:
         """The best k of `found` and this tree, as (score, -id) in ascending order; never a row with the query's id."""
@@ -139,9 +146,52 @@ def _trees(vectors: DataFrame, scale: int) -> DataFrame:
 
         for n, (ids, rows) in _rows(batches, scale).items():
             if len(ids):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "size": pa.array([n], pa.int32()), "tree": [Tree(ids, rows).pack()]})
+                tree = Tree(ids, rows)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "size": pa.array([n], pa.int32()), "tree": [tree.pack()], "low": [tree.low[0].tobytes()], "high": [tree.high[0].tobytes()]})
+
+    return vectors.mapInArrow(run, "shard int, size int, tree binary, low binary, high binary")
+
+
+def _homes(met: DataFrame) -> DataFrame:
+    """(block, size, bound, shard): of the boxes beside it, the one with the largest bounds for a block's queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for r in rb.to_pylist():
+                rows = np.frombuffer(r["rows"], np.float64).reshape(len(r["ids"]) // 8, -1)
+                low, high = (np.array([np.frombuffer(b[side], np.float64) for b in r["boxes"]]) for side in ("low", "high"))
+                total = box_bounds(low, high, rows).sum(1)
+                best = int(total.argmax())
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int32()), "size": pa.array([r["size"]], pa.int32()), "bound": [float(total[best])], "shard": pa.array([r["boxes"][best]["shard"]], pa.int32())})
+
+    return met.mapInArrow(run, "block int, size int, bound double, shard int")
+
+
+def _reached(met: DataFrame, k: int) -> DataFrame:
+    """(block, size, shard) of the shards whose root box can hold a better row for a query of the block than it has found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for r in rb.to_pylist():
+                n = len(r["ids"]) // 8
+                rows, found = np.frombuffer(r["rows"], np.float64).reshape(n, -1), np.frombuffer(r["found"], np.int64).reshape(n, k, 3)
+                kth = np.where(found[:, :, 2].all(1), found[:, 0, 0].astype(np.float64), -np.inf)
+                kth = np.where(np.abs(kth) < 2.0**53, kth, kth - np.abs(kth) * 1e-15 - 1)  # beyond exact doubles, rounded down
+                low, high = (np.array([np.frombuffer(b[side], np.float64) for b in r["boxes"]]) for side in ("low", "high"))
+                some = (box_bounds(low, high, rows) >= np.where(np.isfinite(kth), kth, -np.inf)).any(1)
+                shards = [b["shard"] for b, yes in zip(r["boxes"], some.tolist(), strict=True) if yes and b["shard"] != r["home"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in ([r["block"]] * len(shards), [r["size"]] * len(shards), shards)], ["block", "size", "shard"])
+
+    return met.mapInArrow(run, "block int, size int, shard int")
+
 
-    return vectors.mapInArrow(run, "shard int, size int, tree binary")
+def _cells(vectors: DataFrame, shards: int) -> Column:
+    """A number for the sides of the medians of the first components; the medians are one row."""
+    dims = max(1, min(10, (shards - 1).bit_length() + 1))
+    at = [F.try_element_at("v", F.lit(i + 1)) for i in range(dims)]
+    medians = vectors.agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m{i}") for i, a in enumerate(at)]).first()
+    bits = [F.when(a > F.lit(m), 1 << i).otherwise(0) for i, (a, m) in enumerate(zip(at, medians, strict=True)) if m is not None]
+    return sum(bits, F.lit(0))
 
 
 def _blocks(queries: DataFrame, scale: int) -> DataFrame:
@@ -202,16 +252,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     shards = max(-(-n // shard_rows), min(cores, -(-n // 2048)), 1)
     blocks = max(-(-asked // block_rows), 1)
-    trees = scratch.table("trees", _trees(rows.select("id", "v").repartition(shards), scale))
-    block = scratch.table("blocks", _blocks(queries.repartition(blocks), scale))
-    # One small row per shard; each vector length has its own list of shards.
-    own = trees.groupBy("size").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-    placed = block.join(own, "size").withColumn("home", F.element_at("shards", (F.col("block") % F.size("shards") + 1).cast("int")))
-    home = placed.select("block", "size", "ids", "rows", F.col("home").alias("shard")).join(trees, ["shard", "size"])
+    fit = rows.where(usable).select("id", "v")
+    # A place within a cell by the row's number, so that equal rows, however many, go on in the next shard.
+    cells = _cells(fit, shards)
+    dealt = fit.repartitionByRange(shards, cells, F.xxhash64(F.monotonically_increasing_id())) if shards > 1 else fit.repartition(1)
+    trees = scratch.table("trees", _trees(dealt, scale))
+    block = scratch.table("blocks", _blocks(queries.repartitionByRange(blocks, cells, "id") if blocks > 1 else queries.repartition(1), scale))
+    boxes = scratch.table("boxes", trees.groupBy("size", F.floor(F.col("shard") / BOXES).alias("pack")).agg(F.array_sort(F.collect_list(F.struct("shard", "low", "high"))).alias("boxes")))
+    homes = _homes(block.join(boxes, "size").drop("pack")).groupBy("block", "size").agg(F.max(F.struct("bound", "shard"))["shard"].alias("home"))
+    placed = scratch.table("placed", block.join(homes, ["block", "size"]))
+    salts = max(-(-blocks // 64), 1)
+    salted = trees.select("shard", "size", "tree").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod("block", F.lit(salts)).alias("salt")
+    home = placed.select("block", "size", "ids", "rows", F.col("home").alias("shard"), salt).join(salted, ["shard", "size", "salt"]).drop("salt")
     found = scratch.table("found", _searched(home, k, packed=True))
-    asked_rows = placed.join(found, ["block", "size"])
-    away = asked_rows.withColumn("shard", F.explode(F.array_remove("shards", F.col("home")))).drop("shards", "home")
-    pairs = away.repartition("shard", "block", "size").join(trees, ["shard", "size"])
+    asked_rows = scratch.table("asked", placed.join(found, ["block", "size"]))
+    reached = scratch.table("reached", _reached(asked_rows.join(boxes, "size").drop("pack"), k))
+    away = reached.join(asked_rows.drop("home"), ["block", "size"]).select("*", salt)
+    pairs = away.join(salted, ["shard", "size", "salt"]).drop("salt")
     first = _results(block.join(found, ["block", "size"]).select("ids", "found"), k)
     every = first.unionByName(_searched(pairs, k, packed=False))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
