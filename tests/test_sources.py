@@ -133,3 +133,17 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {r.day: r.n for r in spark.table("days").collect()} == {"2024-12-11": 2, "2024-12-12": 2, "2024-12-13": 1}
     assert set(schema.FIELDS) <= set(got.columns)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from tidewell.sources.shared import Scratch, scope, shared_dir
+
+    kept = Scratch(spark, "kept")
+    with scope():
+        inner = Scratch(spark, "inner")
+        out = kept.table("out", inner.table("a", spark.range(3)).selectExpr("id + 1 as id"))
+    import os
+
+    assert not os.path.exists(inner.root) and kept.root.startswith(shared_dir(spark)) and out.count() == 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    kept.drop()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end all scratch tables that were opened in it. What is read later must have been written elsewhere."""
+    opened: list[Scratch] = []
+    _scopes.append(opened)
+    try:
+        yield
+    finally:
+        _scopes.remove(opened)
+        for scratch in opened:
+            scratch.drop()
+
+
 class Scratch:
     """Tables under the shared folder that cut lineage: every executor can read them again after a loss."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for opened in _scopes:
+            opened.append(self)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """`df`, written and read again. Its shuffle files go when it is written: nothing reads them any more."""
