@@ -26,4 +26,6 @@ def test_components(spark):
                 todo += near[x]
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "t")
     assert {r.node: r.component for r in got.collect()} == expected and got.count() == len(expected)
+    odd = spark.createDataFrame([(1, None, "x"), (None, 2, "x"), (None, None, "x"), (4, 3, "x"), (3, 4, "y"), (5, 5, "x")], "a long, b long, node string")
+    assert {r.node: r.component for r in components(odd, Scratch(spark, "test"), "odd").collect()} == {3: 3, 4: 3}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "t").count() == 0

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidewell.sources.shared import Scratch, shared_dir  # noqa: F401
+from tidewell.sources.shared import Scratch, scope  # noqa: F401
 
 #: Characters of text handled at once inside one Arrow batch; bounds the arrays a worker holds.
 SLAB_CHARS = 2_000_000

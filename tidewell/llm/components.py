@@ -4,6 +4,9 @@ A round points each node to its smallest neighbour below it, follows these point
 and replaces every edge by one between ends. Edges within a tree vanish, so the next round has few of them left:
 a star of any size takes one round. Every table is written to the shared folder, so lineage stays short and a lost
 executor costs one step. Nothing about nodes or edges reaches the driver but whether anything changed.
+
+Cases: a null node is no node, and its edges link nothing; an edge from a node to itself and repeated edges add nothing;
+either direction counts; an empty table gives no rows; extra columns are ignored. Nodes without another are not listed.
 """
 
 from __future__ import annotations

@@ -268,6 +268,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     found = scratch.table("found", _searched(home, k, packed=True))
     asked_rows = scratch.table("asked", placed.join(found, ["block", "size"]))
     reached = scratch.table("reached", _reached(asked_rows.join(boxes, "size").drop("pack"), k))
+    scratch.drop("placed", "boxes")
     away = reached.join(asked_rows.drop("home"), ["block", "size"]).select("*", salt)
     pairs = away.join(salted, ["shard", "size", "salt"]).drop("salt")
     first = _results(block.join(found, ["block", "size"]).select("ids", "found"), k)
