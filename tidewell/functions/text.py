@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.lexicons import STOPWORDS, TRACKING_KEYS
+from tidewell.lexicons import LOWER_TITLE_SUFFIX, STOPWORDS, TITLE_SUFFIX, TRACKING_KEYS
 
 #: Letters, digits and underscores of any script; the same class in Java and RE2.
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
@@ -112,13 +112,13 @@ def normal_url(url: Column, tracking: Iterable[str] = TRACKING_KEYS) -> Column:
 
 def normal_title(title: Column) -> Column:
     """Without a capitalised source suffix, in lower case, marks as blanks, white space collapsed."""
-    text = F.regexp_replace(title, r"\s*[-|—]\s*[A-Z][a-zA-Z\s&.']+$", "")
+    text = F.regexp_replace(title, TITLE_SUFFIX, "")
     return collapse(F.regexp_replace(F.lower(text), NOT_WORD, " "))
 
 
 def cache_title(title: Column, n: int = 60) -> Column:
     """Lower case before the suffix goes, and at most n characters: a key that survives cut titles."""
-    text = F.regexp_replace(F.lower(title), r"\s*[-|—]\s*[a-z][a-z\s&.']+$", "")
+    text = F.regexp_replace(F.lower(title), LOWER_TITLE_SUFFIX, "")
     return F.trim(F.left(collapse(F.regexp_replace(text, NOT_WORD, " ")), F.lit(n)))
 
 

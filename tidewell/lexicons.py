@@ -461,3 +461,13 @@ BACKUP = {
         {"title": "GitHub Copilot最新功能更新", "summary": "GitHub Copilot推出新功能，支持更多编程语言和更智能的代码建议，提升开发效率。", "url": "https://github.blog", "source": "GitHub Blog"},
     ),
 }
+
+#: The source suffix of a title, as written and in lower case.
+TITLE_SUFFIX, LOWER_TITLE_SUFFIX = r"\s*[-|—]\s*[A-Z][a-zA-Z\s&.']+$", r"\s*[-|—]\s*[a-z][a-z\s&.']+$"
+
+#: Where a text names whose statement it is.
+NAME_PLACES = (
+    r"^([A-Z][a-z]+ [A-Z][a-z]+)(?:\s*:|\s+says|\s+said)",
+    r"(?:CEO|Chief|President|Founder)\s+([A-Z][a-z]+ [A-Z][a-z]+)",
+    r"([A-Z][a-z]+ [A-Z][a-z]+)\s+(?:CEO|Chief|President|Founder)",
+)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
-from tidewell.lexicons import PERSONS
+from tidewell.lexicons import NAME_PLACES, PERSONS
 from tidewell.operators.dedup import ranked_first
 from tidewell.operators.filters import publishable
 
@@ -54,12 +54,10 @@ def person(author: Column, title: Column, summary: Column, source: Column, known
     """Whose statement an item is: the author, a known name, a name by its place, or the source."""
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))
     names = F.filter(X.strings(known), lambda n: F.contains(F.lower(text), F.lower(n)))
-    name = r"([A-Z][a-z]+ [A-Z][a-z]+)"
-    places = [rf"^{name}(?:\s*:|\s+says|\s+said)", rf"(?:CEO|Chief|President|Founder)\s+{name}", rf"{name}\s+(?:CEO|Chief|President|Founder)"]
     return F.coalesce(
         F.when((author != "") & (author != "Unknown"), author),
         F.try_element_at(names, F.lit(1)),
-        *[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in places],
+        *[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in NAME_PLACES],
         F.when(F.contains(source, F.lit("News about")), F.replace(source, F.lit("News about "), F.lit(""))),
         F.nullif(source, F.lit("")),
         F.lit("Industry Voice"),
