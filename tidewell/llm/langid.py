@@ -148,8 +148,13 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     cut = named.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return train([])
+    # Of a label with n rows about 4 * rare have so small a hash, so no label's rows meet in one task before they are few.
+    share = F.least(F.lit(1.0), F.lit(4.0 * rare) / F.col("n"))
+    # The labels may be broadcast: the model itself has a column for each, so they are few.
+    sizes = F.broadcast(named.groupBy(F.col("y").alias("z")).agg(F.count("*").alias("n")))
+    low = named.join(sizes, F.col("y") == F.col("z")).where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", F.xxhash64("t")))
-    few = named.withColumn("r", rank).where(F.col("r") <= rare).where(F.col("h") > cut).select("t", "y", "h")
+    few = low.select("t", "y", "h").withColumn("r", rank).where(F.col("r") <= rare).where(F.col("h") > cut).select("t", "y", "h")
     got = named.where(F.col("h") <= cut).orderBy("h", "t", "y").limit(sample).unionByName(few).collect()
     got.sort(key=lambda r: (r.h, r.t or "", r.y))
     return train([(r.t, r.y) for r in got])
