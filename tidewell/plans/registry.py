@@ -337,9 +337,21 @@ def classification_confidence(spark, sf_dir):
     return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", F.round("confidence", 2).alias("confidence"))
 
 
-@query()
+_BESIDE = ", ".join(f"{{'low': -{n}, 'at': {i}, 'type': '{c}'}}" for i, (c, n) in enumerate(zip(L.CONTENT_TYPES, ("r5", "d5", "p5", "m5", "l5"), strict=True)))
+
+
+@query(with_items(f"SELECT ord, content_type, CASE WHEN one <= 0 THEN '' ELSE array_to_string(list_transform(list_filter(list_sort([{_BESIDE}])[2:5], lambda x: -x.low >= 0.5 * one AND -x.low > 3)[1:2], lambda x: x.type), ',') END AS secondary_labels FROM typed", _TEXT, _NEGATION, _TYPED))
 def secondary_labels(spark, sf_dir):
-    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type", "secondary_labels")
+    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type", F.array_join("secondary_labels", ",").alias("secondary_labels"))
+
+
+_OVER_FIVE = ", ".join(f"{{'score': {Q.weighted_score('fl', TYPES[c])}, 'type': '{c}'}}" for c in L.CONTENT_TYPES)
+
+
+@query(with_items(f"SELECT ord, kind AS content_type, 0.95::DOUBLE AS confidence, array_to_string(list_transform(list_filter([{_OVER_FIVE}], lambda x: x.score > 5 AND x.type <> kind)[1:2], lambda x: x.type), ',') AS secondary_labels FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN 'developer' ELSE 'research' END AS kind FROM texts)", _TEXT))
+def forced_labels(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumn("source", F.when(F.pmod("ord", F.lit(2)) == 0, "GitHub Trending").otherwise("arXiv"))
+    return classify.content_type(classify.with_text(rows), VOCABULARY).select("ord", "content_type", "confidence", F.array_join("secondary_labels", ",").alias("secondary_labels"))
 
 
 _DAYS = "floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(published_ts)) / 86400)"
@@ -364,16 +376,16 @@ _LAYERS = (({"thation": 0.18, "eaux": 0.15}, 1.0), ({"ing": 0.1, "ung": 0.08, "e
 _DOUBT = {"onon": -0.08, "oui": -0.04}
 
 
-def _relevance_sql() -> str:
+def _relevance_sql(layers: tuple = _LAYERS, doubt: dict = _DOUBT, kind: str = "category") -> str:
     seen: set[str] = set()
     total, hits = ["0.25"], []
-    for terms, f in _LAYERS:
+    for terms, f in layers:
         own = {t: w for t, w in terms.items() if t not in seen}
         seen |= own.keys()
         total.append(f"{Q.weight_sum('x', own)} * {f}")
         hits.append(Q.count_hits("tl", own))
     factors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_FACTORS.items())
-    return f"round(least(1.0, greatest(0.1, ({' + '.join(total)} + {Q.weight_sum('x', _DOUBT)} + least(0.10, ({' + '.join(hits)}) * 0.02)) * CASE category {factors} ELSE 0.9 END)), 3)::DOUBLE"
+    return f"round(least(1.0, greatest(0.1, ({' + '.join(total)} + {Q.weight_sum('x', doubt)} + least(0.10, ({' + '.join(hits)}) * 0.02)) * CASE {kind} {factors} ELSE 0.9 END)), 3)::DOUBLE"
 
 
 @query(with_items(f"SELECT ord, round({_relevance_sql()}, 2) AS relevance FROM (SELECT *, lower(title) AS tl, lower(title) || ' ' || lower(summary) AS x FROM items)"))
@@ -405,12 +417,26 @@ def source_rolling50(spark, sf_dir):
     return importance.rolling(f).withColumn("average", F.round("average", 8))
 
 
-@query()
+def _importance_sql() -> str:
+    known = "auth || ' ' || ul"
+    auth = f"greatest(coalesce(list_max(list_transform(list_filter({Q.weighted(L.AUTHORITY)}, lambda t: contains({known}, t.term)), lambda t: t.weight)), 0.4), 0.4)::DOUBLE"
+    rel = _relevance_sql(((L.BREAKTHROUGH, 1.0), (L.RELEASE, 0.9), (L.TECHNIQUE, 0.8), (L.GENERAL, 0.6)), L.DOUBT, "content_type")
+    return f"""signs AS (SELECT ord, content_type, confidence::DOUBLE AS sure, {auth} AS authority, ({_RECENCY.replace('CASE category', 'CASE content_type')})::DOUBLE AS rec, {rel} AS rel, ({_ENGAGED})::DOUBLE AS eng
+        FROM (SELECT *, so AS auth, tl || ' ' || lower(summary) AS x FROM typed)),
+    weighed AS (SELECT s.*, r.ai_relevance::DOUBLE AS ai, CASE WHEN rec <= 0.56 AND authority < 0.70 THEN least(sure, 0.75) WHEN rec > 0.56 AND rec <= 0.70 AND authority < 0.60 THEN least(sure, 0.85) ELSE sure END::DOUBLE AS conf FROM signs s JOIN relevance r ON s.ord = r.ord),
+    important AS (SELECT *, round(least(1.0, greatest(0.0, (authority * 0.25::DOUBLE + rec * 0.25::DOUBLE + conf * 0.20::DOUBLE + rel * 0.20::DOUBLE + eng * 0.10::DOUBLE)
+        * CASE WHEN ai >= 0.8 THEN 1.0 + 0.25 * (ai - 0.8) WHEN ai >= 0.5 THEN 0.85 + 0.5 * (ai - 0.5) WHEN ai >= 0.3 THEN 0.6 + 1.25 * (ai - 0.3) ELSE 0.3 + ai END)), 3)::DOUBLE AS importance FROM weighed)"""
+
+
+_SCORED = (_TEXT, _NEGATION, _TYPED, _REL, _importance_sql())
+
+
+@query(with_items("SELECT ord, content_type, importance, CASE WHEN importance >= 0.85 THEN 'critical' WHEN importance >= 0.70 THEN 'high' WHEN importance >= 0.55 THEN 'medium' WHEN importance >= 0.40 THEN 'low' ELSE 'minimal' END AS importance_level FROM important", *_SCORED))
 def importance_ranking(spark, sf_dir):
     return pipeline.labelled(items(spark, sf_dir), AS_OF, VOCABULARY).select("ord", "content_type", "importance", "importance_level")
 
 
-@query()
+@query(with_items("SELECT count(*) AS n, round(coalesce(avg(sure), 0.0), 4)::DOUBLE AS avg_confidence, round(coalesce(avg(importance), 0.0), 4)::DOUBLE AS avg_importance, round(coalesce(avg(ai), 0.0), 4)::DOUBLE AS avg_ai_relevance, count(*) FILTER (WHERE sure < 0.6) AS n_unsure, count(*) FILTER (WHERE ai < 0.5) AS n_off_topic, count(*) FILTER (WHERE importance >= 0.70) AS n_important FROM important", *_SCORED))
 def batch_averages(spark, sf_dir):
     return trends.averages(pipeline.labelled(items(spark, sf_dir), AS_OF, VOCABULARY))
 
@@ -639,6 +665,145 @@ def chart_frames(spark, sf_dir):
     tagged = classify.without_text(classify.with_text(items(spark, sf_dir)).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")}))
     return trends.chart_frames(tagged, F.col("published_ts"))
 
+_LEARNED = """taught AS (SELECT lower(source) AS source, count(*) AS n, avg(value) AS average FROM (SELECT 'Src' || CAST(user_id % 40 AS VARCHAR) AS source, value, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id DESC) AS r FROM events) WHERE r <= 50 GROUP BY 1)"""
+
+
+@query(with_items(f"SELECT i.ord, round(CASE WHEN coalesce(n, 0) >= 5 THEN a * (1 - least(0.40, 0.20 + 0.02 * n)) + average * least(0.40, 0.20 + 0.02 * n) ELSE a END, 6)::DOUBLE AS authority FROM (SELECT *, ({_AUTH_SQL})::DOUBLE AS a FROM items) i LEFT JOIN taught t ON lower(i.source) = t.source", _LEARNED))
+def learned_source_authority(spark, sf_dir):
+    scores = table(spark, sf_dir, "events").select(F.concat(F.lit("Src"), F.pmod("user_id", F.lit(40)).cast("string")).alias("source"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    learned = importance.learned_authority(scores).select(F.col("source").alias("_source"), "n", "average")
+    known = items(spark, sf_dir).join(learned, F.lower("source") == F.col("_source"), "left")
+    return known.select("ord", F.round(importance.blended(importance.authority(F.lower("source"), _AUTHORITY), F.col("n"), F.col("average")), 6).alias("authority"))
+
+
+@query("SELECT count(*) AS sources, count(*) FILTER (WHERE n >= 5) AS learned, CAST(coalesce(sum(n), 0) AS BIGINT) AS scores FROM (SELECT user_id, least(count(*), 50) AS n FROM events GROUP BY 1)")
+def learned_sources(spark, sf_dir):
+    scores = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return importance.flagged(importance.learned_authority(scores))
+
+
+# Smaller parts: tags, dates, cards, prompts, counters, bounded history
+
+_FEED_URL = "'https://www.' || ['" + "', '".join([*L.COMPANY_DOMAINS, "nowhere.example.com"]) + f"'][CAST(page_id % {len(L.COMPANY_DOMAINS) + 1} AS INT) + 1] || '/feed'"
+
+
+@query(f"SELECT page_id, CASE {' '.join(f'WHEN contains(u, {Q.quoted(d)}) THEN {Q.quoted(n)}' for d, n in L.COMPANY_DOMAINS.items())} END AS company FROM (SELECT page_id, {_FEED_URL} AS u FROM pages)")
+def company_tag(spark, sf_dir):
+    hosts = F.array(*map(F.lit, [*L.COMPANY_DOMAINS, "nowhere.example.com"]))
+    feed = F.concat(F.lit("https://www."), F.element_at(hosts, (F.pmod("page_id", F.size(hosts)) + 1).cast("int")), F.lit("/feed"))
+    return table(spark, sf_dir, "pages").select("page_id", filters.company(feed).alias("company"))
+
+
+@query(with_items("SELECT day, substring(day, 6, 5) AS label, count(*) AS n FROM (SELECT CASE WHEN ord % 5 = 0 THEN NULL ELSE published END AS day FROM items) GROUP BY 1, 2"))
+def date_buckets(spark, sf_dir):
+    published = F.when(F.pmod("ord", F.lit(5)) == 0, "2024").otherwise(F.concat("published", F.lit("T08:30:00Z")))
+    per = items(spark, sf_dir).groupBy(trends.raw_bucket(published).alias("day")).agg(F.count("*").alias("n"))
+    return per.select("day", trends.month_day(F.col("day")).alias("label"), "n")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 3 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
+def parsed_dates(spark, sf_dir):
+    kind = F.pmod("event_id", F.lit(4))
+    text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd")).when(kind == 1, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" "), F.date_format("ts", "xx"))).when(kind == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")).otherwise("no date")
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(X.parsed_date(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+_SAFE = "replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"SELECT page_id, CASE WHEN length(html) > 150 THEN left({_SAFE}, 150) || '...' ELSE {_SAFE} END AS card FROM pages")
+def card_summary(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", publish.card(F.col("html")).alias("card"))
+
+
+@query(with_items("SELECT ord, array_to_string(tech_categories[1:2], ',') AS tags FROM fields", _tech_sql()))
+def card_tags(spark, sf_dir):
+    tagged = classify.with_text(items(spark, sf_dir)).withColumn("tech_categories", classify.tech_fields(VOCABULARY))
+    return tagged.select("ord", F.array_join(publish.tags(F.col("tech_categories")), ",").alias("tags"))
+
+
+_HINTED = "hinted AS (SELECT page_id, lower(url || ['', '/Paper', '/podcast', '/blog/paper', '/arXiv/podcast/blog'][CAST(page_id % 5 AS INT) + 1]) AS u FROM pages)"
+
+
+@query(f"WITH {_HINTED}, h AS (SELECT page_id, list_filter([CASE WHEN contains(u, 'arxiv') OR contains(u, 'paper') THEN '[PAPER]' END, CASE WHEN contains(u, 'podcast') THEN '[PODCAST]' END, CASE WHEN contains(u, 'blog') THEN '[BLOG]' END], lambda x: x IS NOT NULL) AS l FROM hinted) SELECT page_id, array_to_string(l, ' ') AS hints, coalesce(l[1], '') AS first FROM h")
+def url_hints(spark, sf_dir):
+    ends = F.array(*map(F.lit, ("", "/Paper", "/podcast", "/blog/paper", "/arXiv/podcast/blog")))
+    url = F.concat("url", F.element_at(ends, (F.pmod("page_id", F.lit(5)) + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", labelling.url_hints(url).alias("hints"), labelling.url_hints(url, several=False).alias("first"))
+
+
+@query(with_items("SELECT ord, md5('Classify this item as one of research, product, market, developer, leader, community. Answer with one JSON object.' || chr(10) || chr(10) || 'Title: ' || left(title, 100) || chr(10) || 'Summary: ' || left(summary, 300) || chr(10) || 'Source: ' || coalesce(source, '')) AS prompt FROM items"))
+def llm_single_prompts(spark, sf_dir):
+    return items(spark, sf_dir).select("ord", F.md5(labelling.prompt()).alias("prompt"))
+
+
+_REPLIED = ", ".join(f"{{'n': {Q.count_hits('low', t)}, 'low': {-i}, 'type': {Q.quoted(c)}}}" for i, (c, t) in enumerate(L.REPLY_TERMS.items()))
+
+
+@query(with_items(f"""SELECT ord, CASE WHEN named IS NOT NULL THEN named WHEN most.n > 0 THEN most.type END AS content_type, CASE WHEN named IS NOT NULL THEN 0.85 WHEN most.n > 0 THEN least(0.7 + most.n * 0.05, 0.9) END::DOUBLE AS confidence
+    FROM (SELECT ord, list_filter({Q.strings(L.REPLY_TERMS)}, lambda c: list_contains(regexp_split_to_array(array_to_string(string_split(trim(low), chr(10))[-3:], ' '), '\\s+'), c))[1] AS named, list_sort([{_REPLIED}], 'DESC')[1] AS most
+        FROM (SELECT ord, lower(left(summary, 200) || CASE ord % 4 WHEN 0 THEN ' The study is about robot policy ' WHEN 1 THEN chr(10) || 'a framework' || chr(10) || 'so: Research' WHEN 2 THEN ' gpt gemini claude llm study' ELSE '' END) AS low FROM items))"""))
+def llm_free_text(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, (" The study is about robot policy ", "\na framework\nso: Research", " gpt gemini claude llm study", ""))), (F.pmod("ord", F.lit(4)) + 1).cast("int"))
+    reply = F.concat(F.left("summary", F.lit(200)), ends)
+    return items(spark, sf_dir).select("ord", labelling.type_from_text(reply).alias("x")).select("ord", "x.content_type", "x.confidence")
+
+
+@query(with_items("SELECT ord FROM relevance WHERE ai_relevance > 0.2", _TEXT, _REL))
+def publish_filter(spark, sf_dir):
+    rows = classify.with_text(items(spark, sf_dir)).withColumn("ai_relevance", classify.relevance(VOCABULARY))
+    return filters.publishable(classify.without_text(rows)).select("ord")
+
+
+@query(f"SELECT page_id, u <> '' AND NOT {Q.contains_any('u', L.UNSTABLE_URLS)} AS stable FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/redirect/' WHEN 1 THEN '' WHEN 2 THEN 'https://news.google.com/rss/articles/' || CAST(page_id AS VARCHAR) ELSE url END AS u FROM pages)")
+def stable_urls(spark, sf_dir):
+    kind = F.pmod("page_id", F.lit(4))
+    url = F.when(kind == 0, F.concat("url", F.lit("/redirect/"))).when(kind == 1, "").when(kind == 2, F.concat(F.lit("https://news.google.com/rss/articles/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", filters.stable_url(url).alias("stable"))
+
+
+@query("SELECT category, CAST(r AS INT) AS rank, source, error, failed FROM (SELECT 'c' || CAST(page_id % 4 AS VARCHAR) AS category, left(url, 80) AS source, left(html, 100) AS error, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS r, count(*) OVER (PARTITION BY page_id % 4) AS failed FROM pages) WHERE r <= 3")
+def failed_sources(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("c"), F.pmod("page_id", F.lit(4)).cast("string")).alias("category"), F.col("page_id").alias("ord"), F.col("url").alias("source"), F.col("html").alias("error"))
+    return trends.failures(rows)
+
+
+@query(with_items("SELECT count(*) AS total, count(*) FILTER (WHERE ord % 3 = 0) AS cache_hits, count(*) FILTER (WHERE ord % 3 <> 0 AND ord % 4 < 2) AS llm_calls, count(*) FILTER (WHERE ord % 4 = 2) AS fallbacks, round(coalesce(avg(CASE WHEN ord % 3 = 0 THEN 1.0 ELSE 0.0 END), 0.0), 4)::DOUBLE AS hit_rate FROM items"))
+def run_statistics(spark, sf_dir):
+    tag = F.element_at(F.array(*map(F.lit, ("llm:local/model", "llm_batch", "rule_fallback"))), F.least(F.pmod("ord", F.lit(4)) + 1, F.lit(4)).cast("int"))
+    rows = items(spark, sf_dir).withColumns({"classified_by": F.when(F.pmod("ord", F.lit(4)) < 3, tag), "from_cache": F.pmod("ord", F.lit(3)) == 0})
+    return trends.run_statistics(rows)
+
+
+_SEEN = f"seen AS (SELECT kind, value, published_ts AS seen_at FROM (SELECT 'url' AS kind, url AS value, published_ts FROM items UNION ALL SELECT 'title', title, published_ts FROM items UNION ALL SELECT 'norm_title', {Q.cache_title('title')}, published_ts FROM items) WHERE coalesce(value, '') <> '')"
+
+
+@query(with_items("SELECT kind, value, strftime(seen_at, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seen_at DESC, value) AS r, count(*) OVER (PARTITION BY kind) AS total FROM seen WHERE seen_at >= TIMESTAMP '2024-01-17 00:00:00') WHERE total < 100 OR r <= 80 GROUP BY 1, 2, 3", _SEEN))
+def history_retention(spark, sf_dir):
+    old = filters.history_of(items(spark, sf_dir), F.col("published_ts"))
+    kept = filters.bounded_history(old, AS_OF, most=100, days=14)
+    return kept.groupBy("kind", "value", F.date_format("seen_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+_SEEN_URL = "(SELECT url FROM items WHERE published < '2024-01-16' AND url IS NOT NULL)"
+
+
+@query(with_items(f"SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS r FROM items) WHERE r <= 40 AND coalesce(url, '') <> '' AND url NOT IN {_SEEN_URL}) WHERE r2 <= 20 AND published_ts >= TIMESTAMP '2024-01-24 00:00:00' AND length(title) > 10"))
+def feed_scan(spark, sf_dir):
+    entries = items(spark, sf_dir).withColumn("feed", F.col("source"))
+    return composed.feed_items(entries, history(spark, sf_dir), AS_OF, 20).select("ord")
+
+
+@query(with_items(f"SELECT ord FROM (SELECT * FROM items ORDER BY ord LIMIT 50) WHERE {Q.contains_any('lower(title)', L.DISCUSSION_TERMS)} AND published_ts >= TIMESTAMP '2024-01-24 00:00:00' AND url IS NOT NULL AND url NOT IN {_SEEN_URL} ORDER BY ord LIMIT 10"))
+def top_stories(spark, sf_dir):
+    return composed.top_stories(items(spark, sf_dir), history(spark, sf_dir), AS_OF).select("ord")
+
+
+@query(with_items("SELECT count(action) AS total, count(*) FILTER (WHERE action = 'confirm') AS confirmed, count(*) FILTER (WHERE action = 'spam') AS spam, count(*) FILTER (WHERE action = 'category') AS corrected, count(action) AS reviewed FROM reviewed", DECISIONS, _REVIEWED))
+def learning_summary(spark, sf_dir):
+    return review.learning_summary(_log(spark, sf_dir), review.apply(_for_review(spark, sf_dir), decisions(spark, sf_dir)))
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
