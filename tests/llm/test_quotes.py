@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidewell.llm import quotes, queries
 
 SF = "/root/testdata/sf0.01"
@@ -104,3 +106,20 @@ def test_short_messages(spark):
     rows = [(1, 0, "user", "Why?"), (1, 1, "user", "今天天气很好。"), (1, 2, "user", "> Why?\nWho knows."), (1, 3, "user", "> 今天天气很好。\nno"), (1, 4, "user", "> \n>\nnothing quoted")]
     by = {r.turn: r.reply_to for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert by == {0: None, 1: None, 2: 0, 3: 1, 4: None}
+
+
+def test_longest_stretch_wins(spark):
+    rows = [
+        (1, 0, "user", "Thanks\nthe bridge"), (1, 1, "user", "the mill\nwas old"), (1, 2, "user", "Thanks\nthe mill\n\nwas old\nand shut\nthe bridge"),
+        (1, 3, "user", "> Thanks\n> the mill\n> was old\n> and shut (edited)\nyes"), (1, 4, "user", "> and shut\n> the bridge\n> is new\nno"), (1, 5, "user", "> is new\n> the bridge\nno"),
+    ]
+    by = {r.turn: r.reply_to for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert by == {0: None, 1: None, 2: None, 3: 2, 4: 2, 5: 0}
+
+
+def test_hot_line_in_one_conversation(spark):
+    """Every message has the line that every second one quotes with an edited line: no pairs of messages are made."""
+    n = 20_000
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Thanks\nnote "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("> Thanks\n> edited "), F.col("id").cast("string"), F.lit("\nThanks")))
+    out = quotes.link(spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), text.alias("text")))
+    assert out.where("reply_to = 0 and depth = 1 and thread = 0").count() == n // 2 and out.where("reply_to is null").count() == n // 2

@@ -19,6 +19,7 @@ TOPK = """
     )
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
+_STRETCHES = f"flatten(list_transform(list_filter({list(quotes.WIDTHS)}, lambda w: w <= len(lines)), lambda w: list_transform(range(1, len(lines) - w + 2), lambda i: {{'width': w, 'pos': i, 'k': array_to_string(lines[i:i + w - 1], chr(10))}})))"
 _NORMAL = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 QUOTATION = f"""
@@ -43,12 +44,15 @@ QUOTATION = f"""
         SELECT conv_id, k, min(seen) AS seen FROM (SELECT * FROM said UNION ALL SELECT m.conv_id, m.turn, {_NORMAL.format('own.own')} FROM m JOIN own ON m.id = own.id WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL) WHERE k <> '' GROUP BY conv_id, k
     ), whole AS (SELECT q.conv_id, q.turn, q.level, q.k, o.seen FROM quotes q JOIN origins o ON q.conv_id = o.conv_id AND q.k = o.k AND o.seen < q.turn
     ), parts AS (
-        SELECT conv_id, turn, level, passage, k, min(pos) AS pos
-        FROM (SELECT conv_id, turn, level, k AS passage, unnest(lines) AS k, generate_subscripts(lines, 1) AS pos FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.conv_id = q.conv_id AND w.turn = q.turn AND w.level = q.level AND w.k = q.k)) GROUP BY ALL
-    ), met AS (SELECT p.conv_id, p.turn, p.level, p.passage, s.seen, count(*) AS n, min(p.pos) AS pos FROM parts p JOIN said s ON p.conv_id = s.conv_id AND p.k = s.k AND s.seen < p.turn GROUP BY ALL
+        SELECT conv_id, turn, level, passage, s.width AS width, s.k AS k, min(s.pos) AS pos
+        FROM (SELECT conv_id, turn, level, k AS passage, unnest({_STRETCHES}) AS s FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.conv_id = q.conv_id AND w.turn = q.turn AND w.level = q.level AND w.k = q.k)) GROUP BY ALL
+    ), own_lines AS (
+        SELECT m.conv_id, m.turn, list_filter(list_transform(string_split(own.own, chr(10)), lambda x: {_NORMAL.format('x')}), lambda x: x <> '') AS lines FROM m JOIN own ON m.id = own.id WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL
+    ), held AS (SELECT conv_id, s.k AS k, min(turn) AS seen FROM (SELECT conv_id, turn, unnest({_STRETCHES}) AS s FROM own_lines) GROUP BY ALL
+    ), met AS (SELECT p.conv_id, p.turn, p.level, p.passage, p.width, h.seen, count(*) AS n, min(p.pos) AS pos FROM parts p JOIN held h ON p.conv_id = h.conv_id AND p.k = h.k AND h.seen < p.turn GROUP BY ALL
     ), found AS (
-        SELECT conv_id, turn, seen, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, rank, n DESC, seen DESC) AS r
-        FROM (SELECT conv_id, turn, level, 0 AS rank, 0 AS n, seen FROM whole UNION ALL SELECT conv_id, turn, level, 1, n, seen FROM met QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level, passage ORDER BY n DESC, pos, seen) = 1)
+        SELECT conv_id, turn, seen, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, rank, width DESC, n DESC, seen DESC) AS r
+        FROM (SELECT conv_id, turn, level, 0 AS rank, 0 AS width, 0 AS n, seen FROM whole UNION ALL SELECT conv_id, turn, level, 1, width, n, seen FROM met QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level, passage ORDER BY width DESC, n DESC, pos, seen) = 1)
     ), links AS (SELECT conv_id, turn, seen AS reply_to FROM found WHERE r = 1
     ), chain AS (
         SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links

@@ -3,19 +3,20 @@
 A line's quote level is the number of `>` before its text. Runs of lines with one level are passages. Own
 (unquoted) text gives keys: the hash of the whole and of each line, normalised (lower case, white space
 collapsed); quoted passages give the hash of the whole run and of each line. A whole run is linked to the first
-message of the same conversation with its key, if that is an earlier turn; else the passage is linked to the earlier
-message with the most of its different lines, then with the line that comes first in it, then the first such. Of a
-message's links the one with the lowest level wins, then whole runs, then the most lines, then the latest turn: that
-message is what it replies to.
+message of the same conversation with its key, if that is an earlier turn. Else each of the passage's different
+stretches of 1, 2, 4, .. `WIDTHS` following lines (blank ones left out) names the first message with it, if that is an
+earlier turn; the message named by the longest stretch is linked, then that named by the most of that length, then by
+the one that comes first in the passage, then the first. Of a message's links the one with the lowest level wins, then
+whole runs, then the longest stretch, then the most, then the latest turn: that message is what it replies to.
 
 Threads are found by pointer jumping over the links (a logarithm of the longest chain in rounds, none if nothing is
 quoted): `thread` is the first turn of the chain and `depth` the number of replies before. Sorted by conv_id, thread,
 turn, every message comes after the one that it replies to. `message` is the own text in the chat format, so a
 conversation is its messages in that order.
 
-Hot keys: for whole runs, originals are reduced to one row per conversation and key before the join. Lines of
-passages without such a link meet every earlier message with the line, as their number must
-be counted; a large side of a join can be split by adaptive execution. Nothing is collected per conversation.
+Hot keys: originals are reduced to one row per conversation and key before every join, so a quoted run or stretch
+meets one row at most, however many messages have the line; the quoting side of a hot key can be split by adaptive
+execution. Nothing is collected per conversation.
 
 Cases: a null or empty text is an empty message; null conv_id or turn are kept and never linked; repeated rows stay
 and get equal answers (with differing quotes on one turn, the earliest original counts); a message that only
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 QUOTED = r"^((?:[ \t]*>)+)[ \t]?"
+WIDTHS = (1, 2, 4, 8, 16)
 
 
 def normalised(text: Column) -> Column:
@@ -57,6 +59,13 @@ def keys(texts: Column) -> Column:
     return F.transform(F.filter(F.transform(texts, normalised), lambda t: t != ""), F.md5)
 
 
+def stretches(lines: Column) -> Column:
+    """array<struct<width, pos, key>> of the runs of following lines, for each of WIDTHS."""
+    widths = F.filter(F.array(*map(F.lit, WIDTHS)), lambda w: w <= F.size(lines))
+    at = lambda w: F.transform(F.sequence(F.lit(1), F.size(lines) - w + 1), lambda i: F.struct(w.alias("width"), i.alias("pos"), F.md5(F.array_join(F.slice(lines, i, w), "")).alias("key")))
+    return F.flatten(F.transform(widths, at))
+
+
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, n_quotes, deepest, reply_to, thread, depth, message, own (its text without quotes)."""
     scratch = Scratch(messages.sparkSession, "quotes")
@@ -67,17 +76,22 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     rows = rows.select("conv_id", "turn", "role", own.alias("own"), F.when(quoting, passages(F.col("lines"))).otherwise(F.expr("array()").cast("array<struct<level:int,text:string,lines:array<string>>>")).alias("quotes"))
     placed = rows.where("conv_id is not null and turn is not null")
     quote = placed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q"))
-    quote = quote.select("conv_id", "turn", F.col("q.level").alias("level"), F.try_element_at(keys(F.array("q.text")), F.lit(1)).alias("key"), F.array_distinct(keys(F.col("q.lines"))).alias("lines")).where("key is not null")
+    quote = quote.select("conv_id", "turn", F.col("q.level").alias("level"), F.try_element_at(keys(F.array("q.text")), F.lit(1)).alias("key"), keys(F.col("q.lines")).alias("lines")).where("key is not null")
     quote = scratch.table("quotes", quote.distinct())
     said = placed.join(quote.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(keys(F.concat(F.array("own"), F.split("own", "\n", -1))))).alias("key"))
     origin = said.groupBy("conv_id", "key").agg(F.min("at").alias("at"))
     whole = scratch.table("whole", quote.join(origin, ["conv_id", "key"]).where("at < turn").select("conv_id", "turn", "level", "key", "at"))
-    parts = quote.join(whole, ["conv_id", "turn", "level", "key"], "left_anti").select("conv_id", "turn", "level", F.col("key").alias("passage"), F.posexplode("lines").alias("pos", "key"))
-    own_lines = placed.join(quote.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(keys(F.split("own", "\n", -1)))).alias("key")).distinct()
-    met = parts.join(own_lines, ["conv_id", "key"]).where("at < turn").groupBy("conv_id", "turn", "level", "passage", "at").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    most = met.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", (-F.col("pos")).alias("early"), (-F.col("at")).alias("first"))).alias("x"))
-    linked = whole.select("conv_id", "turn", "level", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("fewer"), (-F.col("at")).alias("late")).unionByName(most.select("conv_id", "turn", "level", F.lit(1).alias("rank"), (-F.col("x.n")).alias("fewer"), F.col("x.first").alias("late")))
-    best = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "rank", "fewer", "late")).alias("x"))
+    passage = ["conv_id", "turn", "level", "passage"]
+    rest = scratch.table("rest", quote.join(whole, ["conv_id", "turn", "level", "key"], "left_anti").withColumnRenamed("key", "passage"))
+    parts = rest.select(*passage, F.explode(stretches(F.col("lines"))).alias("s")).groupBy(*passage, "s.width", "s.key").agg(F.min("s.pos").alias("pos"))
+    held = placed.join(rest.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(stretches(keys(F.split("own", "\n", -1)))).alias("s"))
+    held = held.groupBy("conv_id", "s.key").agg(F.min("turn").alias("at"))
+    met = parts.join(held, ["conv_id", "key"]).where("at < turn").groupBy(*passage, "width", "at").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    most = met.groupBy(*passage).agg(F.max(F.struct("width", "n", (-F.col("pos")).alias("early"), (-F.col("at")).alias("first"))).alias("x"))
+    none, back = F.lit(0).cast("long"), (-F.col("at")).alias("late")
+    linked = whole.select("conv_id", "turn", "level", F.lit(0).alias("rank"), F.lit(0).alias("narrow"), none.alias("fewer"), back)
+    linked = linked.unionByName(most.select("conv_id", "turn", "level", F.lit(1).alias("rank"), (-F.col("x.width")).alias("narrow"), (-F.col("x.n")).alias("fewer"), F.col("x.first").alias("late")))
+    best = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "rank", "narrow", "fewer", "late")).alias("x"))
     links = scratch.table("links", best.select("conv_id", "turn", (-F.col("x.late")).alias("reply_to")))
     chains = _threads(links, scratch)
     out = rows.join(links.join(chains, ["conv_id", "turn"]), ["conv_id", "turn"], "left")
