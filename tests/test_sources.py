@@ -136,7 +136,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_scratch_tables_go_with_their_scope(spark):
-    from tidewell.sources.shared import Scratch, scope, shared_dir
+    from tidewell.sources.shared import Scratch, qualified, scope, shared_dir
 
     kept = Scratch(spark, "kept")
     with scope():
@@ -144,6 +144,7 @@ def test_scratch_tables_go_with_their_scope(spark):
         out = kept.table("out", inner.table("a", spark.range(3)).selectExpr("id + 1 as id"))
     import os
 
-    assert not os.path.exists(inner.root) and kept.root.startswith(shared_dir(spark)) and out.count() == 3
+    assert not os.path.exists(inner.root.removeprefix("file://")) and kept.root.startswith(shared_dir(spark)) and out.count() == 3
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     kept.drop()
+    assert {qualified(spark, x) for x in ("/a/b", "file:/a/b", "file:///a/b")} == {"file:///a/b"} and shared_dir(spark).startswith("file:///")

@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def qualified(spark: SparkSession, where: str) -> str:
+    """`where` with the scheme and host that Spark's default file system gives it, as a URI that others read alike."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset, a temporary folder for a local master; on a cluster that is an error, as
-    every executor would write to a disk of its own."""
+    """spark.checkpoint.dir as a full URI. Where it is unset, a temporary folder for a local master; on a cluster that is
+    an error, as every executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -25,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
 
 
 _scopes: list[list[Scratch]] = []
