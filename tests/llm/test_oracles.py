@@ -29,7 +29,7 @@ def same(df, con, sql):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages", "items", "sale_lines"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     same(queries.QUERIES[name](spark, SF), con, queries.ORACLE[name])
 

@@ -96,3 +96,26 @@ def license_scan() -> str:
     SELECT o.doc_id, o.path, coalesce(o.licence, n.above) AS licence, coalesce(o.score, n.above_score) AS score,
         CASE WHEN o.licence IS NOT NULL THEN CASE WHEN o.whole THEN 'file' ELSE 'header' END WHEN n.above IS NOT NULL THEN 'inherited' END AS origin, n.up AS from_dir
     FROM own o LEFT JOIN near n ON o.doc_id = n.doc_id"""
+
+
+def kmeans(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Every round as two tables, with all distances in full."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT id, e, c, d FROM (SELECT v.id, v.e, x.c, list_sum(list_transform(list_zip(v.e, x.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{n} x) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"""
+
+    steps = []
+    for n in range(rounds):
+        steps += [assigned(n), f"""c{n + 1} AS MATERIALIZED (
+            SELECT c{n}.c, coalesce(any_value(s.m), any_value(c{n}.m)) AS m
+            FROM c{n} LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM (SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT c, unnest(e) AS x, unnest(range({size})) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) s ON s.c = c{n}.c GROUP BY c{n}.c)"""]
+    return f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS e
+        FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h) - 1 AS c, e AS m FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h LIMIT {k})
+    ), {", ".join(steps)}, {assigned(rounds)}
+    SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c.m, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN v ON v.id = a.id JOIN c{rounds} c ON c.c = a.c"""

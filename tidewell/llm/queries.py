@@ -93,6 +93,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files)
 
 
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import kmeans
+
+    found, centroids = kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64)
+    digests = F.array(*[F.lit(kmeans.digest(c)) for c in centroids] or [F.lit("")])
+    return found.withColumn("centroid_sha256", F.element_at(digests, F.col("cluster") + 1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -104,10 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op13_kmeans": op13_kmeans,
 }
 
 ORACLE: dict[str, str] = {
     "op1_topk": oracles.TOPK,
     "op8_quotation_linking": oracles.QUOTATION,
     "op10_license_scan": oracles.license_scan(),
+    "op13_kmeans": oracles.kmeans(),
 }
