@@ -64,6 +64,24 @@ QUOTATION = f"""
     FROM m JOIN own ON m.id = own.id LEFT JOIN counted c ON m.id = c.id LEFT JOIN links l ON m.conv_id = l.conv_id AND m.turn = l.turn LEFT JOIN threads t ON m.conv_id = t.conv_id AND m.turn = t.turn"""
 
 
+_CRC_STEP = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+_CRC = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({{}}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])), 4294967295)"
+
+#: All pairs of items and lines; the checksum is made a byte at a time.
+PRICE_BANDS = f"""
+    WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda x: {_CRC_STEP.format(x='x')}) AS k
+    ), a AS (SELECT sale_id, line_no::BIGINT AS line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND abs(amount) < 11529215046068469.76
+    ), l AS MATERIALIZED (
+        SELECT sale_id, line_no, item_id, (x - ((x % y) + y) % y) // y AS u, {_CRC.format("sale_id::VARCHAR || ',' || coalesce(line_no::VARCHAR, '') || ',' || item_id::VARCHAR")} AS c
+        FROM (SELECT *, sign(q)::BIGINT * (2 * a + q) AS x, 2 * abs(q) AS y FROM a), crc
+    ), i AS (SELECT DISTINCT item_id, CASE WHEN abs(price) < 11529215046068469.76 THEN floor(100 * price + 0.5)::BIGINT END AS p FROM items
+    ), pairs AS (SELECT i.item_id, i.p, abs(l.u - i.p) AS gap, l.u, l.sale_id, l.line_no, l.item_id AS line_item_id, l.c FROM i JOIN l ON l.u BETWEEN i.p - greatest(10, i.p // 500) AND i.p + greatest(10, i.p // 500) AND l.item_id <> i.item_id
+    ), sums AS (SELECT item_id, p, count(*) AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(c)::BIGINT AS lines_crc FROM pairs GROUP BY item_id, p
+    ), firsts AS (SELECT *, row_number() OVER (PARTITION BY item_id, p ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS r FROM pairs QUALIFY r <= 5)
+    SELECT i.item_id, coalesce(f.r, 0)::INTEGER AS rank, f.gap, f.u, f.sale_id, f.line_no, f.line_item_id, coalesce(s.n_pairs, 0) AS n_pairs, coalesce(s.gap_sum, 0)::BIGINT AS gap_sum, coalesce(s.lines_crc, 0)::BIGINT AS lines_crc
+    FROM i LEFT JOIN sums s ON i.item_id = s.item_id AND i.p = s.p LEFT JOIN firsts f ON i.item_id = f.item_id AND i.p = f.p"""
+
+
 def license_scan() -> str:
     """Weights, units and inheritance anew from the template texts, over all units of all texts."""
     templates = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licences.TEMPLATES))

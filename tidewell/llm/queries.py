@@ -93,6 +93,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files)
 
 
+def op11_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of zero have no price for one and never pair, nor do prices and amounts that aren't finite or reach 2^60 cents;
+    a null line_no is written as nothing."""
+    from pyspark.sql import functions as F
+
+    from . import bands
+
+    def cents(name: str):
+        x = F.floor(100 * F.col(name).cast("double") + 0.5)
+        return F.when(F.abs(F.col(name)) < 2.0**60 / 100, x)
+
+    written = F.concat_ws(",", F.col("sale_id").cast("string"), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.col("item_id").cast("string"))
+    lines = table(spark, sf_dir, "sale_lines").where("quantity <> 0").select("sale_id", F.col("line_no").cast("long").alias("line_no"), "item_id", F.col("quantity").cast("long").alias("q"), cents("amount").alias("a"), F.crc32(written.cast("binary")).alias("check"))
+    lines = lines.select("*", F.expr("sign(q)::long * (2 * a + q)").alias("x"), F.expr("2 * abs(q)").alias("y"))
+    rows = lines.select(F.expr("(x - pmod(x, y)) div y").alias("at"), F.col("item_id").alias("key"), F.col("sale_id").alias("order1"), F.col("line_no").alias("order2"), "check")
+    points = table(spark, sf_dir, "items").select(F.col("item_id").alias("key"), cents("price").alias("at"))
+    found = bands.nearest(points, rows, k=5, least=10, share=500)
+    names = {"item_id": "key", "rank": "rank", "gap": "gap", "u": "value", "sale_id": "order1", "line_no": "order2", "line_item_id": "row_key", "n_pairs": "n", "gap_sum": "gaps", "lines_crc": "checks"}
+    return found.select(*[F.col(b).alias(a) for a, b in names.items()])
+
+
 def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -114,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_price_bands": op11_price_bands,
     "op13_kmeans": op13_kmeans,
 }
 
@@ -121,5 +143,6 @@ ORACLE: dict[str, str] = {
     "op1_topk": oracles.TOPK,
     "op8_quotation_linking": oracles.QUOTATION,
     "op10_license_scan": oracles.license_scan(),
+    "op11_price_bands": oracles.PRICE_BANDS,
     "op13_kmeans": oracles.kmeans(),
 }
