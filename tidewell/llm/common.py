@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 
 from tidewell.sources.shared import Scratch, scope  # noqa: F401
 
@@ -28,6 +30,12 @@ def portions(texts: pa.Array, limit: int = PORTION_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def storage(where: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a folder given as a URI, as file:/x too, or as a local path."""
+    where = re.sub("^file:/+", "/", where)
+    return (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(where)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i] .. starts[i] + lengths[i] - 1 of every i, one after another."""
     lengths = lengths.astype(np.int64, copy=False)

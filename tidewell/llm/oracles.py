@@ -82,6 +82,14 @@ PRICE_BANDS = f"""
     FROM i LEFT JOIN sums s ON i.item_id = s.item_id AND i.p = s.p LEFT JOIN firsts f ON i.item_id = f.item_id AND i.p = f.p"""
 
 
+ARCHIVES = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS r, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND r > 1 THEN last END AS refers_to
+    FROM r"""
+
+
 def license_scan() -> str:
     """Weights, units and inheritance anew from the template texts, over all units of all texts."""
     templates = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licences.TEMPLATES))

@@ -114,6 +114,15 @@ def op11_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.col(b).alias(a) for a, b in names.items()])
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import archives
+
+    found = archives.archived(spark, table(spark, sf_dir, "pages"), least=1000)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -136,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
     "op11_price_bands": op11_price_bands,
+    "op12_arc_to_warc": op12_arc_to_warc,
     "op13_kmeans": op13_kmeans,
 }
 
@@ -144,5 +154,6 @@ ORACLE: dict[str, str] = {
     "op8_quotation_linking": oracles.QUOTATION,
     "op10_license_scan": oracles.license_scan(),
     "op11_price_bands": oracles.PRICE_BANDS,
+    "op12_arc_to_warc": oracles.ARCHIVES,
     "op13_kmeans": oracles.kmeans(),
 }

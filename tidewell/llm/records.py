@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounds, ended, trimmed
+from .common import Scratch, bounds, ended, storage, trimmed
 from .wordcache import encoder
 
 MAGIC, SLICE = b"TWREC1\0\0", 4096
@@ -72,7 +71,7 @@ def write(docs: DataFrame, to: str, vocabulary: str, end_id: int = 2, text: str
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
+        where, root = storage(to)
         where.create_dir(root, recursive=True)
         part, name = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         offsets, firsts, at, total = [], [], 0, 0
@@ -113,7 +112,7 @@ def read(spark: SparkSession, at: str, manifest: DataFrame, with_ids: bool = Fal
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(at if "://" in at else f"file://{at}")
+        where, root = storage(at)
         for rb in batches:
             for s in rb.to_pylist():
                 with where.open_input_file(f"{root}/{s['file']}.idx") as f:
