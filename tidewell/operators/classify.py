@@ -1,4 +1,4 @@
-"""Rule classification: relevance, content type, confidence, fields, region. Staged column expressions, no UDF."""
+"""Rule classification: relevance, content type, confidence, fields, region. Staged column expressions over one scan of the text."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.functions.lexicon import Lexicon
+from tidewell.operators import importance
 
 
 @dataclass(frozen=True)
@@ -36,9 +38,18 @@ def low(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def with_text(items: DataFrame) -> DataFrame:
-    """Lower-cased title, summary and both, once."""
-    return items.withColumns({"_title": low("title"), "_summary": F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("description", F.lit("")))), "_source": low("source"), "_url": low("url"), "_author": low("author")}).withColumn("_full", F.concat_ws(" ", "_title", "_summary"))
+def lexicon(v: Vocabulary = Vocabulary()) -> Lexicon:  # noqa: B008
+    """Every term that classification or importance looks for in an item."""
+    sources = [t for t in v.priors if t != "_default"]
+    groups = (*v.types.values(), v.core, v.field_products, v.weak, v.off_topic, v.strong_research, v.companies, v.products, *v.tech.values(), *v.regions.values(), v.trusted, sources)
+    return Lexicon(*groups, L.ROLES, L.GENERIC_TITLES, L.EVENTS, L.LEADER_VERBS, L.STRONG_STATEMENT, L.FIELD_SOURCES, *importance.vocabularies(), placed=(*v.negations, *v.actions))
+
+
+def with_text(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
+    """Lower-cased fields, once, and what the vocabulary's lexicon finds in them."""
+    texts = {"_title": low("title"), "_text": F.length(low("description")) + 1, "_summary": F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("description", F.lit("")))), "_source": low("source"), "_url": low("url"), "_author": low("author")}
+    lex = lexicon(v)
+    return items.withColumns(texts).withColumns({"_full": F.concat_ws(" ", "_title", "_summary"), lex.name: lex.column()})
 
 
 def without_text(items: DataFrame) -> DataFrame:
@@ -47,12 +58,12 @@ def without_text(items: DataFrame) -> DataFrame:
 
 def relevance(v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
     """How much an item is about the field, 0 to 1."""
-    title, full = F.col("_title"), F.concat_ws(" ", "_title", "_title", "_summary")
-    plus = X.weight_sum(full, v.core, title, 0.5) + X.weight_sum(full, v.field_products, title, 0.3) + X.weight_sum(full, v.weak)
-    off = F.filter(X.strings(v.off_topic), lambda t: F.contains(full, t))
-    minus = F.aggregate(off, F.lit(0.0), lambda acc, t: acc + F.when(F.contains(title, t), 5.0).otherwise(2.0))
+    lex = lexicon(v)
+    title, full = lex.part("title"), lex.part("twice")
+    plus = full.weight_sum(v.core, title, 0.5) + full.weight_sum(v.field_products, title, 0.3) + full.weight_sum(v.weak)
+    minus = full.weight_sum(dict.fromkeys(v.off_topic, 2.0), title, 1.5)
     base = F.least(F.lit(1.0), plus / 20.0)
-    bonus = F.when(F.exists(X.strings(L.FIELD_SOURCES), lambda t: F.contains(F.col("_source"), t) | F.contains(F.col("_url"), t)), 0.15).otherwise(0.0)
+    bonus = F.when(lex.part("source", "url").any(L.FIELD_SOURCES), 0.15).otherwise(0.0)
     base = F.least(F.lit(1.0), base + bonus)
     base = F.when(minus > 0, F.greatest(F.lit(0.0), base - F.least(F.lit(0.5), minus / 20.0))).otherwise(base)
     base = F.when(F.contains("_url", F.lit("arxiv.org")) | F.contains("_source", F.lit("arxiv")), F.greatest(base, F.lit(0.9))).otherwise(base)
@@ -60,27 +71,26 @@ def relevance(v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
     return F.round(base, 3)
 
 
-def trust(trusted: tuple = L.TRUSTED) -> Column:
-    found = F.filter(X.strings(trusted), lambda t: F.contains(F.col("_source"), t) | F.contains(F.col("_full"), t))
-    return F.least(F.lit(1.0), F.size(found) * 0.2)
+def trust(v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
+    return F.least(F.lit(1.0), lexicon(v).part("source", "full").count(v.trusted) * 0.2)
 
 
 def prior(content_type: str, v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
     """The prior of a content type by the first source name that the source contains."""
-    table = X.weighted({k: p[content_type] for k, p in v.priors.items() if k != "_default"})
-    found = F.filter(table, lambda t: F.contains(F.col("_source"), t["term"]))
-    return F.coalesce(F.try_element_at(found, F.lit(1))["weight"], F.lit(v.priors["_default"][content_type]))
+    found = lexicon(v).part("source").first({k: p[content_type] for k, p in v.priors.items() if k != "_default"})
+    return F.coalesce(found, F.lit(v.priors["_default"][content_type]))
 
 
 def tech_fields(v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
-    found = F.array_compact(F.array(*[F.when(X.contains_any(F.col("_full"), terms), F.lit(name)) for name, terms in v.tech.items()]))
+    full = lexicon(v).part("full")
+    found = F.array_compact(F.array(*[F.when(full.any(terms), F.lit(name)) for name, terms in v.tech.items()]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("General AI")))
 
 
 def region(v: Vocabulary = Vocabulary()) -> Column:  # noqa: B008
     """A set region stays; else the region with most terms in text and source, the first of equal ones."""
-    text = F.concat_ws(" ", "_title", "_summary", "_source")
-    hits = {name: X.count_hits(text, terms) for name, terms in v.regions.items()}
+    text = lexicon(v).part("body")
+    hits = {name: text.count(terms) for name, terms in v.regions.items()}
     most = F.greatest(*hits.values())
     out = F.when(most == 0, F.lit("Global"))
     for name, n in hits.items():
@@ -93,26 +103,21 @@ def _scores() -> Column:
 
 
 def scored(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
-    """_s_<type> for each content type after all rules, and the flags that they used. Needs `with_text`."""
+    """_s_<type> for each content type after all rules, and the flags that they used. Needs `with_text` of the same vocabulary."""
     s = lambda c: F.col(f"_s_{c}")
-    full, title = F.col("_full"), F.col("_title")
+    lex = lexicon(v)
+    full, title, summary = lex.part("full"), lex.part("title"), lex.part("summary")
     flags = {
-        "_company": F.exists(X.strings(v.companies), lambda t: F.contains(full, t) | F.contains(F.col("_source"), t)),
-        "_product": X.contains_any(full, v.products),
-        "_strong_research": X.contains_any(full, v.strong_research),
-        "_known": X.contains_any(full, L.ROLES),
-        "_generic": X.contains_any(full, L.GENERIC_TITLES),
-        "_event": X.contains_any(full, L.EVENTS),
-        "_tagged": (F.col("_author") != "") & X.contains_any(F.col("_author"), L.ROLES),
-        "_negation": X.negation(full, v.negations, v.actions),
-        "_trust": trust(v.trusted),
-    }
+        "_company": lex.part("full", "source").any(v.companies), "_product": full.any(v.products), "_strong_research": full.any(v.strong_research),
+        "_known": full.any(L.ROLES), "_generic": full.any(L.GENERIC_TITLES), "_event": full.any(L.EVENTS), "_tagged": lex.part("author").any(L.ROLES),
+        "_negation": full.negation(v.negations, v.actions), "_trust": trust(v),
+    }
     out = items.withColumns(flags)
-    colon = title.rlike("^.{2,10}[：:].{5,}") & F.col("_known")
-    out = out.withColumns({"_verb": X.contains_any(full, L.LEADER_VERBS) | colon, "_strong": X.contains_any(full, L.STRONG_STATEMENT) | colon})
+    colon = F.col("_title").rlike("^.{2,10}[：:].{5,}") & F.col("_known")
+    out = out.withColumns({"_verb": full.any(L.LEADER_VERBS) | colon, "_strong": full.any(L.STRONG_STATEMENT) | colon})
     out = out.withColumn("_role", F.col("_known") | (F.col("_generic") & F.col("_strong")))
-    out = out.withColumns({f"_s_{c}": 1.5 * X.weighted_score(title, v.types[c]) + X.weighted_score(F.col("_summary"), v.types[c]) for c in L.CONTENT_TYPES})
-    out = out.withColumns({f"_s_{c}": (s(c) + 3.0 * X.phrase_count(full, v.phrases.get(c, ()))) * (1 + 0.5 * prior(c, v)) for c in L.CONTENT_TYPES})
+    out = out.withColumns({f"_s_{c}": 1.5 * title.weighted_score(v.types[c]) + summary.weighted_score(v.types[c]) for c in L.CONTENT_TYPES})
+    out = out.withColumns({f"_s_{c}": (s(c) + 3.0 * X.phrase_count(F.col("_full"), v.phrases.get(c, ()))) * (1 + 0.5 * prior(c, v)) for c in L.CONTENT_TYPES})
     known = F.col("_company") | F.col("_product")
     out = out.withColumns({
         "_s_research": s("research") * F.when(prior("research", v) < 0.2, 0.7).otherwise(1.0) * F.when(~F.col("_strong_research"), F.when(known, 0.3 * 0.5).otherwise(0.3)).otherwise(1.0),
@@ -144,7 +149,7 @@ def confidence(ranked: Column) -> Column:
 
 
 def content_type(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
-    """content_type, confidence and secondary_labels. Needs `with_text`."""
+    """content_type, confidence and secondary_labels. Needs `with_text` of the same vocabulary."""
     out = scored(items, v)
     ranked = F.array_sort(_scores(), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(b["order"] - a["order"]))
     out = out.withColumn("_ranked", ranked)
@@ -156,7 +161,7 @@ def content_type(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
     sure = F.when(none, F.when(known, 0.3).otherwise(0.2)).otherwise(confidence(F.col("_ranked")))
     top = F.element_at("_ranked", 1)["score"]
     near = F.transform(F.filter(F.slice("_ranked", 2, 4), lambda x: (x["score"] >= 0.5 * top) & (x["score"] > 3)), lambda x: x["type"])
-    full_scores = F.array(*[F.struct(F.lit(c).alias("type"), X.weighted_score(F.col("_full"), v.types[c]).alias("score")) for c in L.CONTENT_TYPES])
+    full_scores = F.array(*[F.struct(F.lit(c).alias("type"), lexicon(v).part("full").weighted_score(v.types[c]).alias("score")) for c in L.CONTENT_TYPES])
     beside = lambda kind: F.transform(F.filter(full_scores, lambda x: (x["score"] > 5) & (x["type"] != kind)), lambda x: x["type"])
     out = out.withColumn("_forced", forced)
     return out.withColumns({
@@ -167,6 +172,10 @@ def content_type(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
 
 def labelled(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
     """All labels of an item but its importance."""
-    out = content_type(with_text(items).withColumn("ai_relevance", relevance(v)), v)
-    out = out.withColumns({"tech_categories": tech_fields(v), "region": region(v), "needs_review": F.col("confidence") < 0.6, "classified_by": F.lit("rule")})
-    return without_text(out)
+    return without_text(labels(with_text(items, v), v))
+
+
+def labels(items: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
+    """The same of items `with_text`, whose columns stay."""
+    out = content_type(items.withColumn("ai_relevance", relevance(v)), v)
+    return out.withColumns({"tech_categories": tech_fields(v), "region": region(v), "needs_review": F.col("confidence") < 0.6, "classified_by": F.lit("rule")})

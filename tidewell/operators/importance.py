@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.functions.lexicon import Lexicon, Part, matcher
 from tidewell.sources.shared import Scratch
 
 #: Weights of the dimensions.
 WEIGHTS = {"source_authority": 0.25, "recency": 0.25, "confidence": 0.20, "relevance": 0.20, "engagement": 0.10}
 
 
-def authority(text: Column, table: dict = L.AUTHORITY, default: float = 0.40) -> Column:
+LAYERS = ((L.BREAKTHROUGH, 1.0), (L.RELEASE, 0.9), (L.TECHNIQUE, 0.8), (L.GENERAL, 0.6))
+
+
+def vocabularies() -> tuple[dict, ...]:
+    """Terms that importance looks for."""
+    return (*[terms for terms, _ in LAYERS], L.DOUBT, L.AUTHORITY)
+
+
+def authority(text: Column | Part, table: dict = L.AUTHORITY, default: float = 0.40) -> Column:
     """The largest authority of a source name that the text contains."""
-    found = F.filter(X.weighted(table), lambda t: F.contains(text, t["term"]))
-    return F.coalesce(F.greatest(F.array_max(F.transform(found, lambda t: t["weight"])), F.lit(default)), F.lit(default))
+    return F.coalesce(F.greatest(matcher(text).largest(table), F.lit(default)), F.lit(default))
 
 
 def blended(static: Column, count: Column, average: Column) -> Column:
@@ -31,16 +39,17 @@ def recency(at: Column, now: Column, content_type: Column, decay: dict = L.DECAY
     return F.when(at.isNull(), 0.5).when(days <= 0, 1.0).otherwise(F.round((1 - 0.08) * F.exp(-rate * days) + 0.08, 3))
 
 
-def relevance(title: Column, text: Column, content_type: Column, layers: tuple = ((L.BREAKTHROUGH, 1.0), (L.RELEASE, 0.9), (L.TECHNIQUE, 0.8), (L.GENERAL, 0.6)), doubt: dict = L.DOUBT, factors: dict = L.TYPE_FACTORS) -> Column:
+def relevance(title: Column | Part, text: Column | Part, content_type: Column, layers: tuple = LAYERS, doubt: dict = L.DOUBT, factors: dict = L.TYPE_FACTORS) -> Column:
     """Layered terms, each in its first layer only, less doubt, with a little more for terms in the title."""
     seen: set[str] = set()
+    title, text = matcher(title), matcher(text)
     total, hits = F.lit(0.25), F.lit(0)
     for terms, factor in layers:
         own = {t: w for t, w in terms.items() if t not in seen}
         seen |= own.keys()
-        total = total + X.weight_sum(text, own) * factor
-        hits = hits + X.count_hits(title, own)
-    total = total + X.weight_sum(text, doubt) + F.least(F.lit(0.10), hits * 0.02)
+        total = total + text.weight_sum(own) * factor
+        hits = hits + title.count(own)
+    total = total + text.weight_sum(doubt) + F.least(F.lit(0.10), hits * 0.02)
     factor = F.coalesce(F.try_element_at(F.filter(X.weighted(factors), lambda t: t["term"] == content_type), F.lit(1))["weight"], F.lit(0.9))
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), total * factor)), 3)
 
@@ -84,14 +93,19 @@ def level(importance: Column) -> Column:
     return F.when(importance >= 0.85, "critical").when(importance >= 0.70, "high").when(importance >= 0.55, "medium").when(importance >= 0.40, "low").otherwise("minimal")
 
 
-def score(items: DataFrame, as_of: str, learned: DataFrame | None = None) -> DataFrame:
-    """importance, importance_level and importance_breakdown of classified items. `learned`: (source, n, average)."""
-    now, low = F.lit(as_of).cast("timestamp"), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    out = items.withColumns({"_text": F.concat_ws(" ", low("title"), low("summary")), "_auth": authority(F.concat_ws(" ", low("source"), low("url")))})
+def score(items: DataFrame, as_of: str, learned: DataFrame | None = None, lexicon: Lexicon | None = None) -> DataFrame:
+    """importance, importance_level and importance_breakdown of classified items. `learned`: (source, n, average). `lexicon`: the
+    one whose hits the items still have; without it they are scanned for importance's own terms."""
+    now = F.lit(as_of).cast("timestamp")
+    if lexicon is None:
+        lexicon, low = Lexicon(*vocabularies()), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+        items = items.withColumns({"_title": low("title"), "_summary": low("summary"), "_text": F.lit(0), "_source": low("source"), "_url": low("url"), "_author": F.lit("")})
+        items = items.withColumn(lexicon.name, lexicon.column())
+    out = items.drop("_source").withColumn("_auth", authority(lexicon.part("name")))
     if learned is not None:
         out = out.join(learned.select(F.lower("source").alias("_source"), F.col("n").alias("_n"), F.col("average").alias("_avg")), F.lower("source") == F.col("_source"), "left").withColumn("_auth", blended(F.col("_auth"), F.col("_n"), F.col("_avg")))
     ai = F.coalesce("ai_relevance", F.lit(0.7))
-    out = out.withColumns({"_rec": recency(F.col("published_ts"), now, F.col("content_type")), "_rel": relevance(low("title"), F.col("_text"), F.col("content_type")), "_eng": engagement(item_signals()), "_ai": ai})
+    out = out.withColumns({"_rec": recency(F.col("published_ts"), now, F.col("content_type")), "_rel": relevance(lexicon.part("title"), lexicon.part("text"), F.col("content_type")), "_eng": engagement(item_signals()), "_ai": ai})
     out = out.withColumn("_conf", capped(F.coalesce("confidence", F.lit(0.5)), F.col("_rec"), F.col("_auth")))
     parts = {"source_authority": F.col("_auth"), "recency": F.col("_rec"), "confidence": F.col("_conf"), "relevance": F.col("_rel"), "engagement": F.col("_eng")}
     breakdown = F.struct(*[c.alias(n) for n, c in parts.items()], F.col("_ai").alias("ai_relevance"), F.round(factor(F.col("_ai")), 3).alias("ai_multiplier"))

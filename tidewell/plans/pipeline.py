@@ -14,5 +14,6 @@ def collected(items: DataFrame, history: DataFrame, quotas: dict[str, int], as_o
 
 
 def labelled(items: DataFrame, as_of: str, vocabulary: classify.Vocabulary | None = None, learned: DataFrame | None = None) -> DataFrame:
-    """Items with all labels and their importance."""
-    return importance.score(classify.labelled(items, vocabulary or classify.Vocabulary()), as_of, learned)
+    """Items with all labels and their importance, from one scan of their texts."""
+    v = vocabulary or classify.Vocabulary()
+    return importance.score(classify.labels(classify.with_text(items, v), v), as_of, learned, classify.lexicon(v))

@@ -96,13 +96,13 @@ def _tech_sql(text: str = "lower(title || ' ' || summary)") -> str:
 
 @query(with_items("SELECT key, count(*) AS n, min(ord) AS first FROM (SELECT ord, unnest(tech_categories) AS key FROM fields) GROUP BY 1 ORDER BY n DESC, first, key LIMIT 10", _tech_sql()))
 def tech_hotspots_top10(spark, sf_dir):
-    tagged = classify.without_text(classify.with_text(items(spark, sf_dir)).withColumn("tech_categories", classify.tech_fields(VOCABULARY)))
+    tagged = classify.without_text(classify.with_text(items(spark, sf_dir), VOCABULARY).withColumn("tech_categories", classify.tech_fields(VOCABULARY)))
     return trends.hotspots(tagged)
 
 
 @query(with_items("SELECT ord, array_to_string(tech_categories, ',') AS fields FROM fields", _tech_sql()))
 def tech_categories(spark, sf_dir):
-    return classify.with_text(items(spark, sf_dir)).select("ord", F.array_join(classify.tech_fields(VOCABULARY), ",").alias("fields"))
+    return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", F.array_join(classify.tech_fields(VOCABULARY), ",").alias("fields"))
 
 
 # Filters
@@ -130,7 +130,7 @@ def discussion_filter(spark, sf_dir):
 
 @query(with_items("SELECT ord FROM fields WHERE category = 'product' AND list_contains(tech_categories, 'Vision')", _tech_sql()))
 def facet_filter(spark, sf_dir):
-    tagged = classify.with_text(items(spark, sf_dir)).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")})
+    tagged = classify.with_text(items(spark, sf_dir), VOCABULARY).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")})
     return filters.faceted(tagged, "product", "Vision").select("ord")
 
 
@@ -245,25 +245,25 @@ _TEXT = "texts AS (SELECT *, lower(title) AS tl, lower(summary || ' ') AS sl, lo
 
 @query(with_items("SELECT ord, " + ", ".join(f"round({Q.weighted_score('fl', TYPES[c])}, 4) AS {c}" for c in L.CONTENT_TYPES) + " FROM texts", _TEXT))
 def weighted_keyword_score(spark, sf_dir):
-    t = classify.with_text(items(spark, sf_dir))
-    return t.select("ord", *[F.round(X.weighted_score(F.col("_full"), TYPES[c]), 4).alias(c) for c in L.CONTENT_TYPES])
+    t = classify.with_text(items(spark, sf_dir), VOCABULARY)
+    return t.select("ord", *[F.round(classify.lexicon(VOCABULARY).part("full").weighted_score(TYPES[c]), 4).alias(c) for c in L.CONTENT_TYPES])
 
 
 @query(with_items(f"SELECT ord, {Q.phrase_count('fl', VOCABULARY.phrases['research'])} AS research, {Q.phrase_count('fl', VOCABULARY.phrases['market'])} AS market FROM texts", _TEXT))
 def phrase_score(spark, sf_dir):
-    t = classify.with_text(items(spark, sf_dir))
+    t = classify.with_text(items(spark, sf_dir), VOCABULARY)
     return t.select("ord", *[X.phrase_count(F.col("_full"), VOCABULARY.phrases[c]).alias(c) for c in ("research", "market")])
 
 
 @query(with_items("SELECT ord, " + ", ".join(f"CASE WHEN contains(so, 'src1') THEN {PRIORS['src1'][c]} WHEN contains(so, 'src5') THEN {PRIORS['src5'][c]} ELSE {PRIORS['_default'][c]} END::DOUBLE AS {c}" for c in L.CONTENT_TYPES) + " FROM texts", _TEXT))
 def source_prior(spark, sf_dir):
-    t = classify.with_text(items(spark, sf_dir))
+    t = classify.with_text(items(spark, sf_dir), VOCABULARY)
     return t.select("ord", *[classify.prior(c, VOCABULARY).alias(c) for c in L.CONTENT_TYPES])
 
 
 @query(with_items("SELECT ord, round(least(1.0, 0.2 * len(list_filter(['there', 'src1'], lambda t: contains(so, t) OR contains(fl, t)))), 4)::DOUBLE AS trust FROM texts", _TEXT))
 def source_trust(spark, sf_dir):
-    return classify.with_text(items(spark, sf_dir)).select("ord", F.round(classify.trust(VOCABULARY.trusted), 4).alias("trust"))
+    return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", F.round(classify.trust(VOCABULARY), 4).alias("trust"))
 
 
 _REGION = ", ".join(f"{Q.count_hits('body', terms)} AS r_{name}" for name, terms in REGIONS.items())
@@ -271,7 +271,7 @@ _REGION = ", ".join(f"{Q.count_hits('body', terms)} AS r_{name}" for name, terms
 
 @query(with_items("SELECT ord, CASE WHEN greatest(r_China, r_USA, r_Europe, r_Global) = 0 THEN 'Global' WHEN r_China = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'China' WHEN r_USA = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'USA' WHEN r_Europe = greatest(r_China, r_USA, r_Europe, r_Global) THEN 'Europe' ELSE 'Global' END AS region FROM hits", _TEXT, f"hits AS (SELECT ord, {_REGION} FROM (SELECT ord, fl || ' ' || so AS body FROM texts))"))
 def region_argmax(spark, sf_dir):
-    return classify.with_text(items(spark, sf_dir)).select("ord", classify.region(VOCABULARY).alias("region"))
+    return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", classify.region(VOCABULARY).alias("region"))
 
 
 _REL = f"""rel AS (SELECT *, {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.core, 'tl', 0.5)} + {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.field_products, 'tl', 0.3)} + {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.weak)} AS plus,
@@ -281,7 +281,7 @@ _REL = f"""rel AS (SELECT *, {Q.weight_sum('tl || chr(32) || fl', VOCABULARY.cor
 
 @query(with_items("SELECT ord, ai_relevance::DOUBLE AS ai_relevance FROM relevance", _TEXT, _REL))
 def ai_relevance(spark, sf_dir):
-    return classify.with_text(items(spark, sf_dir)).select("ord", classify.relevance(VOCABULARY).alias("ai_relevance"))
+    return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", classify.relevance(VOCABULARY).alias("ai_relevance"))
 
 
 def _negation_sql() -> str:
@@ -298,7 +298,7 @@ _NEGATION = _negation_sql()
 
 @query(with_items("SELECT t.ord, round(coalesce(w.negation, 0.0), 4)::DOUBLE AS negation FROM texts t LEFT JOIN worth w ON t.ord = w.ord", _TEXT, _NEGATION))
 def negative_context(spark, sf_dir):
-    return classify.with_text(items(spark, sf_dir)).select("ord", F.round(X.negation(F.col("_full"), VOCABULARY.negations, VOCABULARY.actions), 4).alias("negation"))
+    return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", F.round(classify.lexicon(VOCABULARY).part("full").negation(VOCABULARY.negations, VOCABULARY.actions), 4).alias("negation"))
 
 
 def _type_sql() -> str:
@@ -329,12 +329,12 @@ _TYPED = _type_sql()
 
 @query(with_items("SELECT ord, content_type FROM typed", _TEXT, _NEGATION, _TYPED))
 def classify_content_type(spark, sf_dir):
-    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type")
+    return classify.content_type(classify.with_text(items(spark, sf_dir), VOCABULARY), VOCABULARY).select("ord", "content_type")
 
 
 @query(with_items("SELECT ord, round(confidence, 2)::DOUBLE AS confidence FROM typed", _TEXT, _NEGATION, _TYPED))
 def classification_confidence(spark, sf_dir):
-    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", F.round("confidence", 2).alias("confidence"))
+    return classify.content_type(classify.with_text(items(spark, sf_dir), VOCABULARY), VOCABULARY).select("ord", F.round("confidence", 2).alias("confidence"))
 
 
 _BESIDE = ", ".join(f"{{'low': -{n}, 'at': {i}, 'type': '{c}'}}" for i, (c, n) in enumerate(zip(L.CONTENT_TYPES, ("r5", "d5", "p5", "m5", "l5"), strict=True)))
@@ -342,7 +342,7 @@ _BESIDE = ", ".join(f"{{'low': -{n}, 'at': {i}, 'type': '{c}'}}" for i, (c, n) i
 
 @query(with_items(f"SELECT ord, content_type, CASE WHEN one <= 0 THEN '' ELSE array_to_string(list_transform(list_filter(list_sort([{_BESIDE}])[2:5], lambda x: -x.low >= 0.5 * one AND -x.low > 3)[1:2], lambda x: x.type), ',') END AS secondary_labels FROM typed", _TEXT, _NEGATION, _TYPED))
 def secondary_labels(spark, sf_dir):
-    return classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY).select("ord", "content_type", F.array_join("secondary_labels", ",").alias("secondary_labels"))
+    return classify.content_type(classify.with_text(items(spark, sf_dir), VOCABULARY), VOCABULARY).select("ord", "content_type", F.array_join("secondary_labels", ",").alias("secondary_labels"))
 
 
 _OVER_FIVE = ", ".join(f"{{'score': {Q.weighted_score('fl', TYPES[c])}, 'type': '{c}'}}" for c in L.CONTENT_TYPES)
@@ -351,7 +351,7 @@ _OVER_FIVE = ", ".join(f"{{'score': {Q.weighted_score('fl', TYPES[c])}, 'type':
 @query(with_items(f"SELECT ord, kind AS content_type, 0.95::DOUBLE AS confidence, array_to_string(list_transform(list_filter([{_OVER_FIVE}], lambda x: x.score > 5 AND x.type <> kind)[1:2], lambda x: x.type), ',') AS secondary_labels FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN 'developer' ELSE 'research' END AS kind FROM texts)", _TEXT))
 def forced_labels(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("source", F.when(F.pmod("ord", F.lit(2)) == 0, "GitHub Trending").otherwise("arXiv"))
-    return classify.content_type(classify.with_text(rows), VOCABULARY).select("ord", "content_type", "confidence", F.array_join("secondary_labels", ",").alias("secondary_labels"))
+    return classify.content_type(classify.with_text(rows, VOCABULARY), VOCABULARY).select("ord", "content_type", "confidence", F.array_join("secondary_labels", ",").alias("secondary_labels"))
 
 
 _DAYS = "floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(published_ts)) / 86400)"
@@ -443,7 +443,7 @@ def batch_averages(spark, sf_dir):
 
 @query(with_items("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE content_type = '{c}') AS n_{c}" for c in L.CONTENT_TYPES) + " FROM typed", _TEXT, _NEGATION, _TYPED))
 def class_counts(spark, sf_dir):
-    return trends.type_counts(classify.content_type(classify.with_text(items(spark, sf_dir)), VOCABULARY), L.CONTENT_TYPES)
+    return trends.type_counts(classify.content_type(classify.with_text(items(spark, sf_dir), VOCABULARY), VOCABULARY), L.CONTENT_TYPES)
 
 
 # Publication
@@ -662,7 +662,7 @@ _CHARTS = " UNION ALL ".join([
 
 @query(with_items(_CHARTS, _tech_sql()))
 def chart_frames(spark, sf_dir):
-    tagged = classify.without_text(classify.with_text(items(spark, sf_dir)).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")}))
+    tagged = classify.without_text(classify.with_text(items(spark, sf_dir), VOCABULARY).withColumns({"tech_categories": classify.tech_fields(VOCABULARY), "content_type": F.col("category")}))
     return trends.chart_frames(tagged, F.col("published_ts"))
 
 _LEARNED = """taught AS (SELECT lower(source) AS source, count(*) AS n, avg(value) AS average FROM (SELECT 'Src' || CAST(user_id % 40 AS VARCHAR) AS source, value, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id DESC) AS r FROM events) WHERE r <= 50 GROUP BY 1)"""
@@ -718,7 +718,7 @@ def card_summary(spark, sf_dir):
 
 @query(with_items("SELECT ord, array_to_string(tech_categories[1:2], ',') AS tags FROM fields", _tech_sql()))
 def card_tags(spark, sf_dir):
-    tagged = classify.with_text(items(spark, sf_dir)).withColumn("tech_categories", classify.tech_fields(VOCABULARY))
+    tagged = classify.with_text(items(spark, sf_dir), VOCABULARY).withColumn("tech_categories", classify.tech_fields(VOCABULARY))
     return tagged.select("ord", F.array_join(publish.tags(F.col("tech_categories")), ",").alias("tags"))
 
 
@@ -751,7 +751,7 @@ def llm_free_text(spark, sf_dir):
 
 @query(with_items("SELECT ord FROM relevance WHERE ai_relevance > 0.2", _TEXT, _REL))
 def publish_filter(spark, sf_dir):
-    rows = classify.with_text(items(spark, sf_dir)).withColumn("ai_relevance", classify.relevance(VOCABULARY))
+    rows = classify.with_text(items(spark, sf_dir), VOCABULARY).withColumn("ai_relevance", classify.relevance(VOCABULARY))
     return filters.publishable(classify.without_text(rows)).select("ord")
 
 
