@@ -84,3 +84,12 @@ def test_least_matches_is_the_posterior():
         reach = (rng.beta(m + 1, 17 - m, 400_000) >= 0.8).mean()
         if abs(reach - 1e-3) > 4e-4:
             assert (m >= least[16]) == (reach >= 1e-3)
+
+
+@pytest.mark.parametrize("again", [0, 1, 3])
+def test_keep_one_keeps_all_rows_without_words(spark, again):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, ""), (1, ""), (None, None), (None, None), (5, " "), (3, "x y z")] + [(2, same)] * again + [(4, same)] * bool(again)
+    kept = neardup.keep_one(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, class_id string").repartition(3))
+    expected = [(1, ""), (1, ""), (None, None), (None, None), (5, " "), (3, "x y z")] + [(2, same)] * bool(again)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)

@@ -297,13 +297,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text",
     """The rows of `docs` without all but one of each class."""
     own, scratch = Scratch(docs.sparkSession, "neardup"), Scratch(docs.sparkSession, "kept")
     linked = join(docs, threshold, text, key, own)
-    stays = scratch.table("stays", linked.where("stays").select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash")))
+    stays = linked.where("stays").select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), (F.col("n_copies") > 1).alias("__again"))
+    stays = scratch.table("stays", stays.distinct())
     named = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
     same = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__th") == F.col("__hash"))
-    out = named.join(stays, same, "left_semi")
-    again = linked.where("n_copies > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("m")).where("m > 1")
-    repeated = again.limit(1).count()
+    out = named.join(stays, same)
+    repeated = linked.where("n_copies > 1").groupBy("doc_id", "text_hash").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()
     own.drop()
-    if repeated:  # the same row twice: both have the key and text of the one that stays
-        out = out.dropDuplicates([key, "__th"])
+    if repeated:  # the same row twice: both have the key and text of the one that stays. Rows without words have no copies.
+        out = out.where("not __again").unionByName(out.where("__again").dropDuplicates(["__key", "__th"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
