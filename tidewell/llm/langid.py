@@ -133,8 +133,8 @@ def calibrate(model: Model, rows: list[tuple[str, str]], code: dict[str, int], l
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == y
     if right.any():
-        at = int(lost / 2 * right.sum())
-        model.threshold, model.familiar = float(np.sort(p.max(1)[right])[at]), float(np.sort(familiar[right])[at])
+        # Interpolated, so that a share under one row still moves with `lost`.
+        model.threshold, model.familiar = (float(np.quantile(x[right], lost / 2)) for x in (p.max(1), familiar))
 
 
 def crc32_mod(key: Column, n: int) -> Column:
