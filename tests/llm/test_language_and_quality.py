@@ -138,11 +138,34 @@ def test_a_condition_that_adds_nothing_goes():
 
 def test_repeated_keys_teach_alike(spark):
     pick = random.Random(3)
-    rows = [(" ".join(pick.choices(["a", "bb", "1234", "#"], weights=[9, 9, bad * 9 + 1, 1], k=80)), i) for i in range(90) for bad in (i % 2, i % 3 == 0)]
+    word = lambda bad: str(pick.randrange(10**4)) if pick.random() < 0.3 * bad + 0.05 else "".join(pick.choices("abcdef", k=4))
+    rows = [(" ".join(word(bad) for _ in range(80)), i) for i in range(90) for bad in (i % 2, i % 2)]
     docs = spark.createDataFrame(rows, "text string, doc_id long")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(90)], "doc_id long, quality int")
     found = [quality.fit(docs.repartition(n), labels) for n in (1, 5, 9)]
-    assert found[0] == found[1] == found[2]
+    assert found[0] == found[1] == found[2] != []
+
+
+def test_every_rule_changes_a_verdict(spark):
+    """Rules are learned behind the base rule: each one alone covers documents that the base rule keeps and no rule before it covers."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels)
+    rows = quality.judge(docs, []).where("kept").select(*[quality.feature(f).alias(f) for f in quality.FEATURES]).collect()
+    x, left = {f: np.array([r[f] for r in rows]) for f in quality.FEATURES}, np.ones(len(rows), bool)
+    for rule in rules:
+        hit = quality.covered(rule, x, len(rows)) & left
+        assert hit.any()
+        left &= ~hit
+    assert rules
+
+
+def test_thresholds_move_with_the_share_that_may_be_lost():
+    rows = [(" ".join(random.Random(i).choices("the of and to that it was for on are".split() if i % 2 else "der die und nicht ein ist das mit auf von".split(), k=6)), "en" if i % 2 else "de") for i in range(300)]
+    model, at = langid.train(rows), []
+    for lost in (0.0, 0.001, 0.002, 0.1, 0.4):
+        langid.calibrate(model, rows, {"de": 0, "en": 1}, lost)
+        at.append((model.threshold, model.familiar))
+    assert at == sorted(at) and len(set(at)) == 5
 
 
 def test_no_labels(spark):

@@ -177,11 +177,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3) -> list[list
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> list[list[Condition]]:
+    """Rules learned from the labelled texts that pass the base rule: what it fails already needs no rule, and a rule for
+    that could change nothing."""
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     picked = own.orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(sample)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")  # at most `sample` keys
     # Of a repeated key the text with the smallest hash teaches, however the table is partitioned.
-    measured = statistics(texts.withColumn("h", F.xxhash64("t")), "t", ["k", "y", "h"]).select("k", "h", F.struct("y", *[feature(f).alias(f) for f in FEATURES]).alias("x"))
+    measured = statistics(texts.withColumn("h", F.xxhash64("t")), "t", ["k", "y", "h"]).where(~base_failed()).select("k", "h", F.struct("y", *[feature(f).alias(f) for f in FEATURES]).alias("x"))
     got = measured.groupBy("k").agg(F.min(F.struct("h", "x")).alias("m")).select("k", "m.x.*").collect()
     got.sort(key=lambda r: r.k)
     return learn({f: np.array([r[f] for r in got], float) for f in FEATURES}, np.array([r.y == 0 for r in got], bool)) if got else []
