@@ -123,3 +123,24 @@ def test_hot_line_in_one_conversation(spark):
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Thanks\nnote "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("> Thanks\n> edited "), F.col("id").cast("string"), F.lit("\nThanks")))
     out = quotes.link(spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), text.alias("text")))
     assert out.where("reply_to = 0 and depth = 1 and thread = 0").count() == n // 2 and out.where("reply_to is null").count() == n // 2
+
+
+def test_attributions_and_positions(spark):
+    rows = [
+        (1, 0, "a", "Where is it?\nWe wrote:"), (1, 1, "b", "On Monday Ann wrote:\n> Where is it?\n> We wrote:\nHere.\nHe wrote:\nnothing"), (1, 2, "c", "Something else."),
+        (1, 3, "a", "Ann schrieb : \n>> Where is it?\n> Here.\n> He wrote:\n> nothing\nThanks"), (1, 3, "d", "twice"), (1, None, "e", "none"), (None, 4, "f", "none"), (2, 0, "a", "Ann wrote:"),
+    ]
+    got = {(r.conv_id, r.turn, r.role): (r.own, r.position, r.thread) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {
+        (1, 0, "a"): ("Where is it?\nWe wrote:", 1, 0), (1, 1, "b"): ("Here.\nHe wrote:\nnothing", 2, 0), (1, 3, "a"): ("Thanks", 3, 0), (1, 3, "d"): ("twice", 3, 0), (1, 2, "c"): ("Something else.", 5, 2),
+        (1, None, "e"): ("none", None, None), (None, 4, "f"): ("none", None, 4), (2, 0, "a"): ("Ann wrote:", 1, 0),
+    }
+
+
+def test_the_query_links_at_every_level(spark):
+    from tidewell.llm import queries
+
+    rows = queries.op8_quotation_linking(spark, "/root/testdata/sf0.001").collect()
+    assert {r.deepest for r in rows} == {0, 1, 2} and max(r.depth for r in rows) > 3
+    linked = [r for r in rows if r.reply_to is not None]
+    assert len(linked) > 0.6 * len(rows) and {r.turn % 3 for r in linked} == {0, 1, 2} and not any("somebody wrote" in r.message for r in rows)

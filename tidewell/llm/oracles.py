@@ -29,6 +29,7 @@ QUOTATION = f"""
         SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m
     ), levels AS (
         SELECT *, length(regexp_replace(regexp_extract(x, '{quotes.QUOTED}', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '{quotes.QUOTED}', '') AS body FROM lines
+    ), marked AS (SELECT *, coalesce(regexp_matches(body, '{quotes.ATTRIBUTION}') AND lead(level) OVER (PARTITION BY id ORDER BY i) > 0, false) AS attributed FROM levels
     ), runs AS (
         SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY i) AS run
         FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY i) = level THEN 0 ELSE 1 END AS starts FROM levels)
@@ -37,7 +38,7 @@ QUOTATION = f"""
         FROM runs WHERE level > 0 GROUP BY id, conv_id, turn, run
     ), quotes AS (SELECT DISTINCT conv_id, turn, level, k, list_filter(lines, lambda x: x <> '') AS lines FROM passages WHERE k <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
     ), own AS (
-        SELECT id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS own FROM levels GROUP BY id
+        SELECT id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT attributed), '') AS own FROM marked GROUP BY id
     ), said AS (
         SELECT DISTINCT * FROM (SELECT m.conv_id, m.turn AS seen, {_NORMAL.format('line')} AS k FROM m JOIN own ON m.id = own.id, unnest(string_split(own.own, chr(10))) AS u(line)) WHERE k <> '' AND conv_id IS NOT NULL AND seen IS NOT NULL
     ), origins AS (
@@ -60,10 +61,23 @@ QUOTATION = f"""
     ), threads AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY conv_id, turn
     ), counted AS (SELECT id, count(*) AS n, max(level) AS deepest FROM passages GROUP BY id)
     SELECT m.conv_id, m.turn, m.role, coalesce(c.n, 0) AS n_quotes, CAST(coalesce(c.deepest, 0) AS BIGINT) AS deepest, l.reply_to, coalesce(t.thread, m.turn) AS thread,
-        CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || own.own || '<|end|>' || chr(10) AS message
+        CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN rank() OVER (PARTITION BY m.conv_id, m.turn IS NULL ORDER BY coalesce(t.thread, m.turn), m.turn) END AS position, '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || own.own || '<|end|>' || chr(10) AS message
     FROM m JOIN own ON m.id = own.id LEFT JOIN counted c ON m.id = c.id LEFT JOIN links l ON m.conv_id = l.conv_id AND m.turn = l.turn LEFT JOIN threads t ON m.conv_id = t.conv_id AND m.turn = t.turn"""
 
 
+def quoting() -> str:
+    """QUOTATION over messages that quote, made as the query makes them."""
+    quote = "'> ' || replace({}, chr(10), chr(10) || '> ')".format
+    wrote = "'On Monday somebody wrote:' || chr(10) || "
+    nested = quote(f"({wrote}{quote('coalesce(b.t, '')')} || chr(10) || a.t)")
+    return QUOTATION.replace("FROM conversations", "FROM made").replace("WITH RECURSIVE", f"""WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL GROUP BY ALL
+    ), made AS (
+        SELECT c.conv_id, c.turn, c.role, CASE WHEN a.t IS NULL THEN c.text ELSE CASE c.turn % 3 WHEN 1 THEN {wrote}{quote('a.t')} WHEN 2 THEN {nested}
+            ELSE {quote("regexp_replace(a.t, '^[^' || chr(10) || ']*' || chr(10), '')")} || chr(10) || '> as far as I recall' END || chr(10) || coalesce(c.text, '') END AS text
+        FROM conversations c LEFT JOIN said a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN said b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+    ),""", 1).replace("said AS (\n        SELECT DISTINCT", "said_keys AS (\n        SELECT DISTINCT").replace("SELECT * FROM said UNION", "SELECT * FROM said_keys UNION")
+
+
 _CRC_STEP = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
 _CRC = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({{}}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])), 4294967295)"
 

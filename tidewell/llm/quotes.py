@@ -14,6 +14,10 @@ quoted): `thread` is the first turn of the chain and `depth` the number of repli
 turn, every message comes after the one that it replies to. `message` is the own text in the chat format, so a
 conversation is its messages in that order.
 
+A line such as "On Monday Ann wrote:" directly before a quoted line belongs to the quote: it is no own text. `position` counts a
+conversation's messages in the order of thread and turn from 1; messages of equal turns share the lowest place. It comes from a range sort,
+the sizes of its parts and a running sum within each, so one conversation of any size is spread over many tasks.
+
 Hot keys: originals are reduced to one row per conversation and key before every join, so a quoted run or stretch
 meets one row at most, however many messages have the line; the quoting side of a hot key can be split by adaptive
 execution. Nothing is collected per conversation.
@@ -25,13 +29,14 @@ quotes has empty own text; an empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 QUOTED = r"^((?:[ \t]*>)+)[ \t]?"
 WIDTHS = (1, 2, 4, 8, 16)
+ATTRIBUTION = r"(?i)^[^\n]{0,200}(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 
 
 def normalised(text: Column) -> Column:
@@ -67,12 +72,13 @@ def stretches(lines: Column) -> Column:
 
 
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, n_quotes, deepest, reply_to, thread, depth, message, own (its text without quotes)."""
+    """One row per message: conv_id, turn, role, n_quotes, deepest, reply_to, thread, depth, position, message, own (its text without quotes)."""
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     quoting = F.col("text").rlike(f"(?m){QUOTED}")
     rows = rows.withColumn("lines", F.when(quoting, parsed(F.col("text"))))
-    own = F.when(quoting, F.array_join(F.filter("lines", lambda x: x["level"] == 0)["text"], "\n")).otherwise(F.col("text"))
+    attributed = lambda x, i: x["text"].rlike(ATTRIBUTION) & F.coalesce(F.get("lines", i + 1)["level"] > 0, F.lit(False))
+    own = F.when(quoting, F.array_join(F.filter("lines", lambda x, i: (x["level"] == 0) & ~attributed(x, i))["text"], "\n")).otherwise(F.col("text"))
     rows = rows.select("conv_id", "turn", "role", own.alias("own"), F.when(quoting, passages(F.col("lines"))).otherwise(F.expr("array()").cast("array<struct<level:int,text:string,lines:array<string>>>")).alias("quotes"))
     placed = rows.where("conv_id is not null and turn is not null")
     quote = placed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q"))
@@ -94,15 +100,28 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     best = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "rank", "narrow", "fewer", "late")).alias("x"))
     links = scratch.table("links", best.select("conv_id", "turn", (-F.col("x.late")).alias("reply_to")))
     chains = _threads(links, scratch)
-    out = rows.join(links.join(chains, ["conv_id", "turn"]), ["conv_id", "turn"], "left")
+    out = rows.join(links.join(chains, ["conv_id", "turn"]), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
+    out = scratch.table("threaded", out)
+    out = out.join(_positions(out, scratch), ["conv_id", "turn"], "left")
     message = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own"), F.lit("<|end|>\n"))
     return out.select(
         "conv_id", "turn", "role", F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long").alias("deepest"),
-        "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), message.alias("message"), "own",
+        "reply_to", "thread", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "position", message.alias("message"), "own",
     )
 
 
+def _positions(messages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, turn, position): how many messages of the conversation come before, by thread and turn, and one."""
+    turns = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "thread", "turn").agg(F.count("*").alias("n"))
+    parts = scratch.table("places", turns.repartitionByRange("conv_id", "thread", "turn").withColumn("part", F.spark_partition_id()))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("conv_id", "part").agg(F.sum("n").alias("size"))
+    starts = sizes.select("conv_id", "part", F.coalesce(F.sum("size").over(upto("conv_id").orderBy("part")), F.lit(0)).alias("start"))  # a row for each part
+    before = F.coalesce(F.sum("n").over(upto("conv_id", "part").orderBy("thread", "turn")), F.lit(0))
+    return parts.withColumn("before", before).join(starts, ["conv_id", "part"]).select("conv_id", "turn", (F.col("start") + F.col("before") + 1).alias("position"))
+
+
 def _threads(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, thread, depth): each round doubles how far back a message sees."""
     seen = links.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"))
