@@ -44,6 +44,21 @@ def test_notices(spark):
     assert all(got[i].licence is None for i in range(len(lines), len(got)))
 
 
+def test_neighbouring_versions_expressions_and_denials(spark):
+    gnu = "This work is licensed under the GNU General Public License, version"
+    lines = {
+        "// SPDX-License-Identifier: GPL-1.0-only": "GPL-1.0", "// SPDX-License-Identifier: LGPL-2.0-only": "LGPL-2.0", "# SPDX-License-Identifier: BSD-4-Clause": "BSD-4-Clause", "Licensed under CC BY 3.0.": "CC-BY-3.0",
+        "CC BY-ND 4.0": "CC-BY-ND-4.0", "CC BY 4.0": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": "MPL-1.1", "Mozilla Public License, v. 2.0": "MPL-2.0", f"{gnu} 1.": "GPL-1.0", f"{gnu} 2.": "GPL-2.0", f"{gnu} 3.": "GPL-3.0", "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "It is not licensed under the GNU General Public License, version 3.": None, "This is NOT released under the MIT License.": None, licences._BSD_4: "BSD-4-Clause",
+    }
+    both = ["SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: (MIT AND (ISC OR BSD-3-Clause))\r", "SPDX-License-Identifier: GPL-2.0-only\nReleased under the MIT License.\nAll rights reserved."]
+    got = scanned(spark, [(None, f"stone\n{x}\nweir") for x in [*lines, *both]])
+    assert [got[i].licence for i in range(len(lines))] == list(lines.values())
+    assert [got[len(lines) + i].licences for i in range(3)] == ["Apache-2.0,MIT", "BSD-3-Clause,ISC,MIT", "GPL-2.0,MIT"]
+    assert got[len(lines)].score == 1.0 and got[3].licences == "CC-BY-3.0"
+
+
 def plain_score(text):
     """The best (score, template) of a unit, by weights made here."""
     bag = lambda x: Counter(t for t in re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", x.lower()) if t not in licences.STOP)

@@ -4,7 +4,9 @@ Units are the lines, the sentences and the paragraphs of a whole text, and the w
 licence. A unit's terms (words, and numbers with their points, without `STOP` words) are weighted by 1 + ln of their
 count and the inverse document frequency over the templates: whole licence texts, their paragraphs, customary notices
 and every SPDX line, a fixed list, so its table may be broadcast. A document's licence is the template with the
-largest cosine over its units, if that reaches `THRESHOLD` with at least `LEAST_TERMS` common terms. A document without
+largest cosine over its units, if that reaches `THRESHOLD` with at least `LEAST_TERMS` common terms. An SPDX line that
+names several licences counts as one for each, a unit that denies a licence ("is not licensed under") as none. Neighbouring versions and
+variants have templates too, so that they aren't taken for the nearest common one. A document without
 one takes that of the licence file in its nearest ancestor directory: directories, not documents, are joined with the
 licence files' directories.
 
@@ -37,6 +39,7 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
 _BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_4 = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 _ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
@@ -72,27 +75,34 @@ TEXTS: list[tuple[str, str]] = [
     ("0BSD", f"{_ZERO} {_ISC_END}"),
     ("Unlicense", _UNLICENSE),
     ("Unlicense", f"{_UNLICENSE} {_UNLICENSE_REST}"),
+    ("BSD-4-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_4} {_BSD_3} {_BSD_END}"),
+    ("BSD-4-Clause", _BSD_4),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-1.0", "Licensed under the Apache License, Version 1.0."),
+    *[(f"MPL-{x}", f"Mozilla Public License, version {x}") for x in ("2.0", "1.1", "1.0")],
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+    ("MPL-1.0", "The contents of this file are subject to the Mozilla Public License Version 1.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
 GNU: list[tuple[str, str, str, str]] = [
+    ("GPL-1.0", "General", "1", "February 1989"),
+    ("LGPL-2.0", "Library General", "2", "June 1991"),
     ("GPL-2.0", "General", "2", "June 1991"),
     ("GPL-3.0", "General", "3", "29 June 2007"),
     ("LGPL-2.1", "Lesser General", "2.1", "February 1999"),
     ("LGPL-3.0", "Lesser General", "3", "29 June 2007"),
     ("AGPL-3.0", "Affero General", "3", "19 November 2007"),
 ]
-SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC 0BSD Unlicense MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
-STOP = "a all an and any are as at be by can for from if in into is it its of on only or that the this to under was will with you your which such may not no".split()
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CREATIVE_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+SPDX = "MIT Apache-2.0 Apache-1.1 Apache-1.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC 0BSD Unlicense MPL-2.0 MPL-1.1 MPL-1.0 CC0-1.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
+STOP = "a all an and any are as at be by can for from if in into is it its of on only or that the this to under was will with you your which such may not no version v".split()
 
 
 def _templates() -> list[tuple[str, str]]:
@@ -104,6 +114,9 @@ def _templates() -> list[tuple[str, str]]:
         out += [(name, f"This work is licensed under the {title}, version {version}."), (name, f"{title} Version {version}, {date}")]
         for what in ("This program", "This library"):
             out += [(name, f"{what} is free software: {terms}, either version {version} of the License, or (at your option) any later version."), (name, f"{what} is free software; {terms}; version {version}.")]
+    for kind, long in CREATIVE.items():
+        for version, port in CREATIVE_VERSIONS.items():
+            out += [(f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}."), (f"CC-{kind}-{version}", f"This work is licensed under a Creative Commons {long} {version} {port} License."), (f"CC-{kind}-{version}", f"SPDX-License-Identifier: CC-{kind}-{version}")]
     for name in SPDX:
         out += [(name, f"SPDX-License-Identifier: {name}{tail}") for tail in (("-only", "-or-later", "") if "GPL" in name else ("",))]
     return out
@@ -113,6 +126,9 @@ TEMPLATES = _templates()
 TERM, THRESHOLD, LEAST_TERMS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*", 0.6, 2
 SLACK = 1e-4  # for the rounding of scores
 BLANK = "[ \\t\\r\\f\\n]"
+#: An SPDX line whose expression names several licences stands for one line each; a line that denies a licence is none.
+JOINED = r"(?i)[ ()]+(?:AND|OR)[ ()]+"
+EXPRESSION, DENIED = r"(?i)^(.*SPDX-License-Identifier:)(.*[ (](?:AND|OR)[ (].*)$", r"(?i)\bnot\s+(?:\w+\s+)?(?:licensed|released)\b"
 LINE, SENTENCE, PARAGRAPH, FILE_NAME = r"\n", rf"(?<=[.!?]){BLANK}+", rf"\n{BLANK}*\n", r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
 RESERVED = "Proprietary"  # reserved rights stand in granting notices too: they count where no other licence reaches the threshold
 SMALL = 200_000  # rows of two directories and a licence that may be broadcast
@@ -185,6 +201,9 @@ def units(text: Column, whole: Column, threshold: float = THRESHOLD) -> Column:
     none = F.array().cast("array<string>")
     parts = F.concat(F.split(text, LINE), F.split(text, SENTENCE), F.split(text, PARAGRAPH), F.when(whole, F.array(text)).otherwise(none))
     some = F.filter(F.array_distinct(parts), lambda u: F.lower(u).rlike(can))
+    each = lambda u: F.transform(F.split(F.regexp_extract(u, EXPRESSION, 2), JOINED), lambda x: F.concat(F.regexp_extract(u, EXPRESSION, 1), F.lit(" "), x))
+    some = F.flatten(F.transform(some, lambda u: F.when(u.rlike(EXPRESSION), each(u)).otherwise(F.array(u))))
+    some = F.filter(F.array_distinct(some), lambda u: ~u.rlike(DENIED))
     known = lambda u: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0))), lambda t: F.map_contains_key(table, t))
     shared = F.transform(some, lambda u: F.struct(u.alias("u"), F.flatten(F.transform(known(u), lambda t: F.map_entries(F.element_at(table, t)))).alias("e")))
     total = lambda e, i: F.aggregate(F.filter(e, lambda x: x["key"] == i), F.lit(0.0), lambda a, x: a + x["value"])
@@ -193,7 +212,7 @@ def units(text: Column, whole: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def best_matches(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, licence, score, template) of every (id, units) row with a unit that reaches the threshold."""
+    """(id, licence, score, order, licences) of every (id, units) row with a unit that reaches the threshold."""
     spark = rows.sparkSession
     weights, other = template_weights()
     table = F.broadcast(_table(spark, weights, "template:int,licence:string,term:string,part:double,idf:double"))  # a fixed list
@@ -204,22 +223,25 @@ def best_matches(rows: DataFrame, threshold: float) -> DataFrame:
     norms = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.round(F.col("w") * F.col("w"), 9))).alias("norm"))
     dots = weighed.join(table.select("template", "licence", "term", "part"), "term").groupBy("id", "unit", "template", "licence").agg(F.sum(F.round(F.col("w") * F.col("part"), 9)).alias("dot"), F.count("*").alias("common"))
     scored = dots.where(F.col("common") >= LEAST_TERMS).join(norms, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy("id").agg(F.max(F.struct((F.col("licence") != RESERVED).alias("granted"), "score", (-F.col("template")).alias("order"), "licence")).alias("x"))
-    return best.select("id", F.col("x.licence").alias("licence"), F.col("x.score").alias("score"), F.col("x.order").alias("order"))
+    largest = F.max(F.struct((F.col("licence") != RESERVED).alias("granted"), "score", (-F.col("template")).alias("order"), "licence"))
+    best = scored.groupBy("id", "unit").agg(largest.alias("x")).groupBy("id").agg(F.max("x").alias("x"), F.collect_set("x.licence").alias("all"))  # names of licences
+    names = F.array_join(F.array_sort(F.when(F.size("all") > 1, F.array_remove("all", RESERVED)).otherwise(F.col("all"))), ",")
+    return best.select("id", F.col("x.licence").alias("licence"), F.col("x.score").alias("score"), F.col("x.order").alias("order"), names.alias("licences"))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
-    """One row per file: key, path, licence, score, origin (`header`, `file`, `inherited` or null) and from_dir, the directory inherited from."""
+    """One row per file: key, path, licence, score, origin (`header`, `file`, `inherited` or null), from_dir, the
+    directory inherited from, and licences, the names of all that its own units are nearest to."""
     scratch = Scratch(files.sparkSession, "licences")
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("whole", F.coalesce(name.rlike(FILE_NAME), F.lit(False)))
     rows = rows.select("key", "path", "whole", units(F.col("text"), F.col("whole"), threshold).alias("units"))
-    rows = scratch.table("units", rows.withColumn("id", F.when(F.size("units") > 0, F.xxhash64("units"))))  # equal units are scored once
+    rows = scratch.table("units", rows.withColumn("id", F.when(F.size("units") > 0, F.md5(F.array_join("units", "\x01")))))  # equal units are scored once
     distinct = rows.where("id is not null").groupBy("id").agg(F.first("units").alias("units"))
     best = scratch.table("best", best_matches(distinct, threshold))
     placed = rows.select("key", "path", "whole", "id", _directory().alias("dir"))
-    lone = placed.where("id is null").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("licence", "string"), ("score", "double"), ("order", "int"))])
+    lone = placed.where("id is null").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("licence", "string"), ("score", "double"), ("order", "int"), ("licences", "string"))])
     own = placed.where("id is not null").join(best, "id", "left").select(*lone.columns).union(lone)
     # The negated order and path rank: a larger score, then the smaller path, then the first template.
     found = own.where("whole and licence is not null and dir is not null").groupBy("dir", "path").agg(F.max(F.struct("score", "order", "licence")).alias("x"))
@@ -237,7 +259,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "d
     origin = F.when(F.col("licence").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("above").isNotNull(), "inherited")
     return joined.select(
         F.col("key").alias(key), "path", F.coalesce("licence", "above").alias("licence"), F.coalesce("score", "above_score").alias("score"),
-        origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("from_dir")).alias("from_dir"),
+        origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("from_dir")).alias("from_dir"), "licences",
     )
 
 

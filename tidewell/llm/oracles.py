@@ -119,22 +119,27 @@ def license_scan() -> str:
             doc_id % 7 = 0 AND source IS NOT NULL AS whole, coalesce(text, '') AS text FROM documents
     ), parts AS (
         SELECT doc_id, unnest(list_concat(list_concat(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?]){blank}+', '\\1' || chr(1), 'g'), chr(1))), regexp_split_to_array(text, '\n{blank}*\n')), CASE WHEN whole THEN [text] ELSE [] END)) AS u FROM d
-    ), units AS (SELECT DISTINCT doc_id, u FROM parts
+    ), units AS (
+        SELECT DISTINCT doc_id, u FROM (SELECT doc_id, unnest(CASE WHEN regexp_matches(u, '{licences.EXPRESSION}') THEN list_transform(regexp_split_to_array(regexp_extract(u, '{licences.EXPRESSION}', 2), '{licences.JOINED}'), lambda x: regexp_extract(u, '{licences.EXPRESSION}', 1) || ' ' || x) ELSE [u] END) AS u FROM parts)
+        WHERE NOT regexp_matches(u, '{licences.DENIED}')
     ), terms AS (SELECT doc_id, u, term, 1 + ln(count(*)) AS k FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '{term}')) AS term FROM units) WHERE term NOT IN ({stop}) GROUP BY ALL
     ), weighed AS (SELECT t.doc_id, t.u, t.term, t.k * coalesce(i.idf, (SELECT ln(count(*) + 1) + 1 FROM t)) AS x FROM terms t LEFT JOIN idf i ON t.term = i.term
     ), norms AS (SELECT doc_id, u, sqrt(sum(round(x * x, 9))) AS norm FROM weighed GROUP BY doc_id, u
     ), scored AS (
-        SELECT a.doc_id, w.template, w.licence, round(sum(round(a.x * w.part, 9)) / any_value(n.norm), 6) AS score
+        SELECT a.doc_id, a.u, w.template, w.licence, round(sum(round(a.x * w.part, 9)) / any_value(n.norm), 6) AS score
         FROM weighed a JOIN w ON a.term = w.term JOIN norms n ON a.doc_id = n.doc_id AND a.u = n.u GROUP BY a.doc_id, a.u, w.template, w.licence HAVING count(*) >= {licences.LEAST_TERMS}
     ), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY licence = '{licences.RESERVED}', score DESC, template) AS r FROM scored WHERE score >= {licences.THRESHOLD}
-    ), own AS (SELECT d.doc_id, d.path, d.whole, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.template FROM d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.r = 1
+    ), named AS (
+        SELECT doc_id, list_sort(CASE WHEN count(DISTINCT licence) > 1 THEN list(DISTINCT licence) FILTER (WHERE licence <> '{licences.RESERVED}') ELSE list(DISTINCT licence) END) AS names
+        FROM (SELECT doc_id, licence FROM scored WHERE score >= {licences.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, u ORDER BY licence = '{licences.RESERVED}', score DESC, template) = 1) GROUP BY doc_id
+    ), own AS (SELECT d.doc_id, d.path, d.whole, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.template, array_to_string(n.names, ',') AS licences FROM d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.r = 1 LEFT JOIN named n ON d.doc_id = n.doc_id
     ), found AS (SELECT dir AS up, licence AS above, score AS above_score FROM own WHERE whole AND licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, template) = 1
     ), near AS (
         SELECT o.doc_id, f.up, f.above, f.above_score FROM own o JOIN found f ON o.dir = f.up OR starts_with(o.dir, f.up || '/')
         WHERE o.licence IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(f.up) DESC) = 1
     )
     SELECT o.doc_id, o.path, coalesce(o.licence, n.above) AS licence, coalesce(o.score, n.above_score) AS score,
-        CASE WHEN o.licence IS NOT NULL THEN CASE WHEN o.whole THEN 'file' ELSE 'header' END WHEN n.above IS NOT NULL THEN 'inherited' END AS origin, n.up AS from_dir
+        CASE WHEN o.licence IS NOT NULL THEN CASE WHEN o.whole THEN 'file' ELSE 'header' END WHEN n.above IS NOT NULL THEN 'inherited' END AS origin, n.up AS from_dir, o.licences
     FROM own o LEFT JOIN near n ON o.doc_id = n.doc_id"""
 
 
