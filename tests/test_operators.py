@@ -140,7 +140,7 @@ def test_semantic_dedup_is_greedy(spark):
     df = items(spark, rows)
     out = dedup.semantic(df)
     assert sorted(r.ord for r in out.collect()) == kept
-    assert sorted(r.ord for r in dedup.semantic(df, block_rows=7).collect()) == kept
+    assert sorted(r.ord for r in dedup.semantic(df, first=7).collect()) == kept
     assert sorted(r.ord for r in dedup.semantic(out).collect()) == kept
 
 
@@ -156,6 +156,31 @@ def test_items_are_told_apart_without_ord(spark):
     assert sorted(r.url for r in dedup.semantic(df).collect()) == ["a0", "b0", "b2"]
 
 
+def test_subsequences_by_brute_force():
+    import random
+
+    import numpy as np
+
+    from tidewell.functions.ratios import Block, subsequence
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            old = row[:]
+            for j, d in enumerate(b):
+                row[j + 1] = old[j] + 1 if c == d else max(row[j], old[j + 1])
+        return row[-1]
+
+    pick = random.Random(4)
+    say = lambda n: "".join(pick.choices("abcde é", k=n))
+    titles = [say(pick.choice([0, 1, 5, 63, 64, 65, 127, 128, 130, 191, 199])) for _ in range(40)] + ["a" * 199, "a" * 64, "ba" * 64]
+    block = Block(titles)
+    for later in (*titles[:12], "a" * 150, "zzz", "ab" * 90, ""):
+        want = [slow(later, t) for t in titles]
+        assert [subsequence(later, t) for t in titles] == want
+        assert block._subsequences(np.array([block.code.get(ord(c), -1) for c in later], np.int64), np.arange(len(titles))).tolist() == want
+
+
 def test_ratios_equal_difflib():
     import difflib
     import random
