@@ -1,5 +1,6 @@
 """Operators on hand-made rows, against values worked out by hand or a plain restatement."""
 
+import json
 import math
 
 import pytest
@@ -371,3 +372,66 @@ def test_ratio_pairs_without_common_keywords(spark):
     for size in (3, 2000):
         assert {(r.earlier, r.later): r.ratio for r in dedup.ratio_pairs(df, block_rows=size).collect()} == want
     assert {(0, 1), (2, 3), (4, 5), (8, 9)} <= want.keys()
+
+
+def two_sources(spark):
+    """Two sources that both count from 0."""
+    a = items(spark, [{"title": f"first {i}", "summary": "s", "source": "one", "url": "u"} for i in range(7)])
+    b = items(spark, [{"title": f"second {i}", "summary": "s", "source": "two", "url": "u"} for i in range(6)])
+    return a.unionByName(b).repartition(3)
+
+
+def test_clashing_order_in_batches_and_labels(spark):
+    df = two_sources(spark)
+    assert df.select("item").distinct().count() == 13
+    batches = labelling.batch_prompts(df, 5).orderBy("batch").collect()
+    assert [len(b["keys"]) for b in batches] == [5, 5, 3] and len({k for b in batches for k in b["keys"]}) == 13 and [b.batch for b in batches] == [0, 1, 2]
+    rules = df.select("item", "ord", F.concat(F.lit("rule "), "title").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    sparse = df.withColumn("ord", F.col("ord") * F.lit(1 << 40))
+    assert sorted(len(b["keys"]) for b in labelling.batch_prompts(sparse, 5).collect()) == [3, 5, 5]
+
+    def client(prompt):
+        if "Classify each" not in prompt:
+            return '{"content_type": "leader", "tech_fields": ["NLP"], "is_verified": false, "reasoning": "why"}' if "second" in prompt else "?"
+        lines = prompt.split("\n")[1:]
+        return json.dumps([{"id": i + 1, "content_type": "product", "is_verified": False, "reason": "seen"} for i, x in enumerate(lines) if "3" in x.split("|")[0].split(".", 1)[1]])
+
+    got = {r.key: r for r in labelling.label(df, rules, client, "m")[0].collect()}
+    title = {r.item: r.title for r in df.collect()}
+    assert len(got) == 13 and {title[k] for k, r in got.items() if r.classified_by == "llm:m:batch"} == {"first 3", "second 3"}
+    assert all(r.content_type == ("product" if "3" in title[k] else "leader" if "second" in title[k] else f"rule {title[k]}") for k, r in got.items())
+    new = {r.title: r for r in labelling.relabelled(df, labelling.label(df, rules, client, "m")[0]).collect()}
+    assert (new["second 1"].tech_categories, new["second 1"].is_verified, new["second 1"].llm_reasoning, new["first 3"].llm_reasoning, new["first 1"].llm_reasoning) == (["NLP"], False, "why", "seen", None) and len(new) == 13
+
+
+def test_clashing_order_in_reviews_and_history(spark):
+    df = two_sources(spark).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x"))})
+    d = review.queue(df).where("title = 'second 2'").select("item", F.lit("spam").alias("action"), F.lit(None).cast("string").alias("value"))
+    assert [r.title for r in review.apply(df, d).where("is_spam").collect()] == ["second 2"] and [r.title for r in review.audit(df, d).collect()] == ["second 2"]
+    old = spark.createDataFrame([("title", "first 4"), ("norm_title", "second 5"), ("other", "second 1"), ("title", None)], "kind string, value string")
+    assert sorted(r.title for r in filters.flag_new(df, old).where("not is_new").collect()) == ["first 4", "second 5"]
+
+
+def test_label_cache_is_an_upsert(spark, tmp_path):
+    df = two_sources(spark).unionByName(two_sources(spark).where("title = 'first 0'"))
+    rules = df.select("item", "ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    log = str(tmp_path / "calls")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write("x")
+        lines = prompt.split("\n")[1:]
+        if "Classify each" not in prompt:
+            raise TimeoutError
+        return json.dumps([{"id": i + 1, "content_type": "leader"} for i, x in enumerate(lines) if "first" in x])
+
+    run = lambda rows: {(r.key, r.ord): r for r in labelling.labelled_and_kept(rows, rules, client, "m", str(tmp_path / "cache")).collect()}
+    one = run(df)
+    calls = len(open(log).read())
+    kept = spark.read.parquet(str(tmp_path / "cache" / "v=0"))
+    assert len(one) == 13 and kept.count() == kept.select("key").distinct().count() == 7 and calls >= 3
+    two = run(df.where("source = 'one'"))
+    assert len(open(log).read()) == calls and all(r.from_cache and r.content_type == "leader" for r in two.values()) and len(two) == 7
+    three = run(df)
+    assert {r.classified_by for r in three.values() if r.from_cache} == {"llm:m"} and {r.classified_by for r in three.values() if not r.from_cache} == {"rule:fallback:timeout"}
+    assert spark.read.parquet(str(tmp_path / "cache" / "v=2")).count() == 7

@@ -74,6 +74,17 @@ def test_snapshots_and_state(spark, tmp_path):
     assert sinks.read_state(spark, state, "k string").count() == 2
     put(half / "_SUCCESS", "")
     assert sinks.read_state(spark, state, "k string").count() == 0  # damaged: as if there was none
+    torn = tmp_path / "torn"
+    sinks.replace_state(spark.range(20000).selectExpr("cast(id as string) as k").coalesce(1), str(torn))
+    page = next((torn / "v=0").glob("part-*.parquet"))
+    data = bytearray(page.read_bytes())
+    data[200:4000] = bytes(3800)  # a damaged page under a whole footer
+    page.write_bytes(data)
+    for crc in (torn / "v=0").glob(".*.crc"):
+        crc.unlink()
+    assert sinks.read_state(spark, str(torn), "k string").count() == 0
+    sinks.merge_state(spark.createDataFrame([("a", 2), ("c", 2)], "k string, n int"), spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int"), f"{tmp_path}/merged", "k")
+    assert sorted(map(tuple, sinks.read_state(spark, f"{tmp_path}/merged", "k string").collect())) == [("a", 2), ("b", 1), ("c", 2)]
     sinks.export(spark.createDataFrame([("t",)], "title string"), f"{tmp_path}/out", "r1", spark.createDataFrame([(1,)], "n int"))
     assert spark.read.json(f"{tmp_path}/out/run_ts=r1/metadata").first().total_items == 1
     sinks.text_report(spark, "a\nb", f"{tmp_path}/report")

@@ -57,13 +57,17 @@ def backfilled(history: DataFrame) -> DataFrame:
 
 
 def flag_new(items: DataFrame, history: DataFrame) -> DataFrame:
-    """`is_new` by three equi-joins with the history's distinct values; no join has an OR."""
-    keyed = items.withColumns({"_k_url": F.when(stable_url(F.col("url")), X.normal_url(F.col("url"))), "_k_title": F.nullif(F.col("title"), F.lit("")), "_k_norm_title": F.nullif(X.cache_title(F.col("title")), F.lit(""))})
-    for kind in ("url", "title", "norm_title"):
-        own = history.where(F.col("kind") == kind).select(F.col("value").alias(f"_k_{kind}")).distinct().withColumn(f"_in_{kind}", F.lit(True))
-        keyed = keyed.join(own, f"_k_{kind}", "left")
-    seen = F.coalesce(F.col("_in_url"), F.col("_in_title"), F.col("_in_norm_title"), F.lit(False))
-    return keyed.withColumn("is_new", ~seen).drop(*[c for c in keyed.columns if c.startswith("_")])
+    """`is_new`: no address, title or cache title of the item is in the history. Hashes of (kind, value), 128 bits each, meet the history's
+    in one join; whole items meet only the keys of those found, once."""
+    values = {"url": F.when(stable_url(F.col("url")), X.normal_url(F.col("url"))), "title": F.col("title"), "norm_title": X.cache_title(F.col("title"))}
+    named = lambda kind, value: F.md5(F.concat_ws("\x1f", kind, value))
+    hashes = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit("")) != "", named(F.lit(k), v)) for k, v in values.items()]))
+    own = F.md5(F.to_json(F.struct(*[F.col(c) for c in ("ord", "url", "title")])))
+    keyed = items.withColumn("_id", F.coalesce("item", own) if "item" in items.columns else own)
+    asked = keyed.select("_id", F.explode(hashes).alias("_h"))
+    known = history.where(F.col("kind").isin(*values) & F.col("value").isNotNull()).select(named(F.col("kind"), F.col("value")).alias("_h"))
+    seen = asked.join(known, "_h", "left_semi").select("_id").distinct().withColumn("_seen", F.lit(True))
+    return keyed.join(seen, "_id", "left").withColumn("is_new", F.col("_seen").isNull()).drop("_id", "_seen")
 
 
 def new_only(items: DataFrame, history: DataFrame) -> DataFrame:

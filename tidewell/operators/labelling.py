@@ -7,6 +7,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.operators.order import numbered
+from tidewell.schema import keys
 from tidewell.sources.shared import Scratch
 
 TYPES = ("research", "product", "market", "developer", "leader", "community")
@@ -44,11 +47,14 @@ def prompt() -> Column:
 
 
 def batch_prompts(items: DataFrame, size: int = 5) -> DataFrame:
-    """(batch, prompt, ords): numbered items, `size` at a time. Batches are runs of the order key, so none is larger."""
+    """(batch, prompt, ords, keys): numbered items, `size` at a time in their order, so only the last batch can be smaller. `keys` tell
+    the items apart (schema.keys), however many share an `ord`."""
     line = F.concat(url_hints(F.col("url"), several=False), F.lit(" "), F.left(F.coalesce("title", F.lit("")), F.lit(80)), F.lit(" | "), F.left(F.coalesce("summary", F.lit("")), F.lit(120)), F.lit(" | "), F.left(F.coalesce("source", F.lit("")), F.lit(20)))
-    per = items.groupBy(F.floor(F.col("ord") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
-    numbered = F.transform("x", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["line"]))
-    return per.select("batch", F.concat(F.lit("Classify each item; answer with a JSON array of objects with id.\n"), F.array_join(numbered, "\n")).alias("prompt"), F.transform("x", lambda r: r["ord"]).alias("ords"))
+    rows = items.select("ord", F.col(keys(items)).cast("string").alias("key"), line.alias("line"))
+    placed = numbered(rows, [], ["ord", "key"], Scratch(items.sparkSession, "batches"))
+    per = placed.groupBy(F.floor(F.col("at") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("at", "ord", "key", "line"))).alias("x"))
+    numbers = F.transform("x", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["line"]))
+    return per.select("batch", F.concat(F.lit("Classify each item; answer with a JSON array of objects with id.\n"), F.array_join(numbers, "\n")).alias("prompt"), F.transform("x", lambda r: r["ord"]).alias("ords"), F.transform("x", lambda r: r["key"]).alias("keys"))
 
 
 def settled_type(name: Column, aliases: dict = L.REPLY_ALIASES) -> Column:
@@ -107,7 +113,8 @@ def read_batch(reply: str, expected: int) -> list[dict | None]:
         if 0 <= at < expected and out[at] is None:
             kind = kind if kind in TYPES else L.BATCH_ALIASES.get(kind, "market")
             fields = o.get("tech_fields", o.get("fields", ["General AI"]))
-            out[at] = {"content_type": kind, "confidence": sure, "ai_relevance": about, "tech_categories": [str(f) for f in fields] if isinstance(fields, list) else [str(fields)]}
+            known = o.get("is_verified", True)
+            out[at] = {"content_type": kind, "confidence": sure, "ai_relevance": about, "tech_categories": [str(f) for f in fields] if isinstance(fields, list) else [str(fields)], "is_verified": known if isinstance(known, bool) else True, "llm_reasoning": str(o.get("reasoning", o.get("reason", "")))}
     return out
 
 
@@ -184,29 +191,87 @@ def asked(prompts: DataFrame, client: Callable[[str], str], breaker: Callable[[]
     return prompts.mapInPandas(run, f"{schema}, reply string, reason string")
 
 
-BATCH_LABELS = "ord long, content_type string, confidence double, ai_relevance double, tech_categories array<string>"
+#: What a model says of an item.
+LABELS = {"content_type": "string", "confidence": "double", "ai_relevance": "double", "tech_categories": "array<string>", "is_verified": "boolean", "llm_reasoning": "string"}
 
 
 def parsed_batches(replies: DataFrame) -> DataFrame:
-    """(ord, labels) of every item of (ords, reply) rows that a reply labels."""
+    """(key, ord and `LABELS`) of every item of (ords, reply, and keys where it has them) rows that a reply labels."""
+    keyed = replies if "keys" in replies.columns else replies.withColumn("keys", F.transform("ords", lambda o: o.cast("string")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(o, *x.values()) for ords, reply in zip(pdf.ords, pdf.reply, strict=True) for o, x in zip(ords, read_batch(reply, len(ords)), strict=True) if x]
-            yield pd.DataFrame(rows, columns=["ord", "content_type", "confidence", "ai_relevance", "tech_categories"])
+            rows = [(k, o, *x.values()) for names, ords, reply in zip(pdf["keys"], pdf.ords, pdf.reply, strict=True) for k, o, x in zip(names, ords, read_batch(reply, len(ords)), strict=True) if x]
+            yield pd.DataFrame(rows, columns=["key", "ord", *LABELS])
 
-    return replies.select("ords", "reply").where("reply is not null").mapInPandas(run, BATCH_LABELS)
+    return keyed.select("keys", "ords", "reply").where("reply is not null").mapInPandas(run, "key string, ord long, " + ", ".join(f"{c} {t}" for c, t in LABELS.items()))
+
+
+def single_labels(replies: DataFrame) -> DataFrame:
+    """(key, `LABELS`) of (key, reply) rows, each reply to a prompt for one item: its object, or a category that its text names."""
+    x, told = parsed_reply(F.col("reply")), type_from_text(F.col("reply"))
+    plain = F.struct(told["content_type"].alias("content_type"), told["confidence"].alias("confidence"), F.lit(0.7).alias("ai_relevance"), F.array(F.lit("General AI")).alias("tech_categories"), F.lit(True).alias("is_verified"), F.lit("").alias("llm_reasoning"))
+    return replies.select("key", F.when(x.isNotNull(), x).when(told.isNotNull(), plain).alias("x")).where("x is not null").select("key", "x.*")
+
+
+def _by(model: str, reason: Column) -> Column:
+    return F.when(reason == "circuit_breaker", "rule:circuit_breaker").otherwise(F.concat(F.lit("rule:fallback:"), F.coalesce(reason, F.lit("parse_error"))))
+
+
+def label(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, cache: DataFrame | None = None, size: int = 5, retry: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(labels, learned) of every item: from the cache, then from batches of `size` (1: one by one), then, for what a batch's reply lacks, one
+    by one (`retry`), then from `rules` (keys and labels). `labels` has key, ord, `LABELS`, from_cache and classified_by;
+    `learned` has the new rows of the cache: key and `LABELS`. A client is asked once for each prompt: its replies are tables."""
+    scratch, on = Scratch(items.sparkSession, "labels"), keys(items, rules)
+    rows = items.select(F.col(on).cast("string").alias("key"), "ord", "title", "summary", "source", "url", cache_key(model).alias("cached"))
+    if on == "item":
+        rows = rows.withColumn("item", F.col("key"))
+    parts, todo = [], rows
+    if cache is not None:
+        known = cache.select(F.col("key").alias("cached"), *[F.col(c) if c in cache.columns else F.lit(None).cast(t).alias(c) for c, t in LABELS.items()]).dropDuplicates(["cached"])
+        parts.append(rows.select("key", "ord", "cached").join(known, "cached").select("key", "ord", *LABELS, F.lit(True).alias("from_cache"), F.lit(f"llm:{model}").alias("by")))
+        todo = scratch.table("todo", rows.join(known, "cached", "left_anti"))
+    told, reasons = [], None
+    left = todo
+    if size > 1:
+        replies = scratch.table("batches", asked(batch_prompts(todo, size), client))
+        read = scratch.table("batched", parsed_batches(replies).drop("ord").dropDuplicates(["key"]))
+        told.append(read.withColumn("by", F.lit(f"llm:{model}:batch")))
+        reasons = replies.select(F.explode("keys").alias("key"), "reason")
+        left = todo.join(read, "key", "left_anti")
+    if size == 1 or retry:
+        # An item of a batch without any reply isn't asked for again: the client has had its attempts.
+        again = left if reasons is None else left.join(reasons.where("reason is not null"), "key", "left_anti")
+        replies = scratch.table("singles", asked(again.select("key", prompt().alias("prompt")), client))
+        told.append(single_labels(replies).dropDuplicates(["key"]).withColumn("by", F.lit(f"llm:{model}")))
+        one = replies.where("reason is not null").select("key", "reason")
+        reasons = one if reasons is None else reasons.where("reason is not null").union(one)
+    every = scratch.table("told", reduce(DataFrame.unionByName, told))
+    parts.append(todo.select("key", "ord").join(every, "key").select("key", "ord", *LABELS, F.lit(False).alias("from_cache"), "by"))
+    lacking = todo.select("key", "ord").join(every, "key", "left_anti").join(reasons.groupBy("key").agg(F.max("reason").alias("reason")), "key", "left")
+    ruled = rules.select(F.col(on).cast("string").alias("key"), *[F.col(c) if c in rules.columns else F.lit(None).cast(t).alias(c) for c, t in LABELS.items()]).dropDuplicates(["key"])
+    parts.append(lacking.join(ruled, "key").select("key", "ord", *LABELS, F.lit(False).alias("from_cache"), _by(model, F.col("reason")).alias("by")))
+    learned = todo.select("key", "cached").join(every.drop("by"), "key").drop("key").withColumnRenamed("cached", "key")
+    newest = F.min(F.struct(*LABELS)).alias("x")  # of items with equal texts one row, whichever partition ran twice
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("by", "classified_by"), learned.groupBy("key").agg(newest).select("key", "x.*")
 
 
 def labelled_in_batches(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, size: int = 5) -> DataFrame:
-    """As `labelled`, asking for `size` items at once: what a reply does not label gets its rules' labels. `ord` tells items apart."""
-    replies = Scratch(items.sparkSession, "replies").table("asked", asked(batch_prompts(items, size), client))  # asked once, read twice
-    read = parsed_batches(replies).select("ord", F.col("content_type").alias("_mt"), F.col("confidence").alias("_mc"), F.col("ai_relevance").alias("_mr"))
-    reasons = replies.select(F.explode("ords").alias("ord"), "reason")
-    fallback = rules.select("ord", F.col("content_type").alias("_t"), F.col("confidence").alias("_c"), F.col("ai_relevance").alias("_r"))
-    by = F.when(F.col("_mt").isNotNull(), F.lit(f"llm:{model}:batch")).when(F.col("reason") == "circuit_breaker", "rule:circuit_breaker").otherwise(F.concat(F.lit("rule:fallback:"), F.coalesce("reason", F.lit("parse_error"))))
-    out = reasons.join(read, "ord", "left").join(fallback, "ord")
-    return out.select("ord", F.coalesce("_mt", "_t").alias("content_type"), F.coalesce("_mc", "_c").alias("confidence"), F.coalesce("_mr", "_r").alias("ai_relevance"), F.lit(False).alias("from_cache"), by.alias("classified_by"))
+    """As `labelled`, asking for `size` items at once: what a reply does not label gets its rules' labels."""
+    return label(items, rules, client, model, size=size, retry=False)[0]
+
+
+def labelled_and_kept(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, path: str, size: int = 5) -> DataFrame:
+    """Labels of `items` by the cache under `path` and the client; what the client said goes into a new version of the cache, one
+    row a key, the new before the old. The labels are a table before the cache moves, so a second run asks only for what is not there."""
+    from tidewell.sources import sinks
+
+    spark = items.sparkSession
+    cache = sinks.read_state(spark, path, "key string, " + ", ".join(f"{c} {t}" for c, t in LABELS.items()), ("key", "content_type"))
+    labels, learned = label(items, rules, client, model, cache, size)
+    out = Scratch(spark, "labelled").table("labels", labels)
+    sinks.merge_state(learned, cache, path, "key")
+    return out
 
 
 def summarised(items: DataFrame, client: Callable[[str], str] | None = None, n: int = 150) -> DataFrame:
@@ -220,18 +285,12 @@ def summarised(items: DataFrame, client: Callable[[str], str] | None = None, n:
 
 
 def labelled(items: DataFrame, rules: DataFrame, client: Callable[[str], str], model: str, cache: DataFrame | None = None) -> DataFrame:
-    """(ord, content_type, confidence, ai_relevance, from_cache, classified_by): the cache, then the client, then the rules (`rules`: ord and labels)."""
-    key = items.select("ord", "title", "summary", "source", "url")
-    if cache is not None:
-        key = with_cache(key, cache.select("key", "content_type", "confidence", "ai_relevance"), model)
-        hits = key.where("from_cache").select("ord", "content_type", "confidence", "ai_relevance", F.lit(True).alias("from_cache"), F.lit(f"llm:{model}").alias("classified_by"))
-        key = key.where("not from_cache")
-    read = asked(key.select("ord", prompt().alias("prompt")), client).withColumn("x", parsed_reply(F.col("reply")))
-    told = type_from_text(F.col("reply"))  # a reply without an object may still name a category
-    own = F.when(F.col("x").isNotNull(), F.struct("x.content_type", "x.confidence", "x.ai_relevance")).when(told.isNotNull(), F.struct(told["content_type"].alias("content_type"), told["confidence"].alias("confidence"), F.lit(0.7).alias("ai_relevance")))
-    read = read.withColumn("x", own)
-    fallback = rules.select("ord", F.col("content_type").alias("_t"), F.col("confidence").alias("_c"), F.col("ai_relevance").alias("_r"))
-    good = F.col("x").isNotNull()
-    by = F.when(good, F.lit(f"llm:{model}")).when(F.col("reason") == "circuit_breaker", "rule:circuit_breaker").otherwise(F.concat(F.lit("rule:fallback:"), F.coalesce("reason", F.lit("parse_error"))))
-    out = read.join(fallback, "ord").select("ord", F.coalesce("x.content_type", "_t").alias("content_type"), F.coalesce("x.confidence", "_c").alias("confidence"), F.coalesce("x.ai_relevance", "_r").alias("ai_relevance"), F.lit(False).alias("from_cache"), by.alias("classified_by"))
-    return out if cache is None else out.unionByName(hits)
+    """(key, ord, `LABELS`, from_cache, classified_by): the cache, then the client, item by item, then the rules."""
+    return label(items, rules, client, model, cache, size=1)[0]
+
+
+def relabelled(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """`items` with their new `LABELS`, from_cache and classified_by; importance is scored anew on these."""
+    on = keys(items)
+    new = labels.select(F.col("key").alias("_key"), *LABELS, "from_cache", "classified_by")
+    return items.drop(*[c for c in new.columns if c in items.columns]).join(new, F.col(on).cast("string") == F.col("_key")).drop("_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.lexicons import COMMON_WORDS, REVIEW_TECH
 from tidewell.operators.dedup import ranked_first
+from tidewell.schema import keys
 
 
 def queue(items: DataFrame, least: float = 0.6, limit: int | None = None) -> DataFrame:
@@ -23,25 +24,26 @@ def tech_fields(entered: Column, known: tuple = REVIEW_TECH) -> Column:
     return F.when(F.trim(entered) == "", None).when(numeric, F.when(F.size(named) > 0, named)).otherwise(parts)
 
 
-def ordered(decisions: DataFrame) -> DataFrame:
-    """Decisions (ord, action, value, seq): `seq` orders the decisions on one item; without it they go by action and value."""
+def ordered(decisions: DataFrame, on: str) -> DataFrame:
+    """Decisions (item or ord, action, value, seq): `seq` orders the decisions on one item; without it they go by action and value."""
     seq = F.col("seq") if "seq" in decisions.columns else F.lit(0).cast("long")
-    return decisions.select("ord", "action", "value", F.struct(seq.alias("seq"), "action", "value").alias("seq"))
+    return decisions.select(on, "action", "value", F.struct(seq.alias("seq"), "action", "value").alias("seq"))
 
 
 def apply(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions (ord, action, value, and seq where one item has several) on items: confirm, category, tech, region, spam,
+    """Decisions (item, as the queue has it, or else ord; action, value, and seq where one item has several) on items: confirm, category, tech, region, spam,
     skip. All decisions on an item count, in their order: of one kind the last gives the value. Confirming and a new
     category settle the review; a new category keeps the one before it beside it."""
-    d, is_ = ordered(decisions), lambda *a: F.col("action").isin(*a)
+    on = keys(items, decisions)
+    d, is_ = ordered(decisions, on), lambda *a: F.col("action").isin(*a)
     last = lambda a: F.max_by(F.when(is_(a), F.col("value")), F.when(is_(a), F.col("seq")))
-    before = F.lag("value").over(Window.partitionBy("ord", "action").orderBy("seq"))
-    folded = d.withColumn("_before", F.when(is_("category"), before)).groupBy("ord").agg(
+    before = F.lag("value").over(Window.partitionBy(on, "action").orderBy("seq"))
+    folded = d.withColumn("_before", F.when(is_("category"), before)).groupBy(on).agg(
         F.max(is_("category")).alias("_moved"), last("category").alias("_type"), F.max_by(F.when(is_("category"), F.struct("_before")), F.when(is_("category"), F.col("seq")))["_before"].alias("_was"),
         F.max(is_("tech")).alias("_retech"), last("tech").alias("_tech"), F.max(is_("region")).alias("_placed"), last("region").alias("_region"),
         F.max(is_("confirm", "category")).alias("_settled"), F.max(is_("confirm", "category", "tech", "region", "spam")).alias("_reviewed"), F.max(is_("spam")).alias("_spam"),
     )
-    out, yes = items.join(folded, "ord", "left"), lambda c: F.coalesce(c, F.lit(False))
+    out, yes = items.join(folded, on, "left"), lambda c: F.coalesce(c, F.lit(False))
     values = {
         "original_category": F.when(F.col("_moved"), F.coalesce("_was", "content_type")),
         "original_confidence": F.when(F.col("_moved"), F.when(F.col("_was").isNotNull(), 1.0).otherwise(F.col("confidence"))),
@@ -53,7 +55,7 @@ def apply(items: DataFrame, decisions: DataFrame) -> DataFrame:
         "manually_reviewed": yes(F.col("_reviewed")),
         "is_spam": yes(F.col("_spam")),
     }
-    return out.withColumns(values).drop(*[c for c in folded.columns if c != "ord"])
+    return out.withColumns(values).drop(*[c for c in folded.columns if c != on])
 
 
 def without_spam(items: DataFrame) -> DataFrame:
@@ -62,15 +64,16 @@ def without_spam(items: DataFrame) -> DataFrame:
 
 def audit(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """(ord, title, action) log rows, as the review history has them."""
-    d = ordered(decisions).where("action <> 'skip'")
-    d = d.withColumn("_before", F.lag("value").over(Window.partitionBy("ord", "action").orderBy("seq")))  # what the last change left
+    on = keys(items, decisions)
+    d = ordered(decisions, on).where("action <> 'skip'")
+    d = d.withColumn("_before", F.lag("value").over(Window.partitionBy(on, "action").orderBy("seq")))  # what the last change left
     text = (
         F.when(F.col("action") == "confirm", F.lit("Confirmed"))
         .when(F.col("action") == "category", F.concat(F.lit("Category: "), F.coalesce("_before", "content_type", F.lit("unknown")), F.lit(" -> "), F.col("value")))
         .when(F.col("action") == "spam", F.lit("Marked spam"))
         .otherwise(F.concat(F.initcap("action"), F.lit(": "), F.col("value")))
     )
-    return d.join(items.select("ord", "title", "content_type"), "ord").select("ord", "title", text.alias("action"))
+    return d.join(items.select(*dict.fromkeys([on, "ord", "title", "content_type"])), on).select("ord", "title", text.alias("action"))
 
 
 def action_summary(log: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import Scratch
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -46,12 +48,21 @@ def replace_state(df: DataFrame, path: str) -> None:
         fs.delete(gone, True)
 
 
+def merge_state(new: DataFrame, old: DataFrame, path: str, key: str) -> None:
+    """A version with the rows of `new`, and of `old` those whose key `new` lacks. The new rows are a table first, so both uses see the same."""
+    scratch = Scratch(new.sparkSession, "merge")
+    fresh = scratch.table("new", new)
+    replace_state(fresh.unionByName(old.join(fresh.select(key), key, "left_anti"), allowMissingColumns=True), path)
+    scratch.drop()
+
+
 def read_state(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
     """The newest whole version of a state, or an empty table if there is none, it can't be read or lacks a required column."""
     known = _versions(spark, path)
     if known:
         try:
             df = spark.read.parquet(f"{path}/v={known[-1]}")
+            df.write.format("noop").mode("overwrite").save()  # damage shows in the pages, not in the footer alone
         except Exception as e:  # noqa: BLE001  a damaged state is an empty one, as a lost cache is
             logging.getLogger(__name__).warning("state %s can't be read: %s", path, e)
         else:

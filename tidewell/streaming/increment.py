@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.functions import text as X
 from tidewell.operators import filters
-from tidewell.schema import ITEM
+from tidewell.schema import ITEM, conform
 
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Items that land as JSON lines."""
-    return spark.readStream.schema(ITEM).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return conform(spark.readStream.schema(ITEM).option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
 def distinct_items(items: DataFrame, retention: str = "7 days") -> DataFrame:
