@@ -43,6 +43,22 @@ def top_stories(stories: DataFrame, history: DataFrame, as_of: str, n: int = 10,
     return topical.withColumn("_url", X.normal_url(F.col("url"))).join(seen, "_url", "left_anti").drop("_url").orderBy("ord").limit(n)
 
 
+def preprints(entries: DataFrame, as_of: str, n: int = 10, days: int = 7) -> DataFrame:
+    """The newest `n` preprints, of them the recent ones; a failed scan (no entries at all) gives the backup rows."""
+    spark = entries.sparkSession
+    newest = entries.orderBy(F.desc("published_ts"), "ord").limit(n)
+    spare = backup(spark, "research", as_of).join(F.broadcast(newest.limit(1).agg(F.count("*").alias("_n"))), F.col("_n") == 0).drop("_n")  # one row
+    return filters.recent(newest, as_of, days).unionByName(spare, allowMissingColumns=True)
+
+
+def trending(repositories: DataFrame, history: DataFrame, as_of: str, n: int = 10, days: int = 7) -> DataFrame:
+    """Of the first n + 5 repositories by stars (as many as a search asks for, 15 at most) those that history lacks and that are recent, `n` at most."""
+    seen = history.where("kind = 'url'").select(F.col("value").alias("_url")).distinct()
+    asked = repositories.orderBy(F.desc("stars"), "ord").limit(min(n + 5, 15)).withColumn("_url", X.normal_url(F.col("url"))).where("_url <> ''")
+    fresh = filters.recent(asked.join(seen, "_url", "left_anti").drop("_url"), as_of, days)
+    return fresh.withColumn("published", F.col("updated")).orderBy(F.desc("stars"), "ord").limit(n)
+
+
 def community(stories: DataFrame, feeds: DataFrame, n: int = 15) -> DataFrame:
     """Stories and community feeds without duplicates, newest first."""
     both = chained(stories, feeds).withColumn("category", F.lit("community"))
