@@ -83,3 +83,11 @@ def test_shards_that_cannot_help_are_not_reached(spark):
     finally:
         knn._reached = whole
     assert seen[0][0] < 0.8 * seen[0][1]
+
+
+def test_several_lengths_over_several_packs_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BOXES", 2)
+    pick = random.Random(11)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(pick.choice([2, 5, 5, 9]))]) for i in range(0, 6000, 10)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert got(knn.search(docs, F.col("vec_id") % 100 == 0, 4, shard_rows=60, block_rows=9)) == brute(rows, 4)

@@ -210,9 +210,12 @@ def _searched(pairs: DataFrame, k: int, packed: bool) -> DataFrame:
     """Searches each row's block in its tree, from the results in `found` on. `packed`: one row per block, else one per result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of = None, None
         for rb in batches:
             for r in rb.to_pylist():
-                tree, ids = Tree.unpack(r["tree"]), np.frombuffer(r["ids"], np.int64)
+                if of != (r["shard"], r["size"]):  # blocks that meet one shard follow each other
+                    tree, of = Tree.unpack(r["tree"]), (r["shard"], r["size"])
+                ids = np.frombuffer(r["ids"], np.int64)
                 rows = np.frombuffer(r["rows"], np.float64).reshape(len(ids), -1)
                 before = np.frombuffer(r["found"], np.int64).reshape(len(ids), k, 3) if r.get("found") else None
                 safe, bounds, counted, after = exact(tree.rows, rows), tree.bounds(rows), [0], []
@@ -259,7 +262,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     trees = scratch.table("trees", _trees(dealt, scale))
     block = scratch.table("blocks", _blocks(queries.repartitionByRange(blocks, cells, "id") if blocks > 1 else queries.repartition(1), scale))
     boxes = scratch.table("boxes", trees.groupBy("size", F.floor(F.col("shard") / BOXES).alias("pack")).agg(F.array_sort(F.collect_list(F.struct("shard", "low", "high"))).alias("boxes")))
-    homes = _homes(block.join(boxes, "size").drop("pack")).groupBy("block", "size").agg(F.max(F.struct("bound", "shard"))["shard"].alias("home"))
+    # Every block meets every pack of its length; the pack's number is in the key, so that they spread over tasks.
+    packs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(boxes.agg(F.max("pack")).first()[0] or 0).cast("long")))
+    homes = _homes(block.withColumn("pack", packs).join(boxes, ["size", "pack"]).drop("pack")).groupBy("block", "size").agg(F.max(F.struct("bound", "shard"))["shard"].alias("home"))
     placed = scratch.table("placed", block.join(homes, ["block", "size"]))
     salts = max(-(-blocks // 64), 1)
     salted = trees.select("shard", "size", "tree").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -267,7 +272,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     home = placed.select("block", "size", "ids", "rows", F.col("home").alias("shard"), salt).join(salted, ["shard", "size", "salt"]).drop("salt")
     found = scratch.table("found", _searched(home, k, packed=True))
     asked_rows = scratch.table("asked", placed.join(found, ["block", "size"]))
-    reached = scratch.table("reached", _reached(asked_rows.join(boxes, "size").drop("pack"), k))
+    reached = scratch.table("reached", _reached(asked_rows.withColumn("pack", packs).join(boxes, ["size", "pack"]).drop("pack"), k))
     scratch.drop("placed", "boxes")
     away = reached.join(asked_rows.drop("home"), ["block", "size"]).select("*", salt)
     pairs = away.join(salted, ["shard", "size", "salt"]).drop("salt")
