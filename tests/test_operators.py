@@ -316,6 +316,25 @@ def test_breaker():
     assert not b.errors
 
 
+def test_every_reason_of_a_failure():
+    def failing(e):
+        def client(prompt):
+            calls.append(1)
+            if isinstance(e, Exception):
+                raise e
+            return e
+
+        return client
+
+    expected = {TimeoutError(): ("timeout", 1), ConnectionError(): ("connection_error", 2), labelling.RateLimited(): ("rate_limit", 2), labelling.ApiError(): ("api_error", 2), labelling.InvalidResponse(): ("invalid_response", 2), ValueError(): ("parse_error", 2), KeyError(): ("model_error", 1), " ": ("invalid_response", 2)}
+    for e, (reason, attempts) in expected.items():
+        calls, own = [], labelling.Breaker()
+        assert labelling._reply(own, failing(e), "p") == (None, reason) and len(calls) == attempts
+        assert own.errors == ({} if reason == "rate_limit" else {reason: attempts})
+    calls, own = [], labelling.Breaker(limit=3)
+    assert [labelling._reply(own, failing(labelling.ApiError()), "p")[1] for _ in range(3)] == ["api_error", "api_error", "circuit_breaker"] and len(calls) == 3
+
+
 def test_model_labels_fall_back_to_rules(spark):
     df = items(spark, [{"title": f"title {i}", "summary": "s", "source": "x", "url": "u"} for i in range(12)]).coalesce(1)
     rules = df.select("ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))

@@ -143,34 +143,63 @@ class Breaker:
         self.errors.clear()
 
     def action(self, reason: str) -> str:
-        """quick, retry or full_rule."""
-        if reason == "timeout":
-            return "quick"
-        if reason in ("connection_error", "api_error"):
+        """quick, retry or full_rule, by `RULES`."""
+        rule = RULES.get(reason, Rule("full_rule"))
+        if rule.counted:
             self.failed(reason)
-            return "retry" if self.opened is None else "full_rule"
-        if reason in ("parse_error", "invalid_response"):
-            return "retry" if self.errors.get(reason, 0) < 2 else "full_rule"
-        return "retry" if reason == "rate_limit" else "full_rule"
+        spent = self.opened is not None if rule.counted else self.errors.get(reason, 0) >= rule.most
+        return "full_rule" if spent else rule.otherwise
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What follows a failure: `otherwise`, or full_rule once the breaker is open (`counted`: asking counts as an error) or the reason has
+    come `most` times."""
+
+    otherwise: str
+    counted: bool = False
+    most: float = float("inf")
+
+
+#: Reasons of failures.
+RULES = {
+    "timeout": Rule("quick"), "connection_error": Rule("retry", counted=True), "api_error": Rule("retry", counted=True), "parse_error": Rule("retry", most=2),
+    "invalid_response": Rule("retry", most=2), "rate_limit": Rule("retry"), "model_error": Rule("full_rule"),
+}
+
+
+class RateLimited(Exception):
+    """The client must wait."""
+
+
+class ApiError(Exception):
+    """The client's service failed."""
+
+
+class InvalidResponse(Exception):
+    """The client's service answered something that is no reply."""
+
+
+#: The reason of an exception: the first kind that it is of; others are model errors.
+REASONS = ((TimeoutError, "timeout"), (ConnectionError, "connection_error"), (RateLimited, "rate_limit"), (ApiError, "api_error"), (InvalidResponse, "invalid_response"), (ValueError, "parse_error"))
 
 
 def _reply(own: Breaker, client: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
-    """(reply, None) or (None, the reason why there is none), after a second attempt where the breaker allows it."""
+    """(reply, None) or (None, the reason why there is none), after a second attempt where the breaker allows it. A reply that is no
+    text, or none at all, is an invalid response."""
     reason = "circuit_breaker"
     for _ in range(2):
         if not own.allows():
             break
         try:
             reply = client(prompt)
+            if not isinstance(reply, str) or not reply.strip():
+                raise InvalidResponse
             own.succeeded()
             return reply, None
-        except TimeoutError:
-            reason = "timeout"
-            own.failed(reason)
-        except ConnectionError:
-            reason = "connection_error"
-        except Exception:  # noqa: BLE001  a client may raise anything
-            reason = "model_error"
+        except Exception as e:  # noqa: BLE001  a client may raise anything
+            reason = next((name for kind, name in REASONS if isinstance(e, kind)), "model_error")
+        if not RULES[reason].counted and reason != "rate_limit":
             own.failed(reason)
         if own.action(reason) != "retry":
             break
