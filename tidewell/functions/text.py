@@ -71,14 +71,6 @@ def cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
 
-def plain_text(html: Column, n: int = 300) -> Column:
-    """Tags out, common entities decoded, white space collapsed, cut to n characters."""
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return cut(collapse(text), n)
-
-
 def escaped(html: Column) -> Column:
     """Tags out, white space collapsed, special characters escaped."""
     text = collapse(F.regexp_replace(html, r"<[^>]+>", " "))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell import lexicons as L
 from tidewell.functions import text as X
+from tidewell.functions.html import plain_text
 from tidewell.operators import classify, dedup, filters, importance, labelling, publish, review, trends
 from tidewell.plans import pipeline
 from tidewell.sources import composed
@@ -172,9 +173,16 @@ def content_hash(spark, sf_dir):
     return items(spark, sf_dir).select("ord", X.content_hash(F.col("title"), F.col("summary"), F.col("source")).alias("hash"), labelling.cache_key("local/model").alias("key"))
 
 
-@query("SELECT page_id, CASE WHEN length(t) > 300 THEN left(t, 300) || '...' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)")
+_SHOWN = "html"
+for _hidden in ("(?is)<script[^>]*>.*?</script[^>]*>", "(?is)<style[^>]*>.*?</style[^>]*>", "(?s)<!--.*?-->", "<[^>]*>"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_hidden}', ' ', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", chr(160)), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _SHOWN = f"replace({_SHOWN}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, CASE WHEN length(t) > 300 THEN left(t, 300) || '...' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace({_SHOWN}, '\\s+', ' ', 'g')) AS t FROM pages)")
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS text FROM pages")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.functions.html import plain_text
 from tidewell.schema import conform
 
 
@@ -16,7 +17,7 @@ def rss(spark: SparkSession, path: str, category: str, source: str | None = None
     """Items of RSS files."""
     schema = "title string, description string, link string, pubDate string, author string"
     df = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    out = df.select(X.collapse(F.col("title")).alias("title"), X.plain_text(F.coalesce("description", F.lit(""))).alias("summary"), F.trim("link").alias("url"), F.col("pubDate").alias("published"), F.coalesce("author", F.lit("")).alias("author"), F.lit(category).alias("category"), F.left(F.lit(source or category), F.lit(50)).alias("source"))
+    out = df.select(X.collapse(F.col("title")).alias("title"), plain_text(F.coalesce("description", F.lit(""))).alias("summary"), F.trim("link").alias("url"), F.col("pubDate").alias("published"), F.coalesce("author", F.lit("")).alias("author"), F.lit(category).alias("category"), F.left(F.lit(source or category), F.lit(50)).alias("source"))
     return conform(out.withColumns({"published_ts": X.parsed_date(F.col("published")), "ord": F.monotonically_increasing_id()}))
 
 
@@ -24,7 +25,7 @@ def atom(spark: SparkSession, path: str, category: str = "research", source: str
     """Items of Atom files, as preprint servers answer."""
     schema = "title string, summary string, id string, published string, author array<struct<name:string>>"
     df = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
-    out = df.select(X.collapse(F.col("title")).alias("title"), X.plain_text(F.col("summary")).alias("summary"), F.col("id").alias("url"), F.left("published", F.lit(10)).alias("published"), F.col("author.name").alias("authors"), F.lit(category).alias("category"), F.lit(source).alias("source"))
+    out = df.select(X.collapse(F.col("title")).alias("title"), plain_text(F.col("summary")).alias("summary"), F.col("id").alias("url"), F.left("published", F.lit(10)).alias("published"), F.col("author.name").alias("authors"), F.lit(category).alias("category"), F.lit(source).alias("source"))
     return conform(out.withColumns({"published_ts": X.parsed_date(F.col("published")), "ord": F.monotonically_increasing_id()}))
 
 
@@ -32,7 +33,7 @@ def repositories(spark: SparkSession, path: str) -> DataFrame:
     """Items of a repository search answer: one object with `items`."""
     schema = "items array<struct<full_name:string,description:string,html_url:string,stargazers_count:bigint,language:string,created_at:string,updated_at:string>>"
     r = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("items"))
-    return conform(r.select(F.col("full_name").alias("title"), X.plain_text(F.coalesce("description", F.lit(""))).alias("summary"), F.col("html_url").alias("url"), F.col("stargazers_count").alias("stars"), F.coalesce("language", F.lit("Unknown")).alias("language"), F.left("created_at", F.lit(10)).alias("published"), F.left("updated_at", F.lit(10)).alias("updated"), X.parsed_date(F.left("updated_at", F.lit(10))).alias("published_ts"), F.lit("GitHub").alias("source"), F.lit("developer").alias("category"), F.monotonically_increasing_id().alias("ord"))).orderBy(F.desc("stars"))
+    return conform(r.select(F.col("full_name").alias("title"), plain_text(F.coalesce("description", F.lit(""))).alias("summary"), F.col("html_url").alias("url"), F.col("stargazers_count").alias("stars"), F.coalesce("language", F.lit("Unknown")).alias("language"), F.left("created_at", F.lit(10)).alias("published"), F.left("updated_at", F.lit(10)).alias("updated"), X.parsed_date(F.left("updated_at", F.lit(10))).alias("published_ts"), F.lit("GitHub").alias("source"), F.lit("developer").alias("category"), F.monotonically_increasing_id().alias("ord"))).orderBy(F.desc("stars"))
 
 
 def models(spark: SparkSession, path: str, base: str = "https://huggingface.co/") -> DataFrame:
