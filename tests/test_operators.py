@@ -454,3 +454,20 @@ def test_label_cache_is_an_upsert(spark, tmp_path):
     three = run(df)
     assert {r.classified_by for r in three.values() if r.from_cache} == {"llm:m"} and {r.classified_by for r in three.values() if not r.from_cache} == {"rule:fallback:timeout"}
     assert spark.read.parquet(str(tmp_path / "cache" / "v=2")).count() == 7
+
+
+def test_a_merged_state_equals_one_pass(spark):
+    rows = [{"title": f"t{i}", "category": "ab"[i % 2], "source": None if i % 5 == 0 else f"s{i % 3}", "published": f"2024-12-{10 + i % 4:02d}" if i % 7 else None} for i in range(40)]
+    df = items(spark, rows).withColumns({"tech_categories": F.when(F.col("ord") % 3 != 0, F.when(F.col("ord") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))), "confidence": F.when(F.col("ord") % 4 != 0, F.col("ord") / 40.0), "importance": F.col("ord") / 80.0})
+    state = lambda d: trends.daily_state(d, F.col("published_ts"), {"category": "unknown", "source": "unknown"})
+    whole = state(df)
+    parts = trends.merged(trends.merged(state(df.where("ord < 9")), state(df.where("ord between 9 and 20"))), state(df.where("ord > 20")), state(df.limit(0)))
+    key = lambda d: sorted(((r.day, r.dimension, r.key, r.n, r.first, r.n_confidence, round(r.sum_importance, 9)) for r in d.collect()), key=repr)
+    assert key(parts) == key(whole)
+    for c in ("category", "source"):
+        assert {(r.key, r.n) for r in trends.of_state(parts, c).collect()} == {tuple(r) for r in trends.distribution(df, c, "unknown").collect()}
+    assert [tuple(r) for r in trends.of_state(parts, "tech_categories").orderBy(F.desc("n"), "first", "key").collect()] == [tuple(r) for r in trends.hotspots(df).select("key", "n", "first").collect()]
+    assert trends.daily_of_state(parts, 3).collect() == trends.daily(df, F.col("published_ts"), 3).collect()
+    means, expected = trends.averages_of_state(parts).first(), trends.averages(df.withColumn("ai_relevance", F.lit(None).cast("double"))).first()
+    assert (means.n, means.avg_confidence, means.avg_importance) == (expected.n, expected.avg_confidence, expected.avg_importance)
+    assert trends.averages_of_state(state(df.limit(0))).first().n == 0

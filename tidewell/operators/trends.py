@@ -18,6 +18,49 @@ def distributions(items: DataFrame, columns: dict[str, str]) -> DataFrame:
     return items.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.key").agg(F.count("*").alias("n"))
 
 
+#: What a state sums up beside counts, for averages.
+MEASURES = ("confidence", "importance", "ai_relevance")
+
+
+def daily_state(items: DataFrame, at: Column, columns: dict[str, str], arrays: tuple[str, ...] = ("tech_categories",)) -> DataFrame:
+    """All distributions of items in one pass, as rows that add up: (day, dimension, key, n, first, and of each of `MEASURES` that the items
+    have the sum and the count). `columns` are dimensions with their defaults, `arrays` count each element; the dimension `all`
+    counts every item. States of parts of the items, a day's or a batch's, merge to the state of all."""
+    one = lambda name, key: F.struct(F.lit(name).alias("dimension"), key.alias("key"))
+    plain = F.array(one("all", F.lit("")), *[one(c, F.coalesce(F.col(c).cast("string"), F.lit(d))) for c, d in columns.items()])
+    named = lambda c: lambda key: one(c, key)
+    several = [F.transform(F.coalesce(c, F.array().cast("array<string>")), named(c)) for c in arrays]
+    have = [m for m in MEASURES if m in items.columns]
+    rows = items.select(F.date_format(at, "yyyy-MM-dd").alias("day"), "ord", *have, F.explode(F.concat(plain, *several)).alias("d"))
+    sums = [x for m in have for x in (F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"))]
+    return rows.groupBy("day", "d.dimension", "d.key").agg(F.count("*").alias("n"), F.min("ord").alias("first"), *sums)
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """One state of several."""
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s, allowMissingColumns=True)
+    more = [c for c in both.columns if c not in ("day", "dimension", "key", "n", "first")]
+    return both.groupBy("day", "dimension", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), *[F.sum(c).alias(c) for c in more])
+
+
+def of_state(state: DataFrame, dimension: str) -> DataFrame:
+    """(key, n, first) of a dimension over all days."""
+    return state.where(F.col("dimension") == dimension).groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def daily_of_state(state: DataFrame, last: int = 7) -> DataFrame:
+    per = state.where("dimension = 'all' AND day IS NOT NULL").groupBy("day").agg(F.sum("n").alias("n"))
+    return per.orderBy(F.desc("day")).limit(last).orderBy("day")
+
+
+def averages_of_state(state: DataFrame) -> DataFrame:
+    have = [m for m in MEASURES if f"sum_{m}" in state.columns]
+    mean = lambda m: F.round(F.coalesce(F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0)), F.lit(0.0)), 4).alias(f"avg_{m}")
+    return state.where("dimension = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *map(mean, have))
+
+
 def shares(items: DataFrame, column: str, default: str) -> DataFrame:
     """Counts and percentages; the total is one row."""
     per = distribution(items, column, default)

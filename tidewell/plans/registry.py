@@ -106,6 +106,16 @@ def tech_categories(spark, sf_dir):
     return classify.with_text(items(spark, sf_dir), VOCABULARY).select("ord", F.array_join(classify.tech_fields(VOCABULARY), ",").alias("fields"))
 
 
+@query(with_items("SELECT 'category' AS dimension, category AS key, count(*) AS n, min(ord) AS first FROM items GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*), min(ord) FROM items GROUP BY 2 UNION ALL SELECT 'tech_categories', key, count(*), min(ord) FROM (SELECT ord, unnest(tech_categories) AS key FROM fields) GROUP BY 2 UNION ALL SELECT 'day', published, count(*), min(ord) FROM items GROUP BY 2", _tech_sql()))
+def state_distributions(spark, sf_dir):
+    """Every distribution from one merged state of two halves of the items."""
+    tagged = classify.without_text(classify.with_text(items(spark, sf_dir), VOCABULARY).withColumn("tech_categories", classify.tech_fields(VOCABULARY)))
+    half = lambda i: trends.daily_state(tagged.where(F.pmod("ord", F.lit(2)) == i), F.col("published_ts"), {"category": "unknown", "source": "unknown"})
+    state = trends.merged(half(0), half(1))
+    days = state.where("dimension = 'all'").select(F.lit("day").alias("dimension"), F.col("day").alias("key"), "n", "first")
+    return state.where("dimension <> 'all'").groupBy("dimension", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).unionByName(days)
+
+
 # Filters
 
 
