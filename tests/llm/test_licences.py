@@ -61,7 +61,7 @@ def test_neighbouring_versions_expressions_and_denials(spark):
 
 def plain_score(text):
     """The best (score, template) of a unit, by weights made here."""
-    bag = lambda x: Counter(t for t in re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", x.lower()) if t not in licences.STOP)
+    bag = lambda x: Counter(t for t in re.findall(r"by(?:-(?:nc|nd|sa))+|[a-z]+|[0-9]+(?:\.[0-9]+)*", x.lower()) if t not in licences.STOP)
     bags, n = [bag(x) for _, x in licences.TEMPLATES], len(licences.TEMPLATES)
     idf = lambda t: math.log((n + 1) / (sum(t in b for b in bags) + 1)) + 1
     vector = lambda b: {t: (1 + math.log(k)) * idf(t) for t, k in b.items()}

@@ -123,7 +123,8 @@ def _templates() -> list[tuple[str, str]]:
 
 
 TEMPLATES = _templates()
-TERM, THRESHOLD, LEAST_TERMS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*", 0.6, 2
+#: Words, and numbers with their points; the parts of a licence's variant stay together, as prose is full of their letters.
+TERM, THRESHOLD, LEAST_TERMS = r"by(?:-(?:nc|nd|sa))+|[a-z]+|[0-9]+(?:\.[0-9]+)*", 0.6, 2
 SLACK = 1e-4  # for the rounding of scores
 BLANK = "[ \\t\\r\\f\\n]"
 #: An SPDX line whose expression names several licences stands for one line each; a line that denies a licence is none.
