@@ -76,10 +76,14 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     quoting = F.col("text").rlike(f"(?m){QUOTED}")
-    rows = rows.withColumn("lines", F.when(quoting, parsed(F.col("text"))))
+    # Tables, as lines are looked up line by line: a column that is merely named would be parsed anew for each of them.
+    rows = scratch.table("parsed", rows.select("conv_id", "turn", "role", F.when(~quoting, F.col("text")).alias("text"), F.when(quoting, parsed(F.col("text"))).alias("lines")))
+    quoting = F.col("lines").isNotNull()
     attributed = lambda x, i: x["text"].rlike(ATTRIBUTION) & F.coalesce(F.get("lines", i + 1)["level"] > 0, F.lit(False))
     own = F.when(quoting, F.array_join(F.filter("lines", lambda x, i: (x["level"] == 0) & ~attributed(x, i))["text"], "\n")).otherwise(F.col("text"))
     rows = rows.select("conv_id", "turn", "role", own.alias("own"), F.when(quoting, passages(F.col("lines"))).otherwise(F.expr("array()").cast("array<struct<level:int,text:string,lines:array<string>>>")).alias("quotes"))
+    rows = scratch.table("rows", rows)
+    scratch.drop("parsed")
     placed = rows.where("conv_id is not null and turn is not null")
     quote = placed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q"))
     quote = quote.select("conv_id", "turn", F.col("q.level").alias("level"), F.try_element_at(keys(F.array("q.text")), F.lit(1)).alias("key"), keys(F.col("q.lines")).alias("lines")).where("key is not null")
