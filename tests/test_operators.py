@@ -145,6 +145,21 @@ def test_semantic_dedup_is_greedy(spark):
     assert sorted(r.ord for r in dedup.semantic(out).collect()) == kept
 
 
+def test_the_first_that_stay_need_no_more_than_their_stretch(spark):
+    """The first rows of what a scan keeps, in any order, are those of the whole scan; a scan is left as soon as they are known."""
+    import random
+
+    pick = random.Random(6)
+    words = [f"{a}{b}" for a in ("mor", "tel", "quin", "bas", "fro") for b in ("dax", "ling", "up", "est")]
+    rows = [{"title": " ".join(pick.choices(words, k=pick.choice([1, 2, 4, 6]))), "url": f"u{i}", "category": "news" if i % 3 else None, "published": f"2024-01-{pick.randint(1, 9):02d}"} for i in range(120)]
+    df = items(spark, rows)
+    whole = [r.asDict() for r in dedup.semantic(df).collect()]
+    for order, key, reached in (([F.col("ord")], lambda r: r["ord"], [16]), ([F.desc("published"), F.col("ord")], lambda r: (-int(r["published"][-2:]), r["ord"]), None)):
+        reach = []
+        got = [r.ord for r in dedup.semantic_first(df, order, 4, first=16, counted=reach).collect()]
+        assert got == [r["ord"] for r in sorted(whole, key=key)][:4] and reached in (None, reach)
+
+
 def test_items_are_told_apart_without_ord(spark):
     """Two sources that both count from 0: the exact copy goes, everything else stays."""
     a = [{"title": f"alpha number {i} of the first feed", "url": f"a{i}", "category": "news", "source": "one"} for i in range(4)]

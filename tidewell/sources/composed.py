@@ -62,7 +62,7 @@ def trending(repositories: DataFrame, history: DataFrame, as_of: str, n: int = 1
 def community(stories: DataFrame, feeds: DataFrame, n: int = 15) -> DataFrame:
     """Stories and community feeds without duplicates, newest first."""
     both = chained(stories, feeds).withColumn("category", F.lit("community"))
-    return dedup.semantic(both).orderBy(F.desc(F.coalesce("published", F.lit(""))), "ord").limit(n)
+    return dedup.semantic_first(both, [F.desc(F.coalesce("published", F.lit(""))), F.col("ord")], n)
 
 
 def product_releases(entries: DataFrame, n: int = 10, mode: str = "intended") -> DataFrame:
