@@ -77,7 +77,7 @@ def leader_quotes(found: DataFrame, blogs: DataFrame, as_of: str, n: int = 15, l
     said = found.withColumns({"author": F.col("leader"), "author_title": F.try_element_at(titles, F.col("leader"))}).drop("leader")
     quotes = chained(said, blogs).withColumn("category", F.lit("leader"))
     spare = backup(found.sparkSession, "leader", as_of).withColumn("ord", F.col("ord") + F.lit(2 * LIST))
-    return dedup.semantic(with_backup(quotes, spare)).orderBy("ord").limit(n)
+    return dedup.semantic_first(with_backup(quotes, spare), [F.col("ord")], n)
 
 
 def backup(spark: SparkSession, kind: str, as_of: str, rows: dict = L.BACKUP) -> DataFrame:
