@@ -16,6 +16,13 @@ def test_awkward_markup():
     assert {k: text_of(k) for k in CASES} == CASES and text_of(None) is None
 
 
+def test_only_closed_entities():
+    """As the query's SQL has them: what no semicolon ends is text, as are names that are none."""
+    rows = {"<h1>and&amp;&amp</h1>": "and&&amp", "a &lt b &lt; c": "a &lt b < c", "x&#65;&#65 &#x41;&#x;": "xA&#65 A&#x;", "R&D &ampx; &copy;&copy&": "R&D &ampx; ©&copy&", "<a href='?a=1&amp=2'>l</a>&nbsp;&nope;": "l &nope;"}
+    assert {k: text_of(k, closed=True) for k in rows} == rows
+    assert text_of("<h1>and&amp;&amp</h1>") == "and&&" and text_of(None, closed=True) is None
+
+
 def test_column(spark):
     rows = [(k,) for k in CASES] + [(None,), ("<p>" + "word " * 100_000,)]
     got = spark.createDataFrame(rows, "h string").select("h", plain_text(F.col("h"), 20).alias("t")).collect()
