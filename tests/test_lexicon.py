@@ -1,8 +1,10 @@
 """The one-pass lexicon against a search for every term, on default and test vocabularies and awkward texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,36 @@ def test_scan_counts_without_overlaps(spark):
         LX.Lexicon(["a", ""])
 
 
+def _batch(n):
+    pick = random.Random(8)
+    say = lambda k: "".join(pick.choices("abc ", k=k))
+    rows = [(say(8), say(pick.choice([0, 3, 400])), "s", "u", "") for _ in range(n)]
+    return (*[pa.array(c, pa.string()) for c in zip(*rows, strict=True)], pa.array([1] * n, pa.int32()))
+
+
+def test_slices_of_a_batch_are_its_scan():
+    terms, placed, batch = ("ab", "aa", "c a", "bcb"), np.array([True, False, True, False]), _batch(60)
+    whole = LX.scan(terms, placed, [c.to_pylist() for c in batch[:-1]], np.ones(60, np.int64))
+    for size in (1, 500, 10**6):
+        parts = list(LX.sliced(terms, placed, batch, size))
+        assert pa.concat_arrays(parts).to_pylist() == whole.to_pylist() and (len(parts) == 60 if size == 1 else len(parts) == 1 if size == 10**6 else 1 < len(parts) < 60)
+    assert [x.to_pylist() for x in LX.sliced(terms, placed, tuple(c.slice(0, 0) for c in batch))] == [[]]
+
+
+def test_memory_of_a_scan_does_not_grow_with_the_batch():
+    def peak(n):
+        batch = _batch(n)
+        tracemalloc.start()
+        for _ in LX.sliced(("ab", "aa", "c a", "a", "b", "c"), np.zeros(6, bool), batch, 20_000):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(100)
+    assert peak(8000) < 1.5 * peak(2000)
+
+
 @pytest.mark.parametrize("which", ["default", "test"])
 def test_every_scorer_equals_a_search_for_every_term(spark, which):
     v = classify.Vocabulary() if which == "default" else registry.VOCABULARY

@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from itertools import chain
 
 import numpy as np
@@ -29,6 +29,8 @@ from tidewell.functions import text as X
 
 #: Parts of the scanned text: title, title, summary, source, url and author, a blank between each two.
 PARTS = ("title", "summary", "full", "twice", "text", "body", "source", "url", "name", "author")
+#: Rows are scanned in slices of about so many characters: places of terms take some hundred bytes each before they are counted.
+SLICE = 1 << 18
 TYPE = f"array<struct<term:int,{','.join(f'{p}:int' for p in PARTS)},first:int,places:array<int>>>"
 
 
@@ -96,6 +98,22 @@ def scan(terms: tuple[str, ...], placed: np.ndarray, columns: list[list[str]], r
     return pa.ListArray.from_arrays(pa.array(rows), hits)
 
 
+def sliced(terms: tuple[str, ...], placed: np.ndarray, columns: tuple[pa.Array, ...], size: int = SLICE) -> Iterator[pa.ListArray]:
+    """`scan` of a batch (the last column is `rest`), by runs of rows of at most `size` characters, or of one longer row. What it holds at once
+    follows the slice, however many rows a batch has."""
+    import pyarrow.compute as pc
+
+    sizes = sum(pc.utf8_length(c).to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in columns[:-1])
+    upto, at = np.cumsum(sizes), 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        part = [c.slice(at, end - at) for c in columns]
+        yield scan(terms, placed, [c.to_pylist() for c in part[:-1]], part[-1].to_numpy(zero_copy_only=False).astype(np.int64))
+        at = end
+    if not len(upto):
+        yield pa.array([], _arrow_type())
+
+
 def _arrow_type() -> pa.DataType:
     return pa.list_(pa.struct([("term", pa.int32()), *[(p, pa.int32()) for p in PARTS], ("first", pa.int32()), ("places", pa.list_(pa.int32()))]))
 
@@ -118,8 +136,9 @@ class Lexicon:
         terms, placed = self.terms, self.placed
 
         @F.arrow_udf(TYPE)
-        def hits(title: pa.Array, summary: pa.Array, source: pa.Array, url: pa.Array, author: pa.Array, rest: pa.Array) -> pa.Array:
-            return scan(terms, placed, [c.to_pylist() for c in (title, summary, source, url, author)], rest.to_numpy(zero_copy_only=False).astype(np.int64))
+        def hits(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield from sliced(terms, placed, batch)
 
         return hits("_title", "_summary", "_source", "_url", "_author", "_text")
 
