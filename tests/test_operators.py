@@ -145,6 +145,14 @@ def test_semantic_dedup_is_greedy(spark):
     assert sorted(r.ord for r in dedup.semantic(out).collect()) == kept
 
 
+def test_copies_have_a_pair_each_and_classes_keep_their_links(spark):
+    """300 copies in two orders of words, and what is like them: one row for each copy, no link between different keywords lost."""
+    rows = [{"title": ("alpha beta gamma", "gamma alpha beta")[i % 2], "category": "news", "url": f"u{i}"} for i in range(300)]
+    rows += [{"title": "alpha beta delta", "category": "news"}, {"title": "alpha beta delta", "category": "news"}, {"title": "of a", "category": "news"}, {"title": "of a", "category": "news"}, {"title": "alpha beta gamma", "category": None}, {"title": "alpha beta gamma", "category": None}]
+    got = sorted((r.category or "", r.earlier, r.later, r.common, round(r.jaccard, 3)) for r in dedup.jaccard_pairs(items(spark, rows)).collect())
+    assert got == sorted([("news", 0, i, 3, 1.0) for i in range(1, 300)] + [("news", 0, 300, 2, 0.5), ("news", 300, 301, 3, 1.0), ("", 304, 305, 3, 1.0)])
+
+
 def test_the_first_that_stay_need_no_more_than_their_stretch(spark):
     """The first rows of what a scan keeps, in any order, are those of the whole scan; a scan is left as soon as they are known."""
     import random
