@@ -205,6 +205,33 @@ def test_subsequences_by_brute_force():
         assert block._subsequences(np.array([block.code.get(ord(c), -1) for c in later], np.int64), np.arange(len(titles))).tolist() == want
 
 
+def test_one_match_is_enough(monkeypatch):
+    """With `once` a title is matched if and only if any earlier one reaches the ratio, all ratios given are exact, and no more are asked for."""
+    import difflib
+    import random
+
+    import numpy as np
+
+    from tidewell.functions import ratios
+
+    pick = random.Random(9)
+    titles = ["".join(pick.choices("abcdefgh ", k=pick.choice([3, 12, 40, 70]))) for _ in range(150)] + ["x" * 250, "".join(pick.choices("abc", k=260))]
+    block, asked, real = ratios.Block(titles), [0], difflib.SequenceMatcher
+
+    def counted(*args):
+        asked[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(ratios.difflib, "SequenceMatcher", counted)
+    for later in (*titles[:8], "".join(pick.choices("abcdefgh ", k=40)), "zzzzzz", "", "x" * 251):
+        want = [real(None, later, t).ratio() for t in titles]
+        asked[0] = 0
+        got = block.ratios(later, np.arange(len(titles)), 0.5, once=True)
+        assert (got >= 0.5).any() == any(w >= 0.5 for w in want) and all(g == 0 or g == w for g, w in zip(got, want, strict=True))
+        if later in titles[:8]:
+            assert asked[0] == 1  # the title itself
+
+
 def test_ratios_equal_difflib():
     import difflib
     import random
