@@ -441,6 +441,9 @@ def test_ratio_pairs_without_common_keywords(spark):
     for size in (3, 2000):
         assert {(r.earlier, r.later): r.ratio for r in dedup.ratio_pairs(df, block_rows=size).collect()} == want
     assert {(0, 1), (2, 3), (4, 5), (8, 9)} <= want.keys()
+    few = df.where("ord < 9").unionByName(df.where("ord = 0").select((F.col("ord") + 20).alias("ord"), "category", "title"))
+    got = [(r.earlier, r.later) for r in dedup.ratio_pairs(few, copies=False).collect()]
+    assert sorted(got) == [(0, 1), (0, 20), (2, 3), (4, 5), (4, 6)]  # of copies one pair each
 
 
 def two_sources(spark):
