@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewell.llm import packing, records
-from tidewell.llm.wordcache import TextEncoder
+from tidewell.llm.wordcache import TextEncoder, WordTable
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "text string, doc_id long, ids string, sequence_id int"
@@ -48,6 +48,19 @@ def test_words_encode_as_whole_texts(rows):
         assert got == [whole(r[0]) for r in rows]
 
 
+def test_new_words_are_encoded_in_slices():
+    import pyarrow as pa
+
+    calls = []
+    table = WordTable(lambda words: calls.append(len(words)) or [[len(w)] * (int(w) % 3) for w in words], kept=30_000)
+    for first in (0, 15_000):
+        words = pa.array([str(i) for i in range(first, first + 20_000)])
+        ids, lengths = table.gather(table.numbers(words))
+        assert lengths.tolist() == [i % 3 for i in range(first, first + 20_000)]
+        assert ids.tolist() == [len(str(i)) for i in range(first, first + 20_000) for _ in range(i % 3)]
+    assert sum(calls) == 35_000 and max(calls) <= 8_192  # one call had all new words of a portion before
+
+
 def test_packing_covers_every_id_once(spark, rows):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), VOCABULARY, 2048, 1, with_ids=True).collect()
     expected = sorted((repr(r[1]), tuple([*whole(r[0]), 1])) for r in rows)

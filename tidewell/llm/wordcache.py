@@ -12,6 +12,7 @@ very long text is a range of its own. Nothing depends on what a worker has seen
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,6 +26,8 @@ from .common import SLAB_CHARS, bounds, portions, ragged
 
 #: Words (or their letters) whose ids a worker keeps between portions; later ones are encoded again in each.
 KEPT_WORDS = 400_000
+#: Words encoded at once: the library's own results take some kB a word until their ids are out.
+CODED_WORDS = 8_192
 
 #: Precomposed Latin letters, then ASCII marks without an apostrophe: two pre-tokens of a lower-casing vocabulary.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -62,13 +65,15 @@ class WordTable:
         found = pc.index_in(words, value_set=self.words)
         fresh = words.filter(pc.is_null(found))
         if len(fresh):
-            got, n = self.encode(fresh.to_pylist()), len(self.words)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-            self.words, self.ids = pa.concat_arrays([self.words, fresh]), np.concatenate([self.ids, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+            n, ids, lengths = len(self.words), [self.ids], []
+            for a in range(0, len(fresh), CODED_WORDS):
+                got = self.encode(fresh[a : a + CODED_WORDS].to_pylist())
+                lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+                ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
+            self.words, self.ids = pa.concat_arrays([self.words, fresh]), np.concatenate(ids)
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(lengths))])
             out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            out[out < 0] = np.arange(n, n + len(got))
+            out[out < 0] = np.arange(n, n + len(fresh))
             return out
         return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -137,5 +142,6 @@ class TextEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and vocabulary."""
+    """One encoder per worker process and vocabulary. A task has one core: the library's threads would only hold memory of their own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return TextEncoder(path)
