@@ -524,3 +524,12 @@ def test_a_merged_state_equals_one_pass(spark):
     means, expected = trends.averages_of_state(parts).first(), trends.averages(df.withColumn("ai_relevance", F.lit(None).cast("double"))).first()
     assert (means.n, means.avg_confidence, means.avg_importance) == (expected.n, expected.avg_confidence, expected.avg_importance)
     assert trends.averages_of_state(state(df.limit(0))).first().n == 0
+
+
+def test_distributions_scan_the_texts_once(spark):
+    rows = [{"title": "agent model", "category": "a"}, {"title": "robot", "category": "b"}, {"title": "none", "category": "b"}]
+    scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    tagged = classify.with_text(items(spark, rows)).withColumn("tech_categories", classify.tech_fields())
+    assert scans(trends.hotspots(tagged)) == 1 and scans(trends.daily_state(tagged, F.col("published_ts"), {"category": "unknown"})) == 1
+    odd = items(spark, [{"title": str(i)} for i in range(5)]).withColumn("tech_categories", F.expr("element_at(array(array('x', null), array(), null, array('x'), array('y')), cast(ord as int) + 1)"))
+    assert [(r.key, r.n, r.first) for r in trends.hotspots(odd).collect()] == [("x", 2, 0), (None, 1, 0), ("y", 1, 4)]

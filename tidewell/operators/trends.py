@@ -31,7 +31,7 @@ def daily_state(items: DataFrame, at: Column, columns: dict[str, str], arrays: t
     named = lambda c: lambda key: one(c, key)
     several = [F.transform(F.coalesce(c, F.array().cast("array<string>")), named(c)) for c in arrays]
     have = [m for m in MEASURES if m in items.columns]
-    rows = items.select(F.date_format(at, "yyyy-MM-dd").alias("day"), "ord", *have, F.explode(F.concat(plain, *several)).alias("d"))
+    rows = items.select(F.date_format(at, "yyyy-MM-dd").alias("day"), "ord", *have, F.explode_outer(F.concat(plain, *several)).alias("d"))  # never empty; `explode` would filter by size first, and scan the texts for that
     sums = [x for m in have for x in (F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"))]
     return rows.groupBy("day", "d.dimension", "d.key").agg(F.count("*").alias("n"), F.min("ord").alias("first"), *sums)
 
@@ -68,8 +68,9 @@ def shares(items: DataFrame, column: str, default: str) -> DataFrame:
 
 
 def hotspots(items: DataFrame, n: int = 10) -> DataFrame:
-    """The most frequent technical fields; ties go to the one seen first."""
-    per = items.select("ord", F.explode("tech_categories").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    """The most frequent technical fields; ties go to the one seen first. `explode` would filter by size first, and scan the texts once more for that."""
+    fields = F.transform("tech_categories", lambda x: F.struct(x.alias("key")))
+    per = items.select("ord", F.explode_outer(fields).alias("field")).where(F.col("field").isNotNull()).groupBy("field.key").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     return per.orderBy(F.desc("n"), "first", "key").limit(n)
 
 
