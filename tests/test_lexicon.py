@@ -72,6 +72,14 @@ def test_memory_of_a_scan_does_not_grow_with_the_batch():
     assert peak(8000) < 1.5 * peak(2000)
 
 
+def test_memory_of_a_scan_is_that_of_its_arrays():
+    tracemalloc.start()
+    got = LX.scan(("a", "b"), np.zeros(2, bool), [[""], ["ab" * 100_000], [""], [""], [""]], np.ones(1, np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [h["full"] for h in got.to_pylist()[0]] == [100_000, 100_000] and most < 140 * 200_000
+
+
 @pytest.mark.parametrize("which", ["default", "test"])
 def test_every_scorer_equals_a_search_for_every_term(spark, which):
     v = classify.Vocabulary() if which == "default" else registry.VOCABULARY

@@ -62,10 +62,11 @@ def scan(terms: tuple[str, ...], placed: np.ndarray, columns: list[list[str]], r
     n = len(rest)
     if not terms or not n:
         return pa.array([[]] * n, _arrow_type())
-    found = [list(machine.iter(" ".join((row[0], *row)))) for row in zip(*columns, strict=True)]
-    counts = np.array([len(x) for x in found], np.int64)
-    flat = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 2 * int(counts.sum())).reshape(-1, 2)
-    row, term = np.repeat(np.arange(n), counts), flat[:, 1]
+    # a row's (place, term) go straight into an array: as tuples they would take six times the memory
+    found = [np.fromiter(chain.from_iterable(machine.iter(" ".join((row[0], *row)))), np.int64).reshape(-1, 2) for row in zip(*columns, strict=True)]
+    row, flat = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
+    del found
+    term = flat[:, 1]
     start = flat[:, 0] + 1 - sizes[term]
     order = np.lexsort((start, term, row))
     row, term, start = row[order], term[order], start[order]
