@@ -249,6 +249,22 @@ def test_ratios_equal_difflib():
             assert block.ratios(t, np.arange(120), 0.5).tolist() == [r if r >= 0.5 else 0.0 for r in exact]
 
 
+def test_a_link_that_only_a_copy_has_is_not_left_out(spark):
+    """difflib's ratio depends on which title is the later one: the class of 0, 2 and 4 reaches 0.5 with 1 only from 2 on. Titles of one ord meet too."""
+    import difflib
+
+    one, two = "the and attion to thanedble the anea", "or the idiot thaninwh thheer erblend"
+    assert difflib.SequenceMatcher(None, one, two).ratio() == 0.5 > difflib.SequenceMatcher(None, two, one).ratio()
+    rows = [(0, "news", one), (1, "news", two), (2, "news", one), (3, "news", "zzz qqq"), (4, "news", one), (2, "other", "alpha beta"), (2, "other", "alpha bet"), (2, "other", "alpha bet"), (None, "other", "zzz")]
+    df = spark.createDataFrame(rows, "ord long, category string, title string")
+    got = [tuple(r) for r in dedup.ratio_pairs(df, copies=False).collect()]
+    other = round(2 * 9 / 19, 6)
+    assert sorted((c, a, b, round(r, 6), k, f) for c, a, b, r, k, f in got if c == "news") == [("news", 0, 2, 1.0, "copy", 0), ("news", 0, 4, 1.0, "copy", 0), ("news", 1, 4, 0.5, "link", 0)]
+    assert sorted((a, b, round(r, 6), k) for c, a, b, r, k, f in got if c == "other") == [(2, 2, other, "pair"), (2, 2, 1.0, "copy")]
+    whole = [(r.earlier, r.later, round(r.ratio, 6)) for r in dedup.ratio_pairs(df).where("category = 'news'").collect()]
+    assert sorted(whole) == [(0, 2, 1.0), (0, 4, 1.0), (1, 2, 0.5), (1, 4, 0.5), (2, 4, 1.0)]
+
+
 def test_history_and_quota(spark):
     rows = [{"title": f"A title number {i}", "url": f"https://x.org/{i}?utm_source=q", "category": "news" if i % 2 else "product"} for i in range(10)] + [{"title": "A title number 0 - Source", "url": "https://news.google.com/rss/articles/zz", "category": "news"}]
     df = items(spark, rows)
