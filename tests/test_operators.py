@@ -265,6 +265,57 @@ def test_a_link_that_only_a_copy_has_is_not_left_out(spark):
     assert sorted(whole) == [(0, 2, 1.0), (0, 4, 1.0), (1, 2, 0.5), (1, 4, 0.5), (2, 4, 1.0)]
 
 
+def test_pairs_are_settled_together_without_difflib(monkeypatch):
+    """Plain titles never go to difflib, nor do prose titles with junk whose few runs can't reach the ratio; all ratios are equal to its."""
+    import difflib
+    import random
+
+    import numpy as np
+
+    from tidewell.functions import ratios
+
+    pick, asked, real = random.Random(11), [0], difflib.SequenceMatcher
+    words = ["".join(pick.choices("etaoinshrdlu", k=pick.choice([2, 3, 5, 8]))) for _ in range(60)]
+    say = lambda n: " ".join(pick.choices(words, k=n))
+    titles = [say(pick.choice([1, 2, 4, 9, 14, 25])) for _ in range(200)]
+    titles = [t for t in titles if len(t) < 200] + [say(2) + "ab" * 60, "x" * 63, "x" * 64, "x" * 126, "x" * 127, "x" * 199]
+
+    def counted(*args):
+        asked[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(ratios.difflib, "SequenceMatcher", counted)
+    block = ratios.Block(titles)
+    for later in (*titles[:30], *titles[-6:], say(40)):
+        exact = [real(None, later, t).ratio() for t in titles]
+        assert block.ratios(later, np.arange(len(titles)), 0.5).tolist() == [r if r >= 0.5 else 0.0 for r in exact]
+    long = ["".join(pick.choices("etaoinshrdlu ", k=k)) + pick.choice("zqjx") for k in (210, 250, 300, 400, 500)] * 3
+    assert not ratios.Block(long[:5]).ratios("z" + "".join(pick.choices("etaoinshrdlu ", k=240)), np.arange(5), 0.5).any()
+    assert asked[0] == 0
+    copy = long[2][:150] + "é" + long[2][150:]
+    assert ratios.Block(long).ratios(copy, np.arange(15), 0.5).tolist() == [r if (r := real(None, copy, t).ratio()) >= 0.5 else 0.0 for t in long]
+
+
+def test_one_match_of_many_laters_at_once():
+    """Later titles that are settled together get a match if and only if they have one, whatever part of the earlier ones they come after."""
+    import difflib
+    import random
+
+    import numpy as np
+
+    from tidewell.functions.ratios import Block, fitting
+
+    pick = random.Random(12)
+    titles = ["".join(pick.choices(pick.choice(["abcdef ", "模型发布新版本"]), k=pick.choice([0, 5, 20, 60, 130, 210]))) for _ in range(160)]
+    before = [np.arange(pick.randrange(160)) for _ in range(50)]
+    want = [{int(x) for x in b if difflib.SequenceMatcher(None, t, titles[x]).ratio() >= 0.5} for t, b in zip(titles, before, strict=False)]
+    got = Block(titles).found(titles[:50], before, 0.5, once=True)
+    assert {i for i, _, _ in got} == {i for i, w in enumerate(want) if w} and all(x in want[i] for i, x, _ in got)
+    huge = ["".join(chr(0x4E00 + pick.randrange(20000)) for _ in range(150)) for _ in range(300)]
+    parts = sorted(fitting(huge))
+    assert len(parts) > 1 and [x for p in parts for x in range(*p)] == list(range(300)) and list(fitting(titles)) == [(0, 160)]
+
+
 def test_history_and_quota(spark):
     rows = [{"title": f"A title number {i}", "url": f"https://x.org/{i}?utm_source=q", "category": "news" if i % 2 else "product"} for i in range(10)] + [{"title": "A title number 0 - Source", "url": "https://news.google.com/rss/articles/zz", "category": "news"}]
     df = items(spark, rows)
@@ -542,6 +593,290 @@ def test_a_merged_state_equals_one_pass(spark):
     assert trends.averages_of_state(state(df.limit(0))).first().n == 0
 
 
+def test_distributions_scan_the_texts_once(spark):
+    rows = [{"title": "agent model", "category": "a"}, {"title": "robot", "category": "b"}, {"title": "none", "category": "b"}]
+    scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    tagged = classify.with_text(items(spark, rows)).withColumn("tech_categories", classify.tech_fields())
+    assert scans(trends.hotspots(tagged)) == 1 and scans(trends.daily_state(tagged, F.col("published_ts"), {"category": "unknown"})) == 1
+    odd = items(spark, [{"title": str(i)} for i in range(5)]).withColumn("tech_categories", F.expr("element_at(array(array('x', null), array(), null, array('x'), array('y')), cast(ord as int) + 1)"))
+    assert [(r.key, r.n, r.first) for r in trends.hotspots(odd).collect()] == [("x", 2, 0), (None, 1, 0), ("y", 1, 4)]
+
+    rows = [{"title": f"A title number {i}", "url": f"https://x.org/{i}?utm_source=q", "category": "news" if i % 2 else "product"} for i in range(10)] + [{"title": "A title number 0 - Source", "url": "https://news.google.com/rss/articles/zz", "category": "news"}]
+    df = items(spark, rows)
+    old = filters.history_of(df.where("ord < 4"), F.lit("2024-12-19").cast("timestamp"))
+    fresh = filters.new_only(df, old)
+    assert sorted(r.ord for r in fresh.collect()) == [4, 5, 6, 7, 8, 9]
+    assert filters.new_only(df, filters.history_of(df, F.current_timestamp())).count() == 0
+    assert {r.category: r.n for r in filters.quota(df, {"news": 2}, 3).groupBy("category").agg(F.count("*").alias("n")).collect()} == {"news": 2, "product": 3}
+    kept = filters.bounded_history(old, AS_OF, most=8)
+    assert kept.count() == 12 and filters.bounded_history(old, "2025-03-01 00:00:00").count() == 0
+
+
+def test_history_ends_within_a_second(spark):
+    rows = [("url", f"v{i:04d}", "2024-12-19 10:00:00") for i in range(60)] + [("url", f"w{i}", "2024-12-19 11:00:00") for i in range(5)] + [("title", "t", "2024-12-19 10:00:00")]
+    old = spark.createDataFrame(rows, "kind string, value string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    kept = filters.bounded_history(old, AS_OF, most=50)
+    assert sorted(r.value for r in kept.collect()) == ["t"] + [f"v{i:04d}" for i in range(35)] + [f"w{i}" for i in range(5)]
+
+
+def test_addresses_as_urllib_has_them(spark):
+    from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
+
+    def plain(url):
+        try:
+            p = urlparse(url)
+            own = {k: v for k, v in parse_qs(p.query, keep_blank_values=True).items() if k.lower() not in L.TRACKING_KEYS}
+            return urlunparse((p.scheme.lower(), p.netloc.lower(), p.path.rstrip("/"), p.params, urlencode(own, doseq=True), ""))
+        except ValueError:
+            return url.rstrip("/")
+
+    urls = ["HTTP://X.org/A//", "http://x.org?q=a%20b&k", "example.com/x/#f", "https://x.org/a;p=1/b/;c?x=~*é&x=%zz&y=a+b", "http://x.org/p/?utm_source=1&REF=2", "http://u@X.org:80/?b=2&a=1&b=3&=5", "http://[::1]/a/", "http://[x/a/", "", "mailto:a@b.c", "//x.org/a/", "?a&b", "http://x.org/%7Ea/?c=%26%3D"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(X.normal_url(F.col("u"))).collect()]
+    assert got == [plain(u) for u in urls]
+
+
+def test_rolling_scores_over_blocks(spark):
+    import random
+
+    pick = random.Random(9)
+    rows = [(pick.choice(["Hot", "hot", "HOT", "b"]), i, pick.random()) for i in range(700)]
+    f = spark.createDataFrame(rows, "source string, seq bigint, score double")
+    got = {(r.source, r.seq): (r.n, round(r.average, 9)) for r in importance.rolling(f, block_rows=60).collect()}
+    seen, want = {}, {}
+    for s, i, x in rows:
+        own = seen.setdefault(s.lower(), [])
+        own.append(x)
+        want[s.lower(), i] = (len(own[-50:]), round(sum(own[-50:]) / len(own[-50:]), 9))
+    assert got == want
+    assert {r.source: r.n for r in importance.learned_authority(f).collect()} == {"hot": 50, "b": 50}
+
+
+def test_publication(spark):
+    rows = [{"title": f"Title {i}", "summary": "<b>x</b> & y" if i else "z" * 200, "source": "s", "url": "https://x.org/?a=1&b='", "published": f"2024-12-{10 + i}"} for i in range(9)]
+    df = items(spark, rows).withColumns({"importance": F.col("ord") / 10, "content_type": F.when(F.col("ord") == 8, "podcast").otherwise("product"), "ai_relevance": F.when(F.col("ord") == 7, 0.1)})
+    got = publish.sections(df).orderBy("section_rank", "rank").collect()
+    assert [(r.section, r.ord) for r in got] == [("product", i) for i in (6, 5, 4, 3, 2, 1)] + [("market", 8)]
+    assert [r.ord for r in publish.table_rows(df, 2, "parity").collect()] == [0, 1]
+    page = publish.page(df)
+    assert "<html" in page and "x &amp; y" in page and page.count("<tr>") == 8
+    who = lambda **v: one(spark, publish.person, **v)
+    assert who(a="Ann", t="", s="", o="") == "Ann" and who(a="", t="why jensen huang left", s="", o="") == "Jensen Huang"
+    assert who(a="", t="Jane Smith says no", s="", o="x") == "Jane Smith" and who(a="", t="t", s="", o="News about Bob") == "Bob" and who(a="", t="", s="", o="") == "Industry Voice"
+
+
+def test_review_cycle(spark):
+    df = items(spark, [{"title": f"t{i}", "summary": "alpha alpha beta"} for i in range(6)]).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x")), "region": F.lit("USA")})
+    d = spark.createDataFrame([(0, "confirm", None), (1, "category", "product"), (2, "spam", None), (3, "skip", None), (4, "tech", "NLP, Vision"), (5, "region", "China")], "ord bigint, action string, value string")
+    out = {r.ord: r for r in review.apply(df, d).collect()}
+    assert [out[i].needs_review for i in range(6)] == [False, False, True, True, True, True]
+    assert (out[1].content_type, out[1].confidence, out[1].original_category, out[1].original_confidence) == ("product", 1.0, "market", 0.5)
+    assert out[2].is_spam and not out[3].manually_reviewed and out[4].tech_categories == ["NLP", "Vision"] and out[5].region == "China"
+    log = review.audit(df, d)
+    assert review.statistics(log).first().asDict() == {"total": 5, "confirmed": 1, "spam": 1, "corrected": 1}
+    assert [tuple(r) for r in review.transitions(log).collect()] == [("market", "product", 1)]
+    assert {(r.content_type, r.word) for r in review.mined_words(review.apply(df, d)).collect()} == {("market", "alpha"), ("market", "beta"), ("product", "alpha"), ("product", "beta")}
+    assert review.learning_summary(log, review.apply(df, d)).first().reviewed == 5
+
+
+def test_several_decisions_on_one_item(spark):
+    df = items(spark, [{"title": f"t{i}"} for i in range(3)]).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x")), "region": F.lit("USA")})
+    d = spark.createDataFrame([(0, "category", "product", 1), (0, "category", "leader", 2), (0, "region", "China", 3), (1, "region", "Europe", 2), (1, "region", "China", 1), (1, "spam", None, 5), (1, "skip", None, 6)], "ord bigint, action string, value string, seq bigint")
+    out = {r.ord: r for r in review.apply(df, d).collect()}
+    assert len(out) == 3 and (out[0].content_type, out[0].original_category, out[0].region, out[0].needs_review) == ("leader", "product", "China", False)
+    assert out[1].region == "Europe" and out[1].is_spam and out[1].content_type == "market" and not out[2].manually_reviewed
+    assert sorted(r.action for r in review.audit(df, d).where("ord = 0").collect()) == ["Category: market -> product", "Category: product -> leader", "Region: China"]
+    rows = [("a", 0.5, None, None)] * 2 + [("b", 0.4, None, None), ("a", 1.0, "z", 0.9), ("b", 1.0, "z", 0.8), ("c", 1.0, "z", 0.2)]
+    reviewed = spark.createDataFrame(rows, "content_type string, confidence double, original_category string, original_confidence double").withColumn("manually_reviewed", F.lit(True))
+    assert {(r.pattern, r.n) for r in review.error_patterns(reviewed).collect()} == {("threshold_adjustment", 3), ("false_positive", 2)}
+    assert review.error_patterns(reviewed, 4, 3).count() == 0
+
+
+def test_replies(spark):
+    replies = ['thinking... ```json\n{"content_type": "Paper", "confidence": 0.9, "tech_fields": ["NLP"]}\n``` done', "no object", '{"type": "developer (tools)"}', '{"confidence": 1}', None]
+    got = [r.x for r in spark.createDataFrame([(r,) for r in replies], "r string").select(labelling.parsed_reply(F.col("r")).alias("x")).collect()]
+    assert (got[0].content_type, got[0].confidence, got[0].ai_relevance, got[0].tech_categories) == ("research", 0.9, 0.7, ["NLP"])
+    assert got[1] is None and got[2].content_type == "developer" and got[3] is None and got[4] is None
+    read = labelling.read_batch('1. {"id": 2, "content_type": "papers"}\n[3] {id: 1, content_type: "tools"}\n{"id": 2, "content_type": "market"}', 3)
+    assert [r and r["content_type"] for r in read] == ["developer", "research", None]
+    assert labelling.read_batch('```json\n[{"content_type": "product", "confidence": 0.5}, {"id": 9}]\n```', 2)[0]["confidence"] == 0.5
+    text = spark.createDataFrame([("so it is\nresearch",), ("a paper from a conference with a launch",), ("zzz",)], "r string").select(labelling.type_from_text(F.col("r")).alias("x")).collect()
+    assert tuple(text[0].x) == ("research", 0.85) and text[1].x.content_type == "research" and text[2].x is None
+
+
+def test_breaker():
+    now = [0.0]
+    b = labelling.Breaker(clock=lambda: now[0])
+    assert b.action("timeout") == "quick" and b.action("parse_error") == "retry"
+    b.failed("parse_error"), b.failed("parse_error")
+    assert b.action("parse_error") == "full_rule" and b.allows()
+    assert [b.action("connection_error") for _ in range(3)] == ["retry", "retry", "full_rule"] and not b.allows()
+    now[0] = 61.0
+    assert b.allows() and not b.errors
+    b.failed("x")
+    b.succeeded()
+    assert not b.errors
+
+
+def test_every_reason_of_a_failure():
+    def failing(e):
+        def client(prompt):
+            calls.append(1)
+            if isinstance(e, Exception):
+                raise e
+            return e
+
+        return client
+
+    expected = {TimeoutError(): ("timeout", 1), ConnectionError(): ("connection_error", 2), labelling.RateLimited(): ("rate_limit", 2), labelling.ApiError(): ("api_error", 2), labelling.InvalidResponse(): ("invalid_response", 2), ValueError(): ("parse_error", 2), KeyError(): ("model_error", 1), " ": ("invalid_response", 2)}
+    for e, (reason, attempts) in expected.items():
+        calls, own = [], labelling.Breaker()
+        assert labelling._reply(own, failing(e), "p") == (None, reason) and len(calls) == attempts
+        assert own.errors == ({} if reason == "rate_limit" else {reason: attempts})
+    calls, own = [], labelling.Breaker(limit=3)
+    assert [labelling._reply(own, failing(labelling.ApiError()), "p")[1] for _ in range(3)] == ["api_error", "api_error", "circuit_breaker"] and len(calls) == 3
+
+
+def test_model_labels_fall_back_to_rules(spark):
+    df = items(spark, [{"title": f"title {i}", "summary": "s", "source": "x", "url": "u"} for i in range(12)]).coalesce(1)
+    rules = df.select("ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+
+    def down(prompt):
+        raise ConnectionError
+
+    got = {r.ord: r for r in labelling.labelled(df, rules, down, "m").collect()}
+    assert got[0].classified_by == "rule:fallback:connection_error" and got[11].classified_by == "rule:circuit_breaker" and got[0].content_type == "market"
+    cache = df.where("ord = 0").select(labelling.cache_key("m").alias("key"), F.lit("leader").alias("content_type"), F.lit(0.7).alias("confidence"), F.lit(0.9).alias("ai_relevance"))
+    good = {r.ord: r for r in labelling.labelled(df, rules, lambda p: '{"content_type": "product"}', "m", cache).collect()}
+    assert good[0].content_type == "leader" and good[0].from_cache and good[1].content_type == "product" and len(good) == 12
+
+
+def test_batches_summaries_and_entered_fields(spark):
+    df = items(spark, [{"title": f"title {i}", "summary": "s" * 200, "source": "x", "url": "u"} for i in range(12)]).coalesce(1)
+    rules = df.select("ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    got = {r.ord: r for r in labelling.labelled_in_batches(df, rules, lambda p: '[{"id": 1, "content_type": "tools"}, {"id": 2}]', "m").collect()}
+    assert len(got) == 12 and (got[0].content_type, got[0].classified_by, got[1].content_type) == ("developer", "llm:m:batch", "market")
+    assert got[2].classified_by == "rule:fallback:parse_error" and got[5].content_type == "developer"
+    told = labelling.labelled(df, rules, lambda p: "so this must be\nresearch", "m").first()
+    assert (told.content_type, told.confidence, told.classified_by) == ("research", 0.85, "llm:m")
+
+    def down(prompt):
+        raise ConnectionError
+
+    assert [labelling.summarised(df, c).first().short for c in (None, down, lambda p: " short ")] == ["s" * 150 + "...", "s" * 150 + "...", "short"]
+    entered = [r[0] for r in spark.createDataFrame([(x,) for x in ("1, 4", "2", "NLP, Own", "99", "", "1,b")], "e string").select(review.tech_fields(F.col("e"))).collect()]
+    assert entered == [["NLP", "Generative AI"], ["Computer Vision"], ["NLP", "Own"], None, None, ["1", "b"]]
+    assert spark.range(1).select(publish.tags(F.array(*map(F.lit, "abc")))).first()[0] == ["a", "b"]
+
+
+def test_trends(spark):
+    df = items(spark, [{"title": f"t{i}", "source": "b" if i else "a", "published": f"2024-12-{10 + i}"} for i in range(9)]).withColumns({"tech_categories": F.array(F.when(F.col("ord") < 2, "A").otherwise("B")), "content_type": F.lit("product"), "region": F.lit(None).cast("string")})
+    assert [(r.key, r.n) for r in trends.hotspots(df).collect()] == [("B", 7), ("A", 2)]
+    assert [r.day for r in trends.daily(df, F.col("published_ts")).collect()] == [f"2024-12-{d}" for d in range(12, 19)]
+    assert trends.shares(df, "content_type", "market").first().pct == 100.0
+    text = trends.report(df)
+    assert "Items: 9" in text and "B: 7" in text and "Global: 9" in text
+    f = spark.createDataFrame([("c", i, f"s{i}", "e" * 200) for i in range(5)], "category string, ord bigint, source string, error string")
+    shown = trends.failures(f).collect()
+    assert len(shown) == 3 and shown[0].failed == 5 and len(shown[0].error) == 100
+
+
+def test_ratio_pairs_without_common_keywords(spark):
+    import difflib
+
+    from tidewell.operators import dedup
+
+    names = ["abcdefgh", "abcdefxy", "模型发布了新版", "模型发布新版", "", "", None, "zq", "training runs", "trained run", "a much longer title about something else entirely", "abcdefgh"]
+    df = spark.createDataFrame([(i, "news" if i < 11 else "other", x) for i, x in enumerate(names)], "ord long, category string, title string")
+    t = {r.ord: (r.category, r.t) for r in dedup.titles(df).collect()}
+    want = {(i, j): r for i in t for j in t if i < j and t[i][0] == t[j][0] and (r := difflib.SequenceMatcher(None, t[j][1], t[i][1]).ratio()) >= 0.5}
+    for size in (3, 2000):
+        assert {(r.earlier, r.later): r.ratio for r in dedup.ratio_pairs(df, block_rows=size).collect()} == want
+    assert {(0, 1), (2, 3), (4, 5), (8, 9)} <= want.keys()
+    few = df.where("ord < 9").unionByName(df.where("ord = 0").select((F.col("ord") + 20).alias("ord"), "category", "title"))
+    got = [(r.earlier, r.later) for r in dedup.ratio_pairs(few, copies=False).collect()]
+    assert sorted(got) == [(0, 1), (0, 20), (2, 3), (4, 5), (4, 6)]  # of copies one pair each
+
+
+def two_sources(spark):
+    """Two sources that both count from 0."""
+    a = items(spark, [{"title": f"first {i}", "summary": "s", "source": "one", "url": "u"} for i in range(7)])
+    b = items(spark, [{"title": f"second {i}", "summary": "s", "source": "two", "url": "u"} for i in range(6)])
+    return a.unionByName(b).repartition(3)
+
+
+def test_clashing_order_in_batches_and_labels(spark):
+    df = two_sources(spark)
+    assert df.select("item").distinct().count() == 13
+    batches = labelling.batch_prompts(df, 5).orderBy("batch").collect()
+    assert [len(b["keys"]) for b in batches] == [5, 5, 3] and len({k for b in batches for k in b["keys"]}) == 13 and [b.batch for b in batches] == [0, 1, 2]
+    rules = df.select("item", "ord", F.concat(F.lit("rule "), "title").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    sparse = df.withColumn("ord", F.col("ord") * F.lit(1 << 40))
+    assert sorted(len(b["keys"]) for b in labelling.batch_prompts(sparse, 5).collect()) == [3, 5, 5]
+
+    def client(prompt):
+        if "Classify each" not in prompt:
+            return '{"content_type": "leader", "tech_fields": ["NLP"], "is_verified": false, "reasoning": "why"}' if "second" in prompt else "?"
+        lines = prompt.split("\n")[1:]
+        return json.dumps([{"id": i + 1, "content_type": "product", "is_verified": False, "reason": "seen"} for i, x in enumerate(lines) if "3" in x.split("|")[0].split(".", 1)[1]])
+
+    got = {r.key: r for r in labelling.label(df, rules, client, "m")[0].collect()}
+    title = {r.item: r.title for r in df.collect()}
+    assert len(got) == 13 and {title[k] for k, r in got.items() if r.classified_by == "llm:m:batch"} == {"first 3", "second 3"}
+    assert all(r.content_type == ("product" if "3" in title[k] else "leader" if "second" in title[k] else f"rule {title[k]}") for k, r in got.items())
+    new = {r.title: r for r in labelling.relabelled(df, labelling.label(df, rules, client, "m")[0]).collect()}
+    assert (new["second 1"].tech_categories, new["second 1"].is_verified, new["second 1"].llm_reasoning, new["first 3"].llm_reasoning, new["first 1"].llm_reasoning) == (["NLP"], False, "why", "seen", None) and len(new) == 13
+
+
+def test_clashing_order_in_reviews_and_history(spark):
+    df = two_sources(spark).withColumns({"content_type": F.lit("market"), "confidence": F.lit(0.5), "needs_review": F.lit(True), "tech_categories": F.array(F.lit("x"))})
+    d = review.queue(df).where("title = 'second 2'").select("item", F.lit("spam").alias("action"), F.lit(None).cast("string").alias("value"))
+    assert [r.title for r in review.apply(df, d).where("is_spam").collect()] == ["second 2"] and [r.title for r in review.audit(df, d).collect()] == ["second 2"]
+    old = spark.createDataFrame([("title", "first 4"), ("norm_title", "second 5"), ("other", "second 1"), ("title", None)], "kind string, value string")
+    assert sorted(r.title for r in filters.flag_new(df, old).where("not is_new").collect()) == ["first 4", "second 5"]
+
+
+def test_label_cache_is_an_upsert(spark, tmp_path):
+    df = two_sources(spark).unionByName(two_sources(spark).where("title = 'first 0'"))
+    rules = df.select("item", "ord", F.lit("market").alias("content_type"), F.lit(0.3).alias("confidence"), F.lit(0.1).alias("ai_relevance"))
+    log = str(tmp_path / "calls")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write("x")
+        lines = prompt.split("\n")[1:]
+        if "Classify each" not in prompt:
+            raise TimeoutError
+        return json.dumps([{"id": i + 1, "content_type": "leader"} for i, x in enumerate(lines) if "first" in x])
+
+    run = lambda rows: {(r.key, r.ord): r for r in labelling.labelled_and_kept(rows, rules, client, "m", str(tmp_path / "cache")).collect()}
+    one = run(df)
+    calls = len(open(log).read())
+    kept = spark.read.parquet(str(tmp_path / "cache" / "v=0"))
+    assert len(one) == 13 and kept.count() == kept.select("key").distinct().count() == 7 and calls >= 3
+    two = run(df.where("source = 'one'"))
+    assert len(open(log).read()) == calls and all(r.from_cache and r.content_type == "leader" for r in two.values()) and len(two) == 7
+    three = run(df)
+    assert {r.classified_by for r in three.values() if r.from_cache} == {"llm:m"} and {r.classified_by for r in three.values() if not r.from_cache} == {"rule:fallback:timeout"}
+    assert spark.read.parquet(str(tmp_path / "cache" / "v=2")).count() == 7
+
+
+def test_a_merged_state_equals_one_pass(spark):
+    rows = [{"title": f"t{i}", "category": "ab"[i % 2], "source": None if i % 5 == 0 else f"s{i % 3}", "published": f"2024-12-{10 + i % 4:02d}" if i % 7 else None} for i in range(40)]
+    df = items(spark, rows).withColumns({"tech_categories": F.when(F.col("ord") % 3 != 0, F.when(F.col("ord") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))), "confidence": F.when(F.col("ord") % 4 != 0, F.col("ord") / 40.0), "importance": F.col("ord") / 80.0})
+    state = lambda d: trends.daily_state(d, F.col("published_ts"), {"category": "unknown", "source": "unknown"})
+    whole = state(df)
+    parts = trends.merged(trends.merged(state(df.where("ord < 9")), state(df.where("ord between 9 and 20"))), state(df.where("ord > 20")), state(df.limit(0)))
+    key = lambda d: sorted(((r.day, r.dimension, r.key, r.n, r.first, r.n_confidence, round(r.sum_importance, 9)) for r in d.collect()), key=repr)
+    assert key(parts) == key(whole)
+    for c in ("category", "source"):
+        assert {(r.key, r.n) for r in trends.of_state(parts, c).collect()} == {tuple(r) for r in trends.distribution(df, c, "unknown").collect()}
+    assert [tuple(r) for r in trends.of_state(parts, "tech_categories").orderBy(F.desc("n"), "first", "key").collect()] == [tuple(r) for r in trends.hotspots(df).select("key", "n", "first").collect()]
+    assert trends.daily_of_state(parts, 3).collect() == trends.daily(df, F.col("published_ts"), 3).collect()
+    means, expected = trends.averages_of_state(parts).first(), trends.averages(df.withColumn("ai_relevance", F.lit(None).cast("double"))).first()
+    assert (means.n, means.avg_confidence, means.avg_importance) == (expected.n, expected.avg_confidence, expected.avg_importance)
+    assert trends.averages_of_state(state(df.limit(0))).first().n == 0
+
+
 def test_distributions_scan_the_texts_once(spark):
     rows = [{"title": "agent model", "category": "a"}, {"title": "robot", "category": "b"}, {"title": "none", "category": "b"}]
     scans = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
